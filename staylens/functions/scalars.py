@@ -60,10 +60,10 @@ def clip(c, lo=None, hi=None) -> Column:
     c = _c(c)
     out = c
     if lo is not None:
-        out = F.when(out < F.lit(lo), F.lit(lo)).otherwise(out)
+        out = F.greatest(out, F.lit(lo))
     if hi is not None:
-        out = F.when(out > F.lit(hi), F.lit(hi)).otherwise(out)
-    return F.when(c.isNull(), F.lit(None)).otherwise(out)
+        out = F.least(out, F.lit(hi))
+    return F.when(c.isNotNull(), out)
 
 
 # --- text ------------------------------------------------------------------
@@ -119,12 +119,17 @@ def lenient_float(c) -> Column:
     return F.when(ok, nan_to_null(s.try_cast("double")))
 
 
+def serial_days_to_timestamp(v) -> Column:
+    """Days since 1899-12-30 as a number -> timestamp floored to the second."""
+    v = _c(v)
+    secs = F.floor(v * F.lit(86400.0)).cast("bigint")
+    return F.when(F.abs(v) <= F.lit(SERIAL_LIMIT_DAYS),
+                  F.timestamp_add("SECOND", secs, F.to_timestamp_ntz(F.lit(EXCEL_EPOCH))))
+
+
 def excel_serial_to_timestamp(c, with_time: bool = True) -> Column:
     """Days since 1899-12-30 (decimal comma allowed), floored to the second."""
-    v = lenient_float(c)
-    secs = F.floor(v * F.lit(86400.0)).cast("bigint")
-    ts = F.timestamp_add("SECOND", secs, F.to_timestamp_ntz(F.lit(EXCEL_EPOCH)))
-    ts = F.when(F.abs(v) <= F.lit(SERIAL_LIMIT_DAYS), ts)
+    ts = serial_days_to_timestamp(lenient_float(c))
     return ts if with_time else ts.cast("date")
 
 
@@ -136,13 +141,14 @@ def parse_datetime(c, keep_time: bool = True, serial_range=(SERIAL_MIN, SERIAL_M
     fallback when the second field cannot be a month.
     """
     s = F.trim(_c(c).cast("string"))
-    v = lenient_float(s)
-    serial = F.when(v.between(serial_range[0], serial_range[1]), excel_serial_to_timestamp(s))
-    iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), s.try_cast("timestamp_ntz"))
+    parts = []
+    if serial_range is not None:
+        v = lenient_float(s)
+        parts.append(F.when(v.between(serial_range[0], serial_range[1]), serial_days_to_timestamp(v)))
+    parts.append(F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), s.try_cast("timestamp_ntz")))
     # Parsed in the session zone and cast back: the wall-clock time is kept.
-    texts = [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in DAYFIRST_FORMATS]
-    ts = F.coalesce(serial, iso, *texts)
-    ts = F.when(F.nullif(s, F.lit("")).isNotNull(), ts)
+    parts += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in DAYFIRST_FORMATS]
+    ts = F.coalesce(*parts)
     return ts if keep_time else ts.cast("date")
 
 
@@ -178,7 +184,7 @@ def allowed_stay_days(c) -> Column:
     """A number as is; a date gives its day of month."""
     s = _c(c).cast("string")
     num = lenient_float(s)
-    return F.coalesce(num, F.dayofmonth(parse_datetime(s, keep_time=False, serial_range=(-1, -1))).cast("double"))
+    return F.coalesce(num, F.dayofmonth(parse_datetime(s, keep_time=False, serial_range=None)).cast("double"))
 
 
 def encode_risk(c) -> Column:
