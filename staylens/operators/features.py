@@ -48,7 +48,7 @@ def make_dataset(grd: DataFrame, score: DataFrame, episode_grd: str = "episodio_
                  norm: str = "estancia_norma_grd", exact_quantiles: bool = True) -> DataFrame:
     """M1: GRD x Score left join, label, weight and the nine features.
 
-    Returns (features..., excede_norma, peso, fecha).
+    Returns (episodio, features..., excede_norma, peso, fecha).
     """
     H.require(grd.columns, [episode_grd, fecha, norm, stay, *GRD_REQUIRED], "GRD")
     ep_score = H.first_existing(score.columns, SCORE_KEY_CANDIDATES)
@@ -65,6 +65,7 @@ def make_dataset(grd: DataFrame, score: DataFrame, episode_grd: str = "episodio_
         X.nan_to_null(F.col("total").cast("double")).alias("_total"))
     df = with_tercile_code(df, "_total", "riesgo_social", exact_quantiles)
     return df.select(
+        F.col(episode_grd).cast("string").alias("episodio"),
         X.nan_to_null(F.col("edad_en_anos").cast("double")).alias("edad"),
         F.coalesce(F.col("sexo_desc_").cast("string"), F.lit("desconocido")).alias("sexo"),
         F.coalesce(F.col("servicio_ingreso_descripcion_").cast("string"), F.lit("desconocido")).alias("servicio_clinico"),
