@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -58,12 +59,17 @@ def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
         num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES) -> PipelineModel:
     """Fit the linear or the boosted model with sample weights."""
     if kind == "logistic":
-        clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=500,
-                                 regParam=0.0, standardization=False)
+        clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=100, tol=1e-6,
+                                 regParam=0.0, standardization=True)
     else:
-        clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=50,
-                            maxDepth=5, maxBins=64)
-    return Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepare(train, kind, cat))
+        clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=20,
+                            maxDepth=5, maxBins=64, cacheNodeIds=True)
+    # Iterative fits read their input many times: materialise it once.
+    prepared = prepare(train, kind, cat).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepared)
+    finally:
+        prepared.unpersist()
 
 
 def margin(model: PipelineModel, df: DataFrame, kind: str = "gbt") -> DataFrame:
@@ -103,25 +109,29 @@ def evaluate(scored: DataFrame, y: str = "excede_norma", p: str = "p") -> DataFr
             .crossJoin(M.brier(scored, y, p)))
 
 
-def train_and_score(dataset: DataFrame, id_col: str = "episodio") -> dict:
+def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline: bool = True) -> dict:
     """Full training run: split (M2), weights (M8), linear baseline, boosted
     model on the core slice, sigmoid calibration on a hash sample (T5, M11),
     scores of the test side. Returns a dict of DataFrames / models."""
-    train, test = FE.time_split(dataset, "fecha")
-    train = FE.class_weights(train, "excede_norma", "peso", "w")
+    data = dataset.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = FE.time_split(data, "fecha")
+    train = FE.class_weights(train, "excede_norma", "peso", "w").persist(StorageLevel.MEMORY_AND_DISK)
     test = test.withColumn("w", F.col("peso"))
     cal, core = SA.split_sample(train, id_col)
-    baseline = fit(train, "logistic")
     boosted = fit(core, "gbt")
     cal_model = fit_sigmoid(margin(boosted, cal))
     test_scored = apply_sigmoid(cal_model, margin(boosted, test))
-    base_scored = margin(baseline, test, "logistic").withColumn("p", F.col("p_raw"))
-    return {
+    out = {
         "test_scores": test_scored.select(id_col, "excede_norma", "p"),
-        "baseline_scores": base_scored.select(id_col, "excede_norma", "p"),
         "deciles": R.decile_lift(test_scored, "excede_norma", "p"),
-        "models": {"baseline": baseline, "boosted": boosted, "calibrator": cal_model},
+        "models": {"boosted": boosted, "calibrator": cal_model},
     }
+    if with_baseline:
+        baseline = fit(train, "logistic")
+        base_scored = margin(baseline, test, "logistic").withColumn("p", F.col("p_raw"))
+        out["baseline_scores"] = base_scored.select(id_col, "excede_norma", "p")
+        out["models"]["baseline"] = baseline
+    return out
 
 
 def save_models(models: dict, base_path: str) -> None:

@@ -45,7 +45,7 @@ def clinical_and_survey(spark, sf):
 def train_score(spark, sf):
     grd, score = clinical_and_survey(spark, sf)
     ds = FE.make_dataset(grd, score)
-    res = TR.train_and_score(ds)
+    res = TR.train_and_score(ds, with_baseline=False)   # output: calibrated boosted scores
     return res["test_scores"].select("episodio", "excede_norma", F.round("p", 6).alias("p"))
 
 
