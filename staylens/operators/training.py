@@ -46,35 +46,59 @@ def _prep_stages(kind: str, num: Sequence[str], cat: Sequence[str]):
     return [imp, idx, vec]
 
 
-def prepare(df: DataFrame, kind: str, cat: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """M5 (+ M6 for the linear model) as DataFrame steps before the pipeline."""
-    out = FE.impute_mode(df, list(cat))
-    if kind == "logistic":
-        for c in cat:
-            out = FE.pool_rare_levels(out, c, 0.01)
-    return out
+class Preparation:
+    """M5 (+ M6 for the linear model) learned on the training rows and applied
+    to any batch: the modes are one row, the rare-level tables one row per
+    level, both kept as DataFrames and joined (no values pass the driver)."""
+
+    def __init__(self, train: DataFrame, kind: str, cat: Sequence[str] = CATEGORICAL_FEATURES):
+        self.kind, self.cat = kind, list(cat)
+        self.modes = train.agg(*[F.mode(F.col(c), deterministic=True).alias("_mode_" + c) for c in self.cat])
+        self.rare = {}
+        if kind == "logistic":
+            filled = self._fill(train)
+            n = filled.agg(F.count(F.lit(1)).alias("_rows"))
+            for c in self.cat:
+                freq = filled.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")).crossJoin(F.broadcast(n))
+                self.rare[c] = freq.where(F.col("_cnt") < F.col("_rows") * 0.01).select(
+                    c, F.lit(True).alias("_rare_" + c))
+
+    def _fill(self, df: DataFrame) -> DataFrame:
+        out = df.crossJoin(F.broadcast(self.modes))            # one-row aggregate
+        return out.select(*[F.coalesce(F.col(c), F.col("_mode_" + c)).alias(c) if c in self.cat
+                            else F.col(c) for c in df.columns])
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        out = self._fill(df)
+        for c, table in self.rare.items():
+            out = out.join(table, c, "left").withColumn(
+                c, F.when(F.col("_rare_" + c), F.lit(FE.INFREQUENT)).otherwise(F.col(c))).drop("_rare_" + c)
+        return out
 
 
 def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
-        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES) -> PipelineModel:
-    """Fit the linear or the boosted model with sample weights."""
+        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES):
+    """Fit the linear or the boosted model with sample weights.
+    Returns (preparation, pipeline model)."""
     if kind == "logistic":
         clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=100, tol=1e-6,
                                  regParam=0.0, standardization=True)
     else:
         clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=20,
                             maxDepth=5, maxBins=64, cacheNodeIds=True)
+    prep = Preparation(train, kind, cat)
     # Iterative fits read their input many times: materialise it once.
-    prepared = prepare(train, kind, cat).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prep.apply(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepared)
+        return prep, Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepared)
     finally:
         prepared.unpersist()
 
 
-def margin(model: PipelineModel, df: DataFrame, kind: str = "gbt") -> DataFrame:
+def margin(fitted, df: DataFrame) -> DataFrame:
     """Positive-class probability (M13) and raw margin of a fitted pipeline."""
-    scored = model.transform(prepare(df, kind))
+    prep, model = fitted
+    scored = model.transform(prep.apply(df))
     return (scored.withColumn("p_raw", vector_to_array("probability")[1])
                   .withColumn("margin", vector_to_array("rawPrediction")[1])
                   .drop("features", "rawPrediction", "probability", "prediction"))
@@ -124,13 +148,13 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
     out = {
         "test_scores": test_scored.select(id_col, "excede_norma", "p"),
         "deciles": R.decile_lift(test_scored, "excede_norma", "p"),
-        "models": {"boosted": boosted, "calibrator": cal_model},
+        "models": {"boosted": boosted[1], "calibrator": cal_model},
     }
     if with_baseline:
         baseline = fit(train, "logistic")
-        base_scored = margin(baseline, test, "logistic").withColumn("p", F.col("p_raw"))
+        base_scored = margin(baseline, test).withColumn("p", F.col("p_raw"))
         out["baseline_scores"] = base_scored.select(id_col, "excede_norma", "p")
-        out["models"]["baseline"] = baseline
+        out["models"]["baseline"] = baseline[1]
     return out
 
 
