@@ -110,7 +110,8 @@ def normalize_stays(raw: DataFrame, detect_extra_dates: bool = False) -> DataFra
     the serial/ISO/dd-mm-yyyy heuristic of the source, off by default since it
     turns any 5-digit code into a date).
     """
-    cols = raw.columns
+    control = [c for c in raw.columns if c.startswith("_")]   # scan bookkeeping, carried as is
+    cols = [c for c in raw.columns if c not in control]
     H.require(cols, ["episodio"], "stays")
     if "marca_temporal" not in cols and "marco_temporal" not in cols:
         raise ValueError("stays: missing required columns ['marca_temporal' or 'marco_temporal']")
@@ -145,6 +146,7 @@ def normalize_stays(raw: DataFrame, detect_extra_dates: bool = False) -> DataFra
         if c not in produced:
             select.append(F.lit(None).cast("string").alias(c))
     select.append(F.lit(STAY_SOURCE).alias("_tipo_fuente"))
+    select += [F.col(c) for c in control]
     return fill_identity(raw.select(*select))
 
 
@@ -170,7 +172,8 @@ def clock_text(c: Column) -> Column:
 
 def normalize_census(raw: DataFrame, file_name_col: str | None = "_file_name") -> tuple[DataFrame, list[str]]:
     """Census feed: returns (normalised rows, unique key chosen from the headers)."""
-    cols = [c for c in raw.columns if c != file_name_col]
+    control = [c for c in raw.columns if c.startswith("_")]   # scan bookkeeping, carried as is
+    cols = [c for c in raw.columns if c not in control]
     m = H.resolve_synonyms(cols, CENSUS_SYNONYMS)
     if "cama" not in m:
         raise ValueError("census: no 'cama' column")
@@ -201,6 +204,7 @@ def normalize_census(raw: DataFrame, file_name_col: str | None = "_file_name") -
         if c not in used and c not in ("snapshot_at",):
             select.append(X.blank_to_null_ingest(F.col(c)).alias(c))
     select.append(F.lit(CENSUS_SOURCE).alias("_tipo_fuente"))
+    select += [F.col(c) for c in control]
     present = set(m) | {"snapshot_at"}
     key = next(k for k in CENSUS_KEYS if set(k) <= present)
     return raw.select(*select), key

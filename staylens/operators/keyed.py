@@ -78,7 +78,8 @@ def ingest_counts(batch: DataFrame, inserted: DataFrame, key_used: Sequence[str]
 
 
 def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_cols: Sequence,
-               fmt: str = "parquet", partition_by: Sequence[str] | None = None) -> dict:
+               fmt: str = "parquet", partition_by: Sequence[str] | None = None,
+               drop_cols: Sequence[str] = ()) -> dict:
     """Insert-if-absent into a stored table and report the counts.
 
     The stored table is read once for its keys; new rows are appended (no
@@ -92,11 +93,12 @@ def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_col
     new = first_per_key(batch, keys, order_cols)
     if stored is not None:
         new = exclude_existing(new, stored, keys)
-    new = new.cache()
+    new = new.drop(*drop_cols).cache()
+    # counts first: they must describe this batch against the table as it was
+    report = ingest_counts(batch, new, keys).first().asDict()
     writer = new.write.mode("append").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(table_path)
-    report = ingest_counts(batch, new, keys).first().asDict()
     new.unpersist()
     return report
