@@ -66,11 +66,12 @@ def asof_last_nonnull(day_last: DataFrame, cutoffs: DataFrame, key: str, cutoff:
     key (NULL cut-off = not discharged -> NULL answer). Every key of
     ``cutoffs`` appears once in the result.
     """
-    cand = (day_last.join(cutoffs.select(key, cutoff), key)
-                    .where(F.col("_day") <= F.col(cutoff))
-                    .groupBy(key)
-                    .agg(F.max_by(F.col("_last.v"), F.col("_last.o")).alias(out)))
-    return cutoffs.join(cand, key, "left")
+    # One join and one aggregate: rows after the cut-off get a NULL ordering
+    # value, which max_by skips. The aggregate reuses the join's partitioning.
+    eligible = F.when(F.col("_day") <= F.col(cutoff), F.col("_last.o"))
+    return (cutoffs.select(key, cutoff).join(day_last, key, "left")
+                   .groupBy(key, cutoff)
+                   .agg(F.max_by(F.col("_last.v"), eligible).alias(out)))
 
 
 def history_positions(df: DataFrame, key: str, order_cols: Sequence, payload: Sequence[str],
