@@ -118,3 +118,73 @@ def clean_blanks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = set(cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"])
     return df.select(*[X.blank_to_null_read(c).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
+
+
+# FIXED VALUES: fields of the people summary (latest record per episode).
+SUMMARY_FIELDS = ["nombre", "sexo", "fecha_de_nacimiento", "tipo_cuenta_1", "tipo_cuenta_2",
+                  "tipo_cuenta_3", "fecha_admision", "fecha_alta", "convenio", "nombre_de_la_aseguradora",
+                  "valor_parcial", "dias_hospitalizacion", "riesgo_social", "riesgo_clinico",
+                  "riesgo_administrativo"]
+ALIASES = {"rut": ["run", "rut"], "prob_sobre_estadia": ["prob_sobre_estadia", "probabilidad_sobre_estadia"],
+           "grd_code": ["grd_code", "codigo_grd"]}
+
+
+def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    missing = [n for n in names if n not in df.columns]
+    return df.select("*", *[F.lit(None).cast("string").alias(n) for n in missing])
+
+
+def people_summary(stays: DataFrame, skip: int = 0, limit: int | None = 100) -> DataFrame:
+    """Episode summary job: F1 -> A1 (latest record) + J5 (bed as of the end
+    of the discharge day) -> P14 aliases -> P13 blanks -> T1 page.
+
+    Both parts are aggregates keyed by the episode; the bed uses the
+    day-level pre-aggregation, so no episode history is ever collected.
+    """
+    needed = SUMMARY_FIELDS + ["cama"] + [c for cs in ALIASES.values() for c in cs]
+    s = _with_columns(stays, needed).where(F.col("episodio").isNotNull() & F.col("marca_temporal").isNotNull())
+    s = s.withColumn("_tie", F.lit(0))
+    payload = SUMMARY_FIELDS + sorted({c for cs in ALIASES.values() for c in cs})
+    latest = latest_per_key(s, ["episodio"], ["marca_temporal"], payload + ["marca_temporal"])
+    latest = latest.withColumn("fecha_alta", F.col("fecha_alta").cast("date"))
+    days = day_level_last(s, "episodio", "marca_temporal", X.blank_to_null_ingest(F.col("cama")), "_tie")
+    bed = asof_last_nonnull(days, latest.select("episodio", "fecha_alta"), "episodio", "fecha_alta",
+                            "ultima_cama").drop("fecha_alta")
+    out = latest.join(bed, "episodio", "left").select(
+        "episodio", *[c for c in SUMMARY_FIELDS],
+        *[F.coalesce(*[F.col(c) for c in cs]).alias(name) for name, cs in ALIASES.items()],
+        "ultima_cama")
+    out = clean_blanks(out)
+    return page(out, ["episodio"], skip, limit) if limit is not None else out
+
+
+# FIXED VALUES: per-record fields of the episode history.
+HISTORY_FIELDS = ["marca_temporal", "que_gestion_se_solicito", "ultima_modificacion", "fecha_inicio",
+                  "hora_inicio", "mes", "ano", "cama", "texto_libre_diagnostico_admision",
+                  "diagnostico_transfer", "concretado", "solicitud_de_traslado", "status",
+                  "causa_devolucion_rechazo", "estado", "motivo_de_cancelacion", "motivo_de_rechazo",
+                  "tipo_de_traslado", "centro_de_destinatario", "nivel_de_atencion",
+                  "servicio_especialidad", "fecha_de_finalizacion", "hora_de_finalizacion",
+                  "dias_solicitados_homecare", "texto_libre_causa_rechazo", "riesgo_social",
+                  "riesgo_clinico", "riesgo_administrativo"]
+
+
+def episode_history(stays: DataFrame, episode: str | None = None, nested: bool = False) -> DataFrame:
+    """Episode history job: every record of each episode in time order (A2)
+    with P14 aliases and P13 blanks. Flat (episode, pos, fields...) by
+    default; ``nested`` gives one ordered array per episode (bounded
+    per-episode histories only, e.g. a single ``episode``)."""
+    needed = HISTORY_FIELDS + [c for cs in ALIASES.values() for c in cs]
+    s = _with_columns(stays, needed).where(F.col("episodio").isNotNull())
+    if episode is not None:
+        s = s.where(F.col("episodio") == F.lit(episode))          # F2 point lookup
+    s = s.select("episodio", *HISTORY_FIELDS,
+                 F.coalesce(F.col("prob_sobre_estadia"), F.col("probabilidad_sobre_estadia"))
+                  .alias("prob_sobre_estadia"),
+                 F.coalesce(F.col("grd_code"), F.col("codigo_grd")).alias("grd_code"))
+    s = clean_blanks(s)
+    fields = [c for c in s.columns if c != "episodio"]
+    if nested:
+        return history_arrays(s, "episodio", "marca_temporal", fields)
+    s = s.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in fields]))
+    return history_positions(s, "episodio", ["marca_temporal", "_row"], fields + ["_row"]).drop("_row")

@@ -69,3 +69,22 @@ def test_current_state_nulls_last(spark):
         "ep string, snap int, mt int, cama string")
     cur = {r["ep"]: r["cama"] for r in S.current_state(snaps, "ep", "snap", "mt", ["cama"]).collect()}
     assert cur == {"E1": "B", "E2": "Z"}
+
+
+def test_people_summary_and_history(spark):
+    import datetime as dt
+    stays = spark.createDataFrame(
+        [("E1", dt.datetime(2024, 1, 1, 8), "A1", None, "Ana", None),
+         ("E1", dt.datetime(2024, 1, 3, 23), "A2", None, "  ", None),
+         ("E1", dt.datetime(2024, 1, 4, 9), None, "2024-01-03", "Ana", "0.7"),
+         ("E2", dt.datetime(2024, 2, 1, 8), "B1", None, "Luz", None)],
+        "episodio string, marca_temporal timestamp_ntz, cama string, fecha_alta string, nombre string, "
+        "probabilidad_sobre_estadia string")
+    rows = {r["episodio"]: r for r in S.people_summary(stays).collect()}
+    assert rows["E1"]["ultima_cama"] == "A2"          # last non-null bed up to the discharge day
+    assert rows["E1"]["prob_sobre_estadia"] == "0.7" and rows["E1"]["nombre"] == "Ana"
+    assert rows["E2"]["ultima_cama"] is None          # not discharged
+    hist = S.episode_history(stays).where(F.col("episodio") == "E1").orderBy("pos").collect()
+    assert [r["cama"] for r in hist] == ["A1", "A2", None] and hist[1]["pos"] == 1
+    nested = S.episode_history(stays, episode="E1", nested=True).first()["registros"]
+    assert [r["cama"] for r in nested] == ["A1", "A2", None]
