@@ -50,18 +50,20 @@ def make_dataset(grd: DataFrame, score: DataFrame, episode_grd: str = "episodio_
 
     Returns (episodio, features..., excede_norma, peso, fecha).
     """
-    H.require(grd.columns, [episode_grd, fecha, norm, stay, *GRD_REQUIRED], "GRD")
+    req = [c for c in [episode_grd, fecha, norm, stay, *GRD_REQUIRED] if c]
+    H.require(grd.columns, req, "GRD")
     ep_score = H.first_existing(score.columns, SCORE_KEY_CANDIDATES)
     if ep_score is None:
         raise ValueError(f"Score: none of {SCORE_KEY_CANDIDATES}")
     H.require(score.columns, SCORE_REQUIRED, "Score")
-    g = grd.select(*[c for c in [episode_grd, fecha, norm, stay, *GRD_REQUIRED] if c])
+    g = grd.select(*req)
     s = score.select(ep_score, *SCORE_REQUIRED)
     df = left_join_suffixed(g, s, episode_grd, ep_score, suffix="_score")
     df = df.select(
         "*",
-        X.excess_label(F.col(stay).cast("double"), F.col(norm).cast("double")).alias("excede_norma"),
-        X.sample_weight(F.col(stay), F.col(norm)).alias("peso"),
+        (X.excess_label(F.col(stay).cast("double"), F.col(norm).cast("double")) if stay
+         else F.lit(None).cast("int")).alias("excede_norma"),
+        (X.sample_weight(F.col(stay), F.col(norm)) if stay else F.lit(1.0)).alias("peso"),
         X.nan_to_null(F.col("total").cast("double")).alias("_total"))
     df = with_tercile_code(df, "_total", "riesgo_social", exact_quantiles)
     return df.select(

@@ -172,3 +172,28 @@ def load_preferred(base_path: str, order: Sequence[str] = ("calibrator", "booste
         except Exception:
             continue
     raise FileNotFoundError(f"no model under {base_path}")
+
+
+def score_tables(fitted, grd: DataFrame, score: DataFrame, calibrator=None,
+                 template: Sequence[str] | None = None) -> DataFrame:
+    """Score a GRD table and a survey table without outcomes.
+
+    Headers are standardised (P2) and aligned to the template by one trailing
+    '_' (P8); the survey key is discovered among the candidates (P4); the
+    tables are joined (J1) and turned into the nine features exactly as for
+    training; the result carries the episode id, probability and tier (X16).
+    """
+    from ..functions import headers as H
+    from ..functions.scalars import tier_vector
+    grd = grd.toDF(*[H.standardize(c) for c in grd.columns])
+    score = score.toDF(*[H.standardize(c) for c in score.columns])
+    if template:
+        ren = H.align_trailing_underscore(grd.columns, template)
+        grd = grd.select(*[F.col(c).alias(ren.get(c, c)) for c in grd.columns])
+    ds = FE.make_dataset(grd, score, fecha=None, stay=None)
+    scored = margin(fitted, ds)
+    if calibrator is not None:
+        scored = apply_sigmoid(calibrator, scored)
+    else:
+        scored = scored.withColumn("p", F.col("p_raw"))
+    return scored.select("episodio", "p", tier_vector(F.col("p")).alias("riesgo_categoria"))

@@ -88,3 +88,23 @@ def test_people_summary_and_history(spark):
     assert [r["cama"] for r in hist] == ["A1", "A2", None] and hist[1]["pos"] == 1
     nested = S.episode_history(stays, episode="E1", nested=True).first()["registros"]
     assert [r["cama"] for r in nested] == ["A1", "A2", None]
+
+
+def test_two_table_scoring(spark):
+    from staylens.operators import datagen as G
+    from staylens.operators import features as FE
+    from staylens.operators import training as TR
+    keys = spark.range(400).withColumnRenamed("id", "k")
+    grd = G.generate_grd(keys, "k").withColumn(
+        "estancia_del_episodio", (F.col("estancia_norma_grd") + (F.col("edad_en_anos") - 50) / 10.0)) \
+        .withColumn("fecha_ingreso_completa", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    score = G.generate_score(keys, "k").withColumn("gestion", F.lit("si")) \
+        .withColumn("categorizacion_de_gestion", F.lit("soporte_financiero"))
+    ds = FE.make_dataset(grd, score).withColumn("w", F.col("peso"))
+    fitted = TR.fit(ds, "gbt")
+    raw_grd = grd.drop("estancia_del_episodio", "fecha_ingreso_completa") \
+        .withColumnRenamed("sexo_desc_", "Sexo  (Desc)").withColumnRenamed("ir_grd_codigo_", "IR GRD Código")
+    out = TR.score_tables(fitted, raw_grd, score, template=["ir_grd_codigo_"])
+    rows = out.collect()
+    assert len(rows) == 400 and all(0.0 <= r["p"] <= 1.0 for r in rows)
+    assert {r["riesgo_categoria"] for r in rows} <= {"Baja", "Media", "Alta"}
