@@ -134,15 +134,15 @@ WITH b AS (
 q AS (SELECT quantile_cont(c_acctbal, 0.33) AS q33, quantile_cont(c_acctbal, 0.66) AS q66 FROM b),
 q2 AS (SELECT q33, CASE WHEN q66 <= q33 THEN q33 + 1e-6 ELSE q66 END AS q66 FROM q)
 SELECT c_custkey,
-  CASE WHEN c_acctbal IS NULL OR q33 IS NULL THEN 1.0 WHEN c_acctbal <= q33 THEN 0.0
-       WHEN c_acctbal <= q66 THEN 1.0 ELSE 2.0 END AS riesgo_social,
+  CAST(CASE WHEN c_acctbal IS NULL OR q33 IS NULL THEN 1.0 WHEN c_acctbal <= q33 THEN 0.0
+       WHEN c_acctbal <= q66 THEN 1.0 ELSE 2.0 END AS DOUBLE) AS riesgo_social,
   coalesce(CASE WHEN salud_mental IS NULL THEN NULL
                 ELSE least(greatest(CAST(salud_mental AS DOUBLE) - 1.0, 0.0), 2.0) END, 1.0) AS riesgo_clinico,
-  greatest(CASE WHEN lower(trim(gestion)) = 'si' THEN 1.0 ELSE 0.0 END,
+  CAST(greatest(CASE WHEN lower(trim(gestion)) = 'si' THEN 1.0 ELSE 0.0 END,
            coalesce(CASE lower(trim(categoria))
                       WHEN 'coordinacion_familiar' THEN 1.0 WHEN 'coordinacion_interinstitucional' THEN 1.0
                       WHEN 'soporte_financiero' THEN 2.0 WHEN 'intervencion_psicosocial' THEN 2.0
-                      WHEN 'derivacion_apoyo_psicosocial' THEN 2.0 END, 0.0)) AS riesgo_administrativo
+                      WHEN 'derivacion_apoyo_psicosocial' THEN 2.0 END, 0.0)) AS DOUBLE) AS riesgo_administrativo
 FROM b, q2""",
     "time_split": """
 WITH e AS (SELECT o_orderkey, epoch(o_orderdate) AS s FROM orders),
