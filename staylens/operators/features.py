@@ -17,7 +17,7 @@ from ..functions import headers as H
 from ..functions import scalars as X
 from .joins import left_join_suffixed, with_scalars
 from .ranking import position_in_key
-from .stats import quantile_col
+from .stats import quantile_col, quantiles
 
 GRD_REQUIRED = ["edad_en_anos", "sexo_desc_", "servicio_ingreso_descripcion_", "prevision_desc_",
                 "ir_grd_codigo_"]
@@ -82,10 +82,11 @@ def make_dataset(grd: DataFrame, score: DataFrame, episode_grd: str = "episodio_
     )
 
 
-def time_split(df: DataFrame, fecha: str = "fecha", q: float = TRAIN_SHARE, exact: bool = True):
-    """M2 / F8: cut at the q-quantile of the date; NULL dates fall in neither side."""
-    e = epoch_seconds(F.col(fecha))
-    cut = df.agg(quantile_col(e, q, exact).alias("_cut"))
+def time_split(df: DataFrame, fecha: str = "fecha", q: float = TRAIN_SHARE, method: str = "rank"):
+    """M2 / F8: cut at the q-quantile of the date; NULL dates fall in neither side.
+
+    Timestamps are high-cardinality, so the exact cut uses ranks by default."""
+    cut = quantiles(df.select(epoch_seconds(F.col(fecha)).alias("_e")), "_e", [q], ["_cut"], method)
     tagged = with_scalars(df, cut)
     train = tagged.where(epoch_seconds(F.col(fecha)) <= F.col("_cut")).drop("_cut")
     test = tagged.where(epoch_seconds(F.col(fecha)) > F.col("_cut")).drop("_cut")

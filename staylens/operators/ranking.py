@@ -111,3 +111,44 @@ def running_totals(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
             yield res
 
     return ranked.mapInPandas(_cumulate, schema)
+
+
+def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles with memory bounded per task.
+
+    ``percentile`` keeps one map entry per distinct value in a single final
+    task; here the values are range-partitioned and positioned instead, and
+    only the (at most two per probability) values at the needed ranks reach
+    the driver. Returns a one-row DataFrame (NULLs when there are no values).
+    """
+    import math
+
+    spark = df.sparkSession
+    col = F.col(value) if isinstance(value, str) else value
+    v = df.select(F.nanvl(col.cast("double"), F.lit(None).cast("double")).alias("_v")) \
+          .where(F.col("_v").isNotNull())
+    ranked = _ranged(v, ["_v"], partitions)
+    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r["n"] for r in counts)
+    schema = T.StructType([T.StructField(nm, T.DoubleType()) for nm in names])
+    if n == 0:
+        return spark.createDataFrame([tuple([None] * len(names))], schema)
+    offs = _offsets(counts, ["n"])
+    n_parts = max(offs) + 1
+    table = F.array(*[F.lit(int(offs.get(i, [0])[0])) for i in range(n_parts)])
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    spots = {}
+    for p in probs:
+        h = (n - 1) * p
+        spots[p] = (h, int(math.floor(h)), int(math.ceil(h)))
+    wanted = sorted({x for _, lo, hi in spots.values() for x in (lo, hi)})
+    got = {r["_g"]: r["_v"] for r in
+           ranked.withColumn("_g", F.element_at(table, F.col("_pid") + 1) + local)
+                 .where(F.col("_g").isin(wanted)).select("_g", "_v").collect()}
+    vals = []
+    for p in probs:
+        h, lo, hi = spots[p]
+        a, b = got[lo], got[hi]
+        vals.append(a if lo == hi or a == b else a + (b - a) * (h - lo))
+    return spark.createDataFrame([tuple(vals)], schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from .stats import quantile_col, summary_stats
+from .stats import quantiles, summary_stats
 
 DECILE_PROBS = [i / 10 for i in range(11)]
 
@@ -49,14 +49,16 @@ def mean_by_age_band(df: DataFrame, age_col: str, p_col: str) -> DataFrame:
         "grupo_edad", "mean_p", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
-def decile_lift(df: DataFrame, y_col: str, p_col: str) -> DataFrame:
+def decile_lift(df: DataFrame, y_col: str, p_col: str, method: str = "rank") -> DataFrame:
     """A10: excess rate and size per score decile.
 
     Edges are the exact 0, .1, ..., 1 quantiles with duplicates dropped; a row
     falls in bin = number of inner edges strictly below its score (right-closed
     bins, lowest value included), so tied scores give fewer than ten bins.
     """
-    edges = df.agg(F.array_distinct(quantile_col(p_col, DECILE_PROBS)).alias("_edges"))
+    names = [f"_e{i}" for i in range(len(DECILE_PROBS))]
+    q = quantiles(df, p_col, DECILE_PROBS, names, method)            # one row
+    edges = q.select(F.array_distinct(F.array(*names)).alias("_edges"))
     binned = with_edges(df, edges).withColumn("decile", X.right_closed_bin(F.col(p_col), F.col("_edges")))
     return (binned.where(F.col(p_col).isNotNull()).groupBy("decile")
                   .agg(F.avg(F.col(y_col).cast("double")).alias("tasa_exceso"),

@@ -24,9 +24,19 @@ def quantile_col(c, probs: float | Sequence[float], exact: bool = True,
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str],
-              exact: bool = True) -> DataFrame:
-    """One-row DataFrame with one column per requested quantile."""
-    arr = df.agg(quantile_col(col, list(probs), exact).alias("_q"))
+              method: str = "exact") -> DataFrame:
+    """One-row DataFrame with one column per requested quantile.
+
+    ``method``: ``"exact"`` = ``percentile`` (one aggregate; memory grows with
+    the number of distinct values, fine for ages, day counts, codes);
+    ``"rank"`` = exact by range-partitioned ranks (bounded memory, for
+    high-cardinality columns such as scores and timestamps);
+    ``"approx"`` = ``percentile_approx``.
+    """
+    if method == "rank":
+        from .ranking import quantiles_by_rank
+        return quantiles_by_rank(df, col, probs, names)
+    arr = df.agg(quantile_col(col, list(probs), method == "exact").alias("_q"))
     return arr.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
