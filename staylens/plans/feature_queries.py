@@ -80,7 +80,20 @@ def datagen(spark, sf):
     return G.generate_grd(keys, "o_orderkey", seed=42)
 
 
+def profile_generated(spark, sf):
+    """Min, max and distinct count of generated columns."""
+    from ..operators.stats import profile
+    g = datagen(spark, sf)
+    parts = [profile(g.select(F.col(c).cast("bigint").alias(c)), c).select(F.lit(c).alias("columna"), "*")
+             for c in ("edad_en_anos", "ir_grd_codigo_", "proced_01_principal_cod_")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 QUERIES = {
+    "profile_generated": profile_generated,
     "excess_label_weight": excess_label_weight,
     "tercile_code": tercile_code,
     "time_split": time_split,
@@ -182,3 +195,14 @@ SELECT 'TEST' || CAST(o_orderkey AS VARCHAR) AS episodio_cmbd,
   0 AS dias_estadia
 FROM orders""",
 }
+
+
+ORACLE["profile_generated"] = f"""
+WITH g AS ({ORACLE["datagen"]})
+SELECT 'edad_en_anos' AS columna, CAST(min(edad_en_anos) AS BIGINT) AS minimo,
+       CAST(max(edad_en_anos) AS BIGINT) AS maximo, count(DISTINCT edad_en_anos) AS distintos FROM g
+UNION ALL
+SELECT 'ir_grd_codigo_', min(ir_grd_codigo_), max(ir_grd_codigo_), count(DISTINCT ir_grd_codigo_) FROM g
+UNION ALL
+SELECT 'proced_01_principal_cod_', min(proced_01_principal_cod_), max(proced_01_principal_cod_),
+       count(DISTINCT proced_01_principal_cod_) FROM g"""

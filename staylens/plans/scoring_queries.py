@@ -142,7 +142,27 @@ def calibration_curve(spark, sf):
     return _rounded(M.calibration_curve(scored_documents(spark, sf), "y", "p"))
 
 
+def tier_counts(spark, sf):
+    return R.tier_counts(scoring_input(spark, sf), "p")
+
+
+def high_risk(spark, sf):
+    s = scoring_input(spark, sf).withColumn("riesgo_categoria", X.tier_vector(F.col("p")))
+    hr = R.high_risk(s.select("c_custkey", "p", "riesgo_categoria"), "riesgo_categoria", "p", "c_custkey", 10)
+    return _rounded(hr)
+
+
+def preview(spark, sf):
+    """T4: the first 200 scored rows by key, with score and outcome."""
+    s = scored_documents(spark, sf)
+    return s.orderBy("doc_id").limit(200).select("doc_id", F.round("p", ROUND).alias("p_excede_norma"),
+                                                  F.col("y").alias("y_real"))
+
+
 QUERIES = {
+    "tier_counts": tier_counts,
+    "high_risk": high_risk,
+    "preview": preview,
     "risk_boost": risk_boost,
     "tiers_vector": tiers_vector,
     "tiers_scalar": tiers_scalar,
@@ -241,6 +261,14 @@ _TIER_V = ("CASE WHEN p >= 0 AND p <= 0.33 THEN 'Baja' WHEN p > 0.33 AND p <= 0.
 _CAL = " + ".join(f"CASE WHEN {repr(i * 0.1)} < p THEN 1 ELSE 0 END" for i in range(1, 10))
 
 ORACLE = {
+    "tier_counts": f"""WITH {INPUT_SQL}
+SELECT count(*) FILTER (WHERE p > 0.66) AS alto, count(*) FILTER (WHERE p >= 0.33 AND p <= 0.66) AS medio,
+       count(*) FILTER (WHERE p < 0.33) AS bajo FROM raw""",
+    "high_risk": f"""WITH {INPUT_SQL}
+SELECT c_custkey, round(p, 6) AS p, riesgo_categoria FROM (SELECT c_custkey, p, {_TIER_V} AS riesgo_categoria FROM raw) t
+WHERE riesgo_categoria = 'Alta' ORDER BY p DESC, c_custkey LIMIT 10""",
+    "preview": f"""WITH {SCORED_SQL}
+SELECT doc_id, round(p, 6) AS p_excede_norma, y AS y_real FROM s ORDER BY doc_id LIMIT 200""",
     "risk_boost": f"""
 WITH {INPUT_SQL},
 med AS (SELECT median(fecha_estimada_de_alta) AS md, median(edad) AS me FROM feat)
