@@ -138,3 +138,54 @@ def add_managers(stored: DataFrame | None, new: DataFrame, name_col: str = "name
                .where(F.col(name_col).isNotNull() & (F.col(name_col) != "")))
     cand = cand.distinct()
     return cand if stored is None else keyed.exclude_existing(cand, stored, [name_col])
+
+
+STAY_ALIAS_PAIRS = [("prob_sobre_estadia", "probabilidad_sobre_estadia"), ("grd_code", "codigo_grd")]
+STAY_ML_FIELDS = ["riesgo_social", "riesgo_clinico", "riesgo_administrativo"]
+
+
+def insert_stays(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str] = ("episodio", "marca_temporal"),
+                 order_cols: Sequence | None = None, stamp: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Insert stay records whose key is absent.
+
+    Both key fields are mandatory (``falta_clave``); alias pairs are filled
+    from each other and both written (P14); absent ML fields default to NULL
+    (P7); audit stamps are added (P9); the first row of a key in the batch
+    wins and keys already stored are rejected (``duplicado``: W2 + J4).
+    """
+    keys = list(keys)
+    df = batch
+    for a, b in STAY_ALIAS_PAIRS:
+        if a not in df.columns:
+            df = df.withColumn(a, F.lit(None).cast("string"))
+        if b not in df.columns:
+            df = df.withColumn(b, F.lit(None).cast("string"))
+        df = df.withColumn("_a", F.coalesce(F.col(a), F.col(b))).withColumn(b, F.coalesce(F.col(b), F.col(a))) \
+               .withColumn(a, F.col("_a")).drop("_a")
+    for c in STAY_ML_FIELDS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    has_keys = F.lit(True)
+    for k in keys:
+        has_keys = has_keys & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    missing = df.where(~has_keys).withColumn("motivo", F.lit("falta_clave"))
+    valid = df.where(has_keys)
+    order = list(order_cols) if order_cols else keys
+    first = keyed.first_per_key(valid, keys, order)
+    accepted = keyed.exclude_existing(first, stored, keys) if stored is not None else first
+    # rows of the batch that were not the accepted row of their key
+    if order_cols:
+        acc_rows = accepted.select(*keys, *[F.col(c).alias("_o_" + c) for c in order_cols])
+        dup = valid.join(acc_rows, keys, "left")
+        same = F.lit(True)
+        for c in order_cols:
+            same = same & F.col(c).eqNullSafe(F.col("_o_" + c))
+        rejected_dup = dup.where(~F.coalesce(same, F.lit(False))).drop(*["_o_" + c for c in order_cols])
+    else:
+        dup = valid.join(accepted.select(*keys).withColumn("_acc", F.lit(True)), keys, "left")
+        rejected_dup = dup.where(F.col("_acc").isNull()).drop("_acc")
+    rejected = missing.unionByName(rejected_dup.withColumn("motivo", F.lit("duplicado")), allowMissingColumns=True)
+    if stamp:
+        now = F.current_timestamp()
+        accepted = accepted.withColumn("created_at", now).withColumn("updated_at", now)
+    return accepted, rejected

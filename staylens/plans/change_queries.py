@@ -128,7 +128,27 @@ def left_join_suffix(spark, sf):
     return _round(out, ["total", "total_score"])
 
 
+def _stay_batch(spark, sf, stored=False):
+    o = read_table(spark, sf, "orders")
+    if stored:
+        o = o.where(F.col("o_orderstatus") == "F")
+    ep = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(None)).otherwise(F.col("o_custkey").cast("string"))
+    return o.select(ep.alias("episodio"), F.col("o_orderdate").alias("marca_temporal"),
+                    F.col("o_orderkey"), F.col("o_totalprice").cast("string").alias("probabilidad_sobre_estadia"))
+
+
+def insert_stays(spark, sf):
+    """D1 on orders-as-stays: (customer, order date) is the key; orders with an
+    unspecified priority arrive without episode; status F rows are stored."""
+    accepted, rejected = C.insert_stays(_stay_batch(spark, sf), _stay_batch(spark, sf, stored=True),
+                                        order_cols=["o_orderkey"], stamp=False)
+    return (accepted.select(F.lit("aceptado").alias("motivo"))
+            .unionByName(rejected.select("motivo"))
+            .groupBy("motivo").agg(F.count(F.lit(1)).alias("n")))
+
+
 QUERIES = {
+    "insert_stays": insert_stays,
     "dedupe_first_wins": dedupe_first_wins,
     "insert_if_absent": insert_if_absent,
     "ingest_counts": ingest_counts,
@@ -155,6 +175,20 @@ ins AS (
 """
 
 ORACLE = {
+    "insert_stays": """
+WITH b AS (
+  SELECT CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS episodio,
+         o_orderdate AS marca_temporal, o_orderkey, o_orderstatus FROM orders),
+s AS (SELECT * FROM b WHERE o_orderstatus = 'F' AND episodio IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY episodio, marca_temporal ORDER BY o_orderkey) AS rn
+      FROM b WHERE episodio IS NOT NULL AND episodio <> '' AND marca_temporal IS NOT NULL),
+t AS (
+  SELECT CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.episodio = v.episodio
+                                           AND s.marca_temporal = v.marca_temporal)
+              THEN 'aceptado' ELSE 'duplicado' END AS motivo FROM v
+  UNION ALL
+  SELECT 'falta_clave' FROM b WHERE episodio IS NULL OR episodio = '' OR marca_temporal IS NULL)
+SELECT motivo, count(*) AS n FROM t GROUP BY motivo""",
     "dedupe_first_wins": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity,
        round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount,
