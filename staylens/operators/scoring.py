@@ -105,10 +105,15 @@ def add_tiers(df: DataFrame, p_col: str, vector_out: str = "riesgo_categoria",
 
 
 def positive_probability(model, features: DataFrame, out: str = "p_modelo") -> DataFrame:
-    """Probability of class 1 from a fitted MLlib pipeline."""
+    """Probability of class 1 from a fitted MLlib pipeline (or a
+    ``(preparation, pipeline)`` pair as returned by ``training.fit``)."""
     from pyspark.ml.functions import vector_to_array
+    if isinstance(model, tuple):
+        prep, model = model
+        features = prep.apply(features)
     scored = model.transform(features)
-    return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
+    return (scored.withColumn(out, vector_to_array(F.col("probability"))[1])
+                  .drop("features", "rawPrediction", "probability", "prediction"))
 
 
 def score_new_patients(model, records: DataFrame, keep: Sequence[str] = (),
@@ -122,6 +127,22 @@ def score_new_patients(model, records: DataFrame, keep: Sequence[str] = (),
     return add_tiers(adjusted.select(*keep_cols), "probabilidad_sobre_estadia")
 
 
+# FIXED VALUES: the new-patient record layout.
+RECORD_SCHEMA = ("edad int, sexo string, servicio_clinico string, prevision string, "
+                 "fecha_estimada_de_alta string, riesgo_social string, riesgo_clinico string, "
+                 "riesgo_administrativo string, codigo_grd bigint")
+
+
+def records_frame(spark, records: Sequence[Mapping[str, object]], extra_schema: str = "") -> DataFrame:
+    """A list of request records -> DataFrame with the fixed layout;
+    identity columns named in ``extra_schema`` (e.g. ``"episodio string"``)
+    are carried."""
+    schema = RECORD_SCHEMA + (", " + extra_schema if extra_schema else "")
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    rows = [tuple(r.get(n) for n in names) for r in records]
+    return spark.createDataFrame(rows, schema)
+
+
 def fill_template(df: DataFrame, template: Mapping[str, object]) -> DataFrame:
     """One projection that fills absent columns and NULL cells with the
     template's literals; other columns are carried."""

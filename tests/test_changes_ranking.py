@@ -108,3 +108,57 @@ def test_two_table_scoring(spark):
     rows = out.collect()
     assert len(rows) == 400 and all(0.0 <= r["p"] <= 1.0 for r in rows)
     assert {r["riesgo_categoria"] for r in rows} <= {"Baja", "Media", "Alta"}
+
+
+def _fitted_on_generated(spark):
+    from staylens.operators import datagen as G
+    from staylens.operators import features as FE
+    from staylens.operators import training as TR
+    keys = spark.range(600).withColumnRenamed("id", "k")
+    grd = G.generate_grd(keys, "k").withColumn(
+        "estancia_del_episodio", F.col("estancia_norma_grd") + (F.col("edad_en_anos") - 50) / 10.0) \
+        .withColumn("fecha_ingreso_completa", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    score = G.generate_score(keys, "k").withColumn("gestion", F.lit("no")) \
+        .withColumn("categorizacion_de_gestion", F.lit("otra"))
+    return FE.make_dataset(grd, score).withColumn("w", F.col("peso"))
+
+
+def test_isotonic_cv_ensemble(spark):
+    from staylens.operators import training as TR
+    ds = _fitted_on_generated(spark)
+    members = TR.fit_isotonic_cv(ds, "gbt", n_folds=3)
+    out = TR.apply_isotonic_cv(members, ds).select("episodio", "excede_norma", "p")
+    rows = out.collect()
+    assert len(rows) == 600 and all(0.0 <= r["p"] <= 1.0 for r in rows)
+    auc = TR.evaluate(out).first()["roc_auc"]
+    assert auc > 0.7
+
+
+def test_scoring_drop_folder_stream(spark, scratch):
+    import os
+    from staylens.operators import scoring as SC
+    from staylens.operators import training as TR
+    from staylens.streaming import streams as ST
+    fitted = TR.fit(_fitted_on_generated(spark), "gbt")
+    recs = SC.records_frame(spark, [
+        {"edad": 80, "sexo": "m", "servicio_clinico": "UCI Medicina", "prevision": "FONASA",
+         "fecha_estimada_de_alta": "3", "riesgo_social": "alto", "riesgo_clinico": "2",
+         "riesgo_administrativo": "media", "codigo_grd": 51401, "episodio": "N1"}], "episodio string")
+    assert recs.count() == 1
+    drop, out, ckpt = f"{scratch}/drop", f"{scratch}/scores", f"{scratch}/ckpt"
+    os.makedirs(drop)
+    cols = ["episodio", "edad", "sexo", "servicio_clinico", "prevision", "fecha_estimada_de_alta",
+            "riesgo_social", "riesgo_clinico", "riesgo_administrativo", "codigo_grd"]
+    with open(f"{drop}/batch1.csv", "w") as fh:
+        fh.write(",".join(cols) + "\n")
+        fh.write("N1,80,m,UCI Medicina,FONASA,3,alto,2,media,51401\n")
+        fh.write("N2,30,F,Cirugía,Isapre,2024-03-09,bajo,0,0,61203\n")
+        fh.write("N3,,x,,,,,,,\n")
+    stream = ST.text_stream(spark, drop, cols)
+    ST.run_available(stream, ST.scoring_handler(fitted, out, keep=["episodio"],
+                                                reference_medians={"dias": 5.0, "edad": 60.0}), ckpt)
+    res = {r["episodio"]: r for r in spark.read.parquet(out).collect()}
+    assert set(res) == {"N1", "N2", "N3"}
+    assert all(0.0 <= r["probabilidad_sobre_estadia"] <= 1.0 for r in res.values())
+    assert res["N1"]["riesgo_categoria"] in ("Baja", "Media", "Alta") and res["N1"]["created_at"] is not None
+    assert res["N2"]["fecha_estimada_de_alta"] == 9.0 and res["N2"]["sexo"] == "Mujer"
