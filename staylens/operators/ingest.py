@@ -152,16 +152,16 @@ def normalize_stays(raw: DataFrame, detect_extra_dates: bool = False) -> DataFra
 
 def file_stamp(file_name: Column) -> Column:
     """Snapshot time from a file name, ``dd-mm-yyyy ... hhmm`` or the date at 00:00."""
-    name = F.regexp_replace(file_name, "%20", " ")
-    full = F.regexp_extract(name, FILE_STAMP_WITH_TIME, 0) != ""
-    d = lambda pat, i: F.regexp_extract(name, pat, i).cast("int")
-    with_time = F.make_timestamp_ntz(d(FILE_STAMP_WITH_TIME, 3), d(FILE_STAMP_WITH_TIME, 2),
-                                     d(FILE_STAMP_WITH_TIME, 1), d(FILE_STAMP_WITH_TIME, 4),
-                                     d(FILE_STAMP_WITH_TIME, 5), F.lit(0))
-    date_only = F.make_timestamp_ntz(d(FILE_STAMP_DATE, 3), d(FILE_STAMP_DATE, 2), d(FILE_STAMP_DATE, 1),
-                                     F.lit(0), F.lit(0), F.lit(0))
-    has_date = F.regexp_extract(name, FILE_STAMP_DATE, 0) != ""
-    return F.when(full, with_time).when(has_date, date_only)
+    # The scan reports the name URL-escaped; decode it, then '%20' -> space.
+    name = F.regexp_replace(F.try_url_decode(file_name), "%20", " ")
+    g = lambda pat, i: F.regexp_extract(name, pat, i)
+    # yyyy-mm-dd text cast with try_cast: no match or an impossible date -> NULL
+    date_only = F.concat_ws("-", g(FILE_STAMP_DATE, 3), g(FILE_STAMP_DATE, 2), g(FILE_STAMP_DATE, 1)) \
+        .try_cast("date").cast("timestamp_ntz")
+    hh, mi = g(FILE_STAMP_WITH_TIME, 4).try_cast("int"), g(FILE_STAMP_WITH_TIME, 5).try_cast("int")
+    valid_time = hh.between(0, 23) & mi.between(0, 59)
+    with_time = F.timestamp_add("MINUTE", hh * 60 + mi, date_only)
+    return F.when(F.coalesce(valid_time, F.lit(False)), with_time).otherwise(date_only)
 
 
 def clock_text(c: Column) -> Column:

@@ -174,7 +174,10 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
     test = test.withColumn("w", F.col("peso"))
     cal, core = SA.split_sample(train, id_col)
     boosted = fit(core, "gbt")
-    cal_model = fit_sigmoid(margin(boosted, cal))
+    # The calibration slice holds at most CAL_MAX rows (T5), so one partition
+    # is enough and saves per-iteration task overhead in the L-BFGS loop.
+    cal_scored = margin(boosted, cal).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
+    cal_model = fit_sigmoid(cal_scored)
     test_scored = apply_sigmoid(cal_model, margin(boosted, test))
     out = {
         "test_scores": test_scored.select(id_col, "excede_norma", "p"),

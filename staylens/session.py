@@ -39,6 +39,8 @@ def build_session(master: str | None = None, app: str = "staylens",
         "spark.sql.autoBroadcastJoinThreshold": "10MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # Rank helpers checkpoint to the shared folder; drop files once unreferenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"),
     }
     for k, v in conf.items():
