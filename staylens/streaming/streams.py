@@ -65,3 +65,18 @@ def scoring_handler(model, out_path: str, keep: Sequence[str] = (),
         scored = SC.score_new_patients(model, batch, keep, reference_medians)
         scored.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(out_path)
     return handle
+
+
+def census_handler(table_path: str, reports: list | None = None):
+    """foreachBatch body for the bed-census drop folder: normalise (synonyms,
+    snapshot time incl. file-name fallback), then insert-if-absent on the
+    census key chosen from the headers."""
+    order = ["_file_time", "_file_name", "_scan_id"]
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch = batch.withColumn("_scan_id", F.monotonically_increasing_id())
+        rows, key = I.normalize_census(batch)
+        rep = K.append_new(rows, table_path, key, order, drop_cols=order)
+        if reports is not None:
+            reports.append({"epoch": epoch, **rep})
+    return handle

@@ -98,3 +98,16 @@ def test_stream_drop_folder_is_idempotent(spark, scratch):
     assert stored.count() == 3
     assert stored.where(F.col("episodio") == "E2").first()["cama"] == "B"   # stored row wins
     assert sum(r["inserted"] for r in reports) == 3
+
+
+def test_census_stream(spark, scratch):
+    src, table, ckpt = f"{scratch}/camas", f"{scratch}/camas_t", f"{scratch}/ckpt"
+    cols = ["unidad", "sala", "cama", "estado"]
+    write(src, "camas 05-03-2025 0800.csv", "unidad,sala,cama,estado\nUCI,1,a1,ocupada\nUCI,1,a2,libre\n")
+    write(src, "camas 05-03-2025 2000.csv", "unidad,sala,cama,estado\nUCI,1,a1,libre\n")
+    reports = []
+    ST.run_available(ST.text_stream(spark, src, cols), ST.census_handler(table, reports), ckpt)
+    t = spark.read.parquet(table)
+    assert t.count() == 3 and reports[0]["unique_key_used"] == ["unidad", "sala", "cama", "snapshot_at"]
+    snaps = sorted(r["snapshot_at"] for r in t.where(F.col("cama") == "A1").collect())
+    assert snaps == [dt.datetime(2025, 3, 5, 8, 0), dt.datetime(2025, 3, 5, 20, 0)]
