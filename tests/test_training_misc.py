@@ -71,3 +71,15 @@ def test_overwrite_sink(spark, scratch):
     S.write_table(df, f"{scratch}/t")
     S.write_table(df.union(df), f"{scratch}/t")
     assert spark.read.parquet(f"{scratch}/t").count() == 2
+
+
+def test_page_counts_and_iso_rendering(spark):
+    from staylens.operators import summaries as SU
+    stays = spark.createDataFrame(
+        [(f"E{i}", dt.datetime(2024, 1, 1, i % 24), "A") for i in range(30)],
+        "episodio string, marca_temporal timestamp_ntz, cama string")
+    page = SU.people_summary(stays, skip=5, limit=10)
+    assert page.count() == 10                                   # A12: count <= limit
+    assert [r["episodio"] for r in page.collect()][0] == sorted(f"E{i}" for i in range(30))[5]
+    df = spark.createDataFrame([(dt.datetime(2024, 5, 1, 7, 5, 9),)], "t timestamp_ntz")
+    assert df.select(X.iso_text("t")).first()[0] == "2024-05-01T07:05:09"   # P10
