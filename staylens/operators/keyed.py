@@ -20,16 +20,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence,
                   payload: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row of every key in ``order_cols`` order.
 
-    ``min_by`` over structs is a hash aggregate with map-side partial
+    ``min`` over one ordered struct is a hash aggregate with map-side partial
     aggregation: a hot key is reduced inside every map task before the
     shuffle. NULL keys form one group, as a unique index would have it.
     """
+    from .summaries import ordered_struct
     keys = list(keys)
     payload = list(payload) if payload is not None else [c for c in df.columns if c not in keys]
-    order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
     return (df.groupBy(*keys)
-              .agg(F.min_by(F.struct(*payload), order).alias("_row"))
-              .select(*keys, "_row.*"))
+              .agg(F.min(ordered_struct(order_cols, payload)).alias("_row"))
+              .select(*keys, *[F.col("_row")[p].alias(p) for p in payload]))
 
 
 def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "_r_"):

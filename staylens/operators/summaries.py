@@ -22,21 +22,28 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence,
                    payload: Sequence[str] | None = None, nulls_last: bool = False) -> DataFrame:
     """The newest row of every key.
 
-    ``max_by`` over a struct keeps NULL fields of the winning row. With
-    ``nulls_last`` a NULL ordering value ranks below every real value.
+    ``max`` over one ordered struct keeps NULL fields of the winning row.
+    With ``nulls_last`` a NULL ordering value ranks below every real value.
     """
     keys = list(keys)
     payload = list(payload) if payload is not None else [c for c in df.columns if c not in keys]
+    row = ordered_struct(order_cols, payload, nulls_last)
+    return (df.groupBy(*keys)
+              .agg(F.max(row).alias("_row"))
+              .select(*keys, *[F.col("_row")[p].alias(p) for p in payload]))
+
+
+def ordered_struct(order_cols: Sequence, payload: Sequence[str], nulls_last: bool = False) -> Column:
+    """One struct whose leading fields are the ordering: ``max``/``min`` of it
+    is the newest/oldest row (ties broken by the payload, so deterministic),
+    with a single aggregation buffer per key."""
     parts = []
-    for c in order_cols:
+    for i, c in enumerate(order_cols):
         c = F.col(c) if isinstance(c, str) else c
         if nulls_last:
-            parts.append(c.isNotNull())
-        parts.append(c)
-    order = F.struct(*parts)
-    return (df.groupBy(*keys)
-              .agg(F.max_by(F.struct(*payload), order).alias("_row"))
-              .select(*keys, "_row.*"))
+            parts.append(c.isNotNull().alias(f"_n{i}"))
+        parts.append(c.alias(f"_o{i}"))
+    return F.struct(*parts, *[F.col(p).alias(p) for p in payload])
 
 
 def page(df: DataFrame, order_cols: Sequence, skip: int = 0, limit: int = 100) -> DataFrame:
@@ -50,9 +57,8 @@ def day_level_last(history: DataFrame, key: str, ts: str, value: Column, tiebrea
     non-NULL value and its ordering struct. Rows per key after this step are
     bounded by the number of calendar days."""
     order = F.struct(F.col(ts), F.col(tiebreak))
-    # max_by skips rows whose ordering value is NULL: that is the filter.
-    last = F.max_by(F.struct(order.alias("o"), value.alias("v")),
-                    F.when(value.isNotNull(), order))
+    # max skips NULL structs: rows without a value do not compete.
+    last = F.max(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))
     return (history
             .groupBy(F.col(key), F.to_date(F.col(ts)).alias("_day"))
             .agg(last.alias("_last"), *extra_aggs))
@@ -66,12 +72,12 @@ def asof_last_nonnull(day_last: DataFrame, cutoffs: DataFrame, key: str, cutoff:
     key (NULL cut-off = not discharged -> NULL answer). Every key of
     ``cutoffs`` appears once in the result.
     """
-    # One join and one aggregate: rows after the cut-off get a NULL ordering
-    # value, which max_by skips. The aggregate reuses the join's partitioning.
-    eligible = F.when(F.col("_day") <= F.col(cutoff), F.col("_last.o"))
+    # One join and one aggregate: day rows after the cut-off become NULL,
+    # which max skips. The aggregate reuses the join's partitioning.
+    eligible = F.when(F.col("_day") <= F.col(cutoff), F.col("_last"))
     return (cutoffs.select(key, cutoff).join(day_last, key, "left")
                    .groupBy(key, cutoff)
-                   .agg(F.max_by(F.col("_last.v"), eligible).alias(out)))
+                   .agg(F.max(eligible)["v"].alias(out)))
 
 
 def history_positions(df: DataFrame, key: str, order_cols: Sequence, payload: Sequence[str],
