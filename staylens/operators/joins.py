@@ -32,10 +32,15 @@ def left_join_suffixed(left: DataFrame, right: DataFrame, left_on: str, right_on
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 
-    The right side is a global aggregate, so it has exactly one row: a
-    broadcast of it has a proven size bound.
+    The aggregate becomes one scalar subquery (a struct of all its columns):
+    Spark runs it once and substitutes the value, so no join of any kind is
+    planned and nothing but the scalar values moves.
     """
-    return df.crossJoin(F.broadcast(one_row))
+    names = one_row.columns
+    packed = one_row.select(F.struct(*names).alias("_s")).scalar()
+    out = df.withColumn("_scalars", packed)
+    return out.select(*[F.col(c) for c in df.columns],
+                      *[F.col("_scalars")[c].alias(c) for c in names])
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

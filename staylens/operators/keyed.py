@@ -70,7 +70,8 @@ def ingest_counts(batch: DataFrame, inserted: DataFrame, key_used: Sequence[str]
     """A4: one row (inserted, duplicates, total[, unique_key_used])."""
     total = batch.agg(F.count(F.lit(1)).alias("total"))
     ins = inserted.agg(F.count(F.lit(1)).alias("inserted"))
-    out = ins.crossJoin(total)  # two one-row aggregates
+    from .joins import with_scalars
+    out = with_scalars(ins, total)  # two one-row aggregates
     out = out.select("inserted", (F.col("total") - F.col("inserted")).alias("duplicates"), "total")
     if key_used is not None:
         out = out.withColumn("unique_key_used", F.array(*[F.lit(k) for k in key_used]))

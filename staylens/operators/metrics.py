@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import with_scalars
 from .ranking import running_totals
 
 CAL_BINS = 10
@@ -25,7 +26,7 @@ def score_table(df: DataFrame, y_col: str, p_col: str) -> DataFrame:
                 F.sum(1.0 - F.col(y_col).cast("double")).alias("neg")))
     cum = running_totals(d, ["p"], ["pos", "neg"])
     totals = d.agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
-    return cum.crossJoin(F.broadcast(totals))   # one-row aggregate
+    return with_scalars(cum, totals)             # one-row aggregate -> scalar subquery
 
 
 def roc_auc(df: DataFrame, y_col: str, p_col: str) -> DataFrame:

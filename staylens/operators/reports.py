@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from .joins import with_scalars
 from .stats import quantiles, summary_stats
 
 DECILE_PROBS = [i / 10 for i in range(11)]
@@ -29,7 +30,7 @@ def category_distribution(df: DataFrame, cat_col: str, labels: Sequence[str] | N
     if labels is not None:
         counts = _labels(df.sparkSession, cat_col, labels).join(counts, cat_col, "left") \
             .select(cat_col, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
-    return (counts.crossJoin(F.broadcast(total))
+    return (with_scalars(counts, total)
                   .select(cat_col, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct")))
 
 
@@ -66,7 +67,7 @@ def decile_lift(df: DataFrame, y_col: str, p_col: str, method: str = "rank") ->
 
 
 def with_edges(df: DataFrame, edges: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(edges))   # one-row aggregate
+    return with_scalars(df, edges)            # one-row aggregate -> scalar subquery
 
 
 def tier_counts(df: DataFrame, p_col: str, low: float = X.LOW_RISK, high: float = X.HIGH_RISK) -> DataFrame:

@@ -26,6 +26,7 @@ from . import features as FE
 from . import metrics as M
 from . import reports as R
 from . import sampling as SA
+from .joins import with_scalars
 from .scoring import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 SEED = 42
@@ -59,12 +60,12 @@ class Preparation:
             filled = self._fill(train)
             n = filled.agg(F.count(F.lit(1)).alias("_rows"))
             for c in self.cat:
-                freq = filled.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")).crossJoin(F.broadcast(n))
+                freq = with_scalars(filled.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")), n)
                 self.rare[c] = freq.where(F.col("_cnt") < F.col("_rows") * 0.01).select(
                     c, F.lit(True).alias("_rare_" + c))
 
     def _fill(self, df: DataFrame) -> DataFrame:
-        out = df.crossJoin(F.broadcast(self.modes))            # one-row aggregate
+        out = with_scalars(df, self.modes)                     # one-row aggregate
         return out.select(*[F.coalesce(F.col(c), F.col("_mode_" + c)).alias(c) if c in self.cat
                             else F.col(c) for c in df.columns])
 
@@ -160,8 +161,8 @@ def apply_isotonic_cv(members: list, df: DataFrame, id_col: str = "episodio", ou
 
 def evaluate(scored: DataFrame, y: str = "excede_norma", p: str = "p") -> DataFrame:
     """M14-M16 in one row (each metric a small DataFrame plan)."""
-    return (M.roc_auc(scored, y, p).crossJoin(M.average_precision(scored, y, p))
-            .crossJoin(M.brier(scored, y, p)))
+    return with_scalars(with_scalars(M.roc_auc(scored, y, p), M.average_precision(scored, y, p)),
+                        M.brier(scored, y, p))
 
 
 def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline: bool = True) -> dict:
