@@ -10,7 +10,6 @@ Uniqueness (W2 + J4) is applied by :mod:`keyed` on the business key.
 
 from __future__ import annotations
 
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
