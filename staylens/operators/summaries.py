@@ -194,3 +194,36 @@ def episode_history(stays: DataFrame, episode: str | None = None, nested: bool =
         return history_arrays(s, "episodio", "marca_temporal", fields)
     s = s.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in fields]))
     return history_positions(s, "episodio", ["marca_temporal", "_row"], fields + ["_row"]).drop("_row")
+
+
+DISCHARGE_FIELDS = ["fecha_alta", "fecha_de_alta", "fecha_finalizacion", "estado_de_alta"]
+
+
+def current_bed(census: DataFrame, stays: DataFrame | None = None,
+                include_discharged: bool = True) -> DataFrame:
+    """Current bed of every episode (T3 + X24 + J6/F5), as one job.
+
+    Newest census row per episode by ``snapshot_at`` then ``marca_temporal``
+    (NULLs last); ``unidad`` falls back to ``asign_enfermeria`` and the
+    reported time to ``marca_temporal``. With ``include_discharged=False``
+    only episodes whose newest stay record has no truthy discharge field are
+    kept (semi join against the active keys).
+    """
+    fields = ["unidad", "asign_enfermeria", "sala", "cama", "estado", "paciente",
+              "snapshot_at", "marca_temporal"]
+    c = census.where(F.col("episodio").isNotNull())
+    for f in fields:
+        if f not in c.columns:
+            c = c.withColumn(f, F.lit(None).cast("timestamp_ntz" if f in ("snapshot_at", "marca_temporal")
+                                                  else "string"))
+    newest = current_state(c, "episodio", "snapshot_at", "marca_temporal", fields)
+    out = newest.select("episodio", X.first_truthy("unidad", "asign_enfermeria").alias("unidad"),
+                        "sala", "cama", "estado", "paciente",
+                        F.coalesce("snapshot_at", "marca_temporal").alias("timestamp"))
+    if not include_discharged:
+        if stays is None:
+            raise ValueError("active-only current bed needs the stays table")
+        active = active_keys(stays.where(F.col("episodio").isNotNull()), "episodio", "marca_temporal",
+                             None, DISCHARGE_FIELDS)
+        out = restrict_to(out, active, "episodio")
+    return out

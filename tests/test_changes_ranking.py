@@ -162,3 +162,23 @@ def test_scoring_drop_folder_stream(spark, scratch):
     assert all(0.0 <= r["probabilidad_sobre_estadia"] <= 1.0 for r in res.values())
     assert res["N1"]["riesgo_categoria"] in ("Baja", "Media", "Alta") and res["N1"]["created_at"] is not None
     assert res["N2"]["fecha_estimada_de_alta"] == 9.0 and res["N2"]["sexo"] == "Mujer"
+
+
+def test_current_bed_job(spark):
+    import datetime as dt
+    census = spark.createDataFrame(
+        [("E1", None, "N2", "C1", dt.datetime(2024, 1, 2), None),
+         ("E1", "UCI", None, "C2", None, dt.datetime(2024, 1, 9)),     # no snapshot: ranks last
+         ("E2", "", "N1", "D1", dt.datetime(2024, 1, 3), None)],
+        "episodio string, unidad string, asign_enfermeria string, cama string, "
+        "snapshot_at timestamp_ntz, marca_temporal timestamp_ntz")
+    stays = spark.createDataFrame(
+        [("E1", dt.datetime(2024, 1, 1), None), ("E2", dt.datetime(2024, 1, 1), None),
+         ("E2", dt.datetime(2024, 1, 5), "2024-01-05")],
+        "episodio string, marca_temporal timestamp_ntz, fecha_alta string")
+    all_beds = {r["episodio"]: r for r in S.current_bed(census).collect()}
+    assert all_beds["E1"]["cama"] == "C1" and all_beds["E1"]["unidad"] == "N2"
+    assert all_beds["E2"]["unidad"] == "N1"                      # '' is not truthy
+    assert all_beds["E1"]["timestamp"] == dt.datetime(2024, 1, 2)
+    active = [r["episodio"] for r in S.current_bed(census, stays, include_discharged=False).collect()]
+    assert active == ["E1"]
