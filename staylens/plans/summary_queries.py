@@ -56,7 +56,23 @@ def current_state_active(spark, sf):
     return S.restrict_to(cur, active, "user_id")
 
 
+def _events_as_stays(spark, sf):
+    ev = _events(spark, sf)
+    return ev.select(
+        F.col("user_id").cast("string").alias("episodio"), F.col("ts").alias("marca_temporal"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("cama"),
+        F.when(F.col("event_type") == "purchase", F.to_date("ts")).alias("fecha_alta"),
+        F.col("props").alias("convenio"),
+        F.floor(F.col("value") * 100).cast("string").alias("valor_parcial"))
+
+
+def people_summary(spark, sf):
+    """The whole people-summary job (F1, A1, J5, P14, P13) over every episode."""
+    return S.people_summary(_events_as_stays(spark, sf), limit=None)
+
+
 QUERIES = {
+    "people_summary": people_summary,
     "latest_per_key": latest_per_key,
     "latest_page": latest_page,
     "asof_last_nonnull": asof_last_nonnull,
@@ -101,3 +117,27 @@ WITH l AS (
 SELECT user_id, event_id, ts, event_type AS cama FROM l
 WHERE rn = 1 AND (event_type IS NULL OR event_type <> 'error')""",
 }
+
+
+_NULL_TEXT = ["nombre", "sexo", "fecha_de_nacimiento", "tipo_cuenta_1", "tipo_cuenta_2", "tipo_cuenta_3",
+              "fecha_admision", "nombre_de_la_aseguradora", "dias_hospitalizacion", "riesgo_social",
+              "riesgo_clinico", "riesgo_administrativo", "rut", "prob_sobre_estadia", "grd_code"]
+
+ORACLE["people_summary"] = """
+WITH st AS (
+  SELECT CAST(user_id AS VARCHAR) AS episodio, ts AS marca_temporal,
+         CASE WHEN event_type <> 'error' THEN event_type END AS cama,
+         CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) END AS fecha_alta,
+         props AS convenio, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS valor_parcial
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episodio ORDER BY marca_temporal DESC) AS rn
+                     FROM st) t WHERE rn = 1),
+b AS (SELECT l.episodio, st.cama,
+             row_number() OVER (PARTITION BY l.episodio ORDER BY st.marca_temporal DESC) AS rn
+      FROM l JOIN st ON st.episodio = l.episodio
+      WHERE st.cama IS NOT NULL AND st.marca_temporal < CAST(l.fecha_alta AS TIMESTAMP) + INTERVAL 1 DAY)
+SELECT l.episodio, l.fecha_alta,
+       CASE WHEN trim(l.convenio) = '' THEN NULL ELSE l.convenio END AS convenio,
+       CASE WHEN trim(l.valor_parcial) = '' THEN NULL ELSE l.valor_parcial END AS valor_parcial,
+       b.cama AS ultima_cama, """ + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _NULL_TEXT) + """
+FROM l LEFT JOIN b ON b.episodio = l.episodio AND b.rn = 1"""
