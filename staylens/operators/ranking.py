@@ -45,6 +45,22 @@ def _offsets(totals: Iterable, cols: Sequence[str]) -> dict[int, list[float]]:
     return out
 
 
+def _with_positions(ranked: DataFrame, counts, name: str) -> DataFrame:
+    """Global position = partition offset + position inside the partition.
+
+    The offsets table has one row per partition (a proven bound), so it is
+    broadcast; the ranked side is not moved.
+    """
+    offs = _offsets(counts, ["n"])
+    spark = ranked.sparkSession
+    table = spark.createDataFrame([(pid, int(v[0])) for pid, v in offs.items()] or [(0, 0)],
+                                  "_pid int, _off bigint")
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return (ranked.join(F.broadcast(table), "_pid")
+                  .withColumn(name, F.col("_off") + local)
+                  .drop("_off"))
+
+
 def global_position(df: DataFrame, order_cols: Sequence, name: str = "gpos",
                     partitions: int | None = None) -> DataFrame:
     """Add the 0-based position of every row in the total order ``order_cols``.
@@ -54,12 +70,7 @@ def global_position(df: DataFrame, order_cols: Sequence, name: str = "gpos",
     """
     ranked = _ranged(df, order_cols, partitions)
     counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
-    offs = _offsets(counts, ["n"])
-    n_parts = max(offs) + 1 if offs else 1
-    table = F.array(*[F.lit(int(offs.get(i, [0])[0])) for i in range(n_parts)])
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ranked.withColumn(name, F.element_at(table, F.col("_pid") + 1) + local)
-                  .drop("_pid", "_mid"))
+    return _with_positions(ranked, counts, name).drop("_pid", "_mid")
 
 
 def position_in_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence,
@@ -133,18 +144,13 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
     schema = T.StructType([T.StructField(nm, T.DoubleType()) for nm in names])
     if n == 0:
         return spark.createDataFrame([tuple([None] * len(names))], schema)
-    offs = _offsets(counts, ["n"])
-    n_parts = max(offs) + 1
-    table = F.array(*[F.lit(int(offs.get(i, [0])[0])) for i in range(n_parts)])
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     spots = {}
     for p in probs:
         h = (n - 1) * p
         spots[p] = (h, int(math.floor(h)), int(math.ceil(h)))
     wanted = sorted({x for _, lo, hi in spots.values() for x in (lo, hi)})
     got = {r["_g"]: r["_v"] for r in
-           ranked.withColumn("_g", F.element_at(table, F.col("_pid") + 1) + local)
-                 .where(F.col("_g").isin(wanted)).select("_g", "_v").collect()}
+           _with_positions(ranked, counts, "_g").where(F.col("_g").isin(wanted)).select("_g", "_v").collect()}
     vals = []
     for p in probs:
         h, lo, hi = spots[p]
