@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, numeric_values_table
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -52,9 +52,8 @@ def _with_positions(ranked: DataFrame, counts, name: str) -> DataFrame:
     broadcast; the ranked side is not moved.
     """
     offs = _offsets(counts, ["n"])
-    spark = ranked.sparkSession
-    table = spark.createDataFrame([(pid, int(v[0])) for pid, v in offs.items()] or [(0, 0)],
-                                  "_pid int, _off bigint")
+    table = numeric_values_table(ranked.sparkSession, [(pid, v[0]) for pid, v in sorted(offs.items())],
+                                 [("_pid", "INT"), ("_off", "BIGINT")])
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return (ranked.join(F.broadcast(table), "_pid")
                   .withColumn(name, F.col("_off") + local)
@@ -141,9 +140,9 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
     ranked = _ranged(v, ["_v"], partitions)
     counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(r["n"] for r in counts)
-    schema = T.StructType([T.StructField(nm, T.DoubleType()) for nm in names])
+    cols = [(nm, "DOUBLE") for nm in names]
     if n == 0:
-        return spark.createDataFrame([tuple([None] * len(names))], schema)
+        return numeric_values_table(spark, [tuple([None] * len(names))], cols)
     spots = {}
     for p in probs:
         h = (n - 1) * p
@@ -156,4 +155,4 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
         h, lo, hi = spots[p]
         a, b = got[lo], got[hi]
         vals.append(a if lo == hi or a == b else a + (b - a) * (h - lo))
-    return spark.createDataFrame([tuple(vals)], schema)
+    return numeric_values_table(spark, [tuple(vals)], cols)

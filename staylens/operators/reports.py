@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import label_table
 from .joins import with_scalars
 from .stats import quantiles, summary_stats
 
@@ -18,7 +19,7 @@ DECILE_PROBS = [i / 10 for i in range(11)]
 
 
 def _labels(spark, name: str, labels: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{name} string, _ord int")
+    return label_table(spark, name, labels)
 
 
 def category_distribution(df: DataFrame, cat_col: str, labels: Sequence[str] | None = None) -> DataFrame:
