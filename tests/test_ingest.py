@@ -111,3 +111,39 @@ def test_census_stream(spark, scratch):
     assert t.count() == 3 and reports[0]["unique_key_used"] == ["unidad", "sala", "cama", "snapshot_at"]
     snaps = sorted(r["snapshot_at"] for r in t.where(F.col("cama") == "A1").collect())
     assert snaps == [dt.datetime(2025, 3, 5, 8, 0), dt.datetime(2025, 3, 5, 20, 0)]
+
+
+HUMAN_HEADERS = ["Marco Temporal", "Status", "Causa devolución/rechazo", "Última modificación", "Episodio",
+                 "¿Qué gestión se solicitó?", "Fecha inicio", "Hora inicio", "Informe", "Tipo cuenta 1",
+                 "Tipo cuenta 2", "Tipo cuenta 3", "Nombre", "Rut", "Fecha admisión", "Mes", "Año",
+                 "Fecha alta", "Cama", "Texto libre diagnóstico admisión", "Diagnóstico transfer", "Convenio",
+                 "Nombre de la aseguradora", "Valor parcial", "Solicitud de traslado", "Concretado",
+                 "Días hospitalización", "Días reales", "Mes2", "Año2", "Fecha de nacimiento", "Sexo", "Estado",
+                 "Motivo de cancelación", "Motivo de rechazo", "Tipo de solicitud", "Tipo de traslado",
+                 "Motivo de traslado", "Centro de destinatario", "Nivel de atención", "Servicio/Especialidad",
+                 "Fecha de finalización", "Hora de finalización", "Días solicitados homecare",
+                 "Texto libre causa rechazo", "Observación"]
+
+
+def test_full_header_row(spark, scratch):
+    row = ["04/03/2023 10:00", "ok", "", "2023-03-05T08:00:00", "EP9", "traslado", "04/03/2023", "10:00", "",
+           "A", "B", "C", "Ana Soto", "17085132-3", "01/03/2023", "3", "2023", "10/03/2023", "UCI-1",
+           "dx", "", "FONASA", "", " $53.052.920 ", "si", "no", "9", "12.5", "", "", "15/06/1950", "Femenino",
+           "activo", "", "", "", "", "", "", "", "", "10/03/2023 12:00", "12:00", "3", "", "  nota  "]
+    assert len(row) == len(HUMAN_HEADERS)
+    p = write(f"{scratch}/full", "f.csv", ",".join(f'"{h}"' for h in HUMAN_HEADERS) + "\n"
+              + ",".join(f'"{v}"' for v in row) + "\n")
+    stays = I.normalize_stays(S.read_text_csv(spark, p))
+    for c in set(I.STAY_CANON.values()) | {"rut", "observacion", "_tipo_fuente", "_synthetic_identity"}:
+        assert c in stays.columns, c
+    r = stays.first()
+    assert r["marca_temporal"] == dt.datetime(2023, 3, 4, 10, 0)
+    assert r["ultima_modificacion"] == dt.datetime(2023, 3, 5, 8, 0)
+    assert r["fecha_admision"] == dt.date(2023, 3, 1) and r["fecha_alta"] == dt.date(2023, 3, 10)
+    assert r["fecha_de_nacimiento"] == dt.date(1950, 6, 15)
+    assert r["fecha_de_finalizacion"] == dt.datetime(2023, 3, 10, 12, 0)
+    assert r["run"] == r["rut"] == "17085132-3" and r["_synthetic_identity"] is False
+    assert (r["dias_hospitalizacion"], r["dias_reales"], r["dias_solicitados_homecare"]) == (9, 125, 3)
+    assert r["que_gestion_se_solicito"] == "traslado" and r["causa_devolucion_rechazo"] is None
+    assert r["observacion"] == "  nota  "               # carried; blanks kept until read time
+    assert r["riesgo_social"] is None and r["grd_code"] is None
