@@ -93,6 +93,10 @@ def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_col
         stored = None
     new = first_per_key(batch, keys, order_cols)
     if stored is not None:
+        if partition_by:
+            # Partition columns derive from the key, so equal keys share a
+            # partition: read only the partitions this batch touches.
+            stored = stored.where(_partition_filter(new, stored, partition_by))
         new = exclude_existing(new, stored, keys)
     new = new.drop(*drop_cols).cache()
     # counts first: they must describe this batch against the table as it was
@@ -103,3 +107,18 @@ def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_col
     writer.save(table_path)
     new.unpersist()
     return report
+
+
+def _partition_filter(new: DataFrame, stored: DataFrame, partition_by: Sequence[str]):
+    """Pruning predicate on the stored table's partition columns: the
+    distinct partition values of the batch (bounded by the batch's calendar
+    span), NULL partitions included when present."""
+    cond = F.lit(True)
+    for c in partition_by:
+        vals = [r[0] for r in new.select(c).distinct().collect()]
+        present = [v for v in vals if v is not None]
+        part = F.col(c).isin(present) if present else F.lit(False)
+        if len(present) < len(vals):
+            part = part | F.col(c).isNull()
+        cond = cond & part
+    return cond

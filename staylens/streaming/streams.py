@@ -23,6 +23,9 @@ from ..operators import keyed as K
 from ..operators import scoring as SC
 
 
+DAY_COL = "dia"   # storage partition: day of the key timestamp
+
+
 def text_stream(spark: SparkSession, folder: str, columns: Sequence[str], sep: str = ",",
                 clean_source: str | None = None) -> DataFrame:
     """Streaming CSV scan with every column as STRING (headers already known)."""
@@ -52,7 +55,8 @@ def stays_handler(table_path: str, reports: list | None = None):
         # position inside the micro-batch scan (taken before any shuffle)
         batch = batch.withColumn("_scan_id", F.monotonically_increasing_id())
         stays = I.normalize_stays(batch)          # scan-order columns are carried through
-        rep = K.append_new(stays, table_path, I.STAY_KEY, order, drop_cols=order)
+        stays = stays.withColumn(DAY_COL, F.to_date("marca_temporal"))
+        rep = K.append_new(stays, table_path, I.STAY_KEY, order, drop_cols=order, partition_by=[DAY_COL])
         if reports is not None:
             reports.append({"epoch": epoch, **rep})
     return handle
@@ -76,7 +80,8 @@ def census_handler(table_path: str, reports: list | None = None):
     def handle(batch: DataFrame, epoch: int) -> None:
         batch = batch.withColumn("_scan_id", F.monotonically_increasing_id())
         rows, key = I.normalize_census(batch)
-        rep = K.append_new(rows, table_path, key, order, drop_cols=order)
+        rows = rows.withColumn(DAY_COL, F.to_date("snapshot_at"))
+        rep = K.append_new(rows, table_path, key, order, drop_cols=order, partition_by=[DAY_COL])
         if reports is not None:
             reports.append({"epoch": epoch, **rep})
     return handle

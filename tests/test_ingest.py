@@ -147,3 +147,19 @@ def test_full_header_row(spark, scratch):
     assert r["que_gestion_se_solicito"] == "traslado" and r["causa_devolucion_rechazo"] is None
     assert r["observacion"] == "  nota  "               # carried; blanks kept until read time
     assert r["riesgo_social"] is None and r["grd_code"] is None
+
+
+def test_keyed_append_prunes_to_batch_partitions(spark, scratch):
+    table = f"{scratch}/keyed"
+    def batch(rows):
+        df = spark.createDataFrame(rows, "episodio string, marca_temporal timestamp_ntz, v string, o int")
+        return df.withColumn("dia", F.to_date("marca_temporal"))
+    d1, d2 = dt.datetime(2024, 1, 1, 9), dt.datetime(2024, 1, 2, 9)
+    r1 = K.append_new(batch([("E1", d1, "a", 0), ("E2", None, "b", 1)]), table, ["episodio", "marca_temporal"],
+                      ["o"], partition_by=["dia"])
+    r2 = K.append_new(batch([("E1", d1, "x", 0), ("E1", d2, "c", 1), ("E2", None, "y", 2)]), table,
+                      ["episodio", "marca_temporal"], ["o"], partition_by=["dia"])
+    assert (r1["inserted"], r2["inserted"], r2["duplicates"]) == (2, 1, 2)
+    stored = spark.read.parquet(table)
+    assert stored.count() == 3 and {r["v"] for r in stored.collect()} == {"a", "b", "c"}
+    assert any(n.startswith("dia=2024-01-02") for n in os.listdir(table))
