@@ -90,8 +90,9 @@ def history_arrays(df: DataFrame, key: str, order_col: str, fields: Sequence[str
                    out: str = "registros") -> DataFrame:
     """A2 (nested form, the source's response shape): one ordered array per key.
 
-    Only for bounded per-key histories (an episode's own records); for
-    unbounded groups use :func:`history_positions`.
+    This gathers a key's whole history into one value, so it is used only for
+    a point lookup of one episode (:func:`episode_history`); every
+    all-keys history goes through :func:`history_positions`.
     """
     rec = F.struct(F.col(order_col), *[F.col(f) for f in fields if f != order_col])
     return df.groupBy(key).agg(F.sort_array(F.collect_list(rec)).alias(out))
@@ -178,8 +179,7 @@ HISTORY_FIELDS = ["marca_temporal", "que_gestion_se_solicito", "ultima_modificac
 def episode_history(stays: DataFrame, episode: str | None = None, nested: bool = False) -> DataFrame:
     """Episode history job: every record of each episode in time order (A2)
     with P14 aliases and P13 blanks. Flat (episode, pos, fields...) by
-    default; ``nested`` gives one ordered array per episode (bounded
-    per-episode histories only, e.g. a single ``episode``)."""
+    default; ``nested`` gives the ordered array of one ``episode``."""
     needed = HISTORY_FIELDS + [c for cs in ALIASES.values() for c in cs]
     s = _with_columns(stays, needed).where(F.col("episodio").isNotNull())
     if episode is not None:
@@ -191,6 +191,9 @@ def episode_history(stays: DataFrame, episode: str | None = None, nested: bool =
     s = clean_blanks(s)
     fields = [c for c in s.columns if c != "episodio"]
     if nested:
+        if episode is None:
+            raise ValueError("the nested form collects a whole history into one value: "
+                             "only for a single episode; use the flat form for all episodes")
         return history_arrays(s, "episodio", "marca_temporal", fields)
     s = s.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in fields]))
     return history_positions(s, "episodio", ["marca_temporal", "_row"], fields + ["_row"]).drop("_row")
