@@ -178,7 +178,9 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
     # The calibration slice holds at most CAL_MAX rows (T5), so one partition
     # is enough and saves per-iteration task overhead in the L-BFGS loop.
     cal_scored = margin(boosted, cal).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
-    cal_model = fit_sigmoid(cal_scored)
+    # the calibrator sees the plain sample weights; class balancing is a
+    # property of the classifiers only
+    cal_model = fit_sigmoid(cal_scored, weight_col="peso")
     test_scored = apply_sigmoid(cal_model, margin(boosted, test))
     out = {
         "test_scores": test_scored.select(id_col, "excede_norma", "p"),
