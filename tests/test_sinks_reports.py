@@ -73,3 +73,26 @@ def test_model_save_and_preferred_load(spark, scratch):
     TR.save_models({"baseline": m}, f"{scratch}/models")
     name, loaded = TR.load_preferred(f"{scratch}/models")
     assert name == "baseline" and loaded.transform(d).count() == 12
+
+
+def test_typed_csv_standardised_headers(spark, scratch):
+    p = _csv(f"{scratch}/grd", "grd.csv",
+             "Episodio CMBD,Edad en años,Sexo  (Desc),Estancia Norma GRD ,IR GRD Código\n"
+             "TEST1,70,Mujer,4.5,51401\n")
+    df = S.read_typed_csv(spark, p)
+    assert df.columns == ["episodio_cmbd", "edad_en_anos", "sexo_desc_", "estancia_norma_grd", "ir_grd_codigo"]
+    assert df.first()["sexo_desc_"] == "Mujer"
+
+
+def test_analysis_bundle(spark):
+    df = spark.createDataFrame(
+        [(i, i / 20.0, 20 + i * 3, "UCI" if i % 2 else "MED") for i in range(21)],
+        "id int, p double, edad int, servicio string")
+    rep = R.analysis_report(df, "p", "edad", "servicio", "id")
+    assert set(rep) == {"stats", "distribution", "top10", "by_age", "by_service", "tiers"}
+    assert rep["stats"].first()["n"] == 21 and rep["top10"].count() == 10
+    dist = {r["riesgo_categoria"]: r["n"] for r in rep["distribution"].collect()}
+    assert sum(dist.values()) == 21 and set(dist) == {"Baja", "Media", "Alta"}
+    tiers = rep["tiers"].first()
+    assert tiers["alto"] + tiers["medio"] + tiers["bajo"] == 21
+    assert {r["grupo_edad"] for r in rep["by_age"].collect()} == {"<30", "30-50", "50-70", "70+"}
