@@ -335,3 +335,9 @@ def _idiv(c, k: int) -> Column:
     """Exact integer division of a non-negative BIGINT below 2^53."""
     c = _c(c)
     return ((c - c % k) / F.lit(k)).cast("bigint")
+
+
+def row_id(*keys) -> Column:
+    """Deterministic record id from the business key (stands in for the
+    store's object id): SHA-256 of the key fields joined by '|'."""
+    return F.sha2(F.concat_ws("|", *[_c(k).cast("string") for k in keys]), 256)

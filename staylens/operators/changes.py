@@ -189,3 +189,13 @@ def insert_stays(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str]
         now = F.current_timestamp()
         accepted = accepted.withColumn("created_at", now).withColumn("updated_at", now)
     return accepted, rejected
+
+
+def address_records(df: DataFrame, episode: str, record: str) -> DataFrame:
+    """one stay record by episode plus either its record id (64-hex
+    SHA-256 of the key) or its timestamp text."""
+    from ..functions.scalars import parse_datetime, row_id
+    by_id = row_id("episodio", "marca_temporal") == F.lit(record)
+    is_id = len(record) == 64 and all(ch in "0123456789abcdef" for ch in record.lower())
+    cond = by_id if is_id else (F.col("marca_temporal") == parse_datetime(F.lit(record), True))
+    return df.where((F.col("episodio") == F.lit(episode)) & cond)

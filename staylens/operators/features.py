@@ -144,3 +144,23 @@ def class_weights(df: DataFrame, label: str, base_weight: str | None = None, out
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("_cw"))
     base = F.col(base_weight) if base_weight else F.lit(1.0)
     return df.join(F.broadcast(cw), label).withColumn(out, F.col("_cw") * base).drop("_cw")
+
+
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
+
+def coerce_types(df: DataFrame, exclude: Sequence[str] = ()):
+    """Split columns by schema into numeric (numbers and booleans, forced
+    to DOUBLE with NaN -> NULL) and categorical (forced to STRING; NULL stays
+    NULL). Returns (frame, numeric names, categorical names)."""
+    num, cat, cols = [], [], []
+    for name, typ in df.dtypes:
+        if name in exclude:
+            cols.append(F.col(name))
+        elif typ in NUMERIC_TYPES or typ.startswith("decimal"):
+            num.append(name)
+            cols.append(X.nan_to_null(F.col(name).cast("double")).alias(name))
+        else:
+            cat.append(name)
+            cols.append(F.col(name).cast("string").alias(name))
+    return df.select(*cols), num, cat

@@ -83,3 +83,19 @@ def test_page_counts_and_iso_rendering(spark):
     assert [r["episodio"] for r in page.collect()][0] == sorted(f"E{i}" for i in range(30))[5]
     df = spark.createDataFrame([(dt.datetime(2024, 5, 1, 7, 5, 9),)], "t timestamp_ntz")
     assert df.select(X.iso_text("t")).first()[0] == "2024-05-01T07:05:09"   # P10
+
+
+def test_coerce_types_and_record_addressing(spark):
+    from staylens.operators import changes as C
+    df = spark.createDataFrame([(1, 2.5, True, "a", None), (2, float("nan"), False, None, "x")],
+                               "k int, v double, b boolean, s string, t string")
+    out, num, cat = FE.coerce_types(df, exclude=["k"])
+    assert num == ["v", "b"] and cat == ["s", "t"]
+    rows = out.collect()
+    assert rows[1]["v"] is None and rows[0]["b"] == 1.0 and rows[1]["s"] is None
+    stays = spark.createDataFrame([("E1", dt.datetime(2024, 1, 1, 10)), ("E1", dt.datetime(2024, 1, 2, 10))],
+                                  "episodio string, marca_temporal timestamp_ntz")
+    rid = stays.select(X.row_id("episodio", "marca_temporal").alias("r")).first()["r"]
+    assert C.address_records(stays, "E1", rid).count() == 1
+    hit = C.address_records(stays, "E1", "2024-01-02T10:00:00").first()
+    assert hit["marca_temporal"] == dt.datetime(2024, 1, 2, 10)
