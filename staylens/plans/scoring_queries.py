@@ -305,7 +305,7 @@ SELECT c_custkey, round(p, 6) AS p FROM raw ORDER BY p DESC, c_custkey LIMIT 10"
     "decile_lift": f"""WITH {SCORED_SQL},
 e AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))
              AS edges FROM s),
-b AS (SELECT s.y, len(list_filter(e.edges[2:len(e.edges) - 1], lambda x: x < s.p)) AS decile
+b AS (SELECT s.y, CAST(len(list_filter(e.edges[2:len(e.edges) - 1], lambda x: x < s.p)) AS INTEGER) AS decile
       FROM s, e WHERE s.p IS NOT NULL)
 SELECT decile, round(avg(CAST(y AS DOUBLE)), 6) AS tasa_exceso, count(*) AS n FROM b GROUP BY decile""",
     "roc_auc": f"""WITH {SCORED_SQL}
