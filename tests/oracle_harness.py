@@ -57,12 +57,20 @@ def duck(sf_dir):
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+                 "smallint": "SMALLINT", "float": "FLOAT"}
+
+
 def compare(spark, con, sf_dir, name, query, sql):
     t0 = time.time()
     sdf = query(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = dict(sdf.dtypes)
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
+    rel = con.sql(sql)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
@@ -71,6 +79,11 @@ def compare(spark, con, sf_dir, name, query, sql):
     problems = []
     if sc != dc:
         problems.append(f"columns spark={sc} oracle={dc}")
+    else:
+        diff = [(c, s_types[c], d_types.get(c)) for c in s_cols
+                if SPARK_TO_DUCK.get(s_types[c], s_types[c]) != d_types.get(c)]
+        if diff:
+            problems.append(f"types differ {diff}")
     if len(sr) != len(dr):
         problems.append(f"rows spark={len(sr)} oracle={len(dr)}")
     elif sr != dr:
