@@ -52,7 +52,11 @@ def _names(raw_names: Sequence[str], rename: Callable[[str], str]) -> list[str]:
 def read_text_csv(spark: SparkSession, path: str, rename: Callable[[str], str] = H.slug,
                   sep: str | None = None, encoding: str | None = None) -> DataFrame:
     """All-text scan with slugged headers plus ``_file_name``,
-    ``_file_time`` and ``_scan_id`` (order inside the scan)."""
+    ``_file_time`` and ``_scan_id`` (order inside the scan).
+
+    One call reads one header layout (one upload, or a folder of files with
+    the same header); columns are matched by position after each file's
+    header line."""
     enc = encoding or "UTF-8"
     s, raw_names = sniff_header(spark, path, enc)
     if encoding is None and any(REPLACEMENT_CHAR in n for n in raw_names):

@@ -15,6 +15,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 @pytest.mark.parametrize("name", sorted(n for n in E.queries() if n != "train_score"))
 def test_plan_has_no_unbounded_operators(spark, name):
     df = E.queries()[name](spark, SF)
+    assert len(set(df.columns)) == len(df.columns), f"{name}: duplicate output column names"
     plan = df._jdf.queryExecution().executedPlan().toString()
     for op in FORBIDDEN:
         assert op not in plan, f"{name}: {op}"
