@@ -132,3 +132,13 @@ def latest_runs(spark: SparkSession, path: str, n: int = 5, col: str = "fecha_pr
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One-row metrics document as JSON."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int,
+                         mode: str = "overwrite") -> DataFrame:
+    """Store a keyed table bucketed and sorted by ``keys`` (external table at
+    ``path``). Per-key aggregates (A1, A2, W2) and joins on the key against
+    another table bucketed the same way then need no shuffle."""
+    (df.write.mode(mode).format("parquet").option("path", path)
+       .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -96,3 +96,16 @@ def test_analysis_bundle(spark):
     tiers = rep["tiers"].first()
     assert tiers["alto"] + tiers["medio"] + tiers["bajo"] == 21
     assert {r["grupo_edad"] for r in rep["by_age"].collect()} == {"<30", "30-50", "50-70", "70+"}
+
+
+def test_bucketed_table_avoids_shuffle(spark, scratch):
+    from staylens.operators import summaries as SU
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(
+        F.col("user_id").cast("string").alias("episodio"), F.col("ts").alias("marca_temporal"),
+        F.col("event_type").alias("cama"))
+    t = S.write_bucketed_table(ev, "stays_bucketed_test", f"{scratch}/stays_b", ["episodio"], 4)
+    latest = SU.latest_per_key(t, ["episodio"], ["marca_temporal"], ["cama"])
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert latest.count() == ev.select("episodio").distinct().count()
+    spark.sql("DROP TABLE stays_bucketed_test")
