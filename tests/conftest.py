@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from staylens.session import build_session
-    s = build_session("local[4]", app="staylens-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app="staylens-tests", shuffle_partitions=8,
+                      extra_conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="staylens-wh-")})
     yield s
     s.stop()
 
