@@ -142,3 +142,38 @@ def write_bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str
     (df.write.mode(mode).format("parquet").option("path", path)
        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
     return df.sparkSession.table(name)
+
+
+# --- versioned rewrites (patches / deletes) ------------------------------------
+POINTER = "_current"
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """Name of the version directory the pointer designates (None: no table yet)."""
+    try:
+        row = spark.read.text(f"{base.rstrip('/')}/{POINTER}").head(1)
+    except Exception:
+        return None
+    return row[0][0].strip() if row else None
+
+
+def read_versioned(spark: SparkSession, base: str) -> DataFrame:
+    """The current version of a versioned table."""
+    v = current_version(spark, base)
+    if v is None:
+        raise FileNotFoundError(f"no versioned table under {base}")
+    return spark.read.parquet(f"{base.rstrip('/')}/{v}")
+
+
+def commit_version(df: DataFrame, base: str, partition_by: Sequence[str] | None = None) -> str:
+    """Write ``df`` as a new immutable version directory, then move the
+    pointer to it. Readers of the previous version are never disturbed; a
+    failed write leaves the pointer where it was."""
+    spark = df.sparkSession
+    cur = current_version(spark, base)
+    n = int(cur.split("=")[1]) + 1 if cur else 1
+    name = f"v={n:06d}"
+    write_table(df, f"{base.rstrip('/')}/{name}", mode="errorifexists", partition_by=partition_by)
+    spark.range(1).select(F.lit(name).alias("value")).coalesce(1) \
+        .write.mode("overwrite").text(f"{base.rstrip('/')}/{POINTER}")
+    return name
