@@ -145,16 +145,18 @@ def write_bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str
 
 
 # --- versioned rewrites (patches / deletes) ------------------------------------
-POINTER = "_current"
+COMMITS = "_commits"
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    """Name of the version directory the pointer designates (None: no table yet)."""
+    """The newest committed version directory (None: no table yet). Commit
+    markers are only ever added, never rewritten."""
     try:
-        row = spark.read.text(f"{base.rstrip('/')}/{POINTER}").head(1)
+        rows = spark.read.text(f"{base.rstrip('/')}/{COMMITS}/*").collect()   # one line per version
     except Exception:
         return None
-    return row[0][0].strip() if row else None
+    names = [r[0].strip() for r in rows if r[0]]
+    return max(names) if names else None
 
 
 def read_versioned(spark: SparkSession, base: str) -> DataFrame:
@@ -166,14 +168,14 @@ def read_versioned(spark: SparkSession, base: str) -> DataFrame:
 
 
 def commit_version(df: DataFrame, base: str, partition_by: Sequence[str] | None = None) -> str:
-    """Write ``df`` as a new immutable version directory, then move the
-    pointer to it. Readers of the previous version are never disturbed; a
-    failed write leaves the pointer where it was."""
+    """Write ``df`` as a new immutable version directory, then add its commit
+    marker. Readers of earlier versions are never disturbed; a failed write
+    adds no marker, so the previous version stays current."""
     spark = df.sparkSession
     cur = current_version(spark, base)
     n = int(cur.split("=")[1]) + 1 if cur else 1
     name = f"v={n:06d}"
     write_table(df, f"{base.rstrip('/')}/{name}", mode="errorifexists", partition_by=partition_by)
     spark.range(1).select(F.lit(name).alias("value")).coalesce(1) \
-        .write.mode("overwrite").text(f"{base.rstrip('/')}/{POINTER}")
+        .write.mode("errorifexists").text(f"{base.rstrip('/')}/{COMMITS}/{name}")
     return name
