@@ -71,7 +71,16 @@ def people_summary(spark, sf):
     return S.people_summary(_events_as_stays(spark, sf), limit=None)
 
 
+def episode_history(spark, sf):
+    """The episode-history job (A2 + P13/P14) for every episode, flat form."""
+    ev = _events(spark, sf).select(
+        F.col("user_id").cast("string").alias("episodio"), F.col("ts").alias("marca_temporal"),
+        F.col("event_type").alias("cama"), F.col("props").alias("status"))
+    return S.episode_history(ev)
+
+
 QUERIES = {
+    "episode_history": episode_history,
     "people_summary": people_summary,
     "latest_per_key": latest_per_key,
     "latest_page": latest_page,
@@ -141,3 +150,15 @@ SELECT l.episodio, l.fecha_alta,
        CASE WHEN trim(l.valor_parcial) = '' THEN NULL ELSE l.valor_parcial END AS valor_parcial,
        b.cama AS ultima_cama, """ + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _NULL_TEXT) + """
 FROM l LEFT JOIN b ON b.episodio = l.episodio AND b.rn = 1"""
+
+
+_HIST_NULL = [f for f in S.HISTORY_FIELDS if f not in ("marca_temporal", "cama", "status")] + \
+    ["prob_sobre_estadia", "grd_code"]
+
+ORACLE["episode_history"] = """
+SELECT CAST(user_id AS VARCHAR) AS episodio, ts AS marca_temporal,
+       CASE WHEN trim(event_type) = '' THEN NULL ELSE event_type END AS cama,
+       CASE WHEN trim(props) = '' THEN NULL ELSE props END AS status,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS pos, """ + \
+    ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _HIST_NULL) + """
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
