@@ -37,9 +37,8 @@ ADMIN_CATEGORY_CODES = {"coordinacion_familiar": 1.0, "coordinacion_interinstitu
                         "derivacion_apoyo_psicosocial": 2.0}
 AGE_BAND_EDGES = [0, 30, 50, 70, 100]
 AGE_BAND_LABELS = ["<30", "30-50", "50-70", "70+"]
-# Day-first text formats tried in order after ISO text.
-DAYFIRST_FORMATS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy H:mm:ss",
-                    "d-M-yyyy H:mm", "d-M-yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
+# Day-first text formats tried in order after ISO text (time optional).
+DAYFIRST_FORMATS = ["d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]"]
 SERIAL_MIN, SERIAL_MAX = 20000, 80000      # accepted serial range inside free date text
 SERIAL_LIMIT_DAYS = 106751                  # representable offset from the epoch
 # ---------------------------------------------------------------------------
