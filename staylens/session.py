@@ -60,7 +60,10 @@ def build_session(master: str | None = None, app: str = "staylens",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:        # Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -71,7 +74,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only when nothing is
     configured (local tests) a private scratch folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:        # Spark Connect: the server's own configuration applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
