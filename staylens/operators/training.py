@@ -212,13 +212,16 @@ def load_preferred(base_path: str, order: Sequence[str] = ("calibrator", "booste
 
 
 def score_tables(fitted, grd: DataFrame, score: DataFrame, calibrator=None,
-                 template: Sequence[str] | None = None) -> DataFrame:
+                 template: Sequence[str] | None = None, output: str = "id",
+                 run_stamp: str | None = None) -> DataFrame:
     """Score a GRD table and a survey table without outcomes.
 
     Headers are standardised (P2) and aligned to the template by one trailing
     '_' (P8); the survey key is discovered among the candidates (P4); the
     tables are joined (J1) and turned into the nine features exactly as for
-    training; the result carries the episode id, probability and tier (X16).
+    training; the result carries the episode id, probability and tier (X16)
+    (``output="all"``: every feature too; ``run_stamp``: a
+    ``fecha_prediccion`` column for time-stamped run outputs, S9).
     """
     from ..functions import headers as H
     from ..functions.scalars import tier_vector
@@ -233,4 +236,7 @@ def score_tables(fitted, grd: DataFrame, score: DataFrame, calibrator=None,
         scored = apply_sigmoid(calibrator, scored)
     else:
         scored = scored.withColumn("p", F.col("p_raw"))
-    return scored.select("episodio", "p", tier_vector(F.col("p")).alias("riesgo_categoria"))
+    keep = ["episodio"] + ([c for c in ds.columns if c not in ("episodio", "excede_norma", "peso", "fecha")]
+                           if output == "all" else [])
+    out = scored.select(*keep, "p", tier_vector(F.col("p")).alias("riesgo_categoria"))
+    return out.withColumn("fecha_prediccion", F.lit(run_stamp)) if run_stamp else out

@@ -108,6 +108,9 @@ def test_two_table_scoring(spark):
     rows = out.collect()
     assert len(rows) == 400 and all(0.0 <= r["p"] <= 1.0 for r in rows)
     assert {r["riesgo_categoria"] for r in rows} <= {"Baja", "Media", "Alta"}
+    wide = TR.score_tables(fitted, raw_grd, score, template=["ir_grd_codigo_"], output="all",
+                           run_stamp="2024-05-01T10:00")
+    assert {"edad", "codigo_grd", "fecha_prediccion"} <= set(wide.columns) and wide.count() == 400
 
 
 def _fitted_on_generated(spark):
