@@ -45,12 +45,21 @@ def mode_value(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.agg(F.mode(F.col(col), deterministic=True).alias(name))
 
 
-def summary_stats(df: DataFrame, col: str) -> DataFrame:
-    """A5: count, mean, median, max, min, sample standard deviation."""
+def summary_stats(df: DataFrame, col: str, median_method: str = "rank") -> DataFrame:
+    """A5: count, mean, median, max, min, sample standard deviation.
+
+    Scores are high-cardinality, so the median uses exact ranks by default
+    (``median_method="exact"`` keeps it inside the single aggregate)."""
     c = nan_to_null(F.col(col))
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("media"),
-                  F.percentile(c, 0.5).alias("mediana"), F.max(c).alias("maximo"),
+    if median_method == "exact":
+        return df.agg(F.count(c).alias("n"), F.avg(c).alias("media"),
+                      F.percentile(c, 0.5).alias("mediana"), F.max(c).alias("maximo"),
+                      F.min(c).alias("minimo"), F.stddev_samp(c).alias("desviacion"))
+    from .joins import with_scalars
+    base = df.agg(F.count(c).alias("n"), F.avg(c).alias("media"), F.max(c).alias("maximo"),
                   F.min(c).alias("minimo"), F.stddev_samp(c).alias("desviacion"))
+    med = quantiles(df, col, [0.5], ["mediana"], median_method)
+    return with_scalars(base, med).select("n", "media", "mediana", "maximo", "minimo", "desviacion")
 
 
 def profile(df: DataFrame, col: str) -> DataFrame:
