@@ -180,23 +180,28 @@ def episode_history(stays: DataFrame, episode: str | None = None, nested: bool =
     """Episode history job: every record of each episode in time order (A2)
     with P14 aliases and P13 blanks. Flat (episode, pos, fields...) by
     default; ``nested`` gives the ordered array of one ``episode``."""
-    needed = HISTORY_FIELDS + [c for cs in ALIASES.values() for c in cs]
-    s = _with_columns(stays, needed).where(F.col("episodio").isNotNull())
+    s = stays.where(F.col("episodio").isNotNull())
     if episode is not None:
         s = s.where(F.col("episodio") == F.lit(episode))          # F2 point lookup
-    s = s.select("episodio", *HISTORY_FIELDS,
-                 F.coalesce(F.col("prob_sobre_estadia"), F.col("probabilidad_sobre_estadia"))
-                  .alias("prob_sobre_estadia"),
-                 F.coalesce(F.col("grd_code"), F.col("codigo_grd")).alias("grd_code"))
-    s = clean_blanks(s)
+    present = [f for f in HISTORY_FIELDS if f in s.columns]
+    aliases = []
+    for name in ("prob_sobre_estadia", "grd_code"):
+        srcs = [c for c in ALIASES[name] if c in s.columns]
+        if srcs:
+            aliases.append(F.coalesce(*[F.col(c) for c in srcs]).alias(name))
+    s = clean_blanks(s.select("episodio", *present, *aliases))
     fields = [c for c in s.columns if c != "episodio"]
+    # Fields absent from the input are constant NULLs: added after the heavy
+    # steps, so they are never shuffled or checkpointed.
+    absent = [f for f in HISTORY_FIELDS + ["prob_sobre_estadia", "grd_code"] if f not in s.columns]
     if nested:
         if episode is None:
             raise ValueError("the nested form collects a whole history into one value: "
                              "only for a single episode; use the flat form for all episodes")
-        return history_arrays(s, "episodio", "marca_temporal", fields)
+        return history_arrays(_with_columns(s, absent), "episodio", "marca_temporal", fields + absent)
     s = s.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in fields]))
-    return history_positions(s, "episodio", ["marca_temporal", "_row"], fields + ["_row"]).drop("_row")
+    out = history_positions(s, "episodio", ["marca_temporal", "_row"], fields + ["_row"]).drop("_row")
+    return _with_columns(out, absent)
 
 
 DISCHARGE_FIELDS = ["fecha_alta", "fecha_de_alta", "fecha_finalizacion", "estado_de_alta"]
