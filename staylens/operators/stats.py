@@ -40,11 +40,6 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[s
     return arr.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def mode_value(df: DataFrame, col: str, name: str) -> DataFrame:
-    """M5: most frequent non-NULL value; ties go to the smallest value."""
-    return df.agg(F.mode(F.col(col), deterministic=True).alias(name))
-
-
 def summary_stats(df: DataFrame, col: str, median_method: str = "rank") -> DataFrame:
     """A5: count, mean, median, max, min, sample standard deviation.
 

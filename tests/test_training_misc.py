@@ -99,3 +99,19 @@ def test_coerce_types_and_record_addressing(spark):
     assert C.address_records(stays, "E1", rid).count() == 1
     hit = C.address_records(stays, "E1", "2024-01-02T10:00:00").first()
     assert hit["marca_temporal"] == dt.datetime(2024, 1, 2, 10)
+
+
+def test_table_views_and_checked_broadcast(spark):
+    from staylens.operators.joins import broadcast_if_small
+    from staylens.session import register_tables
+    register_tables(spark, "/root/testdata/sf0.001", ["orders", "customer"])
+    n = spark.sql("SELECT count(*) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey").first()[0]
+    assert n > 0
+    small = broadcast_if_small(spark.table("customer"), max_rows=10_000)
+    big = broadcast_if_small(spark.table("orders"), max_rows=10)
+    plan_small = spark.table("orders").join(small, spark.table("orders").o_custkey == small.c_custkey) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_small
+    plan_big = spark.table("customer").join(big, spark.table("customer").c_custkey == big.o_custkey) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan_big.split("Initial Plan")[0] or "SortMergeJoin" in plan_big
