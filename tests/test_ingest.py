@@ -163,3 +163,14 @@ def test_keyed_append_prunes_to_batch_partitions(spark, scratch):
     stored = spark.read.parquet(table)
     assert stored.count() == 3 and {r["v"] for r in stored.collect()} == {"a", "b", "c"}
     assert any(n.startswith("dia=2024-01-02") for n in os.listdir(table))
+
+
+def test_extra_column_date_heuristic_is_opt_in(spark, scratch):
+    p = write(f"{scratch}/x", "x.csv", "episodio,marca_temporal,codigo,control\nE1,2024-01-01 10:00:00,51401,"
+                                       "05/03/2024 08:30\n")
+    raw = S.read_text_csv(spark, p)
+    off = I.normalize_stays(raw).first()
+    assert off["codigo"] == "51401" and off["control"] == "05/03/2024 08:30"
+    on = I.normalize_stays(raw, detect_extra_dates=True).first()
+    assert on["codigo"] == "2040-09-22T00:00:00"          # the source's trap: a 5-digit code read as a serial
+    assert on["control"] == "2024-03-05T08:30:00"
