@@ -20,8 +20,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence,
                   payload: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row of every key in ``order_cols`` order.
 
-    ``min`` over one ordered struct is a hash aggregate with map-side partial
-    aggregation: a hot key is reduced inside every map task before the
+    ``min`` over one ordered struct is an aggregate with map-side partial
+    aggregation (sort-based, as the buffer is a struct): a hot key is reduced inside every map task before the
     shuffle. NULL keys form one group, as a unique index would have it.
     """
     from .summaries import ordered_struct

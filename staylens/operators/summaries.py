@@ -1,10 +1,10 @@
 """Per-episode summaries over a record history: latest row, value as of a
 cut-off, ordered history, current bed, active episodes, paging.
 
-All of them are hash aggregates keyed by the episode. Spark runs them with a
-partial (map-side) aggregation, so the shuffle carries at most one row per
-key per map task and a key holding a third of the table costs no more than
-any other key in the reduce stage.
+All of them are aggregates keyed by the episode (sort-based when the buffer
+is a struct). Spark runs them with a partial (map-side) aggregation, so the
+shuffle carries at most one row per key per map task and a key holding a
+third of the table costs no more than any other key in the reduce stage.
 """
 
 from __future__ import annotations
