@@ -12,7 +12,7 @@ from staylens.session import ensure_checkpoint_dir, read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["UPPER", "ascii_lower", "read_table", "scratch", "stored", "filesystem"]
+__all__ = ["UPPER", "ascii_lower", "read_table", "scratch", "stored", "filesystem", "small_batches"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,3 +45,9 @@ def filesystem(uri: str):
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows per Arrow batch for tasks that hand whole texts to Python: bounds a
+    worker's memory by the texts of one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
