@@ -25,6 +25,7 @@ from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import read_table, small_batches
 
@@ -164,7 +165,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], column: str = "ids", to: st
 def _mapped(docs: DataFrame, start, column: str, to: str) -> DataFrame:
     small_batches(docs.sparkSession, 500)
     kept = [c for c in docs.columns if c != to]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to) + f", `{to}` binary"
+    schema = StructType([*(f for f in docs.schema.fields if f.name != to), StructField(to, BinaryType())])
 
     def each(batches):
         import pyarrow as pa

@@ -153,8 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a window of a benchmark item."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("text_md5").alias("_md5")).distinct()
-    return docs.join(bad, F.md5(docs["text"].cast("binary")) == F.col("_md5"), "left_anti")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("text_md5").alias("__index_md5")).distinct()
+    return docs.join(bad, F.md5(docs["text"].cast("binary")) == F.col("__index_md5"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import read_table, small_batches
 
@@ -141,21 +142,21 @@ def fit(docs: DataFrame, learn: Column) -> Model:
     return train(*sample(docs, learn))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score; all columns and rows stay."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score; all rows and other columns stay."""
     spark = docs.sparkSession
+    docs = docs.drop(*names)
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.weights, model.intercept))   # WIDTH x languages floats
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def score(batches):
         import pyarrow as pa
 
         own = Model(*shared.value)
         for b in batches:
-            names, scores = own.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*b.schema.names, "lang_pred", "lang_score"])
+            found, scores = own.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(score, schema)
 
@@ -163,7 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that have no language, by a model fitted on their own labels."""
     model = fit(docs, ~held_out(F.col("doc_id")))
-    return identify(docs, model).where(F.col("lang_pred") != UND).select(*docs.columns)
+    return identify(docs, model, ("__language", "__score")).where(F.col("__language") != UND).select(*docs.columns)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,13 +92,13 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     order) and licenses (sorted, distinct)."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     cue = "(?i)" + "|".join(map(re.escape, cues(sentences)))
-    held = docs.withColumn("_text", F.when(F.col("text").rlike(cue), F.col("text")))
-    held = held.withColumn("_a", identifiers(F.col("_text"), ENDS[0], sentences)).withColumn("_b", identifiers(F.col("_text"), ENDS[1], sentences))
+    held = docs.withColumn("__license_text", F.when(F.col("text").rlike(cue), F.col("text")))
+    held = held.withColumn("__license_a", identifiers(F.col("__license_text"), ENDS[0], sentences)).withColumn("__license_b", identifiers(F.col("__license_text"), ENDS[1], sentences))
     none = F.array().cast("array<string>")
-    hits = F.array(*[F.when(F.col("_a").rlike(p) | F.col("_b").rlike(p), F.lit(name)) for name, p in ((n, rule_pattern(i)) for n, i in rules)])
-    known = F.filter(F.split("_b", ";"), lambda i: (i != UNKNOWN) & (i != ""))
+    hits = F.array(*[F.when(F.col("__license_a").rlike(p) | F.col("__license_b").rlike(p), F.lit(name)) for name, p in ((n, rule_pattern(i)) for n, i in rules)])
+    known = F.filter(F.split("__license_b", ";"), lambda i: (i != UNKNOWN) & (i != ""))
     return held.withColumn("license_sentences", F.coalesce(known, none)).withColumn(
-        "licenses", F.array_sort(F.array_distinct(F.array_compact(hits)))).drop("_text", "_a", "_b")
+        "licenses", F.array_sort(F.array_distinct(F.array_compact(hits)))).drop("__license_text", "__license_a", "__license_b")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,10 +302,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of its smallest doc_id."""
     kept = (classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct())
+            .select(F.col("doc_id").alias("__omh_id"), F.col("text_md5").alias("__omh_md5")).distinct())
     md5 = F.md5(docs["text"].cast("binary"))
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & md5.eqNullSafe(F.col("_md5")), "left_semi")
-    return out.withColumn("_md5", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__omh_id")) & md5.eqNullSafe(F.col("__omh_md5")), "left_semi")
+    return out.withColumn("__omh_md5", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__omh_md5"]).drop("__omh_md5")
 
 
 def op7_omh_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,19 +183,19 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     but a random span never lies within a span of another kind."""
     rejected = rejection_bins(docs, rate)
     limit = lambda size: F.coalesce(*[F.when(size == k, F.lit(v)) for k, v in rejected.items()], F.lit(_BINS + 1))
-    out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    out = out.withColumns({f"_{k}": c for k, c in pattern_spans(F.col("_text")).items()})
-    out = out.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in PATTERNS])).withColumn("_found", candidate_spans(F.col("_text")))
+    out = docs.withColumn("__secret_text", F.coalesce(F.col("text"), F.lit("")))
+    out = out.withColumns({f"__secret_{k}": c for k, c in pattern_spans(F.col("__secret_text")).items()})
+    out = out.withColumn("__secret_base", F.concat(*[F.col(f"__secret_{k}") for k in PATTERNS])).withColumn("__secret_found", candidate_spans(F.col("__secret_text")))
 
     def flagged(span: Column) -> Column:
-        inside = F.exists(F.col("_base"), lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
-        return ~inside & F.exists(F.array(battery(_cut(F.col("_text"), span))), lambda b: b["able"] & (b["bin"] < limit(b["size"])))
+        inside = F.exists(F.col("__secret_base"), lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
+        return ~inside & F.exists(F.array(battery(_cut(F.col("__secret_text"), span))), lambda b: b["able"] & (b["bin"] < limit(b["size"])))
 
-    random = F.when(F.size("_found") > 0, F.filter("_found", flagged)).otherwise(F.col("_found"))
+    random = F.when(F.size("__secret_found") > 0, F.filter("__secret_found", flagged)).otherwise(F.col("__secret_found"))
     # one start may carry several kinds; they come in the order of KINDS, and the sort keeps it
-    rank = F.transform(F.concat(F.col("_base"), random), lambda s: F.struct(
+    rank = F.transform(F.concat(F.col("__secret_base"), random), lambda s: F.struct(
         s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return out.withColumn("_spans", F.array_sort(rank)).drop("_text", "_base", "_found", *[f"_{k}" for k in PATTERNS])
+    return out.withColumn("_spans", F.array_sort(rank)).drop("__secret_text", "__secret_base", "__secret_found", *[f"__secret_{k}" for k in PATTERNS])
 
 
 def joined(spans: Column) -> Column:
@@ -215,8 +215,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = FDR) -> DataFr
 
     done = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
                        lambda a: F.concat(a["out"], piece(a["at"], F.length(text).cast("long"))))
-    out = scan(docs, rate).withColumn("_clean", F.when(F.size(spans) > 0, done).otherwise(text))
-    return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = scan(docs, rate).withColumn("__secret_clean", F.when(F.size(spans) > 0, done).otherwise(text))
+    return out.select(*[F.col("__secret_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
