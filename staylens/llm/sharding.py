@@ -128,6 +128,6 @@ firsts AS MATERIALIZED (
   SELECT f.virtual_slot, f.shard, coalesce(sum(t.n) OVER (PARTITION BY f.shard ORDER BY f.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
   FROM fold f JOIN totals t USING (virtual_slot))
 SELECT s.doc_id, s.size::BIGINT AS size, s.text_crc32, 'bytes' AS law, f.shard::INTEGER AS shard,
-  (f.first + row_number() OVER (PARTITION BY s.virtual_slot ORDER BY s.doc_id, s.text_crc32, s.size) - 1)::BIGINT AS slot,
+  (f.first + row_number() OVER (PARTITION BY s.virtual_slot ORDER BY s.doc_id NULLS FIRST, s.text_crc32, s.size) - 1)::BIGINT AS slot,
   CAST(NULL AS INTEGER) AS grown_shard, s.virtual_slot
 FROM slotted s JOIN firsts f USING (virtual_slot)"""}
