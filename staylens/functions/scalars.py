@@ -39,8 +39,11 @@ AGE_BAND_EDGES = [0, 30, 50, 70, 100]
 AGE_BAND_LABELS = ["<30", "30-50", "50-70", "70+"]
 # Day-first text formats tried in order after ISO text (time optional).
 DAYFIRST_FORMATS = ["d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]"]
-SERIAL_MIN, SERIAL_MAX = 20000, 80000      # accepted serial range inside free date text
 SERIAL_LIMIT_DAYS = 106751                  # representable offset from the epoch
+# Text shapes taken for a date in unmapped columns: a serial number, ISO, dd/mm/yyyy.
+SERIAL_SHAPE = r"^[0-9]{5}(\.[0-9]+)?$"
+DATE_SHAPES = [r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$",
+               r"^[0-9]{2}/[0-9]{2}/[0-9]{4}(\s+[0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"]
 # ---------------------------------------------------------------------------
 
 
@@ -132,8 +135,8 @@ def excel_serial_to_timestamp(c, with_time: bool = True) -> Column:
     return ts if with_time else ts.cast("date")
 
 
-def parse_datetime(c, keep_time: bool = True, serial_range=(SERIAL_MIN, SERIAL_MAX)) -> Column:
-    """A serial number (inside ``serial_range``), else ISO text, else day-first text.
+def parse_datetime(c, keep_time: bool = True, serials: bool = True) -> Column:
+    """A serial number (any that is representable), else ISO text, else day-first text.
 
     ISO is read as ISO (an offset suffix is dropped, wall time kept); slashes
     and dashes in ``d/M/yyyy`` order are day-first, with month-first as the
@@ -141,9 +144,8 @@ def parse_datetime(c, keep_time: bool = True, serial_range=(SERIAL_MIN, SERIAL_M
     """
     s = F.trim(_c(c).cast("string"))
     parts = []
-    if serial_range is not None:
-        v = lenient_float(s)
-        parts.append(F.when(v.between(serial_range[0], serial_range[1]), serial_days_to_timestamp(v)))
+    if serials:
+        parts.append(serial_days_to_timestamp(lenient_float(s)))
     parts.append(F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), s.try_cast("timestamp_ntz")))
     # Parsed in the session zone and cast back: the wall-clock time is kept.
     parts += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in DAYFIRST_FORMATS]
@@ -151,18 +153,10 @@ def parse_datetime(c, keep_time: bool = True, serial_range=(SERIAL_MIN, SERIAL_M
     return ts if keep_time else ts.cast("date")
 
 
-DATE_LIKE_PATTERNS = [r"^[0-9]{5}(\.[0-9]+)?$",
-                      r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$",
-                      r"^[0-9]{2}/[0-9]{2}/[0-9]{4}(\s+[0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"]
-
-
-def looks_like_date(c) -> Column:
-    """5-digit serial, ISO date(-time) or dd/mm/yyyy(-time)."""
-    s = F.trim(_c(c).cast("string"))
-    cond = F.lit(False)
-    for p in DATE_LIKE_PATTERNS:
-        cond = cond | s.rlike(p)
-    return F.coalesce(cond, F.lit(False))
+def looks_like_date(c, serials: bool = True) -> Column:
+    """ISO date(-time), dd/mm/yyyy(-time) or, with ``serials``, a 5-digit serial."""
+    shapes = [SERIAL_SHAPE] * serials + DATE_SHAPES
+    return F.coalesce(F.trim(_c(c).cast("string")).rlike("|".join(shapes)), F.lit(False))
 
 
 def iso_text(ts) -> Column:
@@ -170,20 +164,17 @@ def iso_text(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def carried_value(c, detect_dates: bool = True) -> Column:
-    """X5 applied to an unmapped column: date-like text becomes ISO text."""
-    raw = blank_to_null_ingest(c)
-    if not detect_dates:
-        return raw
-    parsed = iso_text(parse_datetime(c, True, serial_range=(10000, 99999)))
-    return F.when(looks_like_date(c), parsed).otherwise(raw)
+def carried_value(c, serials: bool = True) -> Column:
+    """X5 applied to an unmapped column: date-like text becomes ISO text; bare
+    5-digit numbers, which may be codes, only with ``serials``."""
+    return F.when(looks_like_date(c, serials), iso_text(parse_datetime(c, True))).otherwise(blank_to_null_ingest(c))
 
 
 def allowed_stay_days(c) -> Column:
     """A number as is; a date gives its day of month."""
     s = _c(c).cast("string")
     num = lenient_float(s)
-    return F.coalesce(num, F.dayofmonth(parse_datetime(s, keep_time=False, serial_range=None)).cast("double"))
+    return F.coalesce(num, F.dayofmonth(parse_datetime(s, keep_time=False, serials=False)).cast("double"))
 
 
 def encode_risk(c) -> Column:

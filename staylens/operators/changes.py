@@ -38,59 +38,106 @@ def optional_filter(df: DataFrame, equals: Mapping[str, object], extra: Column |
     return df.where(cond)
 
 
+def _one_patch(values: DataFrame, keys: Sequence[str], fields: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """One row per key (NULL keys included): per field the last supplied value in
+    ``order_cols`` order. ``values`` has for every field a struct column
+    ``_v_<field>`` (NULL: not supplied). The aggregate combines map-side."""
+    order = F.struct(*order_cols) if order_cols else F.lit(0)
+    last = [F.max(F.when(F.col(f"_v_{f}").isNotNull(), F.struct(order.alias("o"), F.col(f"_v_{f}").alias("v")))).alias(f"_m_{f}") for f in fields]
+    return values.groupBy(*keys).agg(*last, F.lit(True).alias("_hit")) if last else values.select(*keys).distinct().withColumn("_hit", F.lit(True))
+
+
+def _set_fields(base: DataFrame, merged: DataFrame, keys: Sequence[str], fields: Sequence[str],
+                extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """``base`` with the merged values; NULL keys match each other."""
+    r = merged.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_m_{f}" for f in fields], "_hit")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & base[k].eqNullSafe(r[f"_k_{k}"])
+    cols = []
+    for c in base.columns:
+        if c in fields:
+            cols.append(F.when(F.col(f"_m_{c}").isNotNull(), F.col(f"_m_{c}")["v"]["x"]).otherwise(base[c]).alias(c))
+        elif extra and c in extra:
+            cols.append(F.when(F.col("_hit"), extra[c]).otherwise(base[c]).alias(c))
+        else:
+            cols.append(base[c])
+    return base.join(r, cond, "left").select(*cols)
+
+
 def apply_patch_map(base: DataFrame, patch: DataFrame, keys: Sequence[str],
-                    fields_col: str = "fields", protected: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                    fields_col: str = "fields", protected: Sequence[str] = (),
+                    order_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Set every supplied field, NULL included; key/protected fields never change.
 
-    ``patch`` holds the key plus a ``MAP<STRING,STRING>`` of supplied fields;
-    values are cast to the base column's type. Returns (patched table,
-    rejected patches whose key does not exist).
+    ``patch`` holds the key plus a ``MAP<STRING,STRING>`` of supplied fields.
+    Several patches of a key are merged: the last one in ``order_cols`` order wins
+    field by field (without an order, the largest value). Returns (patched table,
+    rejected patches): ``patch_vacio`` when nothing but key and protected fields
+    is supplied, ``valor_invalido`` when a value doesn't cast to its column's type,
+    ``no_encontrado`` when the key doesn't exist. A rejected patch changes nothing.
     """
     keys = list(keys)
     locked = set(keys) | set(protected)
-    p = patch.select(*keys, F.col(fields_col).alias("_fields"))
-    joined = base.join(p, keys, "left")
-    cols = []
-    for f in base.schema.fields:
-        if f.name in keys:
-            cols.append(F.col(f.name))
-        elif f.name in locked:
-            cols.append(F.col(f.name))
-        else:
-            has = F.coalesce(F.map_contains_key("_fields", F.lit(f.name)), F.lit(False))
-            val = F.element_at("_fields", F.lit(f.name)).try_cast(f.dataType)
-            cols.append(F.when(has, val).otherwise(F.col(f.name)).alias(f.name))
-    patched = joined.select(*cols)
-    rejected = keyed.exclude_existing(patch, base, keys).withColumn("motivo", F.lit("no_encontrado"))
-    return patched, rejected
+    fields = [f for f in base.schema.fields if f.name not in locked]
+    given = F.col(fields_col)
+    has = {f.name: F.coalesce(F.map_contains_key(given, F.lit(f.name)), F.lit(False)) for f in fields}
+    text = {f.name: F.element_at(given, F.lit(f.name)) for f in fields}
+    some, bad = F.lit(False), F.lit(False)
+    for f in fields:
+        some = some | has[f.name]
+        bad = bad | (has[f.name] & text[f.name].isNotNull() & text[f.name].try_cast(f.dataType).isNull())
+    checked = patch.withColumn("motivo", F.when(~some, F.lit("patch_vacio")).when(bad, F.lit("valor_invalido")))
+    good = checked.where(F.col("motivo").isNull()).drop("motivo")
+    values = good.select(*keys, *[c for c in order_cols if c not in keys], *[
+        F.when(has[f.name], F.struct(text[f.name].try_cast(f.dataType).alias("x"))).alias(f"_v_{f.name}") for f in fields])
+    names = [f.name for f in fields]
+    patched = _set_fields(base, _one_patch(values, keys, names, order_cols), keys, names)
+    missing = keyed.exclude_existing(good, base, keys).withColumn("motivo", F.lit("no_encontrado"))
+    return patched, checked.where(F.col("motivo").isNotNull()).unionByName(missing)
 
 
 def apply_patch_nonnull(base: DataFrame, patch: DataFrame, keys: Sequence[str],
-                        stamp_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                        stamp_col: str | None = None, order_cols: Sequence[str] = (),
+                        validate=None) -> tuple[DataFrame, DataFrame]:
     """Only non-NULL supplied fields change; optionally stamp ``stamp_col``.
 
-    ``patch`` has the key plus any subset of the base columns; an all-NULL
-    patch is rejected (``patch_vacio``), an unknown key too (``no_encontrado``).
+    ``patch`` has the key plus any subset of the base columns. Several patches of a
+    key are merged as in :func:`apply_patch_map`. ``validate(patch)`` may add a
+    column ``motivo`` with a reason for refusal (e.g. :func:`validate_task_patch`).
+    Rejected: ``patch_vacio``, the validation's reasons, ``valor_invalido`` and
+    ``no_encontrado``; a rejected patch changes nothing.
     """
     keys = list(keys)
-    fields = [c for c in patch.columns if c not in keys and c in base.columns]
-    non_empty = F.lit(False)
+    types = {f.name: f.dataType for f in base.schema.fields}
+    fields = [c for c in patch.columns if c not in keys and c in types and c not in order_cols]
+    some, bad = F.lit(False), F.lit(False)
     for c in fields:
-        non_empty = non_empty | F.col(c).isNotNull()
-    good = patch.where(non_empty)
-    empty = patch.where(~non_empty).withColumn("motivo", F.lit("patch_vacio"))
-    p = good.select(*keys, *[F.col(c).alias("_p_" + c) for c in fields], F.lit(True).alias("_hit"))
-    joined = base.join(p, keys, "left")
-    cols = []
-    for c in base.columns:
-        if c in fields:
-            cols.append(F.coalesce(F.col("_p_" + c), F.col(c)).alias(c))
-        elif stamp_col and c == stamp_col:
-            cols.append(F.when(F.col("_hit"), F.current_timestamp()).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
+        some = some | F.col(c).isNotNull()
+        bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull())
+    checked = validate(patch) if validate else patch.withColumn("motivo", F.lit(None).cast("string"))
+    checked = checked.withColumn("motivo", F.when(~some, F.lit("patch_vacio")).otherwise(F.coalesce("motivo", F.when(bad, F.lit("valor_invalido")))))
+    good = checked.where(F.col("motivo").isNull()).drop("motivo")
+    values = good.select(*keys, *[c for c in order_cols if c not in keys], *[
+        F.when(F.col(c).isNotNull(), F.struct(F.col(c).try_cast(types[c]).alias("x"))).alias(f"_v_{c}") for c in fields])
+    stamp = {stamp_col: F.current_timestamp()} if stamp_col else None
+    patched = _set_fields(base, _one_patch(values, keys, fields, order_cols), keys, fields, stamp)
     missing = keyed.exclude_existing(good, base, keys).withColumn("motivo", F.lit("no_encontrado"))
-    return joined.select(*cols), empty.unionByName(missing)
+    return patched, checked.where(F.col("motivo").isNotNull()).unionByName(missing)
+
+
+def validate_task_patch(managers: DataFrame, episodes: DataFrame, **kw):
+    """A ``validate`` for :func:`apply_patch_nonnull`: supplied managers and episodes
+    must exist and supplied enum values be known; fields that aren't supplied pass."""
+    def check(patch: DataFrame) -> DataFrame:
+        names = {"manager_col": "gestor", "episode_col": "paciente_episodio"} | {k: v for k, v in kw.items() if k in ("manager_col", "episode_col")}
+        full = patch
+        for c in [*names.values(), "tipo", "prioridad", "status"]:
+            if c not in full.columns:
+                full = full.withColumn(c, F.lit(None).cast("string"))
+        checked = validate_tasks(full, managers, episodes, given_only=True, **kw)
+        return checked.select(*patch.columns, "motivo")
+    return check
 
 
 def delete_keys(base: DataFrame, deletes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -103,9 +150,11 @@ def delete_keys(base: DataFrame, deletes: DataFrame, keys: Sequence[str]) -> tup
 def validate_tasks(tasks: DataFrame, managers: DataFrame, episodes: DataFrame,
                    manager_col: str = "gestor", episode_col: str = "paciente_episodio",
                    manager_key: str = "name", episode_key: str = "episodio",
-                   enum_checks: Sequence[tuple[str, Sequence, str]] | None = None) -> DataFrame:
+                   enum_checks: Sequence[tuple[str, Sequence, str]] | None = None,
+                   given_only: bool = False) -> DataFrame:
     """First failing reason per task, in fixed order
-    manager -> episode -> enums; ``motivo`` is NULL for accepted rows."""
+    manager -> episode -> enums; ``motivo`` is NULL for accepted rows. With
+    ``given_only`` a NULL field isn't checked (patches)."""
     if enum_checks is None:
         enum_checks = [("tipo", TASK_TYPES, "tipo_invalido"),
                        ("prioridad", TASK_PRIORITIES, "prioridad_invalida"),
@@ -114,10 +163,11 @@ def validate_tasks(tasks: DataFrame, managers: DataFrame, episodes: DataFrame,
     e = episodes.select(F.col(episode_key).alias(episode_col))
     flagged = keyed.existing_flag(tasks, m, [manager_col], "_has_manager")
     flagged = keyed.existing_flag(flagged, e, [episode_col], "_has_episode")
-    reason = F.when(~F.col("_has_manager"), F.lit("gestora_inexistente")) \
-              .when(~F.col("_has_episode"), F.lit("paciente_inexistente"))
+    asked = lambda c: F.col(c).isNotNull() if given_only else F.lit(True)
+    reason = F.when(asked(manager_col) & ~F.col("_has_manager"), F.lit("gestora_inexistente")) \
+              .when(asked(episode_col) & ~F.col("_has_episode"), F.lit("paciente_inexistente"))
     for col, allowed, label in enum_checks:
-        reason = reason.when(~_in(F.col(col), allowed), F.lit(label))
+        reason = reason.when(asked(col) & ~_in(F.col(col), allowed), F.lit(label))
     return flagged.withColumn("motivo", reason).drop("_has_manager", "_has_episode")
 
 
@@ -170,20 +220,20 @@ def insert_stays(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str]
         has_keys = has_keys & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
     missing = df.where(~has_keys).withColumn("motivo", F.lit("falta_clave"))
     valid = df.where(has_keys)
-    order = list(order_cols) if order_cols else keys
-    first = keyed.first_per_key(valid, keys, order)
-    accepted = keyed.exclude_existing(first, stored, keys) if stored is not None else first
-    # rows of the batch that were not the accepted row of their key
-    if order_cols:
-        acc_rows = accepted.select(*keys, *[F.col(c).alias("_o_" + c) for c in order_cols])
-        dup = valid.join(acc_rows, keys, "left")
-        same = F.lit(True)
-        for c in order_cols:
-            same = same & F.col(c).eqNullSafe(F.col("_o_" + c))
-        rejected_dup = dup.where(~F.coalesce(same, F.lit(False))).drop(*["_o_" + c for c in order_cols])
+    # equal rows are counted first (map-side), so every row ends up accepted or rejected
+    # and a key that many rows share is small before it is joined
+    columns = valid.columns
+    grouped = valid.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    row = F.struct(*(order_cols or ()), *[c for c in columns if c not in (order_cols or ())])
+    first = grouped.groupBy(*keys).agg(F.min(row).alias("_first"))
+    if stored is not None:
+        first = keyed.existing_flag(first, stored, keys, "_stored")
     else:
-        dup = valid.join(accepted.select(*keys).withColumn("_acc", F.lit(True)), keys, "left")
-        rejected_dup = dup.where(F.col("_acc").isNull()).drop("_acc")
+        first = first.withColumn("_stored", F.lit(False))
+    ranked = grouped.join(first, keys).withColumn("_wins", row.eqNullSafe(F.col("_first")) & ~F.col("_stored"))
+    accepted = ranked.where("_wins").select(*columns)
+    again = F.explode(F.sequence(F.lit(1), F.col("_n") - F.col("_wins").cast("int")))
+    rejected_dup = ranked.where(F.col("_n") > F.col("_wins").cast("int")).withColumn("_again", again).select(*columns)
     rejected = missing.unionByName(rejected_dup.withColumn("motivo", F.lit("duplicado")), allowMissingColumns=True)
     if stamp:
         now = F.current_timestamp()

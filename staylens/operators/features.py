@@ -17,7 +17,7 @@ from ..functions import headers as H
 from ..functions import scalars as X
 from .joins import left_join_suffixed, with_scalars
 from .ranking import position_in_key
-from .stats import quantile_col, quantiles
+from .stats import quantiles
 
 GRD_REQUIRED = ["edad_en_anos", "sexo_desc_", "servicio_ingreso_descripcion_", "prevision_desc_",
                 "ir_grd_codigo_"]
@@ -35,8 +35,7 @@ def epoch_seconds(ts: Column) -> Column:
 
 def with_tercile_code(df: DataFrame, value: str, out: str, exact: bool = True) -> DataFrame:
     """X20 using whole-table 0.33 / 0.66 quantiles (one broadcast row)."""
-    q = df.agg(quantile_col(value, [0.33, 0.66], exact).alias("_q"))
-    q = q.select(F.col("_q")[0].alias("_q33"), F.col("_q")[1].alias("_q66"))
+    q = quantiles(df, value, [0.33, 0.66], ["_q33", "_q66"], "rank" if exact else "approx")
     v = X.nan_to_null(F.col(value).cast("double"))
     return (with_scalars(df, q)
             .withColumn(out, X.tercile_code(v, F.col("_q33"), F.col("_q66")))
@@ -98,9 +97,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, sha
     of each class (in hash order) train. Ranks come from a range-partitioned
     global order, so one class never has to fit in one task."""
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    ranked = position_in_key(df.withColumn("_h", h), [label], ["_h", id_col], name="_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = ranked.join(F.broadcast(sizes), label)   # one row per class
+    ranked = position_in_key(df.withColumn("_h", h), [label], ["_h", id_col], name="_r", slice_col=F.shiftright("_h", 56))
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_class"])).drop("_class")   # NULL is a class
     is_train = F.col("_r") < F.round(F.col("_n") * share)
     train = tagged.where(is_train).drop("_h", "_r", "_n")
     test = tagged.where(~is_train).drop("_h", "_r", "_n")
@@ -109,16 +108,20 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, sha
 
 def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """M4: NULL -> whole-column median (one broadcast row for all columns)."""
-    med = df.agg(*[quantile_col(c, 0.5, exact).alias("_med_" + c) for c in cols])
-    out = with_scalars(df, med)
+    out = df
+    for c in cols:
+        out = with_scalars(out, quantiles(df, c, [0.5], ["_med_" + c], "rank" if exact else "approx"))
     return out.select(*[F.coalesce(X.nan_to_null(F.col(c)), F.col("_med_" + c)).alias(c) if c in cols
                         else F.col(c) for c in df.columns])
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M5: NULL -> most frequent value (ties: the smallest value)."""
-    modes = df.agg(*[F.mode(F.col(c), deterministic=True).alias("_mode_" + c) for c in cols])
-    out = with_scalars(df, modes)
+    out = df
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_mode_" + c)).agg(F.count(F.lit(1)).alias("_n"))
+        best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_mode_" + c).alias("v")))       # combined map-side
+        out = with_scalars(out, counts.agg(best["v"].alias("_mode_" + c)))
     return out.select(*[F.coalesce(F.col(c), F.col("_mode_" + c)).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
 
@@ -128,10 +131,12 @@ def pool_rare_levels(df: DataFrame, col: str, min_frequency: float = 0.01,
     """M6: levels seen in fewer than ``min_frequency`` of the rows become one level."""
     n = df.agg(F.count(F.lit(1)).alias("_rows"))
     freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    rare = (with_scalars(freq, n).where(F.col("_cnt") < F.col("_rows") * min_frequency)
-            .select(col, F.lit(True).alias("_rare")))
-    out = df.join(rare, col, "left")
-    return out.select(*[F.when(F.col("_rare"), F.lit(label)).otherwise(F.col(c)).alias(c) if c == col
+    # at most 1 / min_frequency levels are kept: they are one scalar, no row moves (NULL is a level)
+    kept = (with_scalars(freq, n).where(F.col("_cnt") >= F.col("_rows") * min_frequency)
+            .agg(F.collect_list(F.struct(F.col(col).alias("l"))).alias("_kept")))
+    out = with_scalars(df, kept)
+    held = F.array_contains("_kept", F.struct(F.col(col).alias("l")))
+    return out.select(*[F.when(held, F.col(c)).otherwise(F.lit(label)).alias(c) if c == col
                         else F.col(c) for c in df.columns])
 
 

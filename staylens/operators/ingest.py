@@ -64,6 +64,7 @@ CENSUS_SYNONYMS = {
 }
 CENSUS_KEYS = [["unidad", "sala", "cama", "snapshot_at"], ["unidad", "cama", "snapshot_at"],
                ["cama", "snapshot_at"]]
+# FIXED VALUES: shapes of the time stamp in a file name.
 FILE_STAMP_WITH_TIME = r"(\d{2})[-_/](\d{2})[-_/](\d{4}).*?(\d{2})(\d{2})"
 FILE_STAMP_DATE = r"(\d{2})[-_/](\d{2})[-_/](\d{4})"
 
@@ -101,13 +102,13 @@ def fill_identity(df: DataFrame, episode: str = "episodio", age: str | None = "e
     return out
 
 
-def normalize_stays(raw: DataFrame, detect_extra_dates: bool = False) -> DataFrame:
+def normalize_stays(raw: DataFrame, extra_serials: bool = False) -> DataFrame:
     """Stays feed: slugged text columns in, typed canonical columns out.
 
     ``raw`` holds only STRING columns whose names are already slugged (P1).
-    Unmapped columns are carried as they are (``detect_extra_dates`` turns on
-    the serial/ISO/dd-mm-yyyy heuristic of the source, off by default since it
-    turns any 5-digit code into a date).
+    Unmapped columns are carried; ISO and dd/mm/yyyy text in them becomes ISO
+    text. ``extra_serials`` also takes bare 5-digit numbers for serial dates (off
+    by default: they may be codes).
     """
     control = [c for c in raw.columns if c.startswith("_")]   # scan bookkeeping, carried as is
     cols = [c for c in raw.columns if c not in control]
@@ -139,7 +140,7 @@ def normalize_stays(raw: DataFrame, detect_extra_dates: bool = False) -> DataFra
     consumed = set(STAY_CANON) | {"marca_temporal"}
     for c in cols:
         if c not in consumed and c not in produced:
-            select.append(X.carried_value(F.col(c), detect_extra_dates).alias(c))
+            select.append(X.carried_value(F.col(c), extra_serials).alias(c))
             produced.add(c)
     for c in STAY_ML_DEFAULTS:
         if c not in produced:

@@ -1,5 +1,4 @@
-"""Join helpers: suffixing left join (J1), one-row scalar attachment
-and a size-checked broadcast for dimension tables."""
+"""Join helpers: suffixing left join (J1) and one-row scalar attachment."""
 
 from __future__ import annotations
 
@@ -41,10 +40,3 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     out = df.withColumn("_scalars", packed)
     return out.select(*[F.col(c) for c in df.columns],
                       *[F.col("_scalars")[c].alias(c) for c in names])
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after checking the row count; otherwise leave the
-    choice to the optimizer (sort-merge join, AQE re-planning)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

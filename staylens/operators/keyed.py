@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,17 @@ def ingest_counts(batch: DataFrame, inserted: DataFrame, key_used: Sequence[str]
     return out
 
 
+def read_if_exists(spark, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """A stored table, or None if nothing is stored at ``path`` yet; any other
+    failure of the read rises."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_cols: Sequence,
                fmt: str = "parquet", partition_by: Sequence[str] | None = None,
                drop_cols: Sequence[str] = ()) -> dict:
@@ -87,10 +99,7 @@ def append_new(batch: DataFrame, table_path: str, keys: Sequence[str], order_col
     rewrite of existing files). Returns the A4 report as a dict.
     """
     spark = batch.sparkSession
-    try:
-        stored = spark.read.format(fmt).load(table_path)
-    except Exception:  # first load: nothing stored yet
-        stored = None
+    stored = read_if_exists(spark, table_path, fmt)
     new = first_per_key(batch, keys, order_cols)
     if stored is not None:
         if partition_by:

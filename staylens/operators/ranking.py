@@ -14,7 +14,7 @@ from __future__ import annotations
 from typing import Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,18 +72,41 @@ def global_position(df: DataFrame, order_cols: Sequence, name: str = "gpos",
     return _with_positions(ranked, counts, name).drop("_pid", "_mid")
 
 
+def _slices(df: DataFrame, first) -> "Column | None":
+    """A coarse, order-preserving slice of the first ordering column, if its type has one."""
+    if not isinstance(first, str):
+        return None
+    kind = df.schema[first].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.to_date(first)
+    return F.substring(first, 1, 2) if kind == "string" else None
+
+
 def position_in_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence,
-                    name: str = "pos", partitions: int | None = None) -> DataFrame:
+                    name: str = "pos", partitions: int | None = None, slice_col=None) -> DataFrame:
     """0-based position of each row inside its key, in ``order_cols`` order.
 
-    Equivalent to ``row_number() - 1`` over ``partitionBy(keys)``, but a hot key
-    is spread over several range partitions instead of one window task.
+    Equivalent to ``row_number() - 1`` over ``partitionBy(keys)`` (NULL keys are
+    one group), but a key is ranked slice by slice: ``slice_col`` (default: the
+    day, or the first two characters, of the first ordering column) must grow
+    with the order. Rows move once, by (key, slice); the rows of a key before
+    each slice come from the counts per (key, slice), which are combined
+    map-side. Without a slice the global order is used.
     """
-    ordered = global_position(df, [*keys, *order_cols], "_gpos", partitions)
-    starts = ordered.groupBy(*keys).agg(F.min("_gpos").alias("_start"))
-    return (ordered.join(starts, list(keys))
-                   .withColumn(name, F.col("_gpos") - F.col("_start"))
-                   .drop("_gpos", "_start"))
+    part = slice_col if slice_col is not None else _slices(df, order_cols[0])
+    if part is None:
+        ordered = global_position(df, [*keys, *order_cols], "_gpos", partitions).withColumn("_key", F.struct(*keys))
+        starts = ordered.groupBy("_key").agg(F.min("_gpos").alias("_start"))
+        return ordered.join(starts, "_key").withColumn(name, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start", "_key")
+    # a struct is never NULL and its NULL fields are equal, so NULL keys join too
+    rows = df.withColumn("_cell", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], part.alias("s")))
+    counts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[F.col("_cell")[f"k{i}"] for i in range(len(keys))]).orderBy(F.col("_cell.s")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(*order_cols)) - 1
+    return (rows.withColumn("_inside", inside).join(starts, "_cell")
+            .withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_cell", "_inside", "_start"))
 
 
 def running_totals(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
@@ -127,7 +150,7 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
     """Exact linear-interpolation quantiles with memory bounded per task.
 
     ``percentile`` keeps one map entry per distinct value in a single final
-    task; here the values are range-partitioned and positioned instead, and
+    task; here the distinct values are counted and range-partitioned instead, and
     only the (at most two per probability) values at the needed ranks reach
     the driver. Returns a one-row DataFrame (NULLs when there are no values).
     """
@@ -137,9 +160,10 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
     col = F.col(value) if isinstance(value, str) else value
     v = df.select(F.nanvl(col.cast("double"), F.lit(None).cast("double")).alias("_v")) \
           .where(F.col("_v").isNotNull())
-    ranked = _ranged(v, ["_v"], partitions)
-    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = sum(r["n"] for r in counts)
+    # one row per distinct value: a value that most rows share weighs no more than another
+    ranked = _ranged(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], partitions)
+    totals = ranked.groupBy("_pid").agg(F.sum("_n").alias("n")).collect()
+    n = sum(r["n"] for r in totals)
     cols = [(nm, "DOUBLE") for nm in names]
     if n == 0:
         return numeric_values_table(spark, [tuple([None] * len(names))], cols)
@@ -148,8 +172,14 @@ def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Seque
         h = (n - 1) * p
         spots[p] = (h, int(math.floor(h)), int(math.ceil(h)))
     wanted = sorted({x for _, lo, hi in spots.values() for x in (lo, hi)})
-    got = {r["_g"]: r["_v"] for r in
-           _with_positions(ranked, counts, "_g").where(F.col("_g").isin(wanted)).select("_g", "_v").collect()}
+    offs = _offsets(totals, ["n"])
+    table = numeric_values_table(spark, [(pid, o[0]) for pid, o in sorted(offs.items())], [("_pid", "INT"), ("_off", "BIGINT")])
+    upto = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_v"))
+    placed = ranked.withColumn("_to", upto).join(F.broadcast(table), "_pid").withColumn("_to", F.col("_to") + F.col("_off"))
+    hit = F.array_contains(F.transform(F.array(*map(F.lit, wanted)), lambda w: (w < F.col("_to")) & (w >= F.col("_to") - F.col("_n"))), True)
+    got = {}
+    for r in placed.where(hit).select("_v", "_to", "_n").collect():        # at most two values per probability
+        got.update({w: r["_v"] for w in wanted if r["_to"] - r["_n"] <= w < r["_to"]})
     vals = []
     for p in probs:
         h, lo, hi = spots[p]

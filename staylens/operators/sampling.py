@@ -20,9 +20,11 @@ def hash_order(id_col: str, seed: int = 42) -> Column:
 
 
 def sample_size(n_rows: int, share: float = CAL_SHARE, cap: int = CAL_MAX) -> int:
-    """min(cap, floor(share * n)); when that is 0, min(1000, n)."""
+    """min(cap, floor(share * n)); an error when that is 0, since nothing could be calibrated."""
     k = min(cap, int(n_rows * share))
-    return k if k > 0 else min(1000, n_rows)
+    if k < 1:
+        raise ValueError(f"{n_rows} rows are too few for a sample of share {share}")
+    return k
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

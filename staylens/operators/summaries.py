@@ -46,9 +46,11 @@ def ordered_struct(order_cols: Sequence, payload: Sequence[str], nulls_last: boo
     return F.struct(*parts, *[F.col(p).alias(p) for p in payload])
 
 
-def page(df: DataFrame, order_cols: Sequence, skip: int = 0, limit: int = 100) -> DataFrame:
-    """One ordered page; Spark plans it as a top-k (no full sort)."""
-    return df.orderBy(*order_cols).offset(skip).limit(limit)
+def page(df: DataFrame, order_cols: Sequence, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """One ordered page (a top-k, no full sort); without a limit all rows after ``skip``."""
+    out = df.orderBy(*order_cols)
+    out = out.offset(skip) if skip else out
+    return out if limit is None else out.limit(limit)
 
 
 def day_level_last(history: DataFrame, key: str, ts: str, value: Column, tiebreak: str,
@@ -141,7 +143,7 @@ def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.lit(None).cast("string").alias(n) for n in missing])
 
 
-def people_summary(stays: DataFrame, skip: int = 0, limit: int | None = 100) -> DataFrame:
+def people_summary(stays: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Episode summary job: F1 -> A1 (latest record) + J5 (bed as of the end
     of the discharge day) -> P14 aliases -> P13 blanks -> T1 page.
 
@@ -162,7 +164,7 @@ def people_summary(stays: DataFrame, skip: int = 0, limit: int | None = 100) ->
         *[F.coalesce(*[F.col(c) for c in cs]).alias(name) for name, cs in ALIASES.items()],
         "ultima_cama")
     out = clean_blanks(out)
-    return page(out, ["episodio"], skip, limit) if limit is not None else out
+    return page(out, ["episodio"], skip, limit) if skip or limit is not None else out
 
 
 # FIXED VALUES: per-record fields of the episode history.

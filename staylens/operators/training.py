@@ -11,15 +11,16 @@ row cap is needed.
 
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as FE
@@ -30,6 +31,8 @@ from .joins import with_scalars
 from .scoring import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 SEED = 42
+ROUNDS = 100
+MIN_FREQUENCY = 0.01
 
 
 def _prep_stages(kind: str, num: Sequence[str], cat: Sequence[str]):
@@ -42,55 +45,70 @@ def _prep_stages(kind: str, num: Sequence[str], cat: Sequence[str]):
         vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_v" for c in cat],
                               outputCol="features", handleInvalid="keep")
         return [imp, idx, ohe, vec]
-    vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_x" for c in cat],
+    # ordinal codes are plain numbers to the trees: an expression drops the nominal metadata,
+    # which would demand a bin per level
+    plain = SQLTransformer(statement="SELECT *, " + ", ".join(f"{c}_x + 0D AS {c}_o" for c in cat) + " FROM __THIS__")
+    vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_o" for c in cat],
                           outputCol="features", handleInvalid="keep")
-    return [imp, idx, vec]
+    return [imp, idx, plain, vec]
+
 
 
 class Preparation:
     """M5 (+ M6 for the linear model) learned on the training rows and applied
-    to any batch: the modes are one row, the rare-level tables one row per
-    level, both kept as DataFrames and joined (no values pass the driver)."""
-
-    def __init__(self, train: DataFrame, kind: str, cat: Sequence[str] = CATEGORICAL_FEATURES):
-        self.kind, self.cat = kind, list(cat)
-        self.modes = train.agg(*[F.mode(F.col(c), deterministic=True).alias("_mode_" + c) for c in self.cat])
-        self.rare = {}
+    to any batch. What is learned is small: one mode per category column and
+    at most 1 / ``MIN_FREQUENCY`` frequent levels, so it is kept as plain values,
+    which are saved with the model."""
+
+    def __init__(self, kind: str, modes: dict, frequent: dict):
+        self.kind, self.modes, self.frequent = kind, modes, frequent
+
+    @classmethod
+    def learn(cls, train: DataFrame, kind: str, cat: Sequence[str] = CATEGORICAL_FEATURES) -> "Preparation":
+        modes, frequent = {}, {}
+        for c in cat:
+            counts = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+            best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(c).alias("v")))["v"]).first()
+            modes[c] = best[0] if best else None
         if kind == "logistic":
-            filled = self._fill(train)
-            n = filled.agg(F.count(F.lit(1)).alias("_rows"))
-            for c in self.cat:
-                freq = with_scalars(filled.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt")), n)
-                self.rare[c] = freq.where(F.col("_cnt") < F.col("_rows") * 0.01).select(
-                    c, F.lit(True).alias("_rare_" + c))
+            filled = cls(kind, modes, {})._fill(train)
+            n = filled.count()
+            for c in cat:
+                levels = filled.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n * MIN_FREQUENCY)
+                frequent[c] = sorted(r[0] for r in levels.select(c).collect() if r[0] is not None)
+        return cls(kind, modes, frequent)
 
     def _fill(self, df: DataFrame) -> DataFrame:
-        out = with_scalars(df, self.modes)                     # one-row aggregate
-        return out.select(*[F.coalesce(F.col(c), F.col("_mode_" + c)).alias(c) if c in self.cat
-                            else F.col(c) for c in df.columns])
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in self.modes.items() if m is not None})
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = self._fill(df)
-        for c, table in self.rare.items():
-            out = out.join(table, c, "left").withColumn(
-                c, F.when(F.col("_rare_" + c), F.lit(FE.INFREQUENT)).otherwise(F.col(c))).drop("_rare_" + c)
-        return out
+        return out.withColumns({c: F.when(F.col(c).isin(levels), F.col(c)).otherwise(F.lit(FE.INFREQUENT))
+                                for c, levels in self.frequent.items()})
+
+    def to_json(self) -> str:
+        return json.dumps({"kind": self.kind, "modes": self.modes, "frequent": self.frequent})
+
+    @classmethod
+    def from_json(cls, text: str) -> "Preparation":
+        return cls(**json.loads(text))
 
 
 def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
-        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES):
-    """Fit the linear or the boosted model with sample weights.
-    Returns (preparation, pipeline model)."""
-    if kind == "logistic":
-        clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=100, tol=1e-6,
-                                 regParam=0.0, standardization=True)
-    else:
-        clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=20,
-                            maxDepth=5, maxBins=64)
-    prep = Preparation(train, kind, cat)
+        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES, rounds: int = ROUNDS):
+    """Fit the linear model (L2 of strength one, unscaled) or the boosted
+    one (``rounds`` trees) with sample weights. Returns (preparation, pipeline model)."""
+    prep = Preparation.learn(train, kind, cat)
     # Iterative fits read their input many times: materialise it once.
     prepared = prep.apply(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if kind == "logistic":
+            total = prepared.agg(F.sum(weight_col)).first()[0] or 1.0
+            clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=500, tol=1e-6,
+                                     regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False)
+        else:
+            clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=rounds,
+                                maxDepth=5, maxBins=255)
         return prep, Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepared)
     finally:
         prepared.unpersist()
@@ -121,7 +139,7 @@ def apply_sigmoid(cal_model, scored: DataFrame, out: str = "p") -> DataFrame:
 
 
 def fit_isotonic_cv(train: DataFrame, kind: str = "gbt", n_folds: int = 3, id_col: str = "episodio",
-                    weight_col: str = "w") -> list:
+                    weight_col: str = "w", rounds: int = ROUNDS) -> list:
     """Isotonic calibration with cross-validation, as an ensemble.
 
     Fold ids come from a hash of the id (no driver-side split). For every
@@ -133,7 +151,7 @@ def fit_isotonic_cv(train: DataFrame, kind: str = "gbt", n_folds: int = 3, id_co
     data = train.withColumn("_fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
     members = []
     for f in range(n_folds):
-        fitted = fit(data.where(F.col("_fold") != f).drop("_fold"), kind, weight_col)
+        fitted = fit(data.where(F.col("_fold") != f).drop("_fold"), kind, weight_col, rounds=rounds)
         held = margin(fitted, data.where(F.col("_fold") == f).drop("_fold"))
         iso = IsotonicRegression(labelCol="excede_norma", featuresCol="p_raw", weightCol=weight_col,
                                  predictionCol="p_iso").fit(held)
@@ -165,19 +183,21 @@ def evaluate(scored: DataFrame, y: str = "excede_norma", p: str = "p") -> DataFr
                         M.brier(scored, y, p))
 
 
-def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline: bool = True) -> dict:
+def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline: bool = True,
+                    rounds: int = ROUNDS) -> dict:
     """Full training run: split (M2), weights (M8), linear baseline, boosted
     model on the core slice, sigmoid calibration on a hash sample (T5, M11),
     scores of the test side. Returns a dict of DataFrames / models."""
     data = dataset.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = FE.time_split(data, "fecha")
-    train = FE.class_weights(train, "excede_norma", "peso", "w").persist(StorageLevel.MEMORY_AND_DISK)
     test = test.withColumn("w", F.col("peso"))
     cal, core = SA.split_sample(train, id_col)
-    boosted = fit(core, "gbt")
+    # each model is balanced on the rows it is fitted on
+    balanced = lambda df: FE.class_weights(df, "excede_norma", "peso", "w")
+    boosted = fit(balanced(core), "gbt", rounds=rounds)
     # The calibration slice holds at most CAL_MAX rows (T5), so one partition
     # is enough and saves per-iteration task overhead in the L-BFGS loop.
-    cal_scored = margin(boosted, cal).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
+    cal_scored = margin(boosted, cal.withColumn("w", F.col("peso"))).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
     # the calibrator sees the plain sample weights; class balancing is a
     # property of the classifiers only
     cal_model = fit_sigmoid(cal_scored, weight_col="peso")
@@ -185,32 +205,53 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
     out = {
         "test_scores": test_scored.select(id_col, "excede_norma", "p"),
         "deciles": R.decile_lift(test_scored, "excede_norma", "p"),
-        "models": {"boosted": boosted[1], "calibrator": cal_model},
+        "models": {"boosted": boosted, "calibrator": cal_model},
     }
     if with_baseline:
-        baseline = fit(train, "logistic")
+        baseline = fit(balanced(train), "logistic")
         base_scored = margin(baseline, test).withColumn("p", F.col("p_raw"))
         out["baseline_scores"] = base_scored.select(id_col, "excede_norma", "p")
-        out["models"]["baseline"] = baseline[1]
+        out["models"]["baseline"] = baseline
     return out
 
 
 def save_models(models: dict, base_path: str) -> None:
-    """Persist every fitted pipeline under ``base_path``."""
+    """Persist fitted models. ``models``: name -> (preparation, pipeline) as
+    :func:`fit` returns it, or a bare pipeline model (a calibrator)."""
     for name, m in models.items():
-        m.write().overwrite().save(f"{base_path.rstrip('/')}/{name}")
-
-
-def load_preferred(base_path: str, order: Sequence[str] = ("calibrator", "boosted", "baseline")):
-    """First model found in preference order."""
+        path = f"{base_path.rstrip('/')}/{name}"
+        prep, model = m if isinstance(m, tuple) else (None, m)
+        model.write().overwrite().save(f"{path}/model")
+        text = prep.to_json() if prep else ""
+        _spark().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/preparation")
+
+
+def load_model(base_path: str, name: str):
+    """One saved model, as it was passed to :func:`save_models`; None if absent."""
+    from .keyed import read_if_exists
+    path = f"{base_path.rstrip('/')}/{name}"
+    text = read_if_exists(_spark(), f"{path}/preparation", "text")
+    if text is None:
+        return None
+    model = PipelineModel.load(f"{path}/model")
+    value = text.first()
+    return (Preparation.from_json(value[0]), model) if value and value[0] else model
+
+
+def load_preferred(base_path: str, order: Sequence[str] = ("boosted", "baseline")):
+    """(name, fitted, calibrator) of the first saved model in preference order;
+    the calibrator, if one was saved, belongs to the boosted model."""
     for name in order:
-        try:
-            return name, PipelineModel.load(f"{base_path.rstrip('/')}/{name}")
-        except Exception:
-            continue
+        fitted = load_model(base_path, name)
+        if fitted is not None:
+            return name, fitted, load_model(base_path, "calibrator") if name == "boosted" else None
     raise FileNotFoundError(f"no model under {base_path}")
 
 
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession()
+
+
 def score_tables(fitted, grd: DataFrame, score: DataFrame, calibrator=None,
                  template: Sequence[str] | None = None, output: str = "id",
                  run_stamp: str | None = None) -> DataFrame:

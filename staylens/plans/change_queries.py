@@ -78,6 +78,22 @@ def patch_set_nulls(spark, sf):
     return _round(patched, ["c_acctbal"])
 
 
+def patch_merge_rejects(spark, sf):
+    """Two patches per key merged in their order; empty, unreadable and unknown ones come back."""
+    c = _customer(spark, sf)
+    seg, k = F.col("c_mktsegment"), F.col("c_custkey")
+    first = F.when(seg == "AUTOMOBILE", F.create_map(F.lit("c_acctbal"), F.lit("1.5"), F.lit("c_name"), F.lit("uno"))) \
+             .when(seg == "BUILDING", F.create_map(F.lit("c_acctbal"), F.lit("12,5"))) \
+             .when(seg == "MACHINERY", F.create_map(F.lit("c_custkey"), F.lit("7"))) \
+             .otherwise(F.create_map(F.lit("c_name"), F.lit("nadie")))
+    known = F.when(seg == "HOUSEHOLD", k + F.lit(10 ** 12)).otherwise(k)
+    one = c.select(known.alias("c_custkey"), first.alias("fields"), F.lit(1).alias("orden"))
+    two = c.where(seg == "AUTOMOBILE").select("c_custkey", F.create_map(F.lit("c_acctbal"), F.lit("2.5")).alias("fields"), F.lit(2).alias("orden"))
+    patched, rejected = C.apply_patch_map(c, one.unionByName(two), ["c_custkey"], order_cols=["orden"])
+    return (_round(patched, ["c_acctbal"]).select("c_custkey", "c_name", "c_acctbal", F.lit("tabla").alias("motivo"))
+            .unionByName(rejected.select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"), "motivo")))
+
+
 def patch_nonnull(spark, sf):
     c = _customer(spark, sf)
     patch = c.where(F.col("c_mktsegment") == "AUTOMOBILE").select(
@@ -107,8 +123,7 @@ def validate_fk(spark, sf):
         o, managers, episodes, manager_col="o_custkey", episode_col="o_orderkey",
         enum_checks=[("o_orderpriority", ORDER_PRIORITIES, "prioridad_invalida"),
                      ("o_orderstatus", ORDER_STATUSES, "status_invalido")])
-    return (checked.groupBy(F.coalesce(F.col("motivo"), F.lit("ok")).alias("motivo"))
-                   .agg(F.count(F.lit(1)).alias("n")))
+    return checked.select("o_orderkey", F.coalesce("motivo", F.lit("ok")).alias("motivo"))
 
 
 def filter_optional(spark, sf):
@@ -142,9 +157,8 @@ def insert_stays(spark, sf):
     unspecified priority arrive without episode; status F rows are stored."""
     accepted, rejected = C.insert_stays(_stay_batch(spark, sf), _stay_batch(spark, sf, stored=True),
                                         order_cols=["o_orderkey"], stamp=False)
-    return (accepted.select(F.lit("aceptado").alias("motivo"))
-            .unionByName(rejected.select("motivo"))
-            .groupBy("motivo").agg(F.count(F.lit(1)).alias("n")))
+    cols = ["episodio", "marca_temporal", "o_orderkey", "prob_sobre_estadia", "motivo"]
+    return accepted.withColumn("motivo", F.lit("aceptado")).select(*cols).unionByName(rejected.select(*cols))
 
 
 QUERIES = {
@@ -153,6 +167,7 @@ QUERIES = {
     "insert_if_absent": insert_if_absent,
     "ingest_counts": ingest_counts,
     "patch_set_nulls": patch_set_nulls,
+    "patch_merge_rejects": patch_merge_rejects,
     "patch_nonnull": patch_nonnull,
     "delete_keys": delete_keys,
     "validate_fk": validate_fk,
@@ -178,17 +193,18 @@ ORACLE = {
     "insert_stays": """
 WITH b AS (
   SELECT CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS episodio,
-         o_orderdate AS marca_temporal, o_orderkey, o_orderstatus FROM orders),
+         o_orderdate AS marca_temporal, o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS prob_sobre_estadia FROM orders),
 s AS (SELECT * FROM b WHERE o_orderstatus = 'F' AND episodio IS NOT NULL),
 v AS (SELECT *, row_number() OVER (PARTITION BY episodio, marca_temporal ORDER BY o_orderkey) AS rn
       FROM b WHERE episodio IS NOT NULL AND episodio <> '' AND marca_temporal IS NOT NULL),
 t AS (
-  SELECT CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.episodio = v.episodio
+  SELECT episodio, marca_temporal, o_orderkey, prob_sobre_estadia, CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.episodio = v.episodio
                                            AND s.marca_temporal = v.marca_temporal)
               THEN 'aceptado' ELSE 'duplicado' END AS motivo FROM v
   UNION ALL
-  SELECT 'falta_clave' FROM b WHERE episodio IS NULL OR episodio = '' OR marca_temporal IS NULL)
-SELECT motivo, count(*) AS n FROM t GROUP BY motivo""",
+  SELECT episodio, marca_temporal, o_orderkey, prob_sobre_estadia, 'falta_clave' FROM b
+  WHERE episodio IS NULL OR episodio = '' OR marca_temporal IS NULL)
+SELECT * FROM t""",
     "dedupe_first_wins": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity,
        round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount,
@@ -214,6 +230,14 @@ SELECT c.c_custkey, c.c_name, c.c_nationkey,
        CASE WHEN p.k IS NOT NULL THEN p.acctbal ELSE round(c.c_acctbal, 6) END AS c_acctbal,
        CASE WHEN p.k IS NOT NULL THEN p.seg ELSE c.c_mktsegment END AS c_mktsegment
 FROM customer c LEFT JOIN p ON c.c_custkey = p.k""",
+    "patch_merge_rejects": """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'uno' WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN c_name ELSE 'nadie' END AS c_name,
+       CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 2.5 ELSE round(c_acctbal, 6) END AS c_acctbal, 'tabla' AS motivo
+FROM customer
+UNION ALL
+SELECT CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_custkey + 1000000000000 ELSE c_custkey END, NULL, NULL,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'valor_invalido' WHEN 'MACHINERY' THEN 'patch_vacio' ELSE 'no_encontrado' END
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')""",
     "patch_nonnull": """
 WITH p AS (SELECT c_custkey AS k, CAST(NULL AS DOUBLE) AS acctbal, 'AUTO' AS seg,
                   CAST(NULL AS VARCHAR) AS name
@@ -231,15 +255,14 @@ WITH m AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment <> 'H
 e AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
 f AS (SELECT o.*, m.k IS NOT NULL AS has_m, e.k IS NOT NULL AS has_e
       FROM orders o LEFT JOIN m ON o.o_custkey = m.k LEFT JOIN e ON o.o_orderkey = e.k)
-SELECT CASE WHEN NOT has_m THEN 'gestora_inexistente'
+SELECT o_orderkey, CASE WHEN NOT has_m THEN 'gestora_inexistente'
             WHEN NOT has_e THEN 'paciente_inexistente'
             WHEN o_orderpriority IS NULL
                  OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')
                  THEN 'prioridad_invalida'
             WHEN o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F') THEN 'status_invalido'
-            ELSE 'ok' END AS motivo,
-       count(*) AS n
-FROM f GROUP BY 1""",
+            ELSE 'ok' END AS motivo
+FROM f""",
     "filter_optional": """
 SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderdate,
        o_orderpriority

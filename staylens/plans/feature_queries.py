@@ -42,9 +42,8 @@ def tercile_code(spark, sf):
 def time_split(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("fecha"))
     train, test = FE.time_split(o, "fecha")
-    return (train.select(F.lit("train").alias("lado"))
-            .unionByName(test.select(F.lit("test").alias("lado")))
-            .groupBy("lado").agg(F.count(F.lit(1)).alias("n")))
+    return (train.select("o_orderkey", F.lit("train").alias("lado"))
+            .unionByName(test.select("o_orderkey", F.lit("test").alias("lado"))))
 
 
 def _part_with_gaps(spark, sf):
@@ -80,12 +79,15 @@ def datagen(spark, sf):
     return G.generate_grd(keys, "o_orderkey", seed=42)
 
 
+PROFILED = ("l_partkey", "l_suppkey", "l_linenumber")
+
+
 def profile_generated(spark, sf):
-    """Min, max and distinct count of generated columns."""
+    """Min, max and distinct count of columns of a stored table."""
     from ..operators.stats import profile
-    g = datagen(spark, sf)
+    g = read_table(spark, sf, "lineitem")
     parts = [profile(g.select(F.col(c).cast("bigint").alias(c)), c).select(F.lit(c).alias("columna"), "*")
-             for c in ("edad_en_anos", "ir_grd_codigo_", "proced_01_principal_cod_")]
+             for c in PROFILED]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -160,8 +162,8 @@ FROM b, q2""",
     "time_split": """
 WITH e AS (SELECT o_orderkey, epoch(o_orderdate) AS s FROM orders),
 c AS (SELECT quantile_cont(s, 0.8) AS cut FROM e)
-SELECT CASE WHEN s <= cut THEN 'train' ELSE 'test' END AS lado, count(*) AS n
-FROM e, c WHERE s IS NOT NULL GROUP BY 1""",
+SELECT o_orderkey, CASE WHEN s <= cut THEN 'train' ELSE 'test' END AS lado
+FROM e, c WHERE s IS NOT NULL""",
     "median_impute": f"""
 WITH {_GAPS}
 SELECT p_partkey, round(coalesce(precio, (SELECT median(precio) FROM pg)), 6) AS precio FROM pg""",
@@ -177,9 +179,7 @@ FROM pg LEFT JOIN f ON pg.nivel IS NOT DISTINCT FROM f.nivel""",
     "sample_hash": """
 SELECT o_orderkey, o_orderdate FROM orders
 QUALIFY row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '#42'), o_orderkey)
-        <= (SELECT CASE WHEN least(5000, CAST(floor(count(*) * 0.15) AS BIGINT)) > 0
-                        THEN least(5000, CAST(floor(count(*) * 0.15) AS BIGINT))
-                        ELSE least(1000, count(*)) END FROM orders)""",
+        <= (SELECT least(5000, CAST(floor(count(*) * 0.15) AS BIGINT)) FROM orders)""",
     "datagen": f"""
 SELECT 'TEST' || CAST(o_orderkey AS VARCHAR) AS episodio_cmbd,
   CAST(18 + floor({_u('edad')} * 68) AS INTEGER) AS edad_en_anos,
@@ -197,12 +197,6 @@ FROM orders""",
 }
 
 
-ORACLE["profile_generated"] = f"""
-WITH g AS ({ORACLE["datagen"]})
-SELECT 'edad_en_anos' AS columna, CAST(min(edad_en_anos) AS BIGINT) AS minimo,
-       CAST(max(edad_en_anos) AS BIGINT) AS maximo, count(DISTINCT edad_en_anos) AS distintos FROM g
-UNION ALL
-SELECT 'ir_grd_codigo_', min(ir_grd_codigo_), max(ir_grd_codigo_), count(DISTINCT ir_grd_codigo_) FROM g
-UNION ALL
-SELECT 'proced_01_principal_cod_', min(proced_01_principal_cod_), max(proced_01_principal_cod_),
-       count(DISTINCT proced_01_principal_cod_) FROM g"""
+ORACLE["profile_generated"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, CAST(min({c}) AS BIGINT) AS minimo, CAST(max({c}) AS BIGINT) AS maximo, "
+    f"count(DISTINCT {c}) AS distintos FROM lineitem" for c in PROFILED)

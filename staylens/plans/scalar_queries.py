@@ -44,8 +44,7 @@ def excel_serial(spark, sf):
 def _date_texts(o):
     k = F.col("o_orderkey")
     ts = F.timestamp_add("MINUTE", (k % 24) * 60 + k % 60, F.col("o_orderdate"))
-    serial = F.concat(F.datediff(F.to_date(F.col("o_orderdate")), F.lit("1899-12-30").cast("date"))
-                      .cast("string"), F.lit(".5"))
+    serial = F.concat((k % 80000 + 1).cast("string"), F.lit(".5"))          # dates from 1899 on
     return (F.when(k % 11 == 10, F.lit(None).cast("string"))
              .when(k % 5 == 0, F.date_format(ts, "dd/MM/yyyy HH:mm"))
              .when(k % 5 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
@@ -208,11 +207,11 @@ def _num(s):
     return f"TRY_CAST(replace(trim({s}), ',', '.') AS DOUBLE)"
 
 
-def _parse(s, serial=(20000, 80000)):
+def _parse(s):
     v = _num(s)
     fmts = ["%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d/%m/%Y", "%d-%m-%Y %H:%M:%S", "%d-%m-%Y %H:%M",
             "%d-%m-%Y", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y"]
-    parts = [f"CASE WHEN {v} BETWEEN {serial[0]} AND {serial[1]} THEN {_serial_ts(v)} END",
+    parts = [_serial_ts(v),
              f"CASE WHEN regexp_matches(trim({s}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') "
              f"THEN TRY_CAST(trim({s}) AS TIMESTAMP) END"]
     parts += [f"try_strptime(trim({s}), '{f}')" for f in fmts]
@@ -227,9 +226,7 @@ def _dv(body):
             f"ELSE CAST(11 - {tot} % 11 AS VARCHAR) END)")
 
 
-MALE = ["Juan", "Pedro", "Luis", "Carlos", "Jose", "Diego", "Jorge", "Miguel", "Andres", "Felipe",
-        "Rodrigo", "Sebastian", "Francisco", "Tomas", "Nicolas", "Matias", "Cristobal", "Alvaro",
-        "Rafael", "Hernan"]
+MALE = X.MALE_FIRST_NAMES
 
 
 def _list(values):
@@ -260,12 +257,8 @@ bd AS (
                       CAST((seed2 // 81) % 12 + 1 AS INTEGER), CAST((seed2 // 972) % 28 + 1 AS INTEGER)) AS syn_dob
   FROM sd)"""
 
-FEMALE = ["Maria", "Ana", "Carmen", "Patricia", "Daniela", "Catalina", "Fernanda", "Valentina", "Camila",
-          "Sofia", "Isidora", "Francisca", "Antonia", "Paula", "Javiera", "Carolina", "Andrea", "Beatriz",
-          "Teresa", "Marcela"]
-LAST = ["Gonzalez", "Munoz", "Rojas", "Diaz", "Perez", "Soto", "Contreras", "Silva", "Martinez",
-        "Sepulveda", "Gomez", "Vasquez", "Castillo", "Ramirez", "Herrera", "Gutierrez", "Castro", "Alvarez",
-        "Romero", "Vargas"]
+FEMALE = X.FEMALE_FIRST_NAMES
+LAST = X.LAST_NAMES
 _BODY = "(7000000 + (seed // 800) % 20000001)"
 
 ORACLE = {
@@ -297,7 +290,7 @@ t AS (
          WHEN o_orderkey % 5 = 0 THEN strftime(ts, '%d/%m/%Y %H:%M')
          WHEN o_orderkey % 5 = 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
          WHEN o_orderkey % 5 = 2 THEN strftime(ts, '%d-%m-%Y')
-         WHEN o_orderkey % 5 = 3 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) || '.5'
+         WHEN o_orderkey % 5 = 3 THEN CAST(o_orderkey % 80000 + 1 AS VARCHAR) || '.5'
          ELSE strftime(ts, '%d/%m/%Y') END AS texto
   FROM b)
 SELECT o_orderkey, texto, {_parse('texto')} AS marca, CAST({_parse('texto')} AS DATE) AS fecha FROM t""",
@@ -316,7 +309,7 @@ f AS (
              false) AS parece_fecha
   FROM t)
 SELECT o_orderkey, texto, parece_fecha,
-       CASE WHEN parece_fecha THEN strftime({_parse('texto', (10000, 99999))}, '%Y-%m-%dT%H:%M:%S')
+       CASE WHEN parece_fecha THEN strftime({_parse('texto')}, '%Y-%m-%dT%H:%M:%S')
             ELSE nullif(texto, '') END AS valor
 FROM f""",
     "check_digit": f"""

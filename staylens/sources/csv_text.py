@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import headers as H
+from ..operators.keyed import read_if_exists
 
 SEPARATORS = [";", ",", "\t", "|"]
 REPLACEMENT_CHAR = "�"
@@ -106,12 +107,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
 
 
 def append_history(df: DataFrame, path: str, stamp_col: str | None = "created_at",
-                   partition_by: Sequence[str] | None = None) -> None:
+                   partition_by: Sequence[str] | None = None) -> int:
     """Append scored rows with a UTC audit stamp; the stored schema
-    may grow (readers use ``mergeSchema``)."""
+    may grow (readers use ``mergeSchema``). Returns the rows stored before."""
+    stored = read_if_exists(df.sparkSession, path)
+    before = 0 if stored is None else stored.count()
     if stamp_col:
         df = df.withColumn(stamp_col, F.current_timestamp())
     write_table(df, path, mode="append", partition_by=partition_by)
+    return before
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +129,7 @@ def append_run(df: DataFrame, path: str, run_stamp: str, col: str = "fecha_predi
 
 
 def latest_runs(spark: SparkSession, path: str, n: int = 5, col: str = "fecha_prediccion") -> DataFrame:
-    """The newest ``n`` runs (partition values; only partition metadata is read)."""
+    """The newest ``n`` runs (distinct partition values; no data column is read)."""
     return spark.read.parquet(path).select(col).distinct().orderBy(F.col(col).desc()).limit(n)
 
 

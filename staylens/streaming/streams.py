@@ -63,11 +63,16 @@ def stays_handler(table_path: str, reports: list | None = None):
 
 
 def scoring_handler(model, out_path: str, keep: Sequence[str] = (),
-                    reference_medians: dict | None = None):
-    """foreachBatch body for the scoring drop folder (S5 -> M20 -> S8)."""
+                    *, reference_medians: dict):
+    """foreachBatch body for the scoring drop folder (S5 -> M20 -> S8).
+
+    The medians are required: a score must not depend on which files share a
+    micro-batch. Each epoch overwrites its own partition (``epoca``), so a
+    replayed epoch adds no rows."""
     def handle(batch: DataFrame, epoch: int) -> None:
         scored = SC.score_new_patients(model, batch, keep, reference_medians)
-        scored.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(out_path)
+        (scored.withColumns({"created_at": F.current_timestamp(), "epoca": F.lit(epoch).cast("long")}).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoca").parquet(out_path))
     return handle
 
 

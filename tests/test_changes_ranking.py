@@ -47,6 +47,38 @@ def test_patch_modes(spark):
     assert [r["name"] for r in names.collect()] == ["luz"]
 
 
+def test_patches_of_one_key_are_merged_and_bad_ones_refused(spark):
+    base = spark.createDataFrame([(1, "a", 10.0), (None, "n", 5.0), (3, "c", 1.0)], "k int, name string, v double")
+    pm = spark.createDataFrame([(1, {"v": "2.5", "name": "x"}, 1), (1, {"v": "3.5"}, 2), (3, {"v": "12,5"}, 1), (3, {"k": "9"}, 2),
+                                (None, {"name": "z"}, 1)], "k int, fields map<string,string>, o int")
+    patched, rejected = C.apply_patch_map(base, pm, ["k"], order_cols=["o"])
+    assert sorted(map(tuple, patched.collect()), key=str) == sorted([(1, "x", 3.5), (None, "z", 5.0), (3, "c", 1.0)], key=str)
+    assert sorted((r["o"], r["motivo"]) for r in rejected.collect()) == [(1, "valor_invalido"), (2, "patch_vacio")]
+    pn = spark.createDataFrame([(1, "p", None, 1), (1, "q", None, 2), (3, None, "soon", 1)], "k int, name string, v string, o int")
+    patched, rejected = C.apply_patch_nonnull(base, pn, ["k"], order_cols=["o"])
+    assert sorted(map(tuple, patched.collect()), key=str) == sorted([(1, "q", 10.0), (None, "n", 5.0), (3, "c", 1.0)], key=str)
+    assert [(r["k"], r["motivo"]) for r in rejected.collect()] == [(3, "valor_invalido")]
+
+
+def test_task_patches_are_checked_again(spark):
+    tasks = spark.createDataFrame([(1, "ana", "E1", "social", "alta", "pendiente")],
+                                  "id int, gestor string, paciente_episodio string, tipo string, prioridad string, status string")
+    patch = spark.createDataFrame([(1, "eva", None), (1, None, "hecho"), (1, None, "completado")], "id int, gestor string, status string")
+    check = C.validate_task_patch(spark.createDataFrame([("ana",)], "name string"), spark.createDataFrame([("E1",)], "episodio string"))
+    patched, rejected = C.apply_patch_nonnull(tasks, patch, ["id"], validate=check)
+    assert patched.first()["status"] == "completado" and patched.first()["gestor"] == "ana"
+    assert sorted(r["motivo"] for r in rejected.collect()) == ["gestora_inexistente", "status_invalido"]
+
+
+def test_every_inserted_row_is_accepted_or_rejected(spark):
+    batch = spark.createDataFrame([("E1", "t1", "a"), ("E1", "t1", "a"), ("E1", "t1", "b"), ("E2", None, "c"), ("E3", "t1", "d")],
+                                  "episodio string, marca_temporal string, x string")
+    stored = spark.createDataFrame([("E3", "t1")], "episodio string, marca_temporal string")
+    ok, bad = C.insert_stays(batch, stored, stamp=False)
+    assert [(r["episodio"], r["x"]) for r in ok.collect()] == [("E1", "a")]
+    assert sorted((r["x"], r["motivo"]) for r in bad.collect()) == [("a", "duplicado"), ("b", "duplicado"), ("c", "falta_clave"), ("d", "duplicado")]
+
+
 def test_position_in_key_equals_row_number(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     mine = RK.position_in_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], name="pos")
@@ -101,7 +133,7 @@ def test_two_table_scoring(spark):
     score = G.generate_score(keys, "k").withColumn("gestion", F.lit("si")) \
         .withColumn("categorizacion_de_gestion", F.lit("soporte_financiero"))
     ds = FE.make_dataset(grd, score).withColumn("w", F.col("peso"))
-    fitted = TR.fit(ds, "gbt")
+    fitted = TR.fit(ds, "gbt", rounds=10)
     raw_grd = grd.drop("estancia_del_episodio", "fecha_ingreso_completa") \
         .withColumnRenamed("sexo_desc_", "Sexo  (Desc)").withColumnRenamed("ir_grd_codigo_", "IR GRD Código")
     out = TR.score_tables(fitted, raw_grd, score, template=["ir_grd_codigo_"])
@@ -129,7 +161,7 @@ def _fitted_on_generated(spark):
 def test_isotonic_cv_ensemble(spark):
     from staylens.operators import training as TR
     ds = _fitted_on_generated(spark)
-    members = TR.fit_isotonic_cv(ds, "gbt", n_folds=3)
+    members = TR.fit_isotonic_cv(ds, "gbt", n_folds=3, rounds=5)
     out = TR.apply_isotonic_cv(members, ds).select("episodio", "excede_norma", "p")
     rows = out.collect()
     assert len(rows) == 600 and all(0.0 <= r["p"] <= 1.0 for r in rows)
@@ -142,7 +174,7 @@ def test_scoring_drop_folder_stream(spark, scratch):
     from staylens.operators import scoring as SC
     from staylens.operators import training as TR
     from staylens.streaming import streams as ST
-    fitted = TR.fit(_fitted_on_generated(spark), "gbt")
+    fitted = TR.fit(_fitted_on_generated(spark), "gbt", rounds=10)
     recs = SC.records_frame(spark, [
         {"edad": 80, "sexo": "m", "servicio_clinico": "UCI Medicina", "prevision": "FONASA",
          "fecha_estimada_de_alta": "3", "riesgo_social": "alto", "riesgo_clinico": "2",

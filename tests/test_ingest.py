@@ -170,7 +170,7 @@ def test_extra_column_date_heuristic_is_opt_in(spark, scratch):
                                        "05/03/2024 08:30\n")
     raw = S.read_text_csv(spark, p)
     off = I.normalize_stays(raw).first()
-    assert off["codigo"] == "51401" and off["control"] == "05/03/2024 08:30"
-    on = I.normalize_stays(raw, detect_extra_dates=True).first()
+    assert off["codigo"] == "51401" and off["control"] == "2024-03-05T08:30:00"
+    on = I.normalize_stays(raw, extra_serials=True).first()
     assert on["codigo"] == "2040-09-22T00:00:00"          # the source's trap: a 5-digit code read as a serial
     assert on["control"] == "2024-03-05T08:30:00"

@@ -71,7 +71,7 @@ def test_model_save_and_preferred_load(spark, scratch):
     m = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
                          LogisticRegression(labelCol="excede_norma")]).fit(d)
     TR.save_models({"baseline": m}, f"{scratch}/models")
-    name, loaded = TR.load_preferred(f"{scratch}/models")
+    name, loaded, _ = TR.load_preferred(f"{scratch}/models")
     assert name == "baseline" and loaded.transform(d).count() == 12
 
 

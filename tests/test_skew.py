@@ -44,3 +44,18 @@ def test_latest_and_first_exact_under_skew(spark):
     w2 = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ref2 = ev.withColumn("rn", F.row_number().over(w2)).where("rn = 1").select("user_id", "event_id")
     assert first.exceptAll(ref2).count() == 0
+
+
+def test_hot_value_is_one_row_of_the_quantile(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    got = RK.quantiles_by_rank(df, "v", [0.0, 0.5, 0.9, 1.0], ["a", "b", "c", "d"]).first()
+    want = df.agg(*[F.percentile("v", p) for p in (0.0, 0.5, 0.9, 1.0)]).first()
+    assert list(got) == list(want)
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5), (None, 3)], "k string, v int")
+    got = {(r["k"], r["v"]): r["pos"] for r in RK.position_in_key(df, ["k"], ["v"], "pos").collect()}
+    day = df.withColumn("d", F.timestamp_seconds(F.col("v") * 50_000).cast("timestamp_ntz"))
+    sliced = {(r["k"], r["v"]): r["pos"] for r in RK.position_in_key(day, ["k"], ["d"], "pos").collect()}
+    assert got == sliced == {(None, 1): 0, (None, 2): 1, (None, 3): 2, ("a", 5): 0}
