@@ -15,9 +15,11 @@ enough for its alphabet that ordinary text would have been rejected
 (``least_length``). P-values are counted in bins and rounded up to the bin's
 edge, so the procedure needs one small aggregate and no global sort.
 
-Everything is built-in column functions. Edge cases: null is the empty text,
-positions count code points with an exclusive end, repeated rows are scanned
-alike, an empty table gives an empty result. Extra columns stay untouched.
+Everything is built-in column functions; spans are kept by the MD5 of the text,
+so copies share them and no text is shuffled by the scan. Edge cases: null and
+empty texts have no spans, positions count code points with an exclusive end,
+repeated rows are scanned alike, an empty table gives an empty result. Extra
+columns stay untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stored
 
 KINDS = ("assign", "access", "hex", "random")
 #: kind: (pattern, group that is measured, least length of that group)
@@ -51,6 +53,8 @@ ENCODINGS = [("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "
 TEXT_COLLISION = 0.067
 SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 _BINS, _PER_BIN = 160, 4
+#: Texts with spans up to which these are broadcast, checked by a count; beyond it both sides are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def least_length(size: int) -> int:
@@ -85,23 +89,17 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Co
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
-def pattern_spans(text: Column) -> dict[str, Column]:
-    """Spans of each pattern kind; texts without the guard aren't taken apart."""
+def found_spans(docs: DataFrame) -> DataFrame:
+    """(text_md5, kind, start, end, s) of all pattern spans and candidates (kind
+    ``random``) of ``docs``, copies included; one pass over the texts. Stored."""
+    text = F.col("text")
+    held = docs.select(text).where(text.rlike("|".join([*GUARD, CANDIDATE_GUARD])))
     none = F.array().cast(SPAN)
-    return {k: F.when(text.rlike(g), matches(text, *PATTERNS[k], k)).otherwise(none) for k, g in zip(PATTERNS, GUARD, strict=True)}
-
-
-def candidate_spans(text: Column) -> Column:
-    return F.when(text.rlike(CANDIDATE_GUARD), matches(text, CANDIDATE, 0, 0, "random")).otherwise(F.array().cast(SPAN))
-
-
-def _of_encoding(s: Column, value) -> Column:
-    """``value(alphabet)`` for the first encoding whose alphabet holds all of ``s``."""
-    out = None
-    for _, alphabet in ENCODINGS:
-        held = F.translate(s, alphabet, "") == ""
-        out = F.when(held, value(alphabet)) if out is None else out.when(held, value(alphabet))
-    return out
+    kinds = [(k, g, PATTERNS[k]) for k, g in zip(PATTERNS, GUARD, strict=True)] + [("random", CANDIDATE_GUARD, (CANDIDATE, 0, 0))]
+    spans = [F.when(text.rlike(g), matches(text, *p, k)).otherwise(none) for k, g, p in kinds]
+    one = held.select("text", F.explode(F.concat(*spans)).alias("span"))
+    cut = F.call_function("substring", text, (F.col("span.start") + 1).cast("int"), (F.col("span.end") - F.col("span.start")).cast("int"))
+    return stored(one.select(F.md5(text.cast("binary")).alias("text_md5"), "span.kind", "span.start", "span.end", cut.alias("s")), "secret-spans")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -113,89 +111,99 @@ def _count(s: Column, part: str) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))) / len(part)
 
 
-def chi_squared_p(s: Column) -> Column:
+def with_encoding(rows: DataFrame) -> DataFrame:
+    """Adds v (s without padding), n, alphabet (of the first encoding that holds all of v), k and least."""
+    rows = rows.withColumn("v", F.regexp_replace("s", "=+$", ""))
+    number = None
+    for i, (_, alphabet) in enumerate(ENCODINGS):
+        held = F.translate("v", alphabet, "") == ""
+        number = F.when(held, i + 1) if number is None else number.when(held, i + 1)
+    rows = rows.withColumn("encoding", number)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("encoding"))
+    alphabets = [x for _, x in ENCODINGS]
+    return rows.withColumns({"n": F.length("v").cast("double"), "alphabet": pick(alphabets), "k": pick([float(len(x)) for x in alphabets]),
+                             "least": pick([least_length(len(x)) for x in alphabets]),
+                             "halves": pick(["0" * (len(x) // 2) + "1" * (len(x) - len(x) // 2) for x in alphabets])})
+
+
+def chi_squared_p() -> Column:
     """Upper tail of the uniformity statistic (Wilson-Hilferty)."""
-    n, k = F.length(s).cast("double"), _of_encoding(s, lambda a: F.lit(float(len(a))))
-    square = lambda c: F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0))
-    squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(square(c)))
-    df = k - 1
-    x = squares * k / n - n
+    v, n, df = F.col("v"), F.col("n"), F.col("k") - 1
+    square = lambda c: F.pow(n - F.length(F.replace(v, c, F.lit(""))), F.lit(2.0))
+    squares = F.aggregate(F.filter(F.array_distinct(F.split(v, "")), lambda c: c != ""), F.lit(0.0), lambda a, c: a + square(c))
+    x = squares * F.col("k") / n - n
     return _normal_tail((F.cbrt(x / df) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df)))
 
 
-def runs_p(s: Column) -> Column:
-    """Two-sided runs test on symbols of the lower and the upper half of the alphabet."""
-    halves = _of_encoding(s, lambda a: F.translate(s, a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2)))
-    n, ones = F.length(s).cast("double"), _count(halves, "1")
+def runs_p() -> Column:
+    """Two-sided runs test on symbols of the lower and the upper half of the alphabet (column ``bits``)."""
+    n, ones = F.col("n"), _count(F.col("bits"), "1")
     product = 2 * ones * (n - ones)
     mean = product / n + 1
     variance = product * (product - n) / (n * n * (n - 1))
-    runs = 1 + _count(halves, "01") + _count(halves, "10")
-    z = F.abs(runs - mean) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
-    return F.least(2 * _normal_tail(z), F.lit(1.0))
+    runs = 1 + _count(F.col("bits"), "01") + _count(F.col("bits"), "10")
+    return F.least(2 * _normal_tail(F.abs(runs - mean) / F.sqrt(F.greatest(variance, F.lit(1e-9)))), F.lit(1.0))
 
 
-def serial_p(s: Column) -> Column:
-    """Two-sided test of the correlation between neighbouring symbols' values."""
-    value = F.transform(F.split(s, ""), lambda c: _of_encoding(s, lambda a: F.instr(F.lit(a), c)).cast("double"))
-    v = F.filter(value, lambda x: x > 0)
-    n = F.length(s).cast("double")
+def serial_p() -> Column:
+    """Two-sided test of the correlation between neighbouring symbols' values (column ``values``)."""
+    v, n = F.col("values"), F.col("n")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     mean = total(v) / n
     squares = total(F.transform(v, lambda x: x * x)) - n * mean * mean
-    pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: (a - mean) * (b - mean))
-    z = F.abs(total(pairs) / F.greatest(squares, F.lit(1e-9))) * F.sqrt(n)
-    return F.least(2 * _normal_tail(z), F.lit(1.0))
-
-
-def battery(s: Column) -> Column:
-    """struct(size: length class, bin: of the joint p-value, able: long enough) of a candidate."""
-    s = F.regexp_replace(s, "=+$", "")
-    floor = lambda p: F.greatest(p, F.lit(1e-15))
-    x = -F.log(floor(chi_squared_p(s))) - F.log(floor(runs_p(s))) - F.log(floor(serial_p(s)))
-    p = F.exp(-x) * (1 + x + x * x / 2)                       # chi-squared tail of 2x at 6 degrees
-    return F.struct(F.floor(F.log2(F.length(s).cast("double"))).cast("int").alias("size"),
-                    F.least(F.floor(-F.log(floor(p)) * _PER_BIN), F.lit(_BINS)).cast("int").alias("bin"),
-                    (F.length(s) >= _of_encoding(s, lambda a: F.lit(least_length(len(a))))).alias("able"))
-
-
-def _cut(text: Column, span: Column) -> Column:
-    return F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-
-
-def rejection_bins(docs: DataFrame, rate: float = FDR) -> dict[int, int]:
-    """Benjamini-Hochberg over all candidates of ``docs``: the least rejected bin
-    of each length class (classes without a rejection are left out). At most one
-    row per class of lengths (powers of two) reaches the driver."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select(text.alias("text")).where(F.col("text").rlike(CANDIDATE_GUARD)).select(
-        "text", F.explode(candidate_spans(F.col("text"))).alias("span"))
-    tested = one.select(_cut(F.col("text"), F.col("span")).alias("s")).select(battery(F.col("s")).alias("b")).select("b.size", "b.bin")
-    counts = tested.groupBy("size", "bin").agg(F.count(F.lit(1)).alias("n"))
+    size = F.size(v) - 1
+    products = total(F.zip_with(F.slice(v, F.lit(1), size), F.slice(v, F.lit(2), size), lambda a, b: a * b))
+    ends = F.element_at(v, 1) + F.element_at(v, -1)
+    pairs = products - mean * (2 * total(v) - ends) + (n - 1) * mean * mean
+    return F.least(2 * _normal_tail(F.abs(pairs / F.greatest(squares, F.lit(1e-9))) * F.sqrt(n)), F.lit(1.0))
+
+
+def tested(candidates: DataFrame) -> DataFrame:
+    """Adds size (length class), bin (of the joint p-value) and able (long enough)
+    to candidates with a column ``s``; stored."""
+    rows = with_encoding(candidates)
+    rows = rows.withColumns({"bits": F.call_function("translate", F.col("v"), F.col("alphabet"), F.col("halves")),
+                             "values": F.transform(F.filter(F.split("v", ""), lambda c: c != ""), lambda c: F.call_function("instr", F.col("alphabet"), c).cast("double"))})
+    logs = [F.log(F.greatest(p, F.lit(1e-15))) for p in (chi_squared_p(), runs_p(), serial_p())]
+    rows = rows.withColumn("x", -(logs[0] + logs[1] + logs[2]))
+    p = F.exp(-F.col("x")) * (1 + F.col("x") + F.col("x") * F.col("x") / 2)             # chi-squared tail of 2x at 6 degrees
+    rows = rows.withColumn("bin", F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-30))) * _PER_BIN), F.lit(_BINS)).cast("int"))
+    return stored(rows.select(*candidates.columns, F.floor(F.log2("n")).cast("int").alias("size"), "bin", (F.col("n") >= F.col("least")).alias("able")), "secret-tests")
+
+
+def rejections(tests: DataFrame, rate: float = FDR) -> DataFrame:
+    """Benjamini-Hochberg over all candidates: the least rejected bin of each length
+    class (size, from_bin); classes without a rejection are left out. The input of
+    the windows is one row per class and bin, whatever the corpus."""
+    counts = tests.groupBy("size", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("size")
     ranked = counts.withColumn("m", F.sum("n").over(w)).withColumn("rank", F.sum("n").over(w.orderBy(F.desc("bin"))))
     passed = ranked.where(F.exp(-F.col("bin") / _PER_BIN) <= rate * F.col("rank") / F.col("m"))
-    return {r[0]: r[1] for r in passed.groupBy("size").agg(F.min("bin")).collect()}
+    return passed.groupBy("size").agg(F.min("bin").alias("from_bin"))
 
 
-def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
-    """``docs`` with ``_spans``: all spans by start, then kind; kinds may overlap,
-    but a random span never lies within a span of another kind."""
-    rejected = rejection_bins(docs, rate)
-    limit = lambda size: F.coalesce(*[F.when(size == k, F.lit(v)) for k, v in rejected.items()], F.lit(_BINS + 1))
-    out = docs.withColumn("__secret_text", F.coalesce(F.col("text"), F.lit("")))
-    out = out.withColumns({f"__secret_{k}": c for k, c in pattern_spans(F.col("__secret_text")).items()})
-    out = out.withColumn("__secret_base", F.concat(*[F.col(f"__secret_{k}") for k in PATTERNS])).withColumn("__secret_found", candidate_spans(F.col("__secret_text")))
+def text_spans(docs: DataFrame, rate: float = FDR) -> DataFrame:
+    """(text_md5, spans) of every distinct text that has a span: an array of
+    (start, rank of the kind, end, kind), sorted. Kinds may overlap, but a random
+    span never lies within a span of another kind. Stored."""
+    found = found_spans(docs)
+    place = ["text_md5", "kind", "start", "end"]
+    base = found.where(F.col("kind") != "random").select(*place).distinct()
+    tests = tested(found.where(F.col("kind") == "random"))
+    limits = F.broadcast(rejections(tests, rate))                                       # one row per class of lengths
+    kept = tests.join(limits, "size", "left").where(F.col("able") & (F.col("from_bin").isNull() | (F.col("bin") < F.col("from_bin"))))
+    both = base.unionByName(kept.select(*place).distinct())
+    is_base = F.col("kind") != "random"
+    before = Window.partitionBy("text_md5").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("covered", F.max(F.when(is_base, F.col("end"))).over(before))
+    both = both.where(is_base | F.col("covered").isNull() | (F.col("covered") < F.col("end")))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    one = F.struct("start", rank.alias("rank"), "end", "kind")
+    return stored(both.groupBy("text_md5").agg(F.sort_array(F.collect_list(one)).alias("spans")), "secrets")
 
-    def flagged(span: Column) -> Column:
-        inside = F.exists(F.col("__secret_base"), lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
-        return ~inside & F.exists(F.array(battery(_cut(F.col("__secret_text"), span))), lambda b: b["able"] & (b["bin"] < limit(b["size"])))
 
-    random = F.when(F.size("__secret_found") > 0, F.filter("__secret_found", flagged)).otherwise(F.col("__secret_found"))
-    # one start may carry several kinds; they come in the order of KINDS, and the sort keeps it
-    rank = F.transform(F.concat(F.col("__secret_base"), random), lambda s: F.struct(
-        s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return out.withColumn("_spans", F.array_sort(rank)).drop("__secret_text", "__secret_base", "__secret_found", *[f"__secret_{k}" for k in PATTERNS])
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def joined(spans: Column) -> Column:
@@ -203,10 +211,19 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
+    """doc_id, text_md5 and spans (as ``text_spans``, empty without any) of every row."""
+    spans = text_spans(docs, rate)
+    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return rows.join(_checked(spans), "text_md5", "left").select("doc_id", "text_md5", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = FDR) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; all rows stay."""
-    text, spans = F.col("text"), F.col("_spans")
-    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    found = _checked(text_spans(docs, rate).select(F.col("text_md5").alias("__secret_md5"), F.col("spans").alias("__secret_spans")))
+    out = docs.join(found, F.md5(docs["text"].cast("binary")) == F.col("__secret_md5"), "left")
+    text, spans = docs["text"], F.col("__secret_spans")
+    piece = lambda a, b: F.call_function("substring", text, (a + 1).cast("int"), (b - a).cast("int"))
 
     def step(a: Column, s: Column) -> Column:
         # a.at: end of what is done; a span that begins inside the last one only extends it
@@ -215,16 +232,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = FDR) -> DataFr
 
     done = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
                        lambda a: F.concat(a["out"], piece(a["at"], F.length(text).cast("long"))))
-    out = scan(docs, rate).withColumn("__secret_clean", F.when(F.size(spans) > 0, done).otherwise(text))
-    return out.select(*[F.col("__secret_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    clean = F.when(spans.isNull(), text).otherwise(done)
+    return out.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    base = F.filter("_spans", lambda s: s["kind"] != "random")
+    out = scan(read_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
     return out.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
-                      joined(F.col("_spans")).alias("spans"), count("random"))
+                      joined(F.col("spans")).alias("spans"), count("random"))
 
 
 QUERIES = {"op6_secrets": op6_secrets}
