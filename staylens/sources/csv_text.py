@@ -1,16 +1,17 @@
 """CSV sources (S1, S2, S6) and table sinks.
 
-S1 reads every column as text. The separator is sniffed from the header
-line and the header names are slugged on the driver (metadata only); the
-rows are then read by Spark's CSV source with a fixed all-STRING schema, in
-parallel, with the file name / modification time and a scan-order id kept
-for first-wins de-duplication (W2). Text that is not valid UTF-8 shows up as
-U+FFFD after decoding; such inputs are re-read as ISO-8859-1.
+S1 reads every column as text. Encoding, separator and header line are found
+per file in one distributed pass over the lines; the rows are then read by
+Spark's CSV source with a fixed all-STRING schema, in parallel (files are split
+unless quoted line ends are declared), with the file name / modification time
+and a scan-order id kept for first-wins de-duplication (W2).
 """
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+import codecs
+from typing import Callable, NamedTuple, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +21,31 @@ from ..functions import headers as H
 from ..operators.keyed import read_if_exists
 
 SEPARATORS = [";", ",", "\t", "|"]
-REPLACEMENT_CHAR = "�"
 
 
-def sniff_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, list[str]]:
-    """First line of the input (one line through Spark's text source) -> (separator, raw names)."""
-    # One whole line per record (no separator, no quoting), decoded with the charset.
-    first = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-             .option("header", False).option("multiLine", True).csv(path).head(1))
-    line = (first[0][0] or "") if first else ""
-    line = line.lstrip("﻿")
-    sep = max(SEPARATORS, key=lambda s: line.count(s)) if line else ","
-    names = [n.strip().strip('"') for n in line.split(sep)]
-    return sep, names
+class Layout(NamedTuple):
+    """How the files of one header layout are read."""
 
+    encoding: str
+    sep: str
+    names: tuple[str, ...]
 
-def _has_bad_utf8(df: DataFrame) -> bool:
-    text = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
-    return df.where(F.instr(text, REPLACEMENT_CHAR) > 0).limit(1).count() > 0
+
+def layouts(spark: SparkSession, path, sep: str | None = None, encoding: str | None = None) -> dict[Layout, list[str]]:
+    """Layout -> its files. One distributed pass over the lines finds each file's
+    first line and whether all of it is UTF-8 (else ISO-8859-1); the driver gets
+    one row per file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("id"))
+    files = lines.groupBy("file").agg(F.min_by(F.col("value").cast("binary"), F.struct("block", "id")).alias("first"),
+                                      F.min(F.is_valid_utf8("value")).alias("utf8"))
+    out: dict[Layout, list[str]] = {}
+    for r in sorted(files.collect(), key=lambda r: r["file"]):
+        enc = encoding or ("UTF-8" if r["utf8"] else "ISO-8859-1")
+        line = bytes(r["first"]).removeprefix(codecs.BOM_UTF8).decode(enc, "replace")
+        s = sep or (max(SEPARATORS, key=line.count) if line else ",")
+        out.setdefault(Layout(enc, s, tuple(n.strip().strip('"') for n in line.split(s))), []).append(unquote(r["file"]))
+    return out
 
 
 def _names(raw_names: Sequence[str], rename: Callable[[str], str]) -> list[str]:
@@ -50,45 +58,62 @@ def _names(raw_names: Sequence[str], rename: Callable[[str], str]) -> list[str]:
     return names
 
 
-def read_text_csv(spark: SparkSession, path: str, rename: Callable[[str], str] = H.slug,
-                  sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All-text scan with slugged headers plus ``_file_name``,
-    ``_file_time`` and ``_scan_id`` (order inside the scan).
-
-    One call reads one header layout (one upload, or a folder of files with
-    the same header); columns are matched by position after each file's
-    header line."""
-    enc = encoding or "UTF-8"
-    s, raw_names = sniff_header(spark, path, enc)
-    if encoding is None and any(REPLACEMENT_CHAR in n for n in raw_names):
-        enc = "ISO-8859-1"
-        s, raw_names = sniff_header(spark, path, enc)
-    sep = sep or s
-
-    def scan(e, names):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        return (spark.read.schema(schema).option("header", True).option("sep", sep)
-                .option("encoding", e).option("multiLine", True).option("mode", "PERMISSIVE")
-                .csv(path)
-                .select("*", F.col("_metadata.file_name").alias("_file_name"),
-                        F.col("_metadata.file_modification_time").alias("_file_time"),
-                        F.monotonically_increasing_id().alias("_scan_id")))
-
-    names = _names(raw_names, rename)
-    df = scan(enc, names)
-    if encoding is None and enc == "UTF-8" and _has_bad_utf8(df.select(*names)):
-        _, raw_names = sniff_header(spark, path, "ISO-8859-1")
-        df = scan("ISO-8859-1", _names(raw_names, rename))
-    return df
+def _scan(spark: SparkSession, layout: Layout, files: list[str], names: list[str], quoted_newlines: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    return (spark.read.schema(schema).option("header", True).option("sep", layout.sep).option("encoding", layout.encoding)
+            .option("multiLine", quoted_newlines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+            .csv(files)
+            .select("*", F.col("_metadata.file_name").alias("_file_name"),
+                    F.col("_metadata.file_modification_time").alias("_file_time"),
+                    F.monotonically_increasing_id().alias("_scan_id")))
+
+
+def _overlong(layout: Layout, names: list[str]):
+    """Rows with more fields than the header: ``_line`` (the record, kept when its
+    fields don't match) has as many separators outside quotes as there are names."""
+    bare = F.regexp_replace("_line", r'"([^"]|"")*"', "")
+    return F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(layout.sep), F.lit(""))) >= len(names), F.lit(False))
+
+
+def read_text_csv(spark: SparkSession, path, rename: Callable[[str], str] = H.slug, sep: str | None = None,
+                  encoding: str | None = None, quoted_newlines: bool = False, rejects: bool = False):
+    """All-text scan with slugged headers plus ``_file_name``, ``_file_time``
+    and ``_scan_id`` (order inside the scan).
+
+    Encoding, separator and header are resolved per file; files of one layout are
+    read together and the layouts united by column name (absent columns are NULL).
+    Files are split among tasks unless ``quoted_newlines`` says that fields may
+    hold line ends. Rows with more fields than their header aren't guessed at:
+    with ``rejects`` they come back as a second DataFrame (``_line``,
+    ``_file_name``); without it such a row fails the query with its text."""
+    rows = bad = None
+    for layout, files in layouts(spark, path, sep, encoding).items():
+        names = _names(layout.names, rename)
+        df = _scan(spark, layout, files, names, quoted_newlines)
+        long = _overlong(layout, names)
+        if rejects:
+            # a scan must not ask for the record alone, hence the first field (never used: _line is set)
+            over = df.where(long).select(F.coalesce("_line", names[0]).alias("_line"), "_file_name")
+            bad = over if bad is None else bad.unionByName(over)
+            df = df.where(~long).drop("_line")
+        else:
+            check = F.when(long, F.raise_error(F.concat(F.lit("more fields than the header: "), F.col("_line"))).cast("string")).otherwise(F.col(names[0]))
+            df = df.withColumn(names[0], check).drop("_line")
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    if rows is None:
+        raise FileNotFoundError(f"no CSV file under {path}")
+    return (rows, bad) if rejects else rows
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with standardised (P2) header names; typed by ``schema`` when given."""
-    sep, raw = sniff_header(spark, path)
-    names = [H.standardize(n) for n in raw]
+    found = layouts(spark, path)
+    if len(found) != 1:
+        raise ValueError(f"{path}: {len(found)} header layouts, one expected")
+    layout, files = next(iter(found.items()))
     if schema is None:
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+        schema = T.StructType([T.StructField(H.standardize(n), T.StringType()) for n in layout.names])
+    return spark.read.schema(schema).option("header", True).option("sep", layout.sep).option("encoding", layout.encoding).csv(files)
 
 
 def first_wins_order() -> list:

@@ -174,3 +174,29 @@ def test_extra_column_date_heuristic_is_opt_in(spark, scratch):
     on = I.normalize_stays(raw, extra_serials=True).first()
     assert on["codigo"] == "2040-09-22T00:00:00"          # the source's trap: a 5-digit code read as a serial
     assert on["control"] == "2024-03-05T08:30:00"
+
+
+def test_files_keep_their_own_encoding_and_header_order(spark, scratch):
+    folder = f"{scratch}/mixed"
+    write(folder, "a.csv", "nombre,cama\nMuñoz,B1\n")
+    with open(f"{folder}/b.csv", "wb") as f:
+        f.write("cama;nombre\nB2;Peña\n".encode("iso-8859-1"))
+    rows = {r["cama"]: r["nombre"] for r in S.read_text_csv(spark, folder).collect()}
+    assert rows == {"B1": "Muñoz", "B2": "Peña"}
+
+
+def test_rows_with_too_many_fields_come_back(spark, scratch):
+    p = write(f"{scratch}/long", "x.csv", 'a,b\n1,2,3\n4\n"5,x",6\n')
+    rows, bad = S.read_text_csv(spark, p, rejects=True)
+    assert sorted((r["a"], r["b"]) for r in rows.collect()) == [("4", None), ("5,x", "6")]
+    assert [r["_line"] for r in bad.collect()] == ["1,2,3"]
+
+
+def test_a_large_file_is_split(spark, scratch):
+    p = write(f"{scratch}/big", "x.csv", "a,b\n" + "some text,more text\n" * 60_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert S.read_text_csv(spark, p).rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
