@@ -62,6 +62,7 @@ def _scan(spark: SparkSession, layout: Layout, files: list[str], names: list[str
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
     return (spark.read.schema(schema).option("header", True).option("sep", layout.sep).option("encoding", layout.encoding)
             .option("multiLine", quoted_newlines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+            .option("columnPruning", False)          # a pruned parse loses the record of a mismatched row
             .csv(files)
             .select("*", F.col("_metadata.file_name").alias("_file_name"),
                     F.col("_metadata.file_modification_time").alias("_file_time"),
