@@ -17,6 +17,7 @@ from ..functions import headers as H
 from ..functions import scalars as X
 from .joins import left_join_suffixed, with_scalars
 from .ranking import position_in_key
+from .sampling import hash_order
 from .stats import quantiles
 
 GRD_REQUIRED = ["edad_en_anos", "sexo_desc_", "servicio_ingreso_descripcion_", "prevision_desc_",
@@ -94,10 +95,10 @@ def time_split(df: DataFrame, fecha: str = "fecha", q: float = TRAIN_SHARE, meth
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, share: float = TRAIN_SHARE):
     """M3: per-class split by hash order; the first round(share * n_class) rows
-    of each class (in hash order) train. Ranks come from a range-partitioned
-    global order, so one class never has to fit in one task."""
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    ranked = position_in_key(df.withColumn("_h", h), [label], ["_h", id_col], name="_r", slice_col=F.shiftright("_h", 56))
+    of each class (in hash order) train. A class is ranked by slices of the hash,
+    so it never has to fit in one task."""
+    h = hash_order(id_col, seed)
+    ranked = position_in_key(df.withColumn("_h", h), [label], ["_h", id_col], name="_r")     # sliced by two hash digits
     sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
     tagged = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_class"])).drop("_class")   # NULL is a class
     is_train = F.col("_r") < F.round(F.col("_n") * share)
@@ -148,7 +149,8 @@ def class_weights(df: DataFrame, label: str, base_weight: str | None = None, out
     cw = with_scalars(with_scalars(counts, total), k).select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("_cw"))
     base = F.col(base_weight) if base_weight else F.lit(1.0)
-    return df.join(F.broadcast(cw), label).withColumn(out, F.col("_cw") * base).drop("_cw")
+    cw = cw.withColumnRenamed(label, "_class")
+    return df.join(cw, df[label].eqNullSafe(cw["_class"])).withColumn(out, F.col("_cw") * base).drop("_cw", "_class")
 
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
