@@ -172,40 +172,3 @@ def write_bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str
     (df.write.mode(mode).format("parquet").option("path", path)
        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
     return df.sparkSession.table(name)
-
-
-# --- versioned rewrites (patches / deletes) ------------------------------------
-COMMITS = "_commits"
-
-
-def current_version(spark: SparkSession, base: str) -> str | None:
-    """The newest committed version directory (None: no table yet). Commit
-    markers are only ever added, never rewritten."""
-    try:
-        rows = spark.read.text(f"{base.rstrip('/')}/{COMMITS}/*").collect()   # one line per version
-    except Exception:
-        return None
-    names = [r[0].strip() for r in rows if r[0]]
-    return max(names) if names else None
-
-
-def read_versioned(spark: SparkSession, base: str) -> DataFrame:
-    """The current version of a versioned table."""
-    v = current_version(spark, base)
-    if v is None:
-        raise FileNotFoundError(f"no versioned table under {base}")
-    return spark.read.parquet(f"{base.rstrip('/')}/{v}")
-
-
-def commit_version(df: DataFrame, base: str, partition_by: Sequence[str] | None = None) -> str:
-    """Write ``df`` as a new immutable version directory, then add its commit
-    marker. Readers of earlier versions are never disturbed; a failed write
-    adds no marker, so the previous version stays current."""
-    spark = df.sparkSession
-    cur = current_version(spark, base)
-    n = int(cur.split("=")[1]) + 1 if cur else 1
-    name = f"v={n:06d}"
-    write_table(df, f"{base.rstrip('/')}/{name}", mode="errorifexists", partition_by=partition_by)
-    spark.range(1).select(F.lit(name).alias("value")).coalesce(1) \
-        .write.mode("errorifexists").text(f"{base.rstrip('/')}/{COMMITS}/{name}")
-    return name

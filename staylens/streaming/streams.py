@@ -27,11 +27,12 @@ DAY_COL = "dia"   # storage partition: day of the key timestamp
 
 
 def text_stream(spark: SparkSession, folder: str, columns: Sequence[str], sep: str = ",",
-                clean_source: str | None = None) -> DataFrame:
-    """Streaming CSV scan with every column as STRING (headers already known)."""
+                clean_source: str | None = None, quoted_newlines: bool = False) -> DataFrame:
+    """Streaming CSV scan with every column as STRING (headers already known); files
+    are split among tasks unless fields may hold line ends."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     r = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-         .option("multiLine", True))
+         .option("multiLine", quoted_newlines))
     if clean_source:
         r = r.option("cleanSource", clean_source)
     return (r.csv(folder)

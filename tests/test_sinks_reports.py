@@ -111,13 +111,3 @@ def test_bucketed_table_avoids_shuffle(spark, scratch):
     spark.sql("DROP TABLE stays_bucketed_test")
 
 
-def test_versioned_rewrite(spark, scratch):
-    from staylens.operators import changes as C
-    base = f"{scratch}/customers"
-    c = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
-    assert S.commit_version(c, base) == "v=000001"
-    deletes = c.where(F.col("c_nationkey") == 0).select("c_custkey")
-    kept, _ = C.delete_keys(S.read_versioned(spark, base), deletes, ["c_custkey"])
-    assert S.commit_version(kept, base) == "v=000002"
-    assert S.read_versioned(spark, base).count() == c.count() - deletes.count()
-    assert spark.read.parquet(f"{base}/v=000001").count() == c.count()   # old version intact
