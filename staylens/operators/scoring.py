@@ -54,8 +54,9 @@ def scoring_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def batch_medians(features: DataFrame) -> DataFrame:
     """The two batch medians the adjustment falls back to (one row)."""
-    return features.agg(F.percentile(F.col("fecha_estimada_de_alta"), 0.5).alias("_med_dias"),
-                        F.percentile(F.col("edad"), 0.5).alias("_med_edad"))
+    from .stats import quantiles
+    one = lambda c, out: quantiles(features, c, [0.5], [out], "rank")
+    return with_scalars(one("fecha_estimada_de_alta", "_med_dias"), one("edad", "_med_edad"))
 
 
 def _boost_terms(df: DataFrame, p_col: str) -> DataFrame:
