@@ -49,6 +49,15 @@ def average_precision(df: DataFrame, y_col: str, p_col: str) -> DataFrame:
     return t.agg(F.sum(F.col("pos") / F.col("tot_pos") * prec).alias("avg_precision"))
 
 
+def ranking_metrics(df: DataFrame, y_col: str, p_col: str) -> DataFrame:
+    """M14 and M15 from one score table."""
+    t = _at_or_above(score_table(df, y_col, p_col))
+    below = F.col("cum_neg") - F.col("neg")
+    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return t.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (F.first("tot_pos") * F.first("tot_neg"))).alias("roc_auc"),
+                 F.sum(F.col("pos") / F.col("tot_pos") * prec).alias("avg_precision"))
+
+
 def brier(df: DataFrame, y_col: str, p_col: str) -> DataFrame:
     """Mean squared difference between score and outcome."""
     return df.agg(F.avg(F.pow(F.col(p_col) - F.col(y_col).cast("double"), 2)).alias("brier"))

@@ -157,9 +157,12 @@ def people_summary(stays: DataFrame, skip: int = 0, limit: int | None = None) ->
     latest = latest_per_key(s, ["episodio"], ["marca_temporal"], payload + ["marca_temporal"])
     latest = latest.withColumn("fecha_alta", F.col("fecha_alta").cast("date"))
     days = day_level_last(s, "episodio", "marca_temporal", X.blank_to_null_ingest(F.col("cama")), "_tie")
-    bed = asof_last_nonnull(days, latest.select("episodio", "fecha_alta"), "episodio", "fecha_alta",
-                            "ultima_cama").drop("fecha_alta")
-    out = latest.join(bed, "episodio", "left").select(
+    # one join on the episode: its day rows meet its latest record (J5), and the aggregate
+    # reuses the join's partitioning
+    kept = latest.select("episodio", F.struct(*[c for c in latest.columns if c != "episodio"]).alias("_row"))
+    eligible = F.when(F.col("_day") <= F.col("_row.fecha_alta"), F.col("_last"))
+    both = kept.join(days, "episodio", "left").groupBy("episodio").agg(F.any_value("_row").alias("_row"), F.max(eligible)["v"].alias("ultima_cama"))
+    out = both.select("episodio", "_row.*", "ultima_cama").select(
         "episodio", *[c for c in SUMMARY_FIELDS],
         *[F.coalesce(*[F.col(c) for c in cs]).alias(name) for name, cs in ALIASES.items()],
         "ultima_cama")

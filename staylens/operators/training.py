@@ -179,8 +179,7 @@ def apply_isotonic_cv(members: list, df: DataFrame, id_col: str = "episodio", ou
 
 def evaluate(scored: DataFrame, y: str = "excede_norma", p: str = "p") -> DataFrame:
     """M14-M16 in one row (each metric a small DataFrame plan)."""
-    return with_scalars(with_scalars(M.roc_auc(scored, y, p), M.average_precision(scored, y, p)),
-                        M.brier(scored, y, p))
+    return with_scalars(M.ranking_metrics(scored, y, p), M.brier(scored, y, p))
 
 
 def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline: bool = True,
