@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -263,13 +264,8 @@ def score_buffer(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class _Ranks(dict):
-    def __missing__(self, word):
-        return -1
-
-
-def _ranks(head: list[bytes]) -> _Ranks:
-    return _Ranks({word: i for i, word in enumerate(head)})
+def _ranks(head: list[bytes]) -> dict[bytes, int]:
+    return {word: i for i, word in enumerate(head)}
 
 
 def symbols(rank: np.ndarray) -> np.ndarray:
@@ -296,7 +292,7 @@ def _buffers(batches, ranks, keep):
         columns = b.to_pydict()
         for i, text in enumerate(columns["text"]):
             found = words(text)
-            rank = np.fromiter(map(ranks.__getitem__, found), np.int64, len(found))
+            rank = np.fromiter(map(ranks.get, found, repeat(-1)), np.int64, len(found))
             texts.append(symbols(rank))
             kept.append(keep(columns, i, found, rank))
             size += len(found) + 1
