@@ -10,11 +10,14 @@ shingle sequences (longest common subsequence, bit-parallel, within the band
 outside which the threshold can't be met): matched / (all - matched) must be
 ``SIMILARITY`` or more. Links join documents into classes.
 
-Equal word sequences are one node. Within a bucket no pairs are enumerated: a
-leader is tried against the members that are not yet in its class, for
-``ROUNDS`` leaders; only members of a bucket that are still in different
-classes are then paired with each other, so every two members of a bucket end
-in one class or have been compared.
+Equal word sequences are one node. Within a bucket no pairs are enumerated: the
+member with the most candidates is tried as leader against the members that are
+not yet in its class (``ROUNDS`` leaders; further ones by hash). What
+is left in several classes is pruned exactly: a shingle that no other such
+member has can't be matched, and a member with too many of them for the
+shortest member of its bucket can't have a link there. Only members that
+survive in different classes are then paired with each other, so every two
+members of a bucket end in one class, have been compared or can't be similar.
 
 Edge cases: null texts and texts without a word are classes of their own
 (repeated doc_ids of such rows share it); fewer than five words are one
@@ -40,7 +43,9 @@ SKETCHES = 24
 KEPT = 5
 #: Below SHORT shingles sketches keep SHORT_KEPT k-mers; from BOTH to SHORT a document has sketches of either kind.
 SHORT, BOTH, SHORT_KEPT = 32, 25, 2
-ROUNDS = 3
+ROUNDS = 2
+#: Passes of the exact pruning; each counts shingles among the members that the last one left.
+PRUNINGS = 1
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64)
@@ -238,21 +243,62 @@ def components(links: DataFrame) -> DataFrame:
     return stored(out, "components")
 
 
+def _needed(a: str, b: str) -> Column:
+    """Matches that two members with so many shingles need (with room for rounding)."""
+    return SIMILARITY / (1 + SIMILARITY) * (F.col(a) + F.col(b)) - 1e-6
+
+
 def _near_in_length(a: str, b: str) -> Column:
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+    return F.least(a, b) >= _needed(a, b)
+
+
+def free_shingles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, free): shingles of a node that another of the ``members`` has too."""
+    asked = stored(members.select("node").distinct(), "omh-asked")
+    texts = nodes.select("node", "words").join(_checked(asked), "node", "left_semi")
+    small_batches(members.sparkSession, 500)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for node, words in zip(b.column("node").to_pylist(), b.column("words").to_pylist()):
+                s, c = np.unique(shingles(np.frombuffer(words, np.uint32)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(s.view(np.int64)), pa.array(c.astype(np.int64))],
+                                                 names=["node", "s", "c"])
+
+    held = texts.mapInArrow(run, "node long, s long, c long")
+    alone = (held.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("node").alias("node"), F.max("c").alias("c")).where("m = 1")
+             .groupBy("node").agg(F.sum("c").alias("alone")))
+    return asked.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _survivors(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of mixed buckets that may still have a link there; stored."""
+    out = own.select("key", "node", "n", "comp")
+    for _ in range(PRUNINGS):
+        out = out.select("key", "node", "n", "comp").join(free_shingles(out, nodes), "node").withColumn("free", F.col("n") - F.col("alone")).drop("alone")
+        least = out.groupBy("key").agg(F.min("n").alias("least"))
+        out = stored(out.join(least, "key").where(F.col("free") >= _needed("n", "least")).drop("least"), "omh-survivors")
+        keys = out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        out = stored(out.join(keys, "key", "left_semi"), "omh-mixed")
+    return out
 
 
 def link_nodes(nodes: DataFrame) -> DataFrame:
     """(node, comp) of the nodes (node, n, words, keys) that have a link."""
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = stored(rows.join(shared, "key"), "omh-buckets")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = stored(rows.join(sizes, "key"), "omh-shared")
+    # the member with the most candidates is the likeliest to be what the others are copies of
+    degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
+    members = stored(shared.drop("m").join(degree, "node"), "omh-buckets")
     links, comp = None, None
 
     def with_comp():
         if comp is None:
             return members.withColumn("comp", F.col("node"))
-        return members.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def mixed():
         """Members of the buckets that still hold several classes."""
@@ -266,13 +312,14 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
         if not own.limit(1).count():
             break
         if turn < ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp")
-            lead = own.groupBy("key").agg(F.min(order).alias("lead")).select(
+            first = -F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            lead = own.groupBy("key").agg(F.min(F.struct(first.alias("h"), "node", "n", "comp")).alias("lead")).select(
                 "key", F.col("lead.node").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.comp").alias("cx"))
-            met = own.join(lead, "key").where("comp <> cx")
+            met = own.join(lead, "key").where(F.col("comp") != F.col("cx"))
         else:
-            other = own.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            met = own.join(other, "key").where("comp < cx")
+            left = _survivors(own, nodes)
+            other = left.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("free").alias("fx"))
+            met = left.join(other, "key").where((F.col("comp") < F.col("cx")) & (F.least("free", "fx") >= _needed("n", "nx")))
         pairs = met.where(_near_in_length("n", "nx")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
