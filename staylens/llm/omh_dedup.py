@@ -43,9 +43,9 @@ SKETCHES = 24
 KEPT = 5
 #: Below SHORT shingles sketches keep SHORT_KEPT k-mers; from BOTH to SHORT a document has sketches of either kind.
 SHORT, BOTH, SHORT_KEPT = 32, 25, 2
-ROUNDS = 2
+ROUNDS = 1
 #: Passes of the exact pruning; each counts shingles among the members that the last one left.
-PRUNINGS = 1
+PRUNINGS = 2
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64)
