@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small_batches, stored
 
-CLASSES, PER_CLASS = 32, 64
+CLASSES, PER_CLASS = 16, 64
 WORDS = CLASSES * PER_CLASS
 HEAD = 1 << 16
 HIDDEN = 16
-STEPS, STREAMS = 32, 256
+STEPS, STREAMS = 32, 384
 ROUNDS = 3
 RATE = 0.1
 #: Words that a task holds before it works on them, and distinct words before it hands on their counts.
