@@ -36,6 +36,7 @@ PIECE = 1 << 20
 PER_LANGUAGE = 400
 SAMPLE = 4000
 LANDMARKS = 100
+BLOCK = 128
 RIDGE = 0.01
 UND = "und"
 _GAPS = re.compile(r"[\W\d_]+")
@@ -89,30 +90,39 @@ class Model:
         return names, scores
 
 
-def train(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on a presence matrix; landmarks are the first rows of each language."""
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Presence vectors of length one from packed bits."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+    return x
+
+
+def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fit on packed presence bits (rows x WIDTH / 8); landmarks are the first rows of
+    each language. Rows are unpacked a few at a time: the driver holds the
+    landmarks and one block, not the whole matrix."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in labels])
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-    z = x[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])]
+    z = _unit(packed[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])                # K_mm^(-1/2)
-    phi = (x @ z.T).astype(np.float64) @ white
+    phi = np.concatenate([(_unit(packed[a: a + BLOCK]) @ z.T).astype(np.float64) for a in range(0, len(y), BLOCK)]) @ white
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(languages))[y]      # languages count alike
     weight *= len(y) / weight.sum()
     centre, middle = np.average(phi, 0, weight), np.average(target, 0, weight)
     p, t = phi - centre, target - middle
     beta = np.linalg.solve(p.T @ (p * weight[:, None]) + ridge * len(y) * np.eye(p.shape[1]), p.T @ (t * weight[:, None]))
-    return Model(languages, (z.T.astype(np.float64) @ (white @ beta)).astype(np.float32), (middle - centre @ beta).astype(np.float32))
+    fold = white @ beta
+    weights = np.concatenate([z[:, a: a + 4096].T.astype(np.float64) @ fold for a in range(0, WIDTH, 4096)])
+    return Model(languages, weights.astype(np.float32), (middle - centre @ beta).astype(np.float32))
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and labels of the bounded fitting sample, in hash order."""
+    """Packed presence bits and labels of the bounded fitting sample, in hash order."""
     keys = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
     n_languages = keys.select("lang").distinct().count()
     each = max(1, min(per_language, total // max(1, n_languages)))
@@ -133,8 +143,8 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, tot
     found = (rows.select("rank", "lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
              .mapInPandas(bits, "rank int, lang string, doc_id string, bits binary")
              .groupBy("lang", "rank").agg(F.min("bits").alias("bits")).orderBy("lang", "rank").collect())
-    matrix = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found], dtype=bool).reshape(len(found), WIDTH)
-    return matrix, [r["lang"] for r in found]
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), WIDTH // 8)
+    return packed, [r["lang"] for r in found]
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:

@@ -154,7 +154,7 @@ def test_language_accuracy_and_pieces(monkeypatch):
     make = {"x": "ba ce di fo gu".split(), "y": "mo nu pe qui ra".split()}
     draw = lambda k: " ".join("".join(rng.choice(make[k]) for _ in range(rng.randrange(1, 4))) for _ in range(30))
     texts = [(k, draw(k)) for k in "xy" for _ in range(60)]
-    model = langid.train(np.stack([langid.presence(t) for _, t in texts]), [k for k, _ in texts], landmarks=20)
+    model = langid.train(np.packbits(np.stack([langid.presence(t) for _, t in texts]), axis=1), [k for k, _ in texts], landmarks=20)
     fresh = [(k, draw(k)) for k in "xy" for _ in range(50)]
     names, scores = model.predict([t for _, t in fresh] + [None, "12 3"])
     assert names[:-2] == [k for k, _ in fresh] and names[-2:] == ["und", "und"] and scores[-1] == 0
