@@ -17,6 +17,16 @@ Edge cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything if no labelled row exists; rows that repeat a doc_id are scored
 one by one and count once in the fit; a null doc_id counts as the empty text
 for the split; extra columns are ignored.
+
+``drop_unidentified`` also asks how well the winner fits. Held-out labelled rows
+and the same rows with their characters shuffled are scored, by classes of the
+number of distinct n-grams (powers of two). Where all rows named rightly lie
+above all shuffled ones, texts of the class that fit no better than the best
+shuffled one go: the whole gap is left to unusual clean texts. A class with
+fewer than ``LEAST_CLASS`` clean rows is compared with those of the next smaller
+class (values grow with size); one that has fewer shuffled rows, or overlaps,
+takes the next smaller class's limit. Below the smallest limit a text is too
+short to be told from noise and stays.
 """
 
 from __future__ import annotations
@@ -37,6 +47,8 @@ PER_LANGUAGE = 400
 SAMPLE = 4000
 LANDMARKS = 100
 BLOCK = 128
+#: Held-out rows behind the limits: per language, in all, and least in a class.
+CHECKED, CHECKED_TOTAL, LEAST_CLASS = 1000, 4000, 20
 RIDGE = 0.01
 UND = "und"
 _GAPS = re.compile(r"[\W\d_]+")
@@ -77,6 +89,15 @@ class Model:
         norm = np.sqrt(np.maximum(batch.sum(1, dtype=np.float32), 1))
         return (batch.astype(np.float32) @ self.weights) / norm[:, None] + self.intercept
 
+    def fits(self, texts) -> list[tuple[str, int, float]]:
+        """(language, class of its distinct n-grams, the winner's regression value) of texts with a letter."""
+        out = []
+        for a in range(0, len(texts), 256):
+            batch = np.stack([presence(t) for t in texts[a: a + 256]])
+            size = np.log2(np.maximum(batch.sum(1), 1)).astype(int)
+            out += [(self.languages[int(row.argmax())], int(k), float(row.max())) for row, k in zip(self.decide(batch), size)]
+        return out
+
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         """Language and score (the winner's regression value from -1..1 moved to 0..1)."""
         names, scores = [UND] * len(texts), np.zeros(len(texts))
@@ -121,15 +142,20 @@ def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, rid
     return Model(languages, weights.astype(np.float32), (middle - centre @ beta).astype(np.float32))
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
-    """Packed presence bits and labels of the bounded fitting sample, in hash order."""
+def labelled(docs: DataFrame, learn: Column, per_language: int, total: int) -> DataFrame:
+    """(rank, lang, doc_id, text) of a bounded sample of labelled rows, the first of each language in hash order."""
     keys = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
     n_languages = keys.select("lang").distinct().count()
     each = max(1, min(per_language, total // max(1, n_languages)))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     picked = (keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
               .where(F.col("rank") <= each).limit(total).select("doc_id", "lang", "rank"))      # at most `total` rows
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
+    return rows.select("rank", "lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
+
 
+def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
+    """Packed presence bits and labels of the bounded fitting sample, in hash order."""
     def bits(batches):
         import pandas as pd
 
@@ -139,8 +165,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, tot
             yield pd.DataFrame({"rank": b["rank"], "lang": b["lang"], "doc_id": b["doc_id"],
                                 "bits": [np.packbits(presence(t)).tobytes() for t in b["text"]]})
 
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
-    found = (rows.select("rank", "lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = (labelled(docs, learn, per_language, total)
              .mapInPandas(bits, "rank int, lang string, doc_id string, bits binary")
              .groupBy("lang", "rank").agg(F.min("bits").alias("bits")).orderBy("lang", "rank").collect())
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), WIDTH // 8)
@@ -171,10 +196,70 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     return docs.mapInArrow(score, schema)
 
 
+def shuffled(text: str) -> str:
+    """Letter noise of a text: its characters in a fixed random order."""
+    chars = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.random.Generator(np.random.PCG64(len(text))).permutation(chars).tobytes().decode("utf-32-le")
+
+
+def class_limits(clean: dict[int, tuple[int, float]], noise: dict[int, tuple[int, float]]) -> list[float]:
+    """Regression value of each size class that a text must exceed; given are the
+    number and least value of clean texts, and the number and largest value of noise."""
+    out, last, least = [], -np.inf, -np.inf
+    for k in range(WIDTH.bit_length()):
+        n, low = clean.get(k, (0, np.inf))
+        least = low if n >= LEAST_CLASS else min(least, low)
+        n, high = noise.get(k, (0, np.inf))
+        if n >= LEAST_CLASS and high < least:
+            last = high
+        out.append(last)
+    return out
+
+
+def limits(docs: DataFrame, model: Model, held: Column) -> list[float]:
+    """``class_limits`` measured on a bounded sample of the labelled rows of ``held``."""
+    if not model.languages:
+        return class_limits({}, {})
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.intercept))
+
+    def values(batches):
+        import pandas as pd
+
+        own = Model(*shared.value)
+        for b in batches:
+            b = b[b["text"].map(has_letter).to_numpy(dtype=bool)]
+            rows = [(False, k, v) for lang, (name, k, v) in zip(b["lang"], own.fits(list(b["text"]))) if name == lang]
+            rows += [(True, k, v) for _, k, v in own.fits(list(map(shuffled, b["text"])))]
+            yield pd.DataFrame(rows, columns=["noise", "size", "value"])
+
+    rows = labelled(docs, held, CHECKED, CHECKED_TOTAL).mapInPandas(values, "noise boolean, size int, value double")
+    found = rows.groupBy("noise", "size").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    return class_limits({r["size"]: (r["n"], r["low"]) for r in found if not r["noise"]}, {r["size"]: (r["n"], r["high"]) for r in found if r["noise"]})
+
+
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no language, by a model fitted on their own labels."""
-    model = fit(docs, ~held_out(F.col("doc_id")))
-    return identify(docs, model, ("__language", "__score")).where(F.col("__language") != UND).select(*docs.columns)
+    """``docs`` without the texts that the model, fitted on their own labels, finds in no
+    language: null, without a letter, or below the limit of their size class (see the
+    head of this module)."""
+    spark = docs.sparkSession
+    held = held_out(F.col("doc_id"))
+    model = fit(docs, ~held)
+    least = limits(docs, model, held)
+    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.intercept))
+
+    def keep(batches):
+        import pyarrow as pa
+
+        own = Model(*shared.value)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            known = [i for i, t in enumerate(texts) if own.languages and has_letter(t)]
+            fits = own.fits([texts[i] for i in known])
+            yield b.take(pa.array([i for i, (_, k, v) in zip(known, fits) if v > least[k]], pa.int64()))
+
+    small_batches(spark)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
