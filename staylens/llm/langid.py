@@ -241,7 +241,9 @@ def limits(docs: DataFrame, model: Model, held: Column) -> list[float]:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts that the model, fitted on their own labels, finds in no
     language: null, without a letter, or below the limit of their size class (see the
-    head of this module)."""
+    head of this module). Without a labelled row left for the fit (lang null
+    everywhere, or all labelled rows held out) the model knows no language and rejects
+    nothing: every text with a letter stays."""
     spark = docs.sparkSession
     held = held_out(F.col("doc_id"))
     model = fit(docs, ~held)
@@ -254,9 +256,11 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
         own = Model(*shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if own.languages and has_letter(t)]
-            fits = own.fits([texts[i] for i in known])
-            yield b.take(pa.array([i for i, (_, k, v) in zip(known, fits) if v > least[k]], pa.int64()))
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            if own.languages:
+                fits = own.fits([texts[i] for i in known])
+                known = [i for i, (_, k, v) in zip(known, fits) if v > least[k]]
+            yield b.take(pa.array(known, pa.int64()))
 
     small_batches(spark)
     return docs.mapInArrow(keep, docs.schema)
