@@ -12,7 +12,10 @@ procedure, one per class of lengths, at rate ``FDR``: a rejected candidate is
 structured text, so at most that share of the dismissed ones is truly random.
 A candidate that is not rejected is a span of kind ``random`` if it is long
 enough for its alphabet that ordinary text would have been rejected
-(``least_length``). P-values are counted in bins and rounded up to the bin's
+(``least_length``). A shorter run that mixes letters of one case with digits is
+one too if its digits are spread as in random draws rather than as in words
+joined with numbers (``spread``): plain words never have digits, so the
+collisions of letters in text are no measure for such runs. P-values are counted in bins and rounded up to the bin's
 edge, so the procedure needs one small aggregate and no global sort.
 
 Everything is built-in column functions; spans are kept by the MD5 of the text,
@@ -51,6 +54,9 @@ ENCODINGS = [("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "
              ("base64mixed", UPPER + LOWER + DIGITS + "+/-_")]
 #: Probability that two letters of ordinary text are equal.
 TEXT_COLLISION = 0.067
+#: Runs of words and numbers change between letters and digits at one of ten places at
+#: most; a mixed run must be this many times likelier as random draws than as such a run.
+TEXT_CHANGES, MIX_ODDS = 0.1, 3.0
 SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 _BINS, _PER_BIN = 160, 4
 #: Texts with spans up to which these are broadcast, checked by a count; beyond it both sides are shuffled.
@@ -67,6 +73,13 @@ def least_length(size: int) -> int:
     return max(20, math.ceil(shift / (size * TEXT_COLLISION - 1)))
 
 
+def digit_share(alphabet: str) -> float:
+    """Share of digits in an alphabet of one-case letters and digits beyond the hexadecimal ones, else 0."""
+    digits = sum(c in DIGITS for c in alphabet)
+    one_case = alphabet.lower() == alphabet or alphabet.upper() == alphabet
+    return digits / len(alphabet) if digits and len(alphabet) > 16 and one_case and alphabet.isalnum() else 0.0
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as spans, without those whose
     group is shorter than ``least``. Each match is taken with the text before it,
@@ -112,7 +125,7 @@ def _count(s: Column, part: str) -> Column:
 
 
 def with_encoding(rows: DataFrame) -> DataFrame:
-    """Adds v (s without padding), n, alphabet (of the first encoding that holds all of v), k and least."""
+    """Adds v (s without padding), n, alphabet (of the first encoding that holds all of v), k, least and digits (share of a mixed alphabet)."""
     rows = rows.withColumn("v", F.regexp_replace("s", "=+$", ""))
     number = None
     for i, (_, alphabet) in enumerate(ENCODINGS):
@@ -122,7 +135,7 @@ def with_encoding(rows: DataFrame) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("encoding"))
     alphabets = [x for _, x in ENCODINGS]
     return rows.withColumns({"n": F.length("v").cast("double"), "alphabet": pick(alphabets), "k": pick([float(len(x)) for x in alphabets]),
-                             "least": pick([least_length(len(x)) for x in alphabets]),
+                             "least": pick([least_length(len(x)) for x in alphabets]), "digits": pick([digit_share(x) for x in alphabets]),
                              "halves": pick(["0" * (len(x) // 2) + "1" * (len(x) - len(x) // 2) for x in alphabets])})
 
 
@@ -158,8 +171,19 @@ def serial_p() -> Column:
     return F.least(2 * _normal_tail(F.abs(pairs / F.greatest(squares, F.lit(1e-9))) * F.sqrt(n)), F.lit(1.0))
 
 
+def spread() -> Column:
+    """Whether digits lie among the letters of a mixed run as in random draws: the ratio of
+    likelihoods of its letter-digit pattern, independent draws from the alphabet
+    against a chain that changes with ``TEXT_CHANGES``, is at least ``MIX_ODDS``."""
+    marks = F.translate("v", DIGITS + LOWER + UPPER, "0" * 10 + "1" * 52)
+    n, digits, changes = F.col("n"), _count(marks, "0"), _count(marks, "01") + _count(marks, "10")
+    drawn = digits * F.log("digits") + (n - digits) * F.log(1 - F.col("digits"))
+    joined = math.log(0.5) + changes * math.log(TEXT_CHANGES) + (n - 1 - changes) * math.log(1 - TEXT_CHANGES)
+    return F.coalesce((F.col("digits") > 0) & (drawn - joined >= math.log(MIX_ODDS)), F.lit(False))
+
+
 def tested(candidates: DataFrame) -> DataFrame:
-    """Adds size (length class), bin (of the joint p-value) and able (long enough)
+    """Adds size (length class), bin (of the joint p-value) and able (long or mixed enough)
     to candidates with a column ``s``; stored."""
     rows = with_encoding(candidates)
     rows = rows.withColumns({"bits": F.call_function("translate", F.col("v"), F.col("alphabet"), F.col("halves")),
@@ -168,7 +192,7 @@ def tested(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("x", -(logs[0] + logs[1] + logs[2]))
     p = F.exp(-F.col("x")) * (1 + F.col("x") + F.col("x") * F.col("x") / 2)             # chi-squared tail of 2x at 6 degrees
     rows = rows.withColumn("bin", F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-30))) * _PER_BIN), F.lit(_BINS)).cast("int"))
-    return stored(rows.select(*candidates.columns, F.floor(F.log2("n")).cast("int").alias("size"), "bin", (F.col("n") >= F.col("least")).alias("able")), "secret-tests")
+    return stored(rows.select(*candidates.columns, F.floor(F.log2("n")).cast("int").alias("size"), "bin", ((F.col("n") >= F.col("least")) | spread()).alias("able")), "secret-tests")
 
 
 def rejections(tests: DataFrame, rate: float = FDR) -> DataFrame:
