@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small_batches, stored
 
-CLASSES, PER_CLASS = 16, 64
+CLASSES, PER_CLASS = 32, 64
 WORDS = CLASSES * PER_CLASS
 HEAD = 1 << 16
 HIDDEN = 16
-STEPS, STREAMS = 32, 384
+STEPS, STREAMS = 32, 256
 ROUNDS = 3
 RATE = 0.1
 #: Words that a task holds before it works on them, and distinct words before it hands on their counts.
@@ -111,14 +111,19 @@ class Weights:
         return w
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    if len(x) and (x.max() > 60 or x.min() < -60):       # else neither the powers nor their sums leave float32
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     return x
 
 
@@ -155,29 +160,57 @@ class Streams:
             yield a, min(self.length, a + STEPS), int(self.active[a])
 
 
-def _forward(w: Weights, s: Streams, a: int, b: int, n: int, h: np.ndarray):
-    """States of a window from ``h``, with what backpropagation needs."""
-    steps = []
-    for t in range(a, b):
-        m = int(s.active[t])
-        begin = s.begin[t, :m]
-        if begin.any():
-            h = h.copy()
-            h[:m][begin] = 0
-        x = np.where(begin, _END, s.target[t - 1, :m] if t else _END)
-        old = h[:m]
-        hu = old @ w.u
-        g = w.g[x]
-        zr = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        cand = np.tanh(g[:, 2 * HIDDEN:] + r * hu[:, 2 * HIDDEN:])
-        new = h.copy()
-        new[:m] = cand + z * (old - cand)
-        steps.append((x, begin, old, hu, z, r, cand, m))
-        h = new
-        yield_state = new[:m]
-        steps[-1] += (yield_state,)
-    return steps, h
+class Window:
+    """A window of ``s`` run from the states ``h``: what its steps made, all rows of
+    all steps after one another (rows ``at[i]`` to ``at[i + 1]`` are step i's)."""
+
+    def __init__(self, w: Weights, s: Streams, a: int, b: int, n: int, h: np.ndarray):
+        active = s.active[a:b]
+        here = np.arange(n) < active[:, None]
+        begin = s.begin[a:b, :n]
+        before = s.target[a - 1: b - 1, :n] if a else np.concatenate([np.full((1, n), _END, np.int32), s.target[: b - 1, :n]])
+        self.at = [0, *np.cumsum(active).tolist()]
+        self.x, self.target, self.owner = np.where(begin, _END, before)[here], s.target[a:b, :n][here], s.owner[a:b, :n][here]
+        self.stay = (~begin[here]).astype(np.float32)[:, None]          # 0 where a text begins
+        g, rows = w.g[self.x], len(self.x)
+        self.old, self.cand, self.hc, self.states = (np.empty((rows, HIDDEN), np.float32) for _ in range(4))
+        self.zr = np.empty((rows, 2 * HIDDEN), np.float32)
+        for lo, hi in zip(self.at, self.at[1:]):
+            old = np.multiply(h[: hi - lo], self.stay[lo:hi], out=self.old[lo:hi])
+            hu = old @ w.u
+            zr, c, h = self.zr[lo:hi], self.cand[lo:hi], self.states[lo:hi]
+            np.add(g[lo:hi, : 2 * HIDDEN], hu[:, : 2 * HIDDEN], out=zr)
+            _sigmoid(zr)
+            self.hc[lo:hi] = hu[:, 2 * HIDDEN:]
+            np.multiply(zr[:, HIDDEN:], hu[:, 2 * HIDDEN:], out=c)
+            c += g[lo:hi, 2 * HIDDEN:]
+            np.tanh(c, out=c)
+            np.subtract(old, c, out=h)                                  # the new state, c + z * (old - c)
+            h *= zr[:, :HIDDEN]
+            h += c
+        self.last = h
+
+    def back(self, w: Weights, dout: np.ndarray, grad: Weights) -> np.ndarray:
+        """Adds the gradient of ``u``; returns those of the input rows."""
+        z, r = self.zr[:, :HIDDEN], self.zr[:, HIDDEN:]
+        by_c, by_r = (1 - z) * (1 - self.cand * self.cand), self.hc * r * (1 - r)
+        by_z = (self.old - self.cand) * z * (1 - z)
+        dhu, dc, ut = np.empty((len(z), 3 * HIDDEN), np.float32), np.empty((len(z), HIDDEN), np.float32), np.ascontiguousarray(w.u.T)
+        later = np.zeros((0, HIDDEN), np.float32)
+        for lo, hi in zip(self.at[-2::-1], self.at[:0:-1]):
+            d, one, c = dout[lo:hi], dhu[lo:hi], dc[lo:hi]
+            d[: len(later)] += later
+            np.multiply(d, by_c[lo:hi], out=c)
+            np.multiply(d, by_z[lo:hi], out=one[:, :HIDDEN])
+            np.multiply(c, by_r[lo:hi], out=one[:, HIDDEN: 2 * HIDDEN])
+            np.multiply(c, r[lo:hi], out=one[:, 2 * HIDDEN:])
+            d *= z[lo:hi]
+            later = one @ ut
+            later += d
+            later *= self.stay[lo:hi]
+        grad.u += self.old.T @ dhu
+        dhu[:, 2 * HIDDEN:] = dc
+        return dhu
 
 
 def _outputs(w: Weights, h: np.ndarray, target: np.ndarray, grad: Weights | None):
@@ -193,59 +226,65 @@ def _outputs(w: Weights, h: np.ndarray, target: np.ndarray, grad: Weights | None
         grad.wc += h.T @ p
         grad.bc += p.sum(0)
         dh = p @ w.wc.T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = np.argsort(cls.astype(np.uint16), kind="stable")             # 16 bits: a radix sort
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    inside = order[: bounds[-1]]
+    hs, word = h[inside], target[inside] % PER_CLASS
+    own = np.empty(len(inside), np.float32)
+    ds = np.empty_like(hs)
     for c in range(CLASSES):
-        at = order[bounds[c]: bounds[c + 1]]
-        if len(at):
-            hc, word = h[at], target[at] - c * PER_CLASS
+        lo, hi = bounds[c], bounds[c + 1]
+        if lo < hi:
+            hc = hs[lo:hi]
             q = _softmax(hc @ w.ww[c] + w.bw[c])
-            one = np.arange(len(at))
-            logp[at] += np.log(q[one, word])
+            one = np.arange(hi - lo)
+            own[lo:hi] = q[one, word[lo:hi]]
             if grad is not None:
-                q[one, word] -= 1
+                q[one, word[lo:hi]] -= 1
                 grad.ww[c] += hc.T @ q
                 grad.bw[c] += q.sum(0)
-                dh[at] += q @ w.ww[c].T
+                np.matmul(q, w.ww[c].T, out=ds[lo:hi])
+    logp[inside] += np.log(own)
+    if grad is not None:
+        dh[inside] += ds
     return logp, dh
 
 
+def _adagrad(w: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
+    """One step in place; ``seen`` holds the sums of squares."""
+    np.clip(g, -5, 5, out=g)
+    seen += g * g
+    g *= RATE
+    g /= np.sqrt(seen)
+    w -= g
+
+
 def train_buffer(w: Weights, seen: np.ndarray, texts: list[np.ndarray]) -> None:
-    """One pass over texts: a step (Adagrad, ``seen`` holds the squares) per window."""
+    """One pass over texts: a step (Adagrad, ``seen`` holds the squares) per window.
+    Input rows of words that a window lacks have no gradient and are left alone."""
     if not texts:
         return
     s = Streams(texts)
     h = np.zeros((s.target.shape[1], HIDDEN), np.float32)
+    past, dense = Weights(seen), slice(w.g.size, None)
     for a, b, n in s.windows():
-        steps, h = _forward(w, s, a, b, n, h)
+        v = Window(w, s, a, b, n, h)
+        h = v.last
         grad = Weights(np.zeros(Weights.SIZE, np.float32))
-        states = np.concatenate([x[-1] for x in steps])
-        target = np.concatenate([s.target[a + i, : x[7]] for i, x in enumerate(steps)])
-        _, dout = _outputs(w, states, target, grad)
-        at, later, inputs, dinputs = len(dout), np.zeros((n, HIDDEN), np.float32), [], []
-        for x, begin, old, hu, z, r, cand, m, _ in reversed(steps):
-            d = dout[at - m: at] + later[:m]
-            at -= m
-            dc = d * (1 - z) * (1 - cand * cand)
-            dz = d * (old - cand) * z * (1 - z)
-            dr = dc * hu[:, 2 * HIDDEN:] * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dc * r], 1)
-            grad.u += old.T @ dhu
-            back = d * z + dhu @ w.u.T
-            back[begin] = 0
-            later = np.zeros((n, HIDDEN), np.float32)
-            later[:m] = back
-            inputs.append(x)
-            dinputs.append(np.concatenate([dz, dr, dc], 1))
-        x, dx = np.concatenate(inputs), np.concatenate(dinputs)
-        order = np.argsort(x, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
-        grad.g[x[order][first]] += np.add.reduceat(dx[order], first, axis=0)
-        g = grad.flat
-        g /= len(target) / 64                        # a step's size doesn't depend on the streams in use
-        np.clip(g, -5, 5, out=g)
-        seen += g * g
-        w.flat -= RATE * g / np.sqrt(seen)
+        _, dout = _outputs(w, v.states, v.target, grad)
+        dx = v.back(w, dout, grad)
+        order = np.argsort(v.x.astype(np.uint16), kind="stable")
+        x = v.x[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(x) > 0]))
+        rows, g = x[first], np.add.reduceat(dx[order], first, axis=0)
+        scale = len(v.target) / 64                   # a step's size doesn't depend on the streams in use
+        g /= scale
+        squares, moved = past.g[rows], w.g[rows]
+        _adagrad(moved, squares, g)
+        past.g[rows], w.g[rows] = squares, moved
+        rest = grad.flat[dense]
+        rest /= scale
+        _adagrad(w.flat[dense], seen[dense], rest)
 
 
 def score_buffer(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
@@ -256,11 +295,10 @@ def score_buffer(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     s = Streams(texts)
     h = np.zeros((s.target.shape[1], HIDDEN), np.float32)
     for a, b, n in s.windows():
-        steps, h = _forward(w, s, a, b, n, h)
-        target = np.concatenate([s.target[a + i, : x[7]] for i, x in enumerate(steps)])
-        owner = np.concatenate([s.owner[a + i, : x[7]] for i, x in enumerate(steps)])
-        logp, _ = _outputs(w, np.concatenate([x[-1] for x in steps]), target, None)
-        out += np.bincount(owner, logp, len(texts))
+        v = Window(w, s, a, b, n, h)
+        h = v.last
+        logp, _ = _outputs(w, v.states, v.target, None)
+        out += np.bincount(v.owner, logp, len(texts))
     return out
 
 
