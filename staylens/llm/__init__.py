@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 #: Tasks get this subpackage's functions by value: executors needn't have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_MODULES = ["ann", "bpe", "decontaminate", "gru_lm", "langid", "licenses", "omh_dedup", "prefix_trie", "resample", "sharding", "secrets", "warc"]
+_MODULES = ["ann", "bpe", "decontaminate", "gru_lm", "langid", "licenses", "omh_dedup", "partenum", "prefix_trie", "resample", "sharding", "secrets", "warc"]
 
 
 def _collect(attribute):
