@@ -18,7 +18,7 @@ from ..functions import scalars as X
 from .joins import left_join_suffixed, with_scalars
 from .ranking import position_in_key
 from .sampling import hash_order
-from .stats import quantiles
+from .stats import quantile_col, quantiles, quantiles_of
 
 GRD_REQUIRED = ["edad_en_anos", "sexo_desc_", "servicio_ingreso_descripcion_", "prevision_desc_",
                 "ir_grd_codigo_"]
@@ -108,10 +108,14 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, sha
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """M4: NULL -> whole-column median (one broadcast row for all columns)."""
-    out = df
-    for c in cols:
-        out = with_scalars(out, quantiles(df, c, [0.5], ["_med_" + c], "rank" if exact else "approx"))
+    """M4: NULL -> whole-column median (one row for all columns, found in the same aggregates)."""
+    if not cols:
+        return df
+    if exact:
+        medians = quantiles_of(df, [(c, [0.5], ["_med_" + c]) for c in cols])
+    else:
+        medians = df.agg(*[quantile_col(c, 0.5, exact=False).alias("_med_" + c) for c in cols])
+    out = with_scalars(df, medians)
     return out.select(*[F.coalesce(X.nan_to_null(F.col(c)), F.col("_med_" + c)).alias(c) if c in cols
                         else F.col(c) for c in df.columns])
 

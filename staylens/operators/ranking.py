@@ -143,46 +143,3 @@ def running_totals(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
             yield res
 
     return ranked.mapInPandas(_cumulate, schema)
-
-
-def quantiles_by_rank(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
-                      partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles with memory bounded per task.
-
-    ``percentile`` keeps one map entry per distinct value in a single final
-    task; here the distinct values are counted and range-partitioned instead, and
-    only the (at most two per probability) values at the needed ranks reach
-    the driver. Returns a one-row DataFrame (NULLs when there are no values).
-    """
-    import math
-
-    spark = df.sparkSession
-    col = F.col(value) if isinstance(value, str) else value
-    v = df.select(F.nanvl(col.cast("double"), F.lit(None).cast("double")).alias("_v")) \
-          .where(F.col("_v").isNotNull())
-    # one row per distinct value: a value that most rows share weighs no more than another
-    ranked = _ranged(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], partitions)
-    totals = ranked.groupBy("_pid").agg(F.sum("_n").alias("n")).collect()
-    n = sum(r["n"] for r in totals)
-    cols = [(nm, "DOUBLE") for nm in names]
-    if n == 0:
-        return numeric_values_table(spark, [tuple([None] * len(names))], cols)
-    spots = {}
-    for p in probs:
-        h = (n - 1) * p
-        spots[p] = (h, int(math.floor(h)), int(math.ceil(h)))
-    wanted = sorted({x for _, lo, hi in spots.values() for x in (lo, hi)})
-    offs = _offsets(totals, ["n"])
-    table = numeric_values_table(spark, [(pid, o[0]) for pid, o in sorted(offs.items())], [("_pid", "INT"), ("_off", "BIGINT")])
-    upto = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_v"))
-    placed = ranked.withColumn("_to", upto).join(F.broadcast(table), "_pid").withColumn("_to", F.col("_to") + F.col("_off"))
-    hit = F.array_contains(F.transform(F.array(*map(F.lit, wanted)), lambda w: (w < F.col("_to")) & (w >= F.col("_to") - F.col("_n"))), True)
-    got = {}
-    for r in placed.where(hit).select("_v", "_to", "_n").collect():        # at most two values per probability
-        got.update({w: r["_v"] for w in wanted if r["_to"] - r["_n"] <= w < r["_to"]})
-    vals = []
-    for p in probs:
-        h, lo, hi = spots[p]
-        a, b = got[lo], got[hi]
-        vals.append(a if lo == hi or a == b else a + (b - a) * (h - lo))
-    return numeric_values_table(spark, [tuple(vals)], cols)

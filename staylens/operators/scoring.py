@@ -54,9 +54,8 @@ def scoring_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def batch_medians(features: DataFrame) -> DataFrame:
     """The two batch medians the adjustment falls back to (one row)."""
-    from .stats import quantiles
-    one = lambda c, out: quantiles(features, c, [0.5], [out], "rank")
-    return with_scalars(one("fecha_estimada_de_alta", "_med_dias"), one("edad", "_med_edad"))
+    from .stats import quantiles_of
+    return quantiles_of(features, [("fecha_estimada_de_alta", [0.5], ["_med_dias"]), ("edad", [0.5], ["_med_edad"])])
 
 
 def _boost_terms(df: DataFrame, p_col: str) -> DataFrame:

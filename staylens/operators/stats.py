@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nan_to_null
+from ..session import numeric_values_table
 
 
 def quantile_col(c, probs: float | Sequence[float], exact: bool = True,
@@ -29,17 +30,25 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[s
 
     ``method``: ``"exact"`` = ``percentile`` (one aggregate; memory grows with
     the number of distinct values, fine for ages, day counts, codes);
-    ``"rank"`` = exact by range-partitioned ranks (bounded memory, for
+    ``"rank"`` = exact by radix selection (bounded memory, for
     high-cardinality columns such as scores and timestamps);
     ``"approx"`` = ``percentile_approx``.
     """
     if method == "rank":
-        from .ranking import quantiles_by_rank
-        return quantiles_by_rank(df, col, probs, names)
+        return quantiles_of(df, [(col, probs, names)])
     arr = df.agg(quantile_col(col, list(probs), method == "exact").alias("_q"))
     return arr.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
+def quantiles_of(df: DataFrame, wanted: Sequence[tuple]) -> DataFrame:
+    """Exact quantiles of several columns in the same aggregates, as one row.
+    ``wanted``: (column, probabilities, output names)."""
+    from .selection import exact_quantiles
+    found = exact_quantiles(df, [(c, probs) for c, probs, _ in wanted])
+    row = tuple(v for values in found for v in values)
+    return numeric_values_table(df.sparkSession, [row], [(n, "DOUBLE") for _, _, names in wanted for n in names])
+
+
 def summary_stats(df: DataFrame, col: str, median_method: str = "rank") -> DataFrame:
     """A5: count, mean, median, max, min, sample standard deviation.
 

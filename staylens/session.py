@@ -107,7 +107,8 @@ def numeric_values_table(spark: SparkSession, rows, columns) -> "DataFrame":
     if not rows:
         cols = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in columns)
         return spark.sql(f"SELECT {cols} WHERE false")
-    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(float(v)) if t == "DOUBLE" else str(int(v))
+    # doubles as text: infinities have no literal
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{float(v)!r}'" if t == "DOUBLE" else str(int(v))
                                        for v, (_, t) in zip(r, columns)) + ")" for r in rows)
     names = ", ".join(f"c{i}" for i in range(len(columns)))
     cast = ", ".join(f"CAST(c{i} AS {t}) AS {n}" for i, (n, t) in enumerate(columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from staylens.operators import keyed as K
 from staylens.operators import ranking as RK
 from staylens.operators import summaries as S
+from staylens.operators.stats import quantiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,7 +49,7 @@ def test_latest_and_first_exact_under_skew(spark):
 
 def test_hot_value_is_one_row_of_the_quantile(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
-    got = RK.quantiles_by_rank(df, "v", [0.0, 0.5, 0.9, 1.0], ["a", "b", "c", "d"]).first()
+    got = quantiles(df, "v", [0.0, 0.5, 0.9, 1.0], ["a", "b", "c", "d"], "rank").first()
     want = df.agg(*[F.percentile("v", p) for p in (0.0, 0.5, 0.9, 1.0)]).first()
     assert list(got) == list(want)
 
