@@ -37,8 +37,12 @@ ADMIN_CATEGORY_CODES = {"coordinacion_familiar": 1.0, "coordinacion_interinstitu
                         "derivacion_apoyo_psicosocial": 2.0}
 AGE_BAND_EDGES = [0, 30, 50, 70, 100]
 AGE_BAND_LABELS = ["<30", "30-50", "50-70", "70+"]
-# Day-first text formats tried in order after ISO text (time optional).
-DAYFIRST_FORMATS = ["d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]"]
+# Text shapes of dates that aren't ISO, and the format each is read with (time optional):
+# day first, month first with slashes if the second field can't be a month.
+TIME_SHAPE = r"( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$"
+TEXT_DATES = [(r"^[0-9]{1,2}/(0?[1-9]|1[0-2])/[0-9]{4}" + TIME_SHAPE, "d/M/yyyy[ H:mm[:ss]]"),
+              (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + TIME_SHAPE, "d-M-yyyy[ H:mm[:ss]]"),
+              (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + TIME_SHAPE, "M/d/yyyy[ H:mm[:ss]]")]
 SERIAL_LIMIT_DAYS = 106751                  # representable offset from the epoch
 # Text shapes taken for a date in unmapped columns: a serial number, ISO, dd/mm/yyyy.
 SERIAL_SHAPE = r"^[0-9]{5}(\.[0-9]+)?$"
@@ -140,16 +144,15 @@ def parse_datetime(c, keep_time: bool = True, serials: bool = True) -> Column:
 
     ISO is read as ISO (an offset suffix is dropped, wall time kept); slashes
     and dashes in ``d/M/yyyy`` order are day-first, with month-first as the
-    fallback when the second field cannot be a month.
+    fallback when the second field cannot be a month. A format is tried only on text
+    of its shape: a failing one costs an exception per row.
     """
     s = F.trim(_c(c).cast("string"))
-    parts = []
-    if serials:
-        parts.append(serial_days_to_timestamp(lenient_float(s)))
-    parts.append(F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), s.try_cast("timestamp_ntz")))
-    # Parsed in the session zone and cast back: the wall-clock time is kept.
-    parts += [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in DAYFIRST_FORMATS]
-    ts = F.coalesce(*parts)
+    text = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), s.try_cast("timestamp_ntz"))
+    for shape, fmt in TEXT_DATES:
+        # Parsed in the session zone and cast back: the wall-clock time is kept.
+        text = text.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
+    ts = F.coalesce(serial_days_to_timestamp(lenient_float(s)), text) if serials else text
     return ts if keep_time else ts.cast("date")
 
 

@@ -27,13 +27,15 @@ def test_excel_serial(spark):
 
 def test_parse_datetime(spark):
     vals = ["04/03/2023 10:00", "2023-03-04T10:00:00", "2023-03-04T10:00:00+00:00", "45000.5",
-            "2023", "", "04/25/2023"]
+            "2023", "", "04/25/2023", "31/02/2023", "4-3-2023 9:05:07", "no date", "13/13/2023", "2/1/2023 24:00"]
     out = one(spark, vals, lambda c: X.parse_datetime(c, True))
     assert out[0] == dt.datetime(2023, 3, 4, 10, 0)          # day first
     assert out[1] == out[2] == dt.datetime(2023, 3, 4, 10, 0)  # ISO is ISO, offset dropped
     assert out[3] == dt.datetime(2023, 3, 15, 12, 0)
-    assert out[4] is None and out[5] is None                   # a bare year is not a date
+    assert out[4] == dt.datetime(1905, 7, 15) and out[5] is None   # R4: any number is a serial day
     assert out[6] == dt.datetime(2023, 4, 25)                  # month-first fallback
+    assert out[7] is None and out[8] == dt.datetime(2023, 3, 4, 9, 5, 7)
+    assert out[9:] == [None, None, None]
 
 
 def test_check_digit_and_seed(spark):
