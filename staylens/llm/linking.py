@@ -14,13 +14,39 @@ to meet.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Up to so many ids the documents that are read again are picked by a broadcast.
+BROADCAST_ROWS = 500_000
+#: Members compared with one copy of their leader.
+CELL = 500
+#: Digests a task remembers.
+SEEN = 500_000
+
+
+@dataclass
+class Method:
+    """What a join has of its own. A document's form is what is compared, as bytes."""
+
+    #: text (bytes or None) -> (digest of the form, None if there is nothing to compare; number of features; form)
+    encode: Callable[[bytes | None], tuple[bytes | None, int, bytes]]
+    #: form -> bucket keys, 64-bit; linked documents share one
+    keys: Callable[[bytes], np.ndarray]
+    #: Whether two forms are linked
+    similar: Callable[[bytes, bytes], bool]
+    #: form -> distinct features, 64-bit; linked documents' features have a Jaccard similarity of ``t`` or more
+    features: Callable[[bytes], np.ndarray]
+    t: float
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of all nodes in ``links`` (a, b): every node moves to its least
@@ -81,6 +107,125 @@ def _several(rows: DataFrame) -> DataFrame:
     return stored(rows.join(keys, "key", "left_semi"), "link-mixed")
 
 
+def described(docs: DataFrame, method: Method) -> DataFrame:
+    """row, doc_id, text_md5, same (digest of the form), n and keys (null where the
+    task had the form before, or there are none) of every document; stored."""
+    text = F.col("text").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_md5"), text.alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen, row = set(), TaskContext.get().partitionId() << 33
+        for b in batches:
+            same, n, keys = [], [], []
+            for text in b.column(2).to_pylist():
+                mark, size, form = method.encode(text)
+                own = None
+                if mark is not None and mark not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(mark)
+                    own = method.keys(form)
+                same.append(mark)
+                n.append(size)
+                keys.append(own if own is not None and len(own) else None)
+            at = pa.array(np.arange(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([at, b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["row", "doc_id", "text_md5", "same", "n", "keys"])
+
+    return stored(rows.mapInArrow(run, "row long, doc_id long, text_md5 string, same binary, n long, keys array<long>"), "link-rows")
+
+
+def forms_of(docs: DataFrame, asked: DataFrame, method: Method) -> DataFrame:
+    """(node, form) of the ``asked`` nodes (node, doc_id, same), read from the texts again; stored."""
+    wanted = asked.select(F.col("doc_id").alias("asked_id")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [method.encode(text) for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _, _ in found], pa.binary()), pa.array([f for _, _, f in found], pa.binary())], names=["same", "form"])
+
+    found = rows.select("text").mapInArrow(run, "same binary, form binary")
+    one = found.join(asked.select("node", "same"), "same").groupBy("node").agg(F.min("form").alias("form"))
+    return stored(one, "link-forms")
+
+
+def verified(pairs: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
+    """The pairs (x, y) that are linked, as (a, b); stored. A leader x meets its
+    partners in cells of about ``CELL``, for each of which its form is sent once."""
+    cells = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    pairs = pairs.join(cells, "x").select("x", "y", F.pmod(F.xxhash64("y"), "cells").alias("cell"))
+    side = lambda c: forms.select(F.col("node").alias(c), "form")
+    leaders = pairs.select("x", "cell").distinct().join(side("x"), "x").select("x", "cell", F.lit(None).cast("long").alias("y"), "form")
+    rows = leaders.unionByName(pairs.join(side("y"), "y").select("x", "cell", "y", "form"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        left = None
+        for batch in batches:
+            a, b = [], []
+            for x, y, form in zip(*(c.to_pylist() for c in batch.columns)):
+                if y is None:
+                    left = form
+                elif method.similar(left, form):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = rows.repartition("x", "cell").sortWithinPartitions("x", "cell", F.col("y").asc_nulls_first()).select("x", "y", "form")
+    return stored(rows.mapInArrow(run, "a long, b long"), "link-links")
+
+
+def features_of(nodes: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
+    """(node, f): the features of ``nodes``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for node, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                f = method.features(form).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node), pa.int64()), pa.array(f)], names=["node", "f"])
+
+    return forms.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "form").mapInArrow(run, "node long, f long")
+
+
+def classes(docs: DataFrame, method: Method) -> DataFrame:
+    """One row per document: doc_id, text_md5, n, class_id (smallest doc_id that links
+    reach, null if there is none) and kept (of each class the rows that equal, in doc_id and
+    text, its first by doc_id, null last, and text_md5). Rows with nothing to compare are
+    classes by doc_id and text."""
+    rows = described(docs, method)
+    equal = rows.where(F.col("same").isNotNull()).groupBy("same").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("first"))
+    nodes = stored(equal, "link-nodes")
+    keyed = rows.where(F.col("keys").isNotNull())
+    # forms that several tasks have seen are one node
+    other = keyed.select("row", "same").join(nodes, "same").where("row <> node").select("row", F.col("node").alias("one"))
+    members = shared_keys(keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))).join(other, F.col("node") == F.col("row"), "left")
+    members = stored(members.select("key", F.coalesce("one", "node").alias("node")).distinct(), "link-buckets")
+    several = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    named = rows.select(F.col("row").alias("node"), "doc_id", "same", "n")
+    asked = stored(named.join(members.join(several, "key").select("node").distinct(), "node"), "link-asked")
+    forms = forms_of(docs, asked, method)
+    comp = link(members.join(asked.select("node", "n"), "node"), lambda pairs: verified(pairs, forms, method),
+                lambda some: features_of(some, forms, method), method.t)
+    classed = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    whole = classed.groupBy("comp").agg(F.min("least").alias("class_id"), F.min("first").alias("best"))
+    by_same = classed.join(whole, "comp").select("same", "class_id", "best")
+    own = F.col("same").isNull()
+    kept = own | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_md5").eqNullSafe(F.col("best.text_md5")))
+    return rows.select("doc_id", "text_md5", "same", "n").join(by_same, "same", "left").select(
+        "doc_id", "text_md5", "n", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
+
+
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], t: float, rounds: int = 2) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 

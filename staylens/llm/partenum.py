@@ -11,7 +11,7 @@ signatures of the next band if a partner can lie there. With two parts and one
 error a difference costs one signature, the least possible (three parts take half as
 many again, to be chosen where common passages are long).
 
-Signatures are buckets for ``linking.link``: leaders first, then an exact prefix
+Signatures are buckets for ``linking.classes``: leaders first, then an exact prefix
 filter; candidates are verified on their whole sets. Only nodes that share a bucket
 have their sets rebuilt from the text, each set moving with its leader's cell.
 
@@ -30,21 +30,15 @@ from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
-from .linking import link, shared_keys
+from .common import read_table
+from .linking import Method, classes
 
 RUN = 3
 NUM, DEN = 90, 100
 PARTS, ERRORS = 2, 1
-#: Up to so many ids the documents to be rebuilt are picked by a broadcast.
-BROADCAST_ROWS = 1_000_000
-#: Members compared with one copy of a leader's set.
-CELL = 500
-_SEEN = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,122 +101,28 @@ def signatures(features: np.ndarray, bands: Bands, parts: int = PARTS, errors: i
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """row, doc_id, same (digest of the set, null if empty), n (its size) and keys (its
-    signatures, null where the task had the set before) of every document; stored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        bands, seen, row = Bands(), set(), TaskContext.get().partitionId() << 33
-        for b in batches:
-            same, n, keys = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text)
-                mark = hashlib.md5(s.tobytes()).digest() if len(s) else None
-                own = None
-                if mark is not None and mark not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(mark)
-                    own = signatures(s, bands)
-                    own = own if len(own) else None
-                same.append(mark)
-                n.append(len(s))
-                keys.append(own)
-            at = pa.array(np.arange(row, row + len(n)), pa.int64())
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([at, b.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["row", "doc_id", "same", "n", "keys"])
-
-    return stored(rows.mapInArrow(run, "row long, doc_id long, same binary, n long, keys array<long>"), "partenum-rows")
-
-
-def sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, features) of the ``asked`` nodes (node, doc_id, same), read from the texts again; stored."""
-    wanted = asked.select(F.col("doc_id").alias("asked_id")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            sets = [shingle_set(text) for text in b.column(0).to_pylist()]
-            packed = [s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())], names=["same", "features"])
-
-    found = rows.select("text").mapInArrow(run, "same binary, features binary")
-    one = found.join(asked.select("node", "same"), "same").groupBy("node").agg(F.min("features").alias("features"))
-    return stored(one, "partenum-sets")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (x, y) that are similar, as (a, b); stored. A leader x meets its partners in cells of about ``CELL``."""
-    cells = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-    pairs = pairs.join(cells, "x").select("x", "y", F.pmod(F.xxhash64("y"), "cells").alias("cell"))
-    side = lambda c: sets.select(F.col("node").alias(c), "features")
-    leaders = pairs.select("x", "cell").distinct().join(side("x"), "x").select("x", "cell", F.lit(None).cast("long").alias("y"), "features")
-    rows = leaders.unionByName(pairs.join(side("y"), "y").select("x", "cell", "y", "features"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        left = None
-        for b in batches:
-            a, b_ = [], []
-            for x, y, packed in zip(*(c.to_pylist() for c in b.columns)):
-                s = np.frombuffer(packed, np.uint64)
-                if y is None:
-                    left = s
-                    continue
-                both = len(np.intersect1d(left, s, assume_unique=True))
-                if den * both >= num * (len(left) + len(s) - both):
-                    a.append(min(x, y))
-                    b_.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
-
-    rows = rows.repartition("x", "cell").sortWithinPartitions("x", "cell", F.col("y").asc_nulls_first()).select("x", "y", "features")
-    return stored(rows.mapInArrow(run, "a long, b long"), "partenum-links")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    rows = described(docs)
-    equal = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    nodes = stored(equal, "partenum-nodes")
-    # sets that several tasks have seen are one node
-    other = rows.where(F.col("keys").isNotNull()).select("row", "same").join(nodes, "same").where("row <> node").select("row", F.col("node").alias("first"))
-    shared = shared_keys(rows.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), F.col("row").alias("node")))
-    shared = shared.join(other, F.col("node") == F.col("row"), "left").select("key", F.coalesce("first", "node").alias("node")).distinct()
-    members = stored(shared, "partenum-buckets")
-    named = rows.select(F.col("row").alias("node"), "doc_id", "same", "n")
-    asked = stored(named.join(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-                              .select("key").join(members, "key").select("node").distinct(), "node"), "partenum-asked")
-    sets = sets_of(docs, asked)
-
-    def unpacked(df):
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                for node, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    f = np.frombuffer(packed, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node)), pa.array(f)], names=["node", "f"])
-
-        return sets.join(df.select("node").distinct(), "node", "left_semi").select("node", "features").mapInArrow(run, "node long, f long")
-
-    comp = link(members.join(asked.select("node", "n"), "node"), lambda pairs: verified(pairs, sets), unpacked, NUM / DEN)
-    classed = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = rows.select("doc_id", "same", "n").join(classed.join(least, "comp").select("same", "component_id"), "same", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+def encode(text: bytes | None) -> tuple[bytes | None, int, bytes]:
+    """(digest of the set, None if it is empty; its size; its sorted hashes)."""
+    s = shingle_set(text)
+    form = s.tobytes()
+    return hashlib.md5(form).digest() if len(s) else None, len(s), form
+
+
+def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def method(num: int = NUM, den: int = DEN, parts: int = PARTS, errors: int = ERRORS) -> Method:
+    """Linked if ``den`` * intersection >= ``num`` * union."""
+    read, bands = lambda form: np.frombuffer(form, np.uint64), Bands(num, den)
+    return Method(encode, lambda form: signatures(read(form), bands, parts, errors),
+                  lambda a, b: similar(read(a), read(b), num, den), read, num / den)
 
 
 def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read_table(spark, sf_dir, "documents"))
+    out = classes(read_table(spark, sf_dir, "documents"), method())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"))
 
 
 QUERIES = {"op13_partenum": op13_partenum}

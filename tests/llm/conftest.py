@@ -88,14 +88,43 @@ def make_embeddings():
     return rows
 
 
+def make_conversations():
+    rng = random.Random(8)
+    rows = []
+
+    def add(conv, turn, role, text):
+        rows.append({"conv_id": conv, "turn": turn, "role": role, "text": text})
+
+    for c in list(range(40)) + [-3, -10, 77, 78, 99]:
+        for t in range(rng.choice([1, 2, 3, 8, 12])):
+            add(c, t, ["user", "assistant"][t % 2], prose(rng, 3) if t % 3 else "the same opening é")
+    for c in range(100, 140):                                        # copies, also as prefixes of longer ones
+        for t in range(2 + (c % 7 == 0)):
+            add(c, t, "user", f"copied {t}")
+    add(50, None, "user", "no turn number")
+    add(50, None, "user", "another without one")
+    add(50, 3, None, None)
+    add(50, 3, "", "")                                               # a tie, equal once nulls are empty
+    add(50, 3, "b", "later role")
+    add(50, 3, "b", "later role")                                    # a repeated row
+    add(51, 0, "user", "")
+    add(None, 0, "user", "belongs to no conversation")
+    add(60, 0, "user", "long " * 100_000)
+    for t in range(300):
+        add(61, t, "user", f"turn {t}")
+    rng.shuffle(rows)
+    return rows
+
+
 SCHEMAS = {
+    "conversations": pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]),
     "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
     "embeddings": pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))]),
 }
 #: Names that operators use themselves.
-CLASHES = ["key", "n", "words", "ids", "size", "lang_pred", "payload", "node", "v", "_text", "spans", "text_md5", "term", "pos", "same", "shard"]
+CLASHES = ["key", "n", "words", "ids", "size", "lang_pred", "payload", "node", "v", "_text", "spans", "text_md5", "term", "pos", "same", "shard", "row", "rank", "conv", "base", "score"]
 
 
 def write_tables(folder, tables, clashes=True):
@@ -111,7 +140,8 @@ def write_tables(folder, tables, clashes=True):
 @pytest.fixture(scope="session")
 def tables():
     documents = make_documents()
-    return {"documents": documents, "benchmark": make_benchmark(documents), "pages": make_pages(), "embeddings": make_embeddings()}
+    return {"documents": documents, "benchmark": make_benchmark(documents), "pages": make_pages(), "embeddings": make_embeddings(),
+            "conversations": make_conversations()}
 
 
 @pytest.fixture(scope="session")

@@ -21,7 +21,9 @@ COLUMNS = {
     "op4_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op5_virtual_slots": "doc_id size text_crc32 law shard slot grown_shard",
     "op6_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op7_omh_dedup": "doc_id class_id",
     "op8_licenses": "doc_id licenses", "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
-    "op10_langid": "doc_id held_out lang_pred score",
+    "op10_langid": "doc_id held_out lang_pred score", "op11_resample": "doc_id n_features weight score rank",
+    "op12_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13_partenum": "doc_id n_shingles component_id",
 }
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
