@@ -109,6 +109,13 @@ def normalize_sex(c) -> Column:
             .otherwise(c))
 
 
+def category_features(sexo="sexo", servicio_clinico="servicio_clinico", prevision="prevision") -> list[Column]:
+    """The three category features as models know them, for training (M1) and scoring
+    (M20) alike: one spelling of unknown (X26), sexes by X12."""
+    return [normalize_sex(_c(sexo).cast("string")).alias("sexo"), fill_unknown(servicio_clinico).alias("servicio_clinico"),
+            fill_unknown(prevision).alias("prevision")]
+
+
 # --- numbers ---------------------------------------------------------------
 def lenient_int(c) -> Column:
     """Keep only digits and '-', then parse; anything else is NULL.

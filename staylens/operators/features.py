@@ -69,9 +69,7 @@ def make_dataset(grd: DataFrame, score: DataFrame, episode_grd: str = "episodio_
     return df.select(
         F.col(episode_grd).cast("string").alias("episodio"),
         X.nan_to_null(F.col("edad_en_anos").cast("double")).alias("edad"),
-        F.coalesce(F.col("sexo_desc_").cast("string"), F.lit("desconocido")).alias("sexo"),
-        F.coalesce(F.col("servicio_ingreso_descripcion_").cast("string"), F.lit("desconocido")).alias("servicio_clinico"),
-        F.coalesce(F.col("prevision_desc_").cast("string"), F.lit("desconocido")).alias("prevision"),
+        *X.category_features(sexo="sexo_desc_", servicio_clinico="servicio_ingreso_descripcion_", prevision="prevision_desc_"),
         X.nan_to_null(F.col(norm).cast("double")).alias("fecha_estimada_de_alta"),
         F.col("riesgo_social"),
         X.clinical_code(F.col("salud_mental")).alias("riesgo_clinico"),

@@ -41,9 +41,7 @@ def scoring_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(
         *[F.col(c) for c in keep],
         X.nan_to_null(X.lenient_float(F.col("edad"))).alias("edad"),
-        X.normalize_sex(F.col("sexo")).alias("sexo"),
-        X.fill_unknown(F.col("servicio_clinico")).alias("servicio_clinico"),
-        X.fill_unknown(F.col("prevision")).alias("prevision"),
+        *X.category_features(),
         X.allowed_stay_days(F.col("fecha_estimada_de_alta")).alias("fecha_estimada_de_alta"),
         X.encode_risk(F.col("riesgo_social")).alias("riesgo_social"),
         X.encode_risk(F.col("riesgo_clinico")).alias("riesgo_clinico"),
@@ -106,11 +104,11 @@ def add_tiers(df: DataFrame, p_col: str, vector_out: str = "riesgo_categoria",
 
 def positive_probability(model, features: DataFrame, out: str = "p_modelo") -> DataFrame:
     """Probability of class 1 from a fitted MLlib pipeline (or a
-    ``(preparation, pipeline)`` pair as returned by ``training.fit``)."""
+    ``(preparation, model)`` pair as returned by ``training.fit``)."""
     from pyspark.ml.functions import vector_to_array
     if isinstance(model, tuple):
-        prep, model = model
-        features = prep.apply(features)
+        from .training import margin
+        return margin(model, features).withColumnRenamed("p_raw", out).drop("margin")
     scored = model.transform(features)
     return (scored.withColumn(out, vector_to_array(F.col("probability"))[1])
                   .drop("features", "rawPrediction", "probability", "prediction"))

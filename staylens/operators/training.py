@@ -1,12 +1,12 @@
-"""Model fitting and evaluation on MLlib.
+"""Model fitting and evaluation.
 
 Preprocessing mirrors the source pipeline: median imputation of numbers
 (M4), mode imputation of categories (M5), one-hot with rare levels pooled for
-the linear model (M6) or ordinal codes with unknown -> extra index for the
-boosted model (M7), balanced class weights times sample weights (M8). The
-boosted model is calibrated with a one-feature logistic regression on its
-margin over a hash-sampled slice (T5, M11). MLlib fits are distributed; no
-row cap is needed.
+the linear model (M6) or ordinal codes with unknown -1 for the boosted model
+(M7), balanced class weights times sample weights (M8). The linear model is
+MLlib's, the boosted one that of :mod:`boosting`; it is calibrated with a
+one-feature logistic regression on its margin over a hash-sampled slice (T5,
+M11). Fits are distributed; no row cap is needed.
 """
 
 from __future__ import annotations
@@ -16,18 +16,22 @@ from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting as B
 from . import features as FE
+from . import levels as LV
 from . import metrics as M
 from . import reports as R
 from . import sampling as SA
+from ..functions.scalars import nan_to_null
 from .joins import with_scalars
+from .selection import exact_quantiles
 from .scoring import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 SEED = 42
@@ -35,89 +39,98 @@ ROUNDS = 100
 MIN_FREQUENCY = 0.01
 
 
-def _prep_stages(kind: str, num: Sequence[str], cat: Sequence[str]):
+def _linear_stages(num: Sequence[str], cat: Sequence[str]):
     imp = Imputer(strategy="median", inputCols=list(num), outputCols=[c + "_i" for c in num])
+    # at most 1 / MIN_FREQUENCY levels a column are left by the preparation
     idx = StringIndexer(inputCols=list(cat), outputCols=[c + "_x" for c in cat],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
-    if kind == "logistic":
-        ohe = OneHotEncoder(inputCols=[c + "_x" for c in cat], outputCols=[c + "_v" for c in cat],
-                            handleInvalid="keep", dropLast=False)
-        vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_v" for c in cat],
-                              outputCol="features", handleInvalid="keep")
-        return [imp, idx, ohe, vec]
-    # ordinal codes are plain numbers to the trees: an expression drops the nominal metadata,
-    # which would demand a bin per level
-    plain = SQLTransformer(statement="SELECT *, " + ", ".join(f"{c}_x + 0D AS {c}_o" for c in cat) + " FROM __THIS__")
-    vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_o" for c in cat],
+    ohe = OneHotEncoder(inputCols=[c + "_x" for c in cat], outputCols=[c + "_v" for c in cat],
+                        handleInvalid="keep", dropLast=False)
+    vec = VectorAssembler(inputCols=[c + "_i" for c in num] + [c + "_v" for c in cat],
                           outputCol="features", handleInvalid="keep")
-    return [imp, idx, plain, vec]
-
+    return [imp, idx, ohe, vec]
 
 
 class Preparation:
-    """M5 (+ M6 for the linear model) learned on the training rows and applied
-    to any batch. What is learned is small: one mode per category column and
-    at most 1 / ``MIN_FREQUENCY`` frequent levels, so it is kept as plain values,
-    which are saved with the model."""
+    """M5, with M6 for the linear or M4 and M7 for the boosted model, learned on the
+    training rows and applied to any batch. Modes, medians and the at most
+    1 / ``MIN_FREQUENCY`` frequent levels are plain values, level dictionaries are tables; all are
+    saved with the model."""
 
-    def __init__(self, kind: str, modes: dict, frequent: dict):
-        self.kind, self.modes, self.frequent = kind, modes, frequent
+    def __init__(self, kind: str, modes: dict, frequent: dict, medians: dict | None = None, levels: dict | None = None):
+        self.kind, self.modes, self.frequent, self.medians, self.levels = kind, modes, frequent, medians or {}, levels or {}
 
     @classmethod
-    def learn(cls, train: DataFrame, kind: str, cat: Sequence[str] = CATEGORICAL_FEATURES) -> "Preparation":
+    def learn(cls, train: DataFrame, kind: str, num: Sequence[str] = NUMERIC_FEATURES,
+              cat: Sequence[str] = CATEGORICAL_FEATURES) -> "Preparation":
         modes, frequent = {}, {}
         for c in cat:
             counts = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
             best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(c).alias("v")))["v"]).first()
             modes[c] = best[0] if best else None
-        if kind == "logistic":
-            filled = cls(kind, modes, {})._fill(train)
-            n = filled.count()
-            for c in cat:
-                levels = filled.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n * MIN_FREQUENCY)
-                frequent[c] = sorted(r[0] for r in levels.select(c).collect() if r[0] is not None)
+        if kind != "logistic":
+            medians = {c: m for c, (m,) in zip(num, exact_quantiles(train, [(c, [0.5]) for c in num]))}
+            return cls(kind, modes, {}, medians, {c: LV.ordinal_levels(train, c) for c in cat})
+        filled = cls(kind, modes, {})._fill(train)
+        n = filled.count()
+        for c in cat:
+            levels = filled.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n * MIN_FREQUENCY)
+            frequent[c] = sorted(r[0] for r in levels.select(c).collect() if r[0] is not None)
         return cls(kind, modes, frequent)
 
     def _fill(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in self.modes.items() if m is not None})
 
+    def inputs(self) -> list[str]:
+        """The boosted model's feature columns."""
+        return [c + "_i" for c in self.medians] + [c + "_o" for c in self.levels]
+
     def apply(self, df: DataFrame) -> DataFrame:
         out = self._fill(df)
-        return out.withColumns({c: F.when(F.col(c).isin(levels), F.col(c)).otherwise(F.lit(FE.INFREQUENT))
-                                for c, levels in self.frequent.items()})
+        if self.frequent:
+            return out.withColumns({c: F.when(F.col(c).isin(levels), F.col(c)).otherwise(F.lit(FE.INFREQUENT))
+                                    for c, levels in self.frequent.items()})
+        out = out.withColumns({c + "_i": F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(m).cast("double")) for c, m in self.medians.items()})
+        for c, levels in self.levels.items():
+            out = LV.ordinal_code(out, c, levels, c + "_o")
+        return out
 
     def to_json(self) -> str:
-        return json.dumps({"kind": self.kind, "modes": self.modes, "frequent": self.frequent})
+        return json.dumps({"kind": self.kind, "modes": self.modes, "frequent": self.frequent, "medians": self.medians})
 
     @classmethod
-    def from_json(cls, text: str) -> "Preparation":
-        return cls(**json.loads(text))
+    def from_json(cls, text: str, levels: dict | None = None) -> "Preparation":
+        return cls(**json.loads(text), levels=levels)
 
 
 def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
-        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES, rounds: int = ROUNDS):
+        num: Sequence[str] = NUMERIC_FEATURES, cat: Sequence[str] = CATEGORICAL_FEATURES, rounds: int = ROUNDS,
+        id_col: str = "episodio"):
     """Fit the linear model (L2 of strength one, unscaled) or the boosted
-    one (``rounds`` trees) with sample weights. Returns (preparation, pipeline model)."""
-    prep = Preparation.learn(train, kind, cat)
+    one (up to ``rounds`` trees) with sample weights. Returns (preparation, model)."""
+    prep = Preparation.learn(train, kind, num, cat)
     # Iterative fits read their input many times: materialise it once.
     prepared = prep.apply(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if kind == "logistic":
-            total = prepared.agg(F.sum(weight_col)).first()[0] or 1.0
-            clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=500, tol=1e-6,
-                                     regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False)
-        else:
-            clf = GBTClassifier(labelCol="excede_norma", weightCol=weight_col, seed=SEED, maxIter=rounds,
-                                maxDepth=5, maxBins=255)
-        return prep, Pipeline(stages=_prep_stages(kind, num, cat) + [clf]).fit(prepared)
+        if kind != "logistic":
+            return prep, B.fit(prepared, prep.inputs(), "excede_norma", weight_col, B.Settings(rounds=rounds),
+                               id_col if id_col in train.columns else None)
+        total = prepared.agg(F.sum(weight_col)).first()[0] or 1.0
+        clf = LogisticRegression(labelCol="excede_norma", weightCol=weight_col, maxIter=500, tol=1e-6,
+                                 regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False)
+        return prep, Pipeline(stages=_linear_stages(num, cat) + [clf]).fit(prepared)
     finally:
         prepared.unpersist()
 
 
 def margin(fitted, df: DataFrame) -> DataFrame:
-    """Positive-class probability (M13) and raw margin of a fitted pipeline."""
+    """Positive-class probability (M13) and raw margin of a fitted model."""
     prep, model = fitted
-    scored = model.transform(prep.apply(df))
+    prepared = prep.apply(df)
+    if isinstance(model, B.Boosted):
+        scored = prepared.withColumn("margin", model.margin()).withColumn("p_raw", 1 / (1 + F.exp(-F.col("margin"))))
+        return scored.drop(*prep.inputs())
+    scored = model.transform(prepared)
     return (scored.withColumn("p_raw", vector_to_array("probability")[1])
                   .withColumn("margin", vector_to_array("rawPrediction")[1])
                   .drop("features", "rawPrediction", "probability", "prediction"))
@@ -166,11 +179,7 @@ def apply_isotonic_cv(members: list, df: DataFrame, id_col: str = "episodio", ou
     scored = df
     names = []
     for i, (fitted, iso) in enumerate(members):
-        prep, model = fitted
-        m = model.transform(prep.apply(scored))
-        m = m.withColumn("p_raw", vector_to_array("probability")[1]) \
-             .drop("features", "rawPrediction", "probability", "prediction")
-        m = iso.transform(m).withColumnRenamed("p_iso", f"_p{i}").drop("p_raw")
+        m = iso.transform(margin(fitted, scored).drop("margin")).withColumnRenamed("p_iso", f"_p{i}").drop("p_raw")
         scored = m.select(*df.columns, *names, f"_p{i}")
         names.append(f"_p{i}")
     avg = sum((F.col(n) for n in names), F.lit(0.0)) / F.lit(float(len(names)))
@@ -215,14 +224,22 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
 
 
 def save_models(models: dict, base_path: str) -> None:
-    """Persist fitted models. ``models``: name -> (preparation, pipeline) as
+    """Persist fitted models. ``models``: name -> (preparation, model) as
     :func:`fit` returns it, or a bare pipeline model (a calibrator)."""
     for name, m in models.items():
         path = f"{base_path.rstrip('/')}/{name}"
         prep, model = m if isinstance(m, tuple) else (None, m)
-        model.write().overwrite().save(f"{path}/model")
-        text = prep.to_json() if prep else ""
-        _spark().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/preparation")
+        if isinstance(model, B.Boosted):
+            _write_text(model.to_json(), f"{path}/boosted")
+            for c, levels in prep.levels.items():
+                levels.write.mode("overwrite").parquet(f"{path}/levels/{c}")
+        else:
+            model.write().overwrite().save(f"{path}/model")
+        _write_text(prep.to_json() if prep else "", f"{path}/preparation")
+
+
+def _write_text(text: str, path: str) -> None:
+    _spark().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load_model(base_path: str, name: str):
@@ -232,8 +249,13 @@ def load_model(base_path: str, name: str):
     text = read_if_exists(_spark(), f"{path}/preparation", "text")
     if text is None:
         return None
-    model = PipelineModel.load(f"{path}/model")
     value = text.first()
+    boosted = read_if_exists(_spark(), f"{path}/boosted", "text")
+    if boosted is not None:
+        columns = json.loads(value[0])["modes"]
+        levels = {c: _spark().read.parquet(f"{path}/levels/{c}") for c in columns}
+        return Preparation.from_json(value[0], levels), B.Boosted.from_json(boosted.first()[0])
+    model = PipelineModel.load(f"{path}/model")
     return (Preparation.from_json(value[0]), model) if value and value[0] else model
 
 

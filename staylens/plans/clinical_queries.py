@@ -95,8 +95,8 @@ lines AS (
   FROM lineitem GROUP BY 1),
 base AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS episodio, CAST(20 + o.o_custkey % 70 AS DOUBLE) AS edad,
-         CASE WHEN o.o_custkey % 2 = 0 THEN 'Hombre' ELSE 'Mujer' END AS sexo, coalesce(o.o_orderpriority, 'desconocido') AS servicio_clinico,
-         coalesce(c.c_mktsegment, 'desconocido') AS prevision, 2.0 + o.o_orderkey % 5 AS norma, CAST(l.n_lines AS DOUBLE) AS estancia,
+         CASE WHEN o.o_custkey % 2 = 0 THEN 'Hombre' ELSE 'Mujer' END AS sexo, coalesce(o.o_orderpriority, 'Desconocido') AS servicio_clinico,
+         coalesce(c.c_mktsegment, 'Desconocido') AS prevision, 2.0 + o.o_orderkey % 5 AS norma, CAST(l.n_lines AS DOUBLE) AS estancia,
          CAST(CAST(l.qty AS INTEGER) AS DOUBLE) AS total, l.max_line % 4 AS salud, l.returned, l.open_line, l.l_orderkey,
          CAST(o.o_custkey % 50 AS DOUBLE) AS codigo_grd, CAST(o.o_orderdate AS TIMESTAMP) AS fecha
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN lines l ON o.o_orderkey = l.l_orderkey),

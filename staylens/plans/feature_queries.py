@@ -1,5 +1,5 @@
 """Labels, weights, survey codes, splits, imputation, rare levels, sampling
-and generation (X18-X22, A9, M2, F8, M4-M6, T5, G1) on lineitem / part /
+(X18-X22, A9, M2, F8, M4-M6, T5, A13) on lineitem / part /
 customer / orders."""
 
 from __future__ import annotations
@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import datagen as G
 from ..operators import features as FE
 from ..operators import sampling as SA
 from ..session import read_table
@@ -74,11 +73,6 @@ def sample_hash(spark, sf):
     return SA.hash_sample(o, "o_orderkey", n, seed=42)
 
 
-def datagen(spark, sf):
-    keys = read_table(spark, sf, "orders").select("o_orderkey")
-    return G.generate_grd(keys, "o_orderkey", seed=42)
-
-
 PROFILED = ("l_partkey", "l_suppkey", "l_linenumber")
 
 
@@ -103,26 +97,9 @@ QUERIES = {
     "mode_impute": mode_impute,
     "rare_levels": rare_levels,
     "sample_hash": sample_hash,
-    "datagen": datagen,
 }
 
 
-def _u(field):
-    return (f"(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#42#{field}'), 1, 8) AS BIGINT)"
-            f" / 4294967296.0)")
-
-
-def _uchoice(field, values):
-    lst = "[" + ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in values) + "]"
-    return f"({lst})[CAST(floor({_u(field)} * {len(values)}) AS INTEGER) + 1]"
-
-
-def _wchoice(field, values, cuts):
-    fmt = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
-    parts = " ".join(f"WHEN {_u(field)} < {c} THEN {fmt(v)}" for v, c in zip(values, cuts))
-    return f"CASE {parts} ELSE {fmt(values[-1])} END"
-
-
 _GAPS = """
 pg AS (
   SELECT p_partkey,
@@ -180,20 +157,6 @@ FROM pg LEFT JOIN f ON pg.nivel IS NOT DISTINCT FROM f.nivel""",
 SELECT o_orderkey, o_orderdate FROM orders
 QUALIFY row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '#42'), o_orderkey)
         <= (SELECT least(5000, CAST(floor(count(*) * 0.15) AS BIGINT)) FROM orders)""",
-    "datagen": f"""
-SELECT 'TEST' || CAST(o_orderkey AS VARCHAR) AS episodio_cmbd,
-  CAST(18 + floor({_u('edad')} * 68) AS INTEGER) AS edad_en_anos,
-  {_uchoice('sexo', G.SEXES)} AS sexo_desc_,
-  {_wchoice('tipo', G.ADMISSION_TYPES, G.ADMISSION_CUTS)} AS tipo_ingreso_descripcion_,
-  {_uchoice('servicio', G.SERVICES)} AS servicio_ingreso_descripcion_,
-  {_wchoice('prevision', G.INSURERS, G.INSURER_CUTS)} AS prevision_desc_,
-  {_uchoice('diag', G.DIAGNOSES)} AS diagnostico_principal,
-  floor((1.0 + {_u('norma')} * 9.0) * 100) / 100.0 AS estancia_norma_grd,
-  CAST({_uchoice('grd', G.GRD_CODES)} AS BIGINT) AS ir_grd_codigo_,
-  {_wchoice('tipo_grd', G.GRD_TYPES, G.GRD_TYPE_CUTS)} AS ir_tipo_grd,
-  CAST({_wchoice('proc', G.PROCEDURES, G.PROCEDURE_CUTS)} AS BIGINT) AS proced_01_principal_cod_,
-  0 AS dias_estadia
-FROM orders""",
 }
 
 

@@ -106,15 +106,23 @@ def read_text_csv(spark: SparkSession, path, rename: Callable[[str], str] = H.sl
     return (rows, bad) if rejects else rows
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with standardised (P2) header names; typed by ``schema`` when given."""
+def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: bool = False):
+    """CSV with standardised (P2) header names, typed by ``schema`` when given.
+
+    The columns are those of the header, so a schema of another length is an error;
+    a value that isn't of its type is NULL. Rows with more fields than the header are
+    treated as by :func:`read_text_csv`."""
     found = layouts(spark, path)
     if len(found) != 1:
         raise ValueError(f"{path}: {len(found)} header layouts, one expected")
-    layout, files = next(iter(found.items()))
-    if schema is None:
-        schema = T.StructType([T.StructField(H.standardize(n), T.StringType()) for n in layout.names])
-    return spark.read.schema(schema).option("header", True).option("sep", layout.sep).option("encoding", layout.encoding).csv(files)
+    names = next(iter(found)).names
+    if schema is not None and len(schema) != len(names):
+        raise ValueError(f"{path}: {len(names)} columns, {len(schema)} in the schema")
+    read = read_text_csv(spark, path, H.standardize, rejects=rejects)
+    rows, bad = read if rejects else (read, None)
+    kinds = [(f.name, f.dataType) for f in schema] if schema is not None else [(n, T.StringType()) for n in _names(names, H.standardize)]
+    typed = rows.select(*[F.col(old).try_cast(kind).alias(new) for old, (new, kind) in zip(rows.columns, kinds)])
+    return (typed, bad) if rejects else typed
 
 
 def first_wins_order() -> list:

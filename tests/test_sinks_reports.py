@@ -4,6 +4,7 @@ FIXTURES.md (§2 census cases, §6 tied scores)."""
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from staylens.operators import ingest as I
@@ -111,3 +112,36 @@ def test_bucketed_table_avoids_shuffle(spark, scratch):
     spark.sql("DROP TABLE stays_bucketed_test")
 
 
+
+
+def test_typed_csv_keeps_count_of_long_rows(spark, scratch):
+    from pyspark.sql import types as T
+
+    p = os.path.join(scratch, "typed.csv")
+    with open(p, "w") as f:
+        f.write("Mi Col,Otra\n1,a\n2,b,too long\nx,c\n4\n")
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
+    rows, bad = S.read_typed_csv(spark, p, schema, rejects=True)
+    assert sorted((r["n"] or 0, r["s"] or "") for r in rows.collect()) == [(0, "c"), (1, "a"), (4, "")]
+    assert [r["_line"] for r in bad.collect()] == ["2,b,too long"]
+    with pytest.raises(Exception, match="more fields than the header"):
+        S.read_typed_csv(spark, p, schema).collect()
+    with pytest.raises(ValueError):
+        S.read_typed_csv(spark, p, T.StructType(schema.fields[:1]))
+
+
+def test_training_and_scoring_share_their_categories(spark):
+    from staylens.operators import features as FE
+    from staylens.operators import scoring as SC
+
+    given = [("e1", " M ", None, None), ("e2", "mujer", "UCI", "Fonasa"), ("e3", None, "UCI", None), ("e4", "otro", None, "x")]
+    grd = spark.createDataFrame([(e, s, v, p, 50, 101, 3.0) for e, s, v, p in given],
+                                "episodio_cmbd string, sexo_desc_ string, servicio_ingreso_descripcion_ string, prevision_desc_ string, "
+                                "edad_en_anos int, ir_grd_codigo_ int, estancia_norma_grd double")
+    survey = spark.createDataFrame([], "episodio string, total int, salud_mental int, gestion string, categorizacion_de_gestion string")
+    trained = FE.make_dataset(grd, survey, fecha=None, stay=None)
+    new = SC.records_frame(spark, [{"sexo": s, "servicio_clinico": v, "prevision": p, "edad": 50, "codigo_grd": 101} for _, s, v, p in given])
+    scored = SC.scoring_features(new)
+    levels = lambda df: sorted(map(tuple, df.select("sexo", "servicio_clinico", "prevision").collect()))
+    assert levels(trained) == levels(scored)
+    assert ("Hombre", "Desconocido", "Desconocido") in levels(trained)
