@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["summary_queries", "change_queries", "scoring_queries", "scalar_queries", "feature_queries", "training_queries", "clinical_queries"]
+_MODULES = ["summary_queries", "change_queries", "scoring_queries", "scalar_queries", "feature_queries", "training_queries", "clinical_queries", "model_queries"]
 
 
 def _load():

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import summaries as S
+from ..operators.asof import asof_join
 from ..session import read_table
 
 ROUND = 6
@@ -39,6 +40,15 @@ def asof_last_nonnull(spark, sf):
     return S.asof_last_nonnull(days, cutoffs, "user_id", "fecha_alta", "ultima_cama")
 
 
+def asof_seconds(spark, sf):
+    """J5 at seconds: the last bed 90 seconds before every discharge."""
+    ev = _events(spark, sf)
+    cuts = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 90 SECONDS")).alias("corte"))
+    beds = ev.where(F.col("event_type") != "error").select("user_id", "ts", F.col("event_id").alias("orden"), F.col("event_type").alias("ultima_cama"),
+                                                           F.col("ts").alias("desde"))
+    return asof_join(cuts, beds, ["user_id"], "corte", "ts", ["ultima_cama", "desde"], ["orden"])
+
+
 def history_ordered(spark, sf):
     orders = read_table(spark, sf, "orders").where(F.col("o_custkey").isNotNull())
     return S.history_positions(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
@@ -85,6 +95,7 @@ QUERIES = {
     "latest_per_key": latest_per_key,
     "latest_page": latest_page,
     "asof_last_nonnull": asof_last_nonnull,
+    "asof_seconds": asof_seconds,
     "history_ordered": history_ordered,
     "current_state_active": current_state_active,
 }
@@ -96,6 +107,11 @@ SELECT user_id, event_id, ts, event_type, round(value, 6) AS value, props FROM (
 WHERE rn = 1"""
 
 ORACLE = {
+    "asof_seconds": """
+SELECT c.event_id, c.user_id, c.corte, e.event_type AS ultima_cama, e.ts AS desde
+FROM (SELECT event_id, user_id, ts - INTERVAL 90 SECOND AS corte FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL) c
+LEFT JOIN events e ON e.user_id = c.user_id AND e.ts <= c.corte AND e.event_type <> 'error'
+QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY e.ts DESC NULLS LAST, e.event_id DESC NULLS LAST) = 1""",
     "latest_per_key": _LATEST,
     "latest_page": _LATEST + "\nORDER BY user_id LIMIT 50 OFFSET 20",
     "asof_last_nonnull": """
