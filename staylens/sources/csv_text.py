@@ -2,8 +2,8 @@
 
 S1 reads every column as text. Encoding, separator and header line are found
 per file in one distributed pass over the lines; the rows are then read by
-Spark's CSV source with a fixed all-STRING schema, in parallel (files are split
-unless quoted line ends are declared), with the file name / modification time
+Spark's CSV parser with a fixed all-STRING schema, in parallel (files are split,
+quoted line ends or not), with the file name / modification time
 and a scan-order id kept for first-wins de-duplication (W2).
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import headers as H
 from ..operators.keyed import read_if_exists
+from .csv_records import quoted_records
 
 SEPARATORS = [";", ",", "\t", "|"]
 
@@ -60,15 +61,27 @@ def _names(raw_names: Sequence[str], rename: Callable[[str], str]) -> list[str]:
 
 def _scan(spark: SparkSession, layout: Layout, files: list[str], names: list[str], quoted_newlines: bool) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
-    return (spark.read.schema(schema).option("header", True).option("sep", layout.sep).option("encoding", layout.encoding)
-            .option("multiLine", quoted_newlines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
-            .option("columnPruning", False)          # a pruned parse loses the record of a mismatched row
+    options = {"sep": layout.sep, "escape": "\"", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}    # quotes are doubled
+    if quoted_newlines:
+        found = quoted_records(spark, files).where(F.octet_length("record") > 0)
+        text = F.regexp_replace(F.regexp_replace(F.decode("record", layout.encoding), "\r$", ""), "^\uFEFF", "")
+        # a file's first record is its header
+        rows = found.where((F.col("block") > 0) | (F.col("line") > 0)).where(F.length(text) > 0)
+        parsed = rows.select(F.from_csv(text, _ddl(schema), {**options, "multiLine": "true"}).alias("_row"),
+                             F.col("name").alias("_file_name"), F.col("time").alias("_file_time"), (F.col("block") + F.col("line")).alias("_scan_id"))
+        return parsed.select("_row.*", "_file_name", "_file_time", "_scan_id")
+    reader = spark.read.schema(schema).option("header", True).option("encoding", layout.encoding)
+    return (reader.options(**options).option("columnPruning", False)          # a pruned parse loses the record of a mismatched row
             .csv(files)
             .select("*", F.col("_metadata.file_name").alias("_file_name"),
                     F.col("_metadata.file_modification_time").alias("_file_time"),
                     F.monotonically_increasing_id().alias("_scan_id")))
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` STRING" for f in schema)
+
+
 def _overlong(layout: Layout, names: list[str]):
     """Rows with more fields than the header: ``_line`` (the record, kept when its
     fields don't match) has as many separators outside quotes as there are names."""
@@ -83,8 +96,8 @@ def read_text_csv(spark: SparkSession, path, rename: Callable[[str], str] = H.sl
 
     Encoding, separator and header are resolved per file; files of one layout are
     read together and the layouts united by column name (absent columns are NULL).
-    Files are split among tasks unless ``quoted_newlines`` says that fields may
-    hold line ends. Rows with more fields than their header aren't guessed at:
+    Files are split among tasks, also where ``quoted_newlines`` says that fields may
+    hold line ends (:mod:`csv_records`). Rows with more fields than their header aren't guessed at:
     with ``rejects`` they come back as a second DataFrame (``_line``,
     ``_file_name``); without it such a row fails the query with its text."""
     rows = bad = None
