@@ -50,6 +50,7 @@ def _rewrite(path: str, asked: DataFrame, keys: Sequence[str], partition_by: Seq
     for folder in empty:
         at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark.catalog.refreshByPath(path)
     return spark.read.schema(rejected.schema).parquet(f"{stage}/rejected")
 
 
