@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from staylens.session import ensure_checkpoint_dir, read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["UPPER", "ascii_lower", "read_table", "scratch", "stored", "filesystem", "small_batches"]
+__all__ = ["UPPER", "ascii_lower", "read_table", "batches", "scratch", "stored", "filesystem", "small_batches"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -27,11 +28,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/staylens-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def batches(spark: SparkSession, rows: int | None):
+    """While jobs run inside, Arrow batches hold at most ``rows`` rows (and Spark's
+    limit in bytes); the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and scan it again: cuts the lineage,
-    survives lost executors, and is computed once for all its readers."""
+    survives lost executors, and is computed once for all its readers. ``batch_rows``
+    bounds the Arrow batches of this job alone."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,9 @@ BROADCAST_ROWS = 500_000
 #: Members compared with one copy of their leader.
 CELL = 500
 #: Digests a task remembers.
-SEEN = 500_000
+SEEN = 200_000
+#: Texts or forms in an Arrow batch.
+BATCH_ROWS = 500
 
 
 @dataclass
@@ -46,6 +48,8 @@ class Method:
     #: form -> distinct features, 64-bit; linked documents' features have a Jaccard similarity of ``t`` or more
     features: Callable[[bytes], np.ndarray]
     t: float
+    #: Of a key column: (a group of keys, how many of the group linked documents share at least)
+    agree: Callable[[Column], tuple[Column, Column]] | None = None
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -135,7 +139,7 @@ def described(docs: DataFrame, method: Method) -> DataFrame:
             yield pa.RecordBatch.from_arrays([at, b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                                              names=["row", "doc_id", "text_md5", "same", "n", "keys"])
 
-    return stored(rows.mapInArrow(run, "row long, doc_id long, text_md5 string, same binary, n long, keys array<long>"), "link-rows")
+    return stored(rows.mapInArrow(run, "row long, doc_id long, text_md5 string, same binary, n long, keys array<long>"), "link-rows", BATCH_ROWS)
 
 
 def forms_of(docs: DataFrame, asked: DataFrame, method: Method) -> DataFrame:
@@ -153,18 +157,24 @@ def forms_of(docs: DataFrame, asked: DataFrame, method: Method) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _, _ in found], pa.binary()), pa.array([f for _, _, f in found], pa.binary())], names=["same", "form"])
 
     found = rows.select("text").mapInArrow(run, "same binary, form binary")
-    one = found.join(asked.select("node", "same"), "same").groupBy("node").agg(F.min("form").alias("form"))
-    return stored(one, "link-forms")
+    one = found.join(asked.select("node", "same"), "same").groupBy("same").agg(F.min("node").alias("node"), F.min("form").alias("form"))
+    return stored(one.select("node", "form"), "link-forms", BATCH_ROWS)
+
+
+def _some(forms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``forms`` of ``nodes`` (one column); forms don't move if the ids can be broadcast."""
+    nodes = nodes.toDF("node").distinct()
+    return forms.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
 
 
 def verified(pairs: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
     """The pairs (x, y) that are linked, as (a, b); stored. A leader x meets its
     partners in cells of about ``CELL``, for each of which its form is sent once."""
     cells = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-    pairs = pairs.join(cells, "x").select("x", "y", F.pmod(F.xxhash64("y"), "cells").alias("cell"))
-    side = lambda c: forms.select(F.col("node").alias(c), "form")
-    leaders = pairs.select("x", "cell").distinct().join(side("x"), "x").select("x", "cell", F.lit(None).cast("long").alias("y"), "form")
-    rows = leaders.unionByName(pairs.join(side("y"), "y").select("x", "cell", "y", "form"))
+    side = lambda c: _some(forms, pairs.select(c)).select(F.col("node").alias(c), "form")
+    dealt = stored(pairs.join(cells, "x").select("x", "y", F.pmod(F.xxhash64("y"), "cells").alias("cell")), "link-cells")
+    leaders = dealt.select("x", "cell").distinct().join(side("x"), "x").select("x", "cell", F.lit(None).cast("long").alias("y"), "form")
+    rows = leaders.unionByName(dealt.join(side("y"), "y").select("x", "cell", "y", "form"))
 
     def run(batches):
         import pyarrow as pa
@@ -181,7 +191,7 @@ def verified(pairs: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = rows.repartition("x", "cell").sortWithinPartitions("x", "cell", F.col("y").asc_nulls_first()).select("x", "y", "form")
-    return stored(rows.mapInArrow(run, "a long, b long"), "link-links")
+    return stored(rows.mapInArrow(run, "a long, b long"), "link-links", BATCH_ROWS)
 
 
 def features_of(nodes: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
@@ -194,7 +204,7 @@ def features_of(nodes: DataFrame, forms: DataFrame, method: Method) -> DataFrame
                 f = method.features(form).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), node), pa.int64()), pa.array(f)], names=["node", "f"])
 
-    return forms.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "form").mapInArrow(run, "node long, f long")
+    return _some(forms, nodes.select("node")).select("node", "form").mapInArrow(run, "node long, f long")
 
 
 def classes(docs: DataFrame, method: Method) -> DataFrame:
@@ -212,8 +222,15 @@ def classes(docs: DataFrame, method: Method) -> DataFrame:
     members = shared_keys(keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))).join(other, F.col("node") == F.col("row"), "left")
     members = stored(members.select("key", F.coalesce("one", "node").alias("node")).distinct(), "link-buckets")
     several = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(several, "key")
+    if method.agree:
+        # a node that shares too few keys with any others has no link
+        group, least = method.agree(F.col("key"))
+        enough = members.groupBy("node", group.alias("group"), least.alias("least")).agg(F.count(F.lit(1)).alias("n")).where("n >= least")
+        members = members.withColumn("group", group).join(enough.select("node", "group"), ["node", "group"], "left_semi").select("key", "node")
+    members = stored(members, "link-members")
     named = rows.select(F.col("row").alias("node"), "doc_id", "same", "n")
-    asked = stored(named.join(members.join(several, "key").select("node").distinct(), "node"), "link-asked")
+    asked = stored(named.join(members.select("node").distinct(), "node"), "link-asked")
     forms = forms_of(docs, asked, method)
     comp = link(members.join(asked.select("node", "n"), "node"), lambda pairs: verified(pairs, forms, method),
                 lambda some: features_of(some, forms, method), method.t)
@@ -282,12 +299,12 @@ def prefix_pairs(nodes: DataFrame, features: Callable[[DataFrame], DataFrame], t
     alone = (held.groupBy("f").agg(F.count(F.lit(1)).alias("m"), F.max("node").alias("node")).where("m = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
     # features that no other node has come first in the order
-    able = stored(nodes.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(F.col("alone") < longer), "link-able")
+    able = stored(nodes.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(F.col("alone") < longer), "link-able", BATCH_ROWS)
     rows = features(able)
     common = rows.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     place = F.row_number().over(Window.partitionBy("node").orderBy("m", "f"))
     rows = rows.join(common, "f").withColumn("place", place).join(able, "node").withColumn("place", F.col("place") + F.col("alone"))
-    rows = stored(rows.where(F.col("place") <= longer).select("f", "node", "n", "comp", "place", (F.col("place") <= shorter).alias("first")), "link-places")
+    rows = stored(rows.where(F.col("place") <= longer).select("f", "node", "n", "comp", "place", (F.col("place") <= shorter).alias("first")), "link-places", BATCH_ROWS)
     x = rows.where("first").select("f", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
     y = rows.select("f", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"))
     smaller = F.struct("nx", "x") < F.struct("ny", "y")

@@ -4,12 +4,14 @@ A document is the set of its runs of ``RUN`` words (64-bit hashes); documents
 with equal sets are one node. Set sizes are cut into bands. Two sets of a band
 whose similarity is ``NUM / DEN`` or more differ in at most k features, k following
 from the band's largest size; the feature domain is partitioned into groups of
-``PARTS`` parts, so many that some group has at most ``ERRORS`` of the k
-differences, and for each group every subset of ``PARTS - ERRORS`` parts gives a
-signature of the features in it: similar sets agree in one. A set also has the
-signatures of the next band if a partner can lie there. With two parts and one
-error a difference costs one signature, the least possible (three parts take half as
-many again, to be chosen where common passages are long).
+``PARTS`` parts, and for each group every subset of ``PARTS - ERRORS`` parts gives a
+signature of the features in it. There are so many groups that, however k differences
+are spread, similar sets agree in at least one signature, and in up to ``AGREE`` in the
+bands of larger sets (``Bands.agree``): there a document that shares fewer with all others
+together is left out. A set also has the signatures of the next band if a partner can
+lie there. With two parts and one error a difference costs one signature, the least
+possible (three parts take half as many again, to be chosen where common passages are
+long).
 
 Signatures are buckets for ``linking.classes``: leaders first, then an exact prefix
 filter; candidates are verified on their whole sets. Only nodes that share a bucket
@@ -27,10 +29,11 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from itertools import combinations
+from itertools import combinations, count
+from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -39,6 +42,9 @@ from .linking import Method, classes
 RUN = 3
 NUM, DEN = 90, 100
 PARTS, ERRORS = 2, 1
+#: Signatures that similar sets share at least: one more for every STEP differences, up to AGREE.
+AGREE, STEP = 4, 8
+_BANDS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,11 +69,22 @@ def shingle_set(text: bytes | None, run: int = RUN) -> np.ndarray:
     return np.unique(out)
 
 
+def agreeing(groups: int, differences: int, parts: int = PARTS, errors: int = ERRORS) -> int:
+    """Signatures that two sets share, however so many differences are spread over the parts."""
+    left = [comb(parts - d, parts - errors) for d in range(errors + 2)]
+    out = groups * left[0]
+    for lost in (a - b for a, b in zip(left, left[1:])):                # the first difference of a group costs most
+        hit = min(groups, differences)
+        out, differences = out - hit * lost, differences - hit
+    return out
+
+
 class Bands:
     """Ranges of set sizes, each as wide as two steps of the size filter."""
 
-    def __init__(self, num: int = NUM, den: int = DEN):
-        self.num, self.den, self.tops = num, den, []
+    def __init__(self, num: int = NUM, den: int = DEN, parts: int = PARTS, errors: int = ERRORS):
+        self.num, self.den, self.parts, self.errors = num, den, parts, errors
+        self.tops, self.held = [], {}
 
     def of(self, n: int) -> int:
         while not self.tops or self.tops[-1] < n:
@@ -83,21 +100,38 @@ class Bands:
     def differences(self, band: int) -> int:
         return (self.den - self.num) * 2 * self.tops[band] // (self.den + self.num)
 
+    def agree(self, band: int) -> int:
+        return min(AGREE, 1 + self.differences(band) // STEP)
+
+    def groups(self, band: int) -> int:
+        if band not in self.held:
+            k = self.differences(band)
+            self.held[band] = next(g for g in count(k // (self.errors + 1) + 1) if agreeing(g, k, self.parts, self.errors) >= self.agree(band))
+        return self.held[band]
+
+    def least(self, key: Column) -> tuple[Column, Column]:
+        """(band, signatures shared at least) of a signature column."""
+        band, shared = F.pmod(key, _BANDS), F.lit(AGREE)
+        self.of(AGREE * STEP * (self.den + self.num) // (self.den - self.num))
+        for want in range(1, AGREE):
+            own = [b for b in range(len(self.tops)) if self.agree(b) == want]
+            shared = F.when(band.isin(own), F.lit(want)).otherwise(shared)
+        return band, shared
+
 
-def signatures(features: np.ndarray, bands: Bands, parts: int = PARTS, errors: int = ERRORS) -> np.ndarray:
-    """PartEnum signatures of a set, as 64-bit hashes."""
+def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
+    """PartEnum signatures of a set, as 64-bit hashes that end in the band's number."""
     found = []
     for band in bands.instances(len(features)) if len(features) else ():
-        k = bands.differences(band)
-        if not k:                                                       # only equal sets are similar
+        if not bands.differences(band):                                 # only equal sets are similar
             continue
-        groups = k // (errors + 1) + 1                                  # one of them has at most ``errors`` differences
-        cells = groups * parts
-        held = np.zeros(cells, np.uint64)
-        np.add.at(held, ((features >> np.uint64(7)) % np.uint64(cells)).astype(np.int64), _mix(features * _ODD + np.uint64(band)))
-        held = _mix(held + np.arange(1, cells + 1, dtype=np.uint64) * _ODD).reshape(groups, parts)
-        for subset in combinations(range(parts), parts - errors):
-            found.append(_mix(held[:, subset].sum(axis=1, dtype=np.uint64) * _ODD + np.uint64(band + 1)))
+        groups, parts = bands.groups(band), bands.parts
+        held = np.zeros(groups * parts, np.uint64)
+        np.add.at(held, ((features >> np.uint64(7)) % np.uint64(len(held))).astype(np.int64), _mix(features * _ODD + np.uint64(band)))
+        held = _mix(held + np.arange(1, len(held) + 1, dtype=np.uint64) * _ODD).reshape(groups, parts)
+        for subset in combinations(range(parts), parts - bands.errors):
+            key = _mix(held[:, subset].sum(axis=1, dtype=np.uint64) * _ODD + np.uint64(band + 1))
+            found.append(key - key % np.uint64(_BANDS) + np.uint64(band % _BANDS))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -115,9 +149,8 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
 
 def method(num: int = NUM, den: int = DEN, parts: int = PARTS, errors: int = ERRORS) -> Method:
     """Linked if ``den`` * intersection >= ``num`` * union."""
-    read, bands = lambda form: np.frombuffer(form, np.uint64), Bands(num, den)
-    return Method(encode, lambda form: signatures(read(form), bands, parts, errors),
-                  lambda a, b: similar(read(a), read(b), num, den), read, num / den)
+    read, bands = lambda form: np.frombuffer(form, np.uint64), Bands(num, den, parts, errors)
+    return Method(encode, lambda form: signatures(read(form), bands), lambda a, b: similar(read(a), read(b), num, den), read, num / den, bands.least)
 
 
 def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

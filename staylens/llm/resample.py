@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 
 from staylens.operators.ranking import global_position
 
-from .common import read_table, stored
+from .common import batches, read_table, stored
 
 BUCKETS, WIDTH, SEED = 10_000, 2, 7
 LEAST_WORDS, PERCENT = 20, 25
 #: Of the sketch: a rank is off by at most rows / ACCURACY.
 ACCURACY = 10_000
+#: Texts in an Arrow batch.
+BATCH_ROWS = 500
 _LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -64,11 +66,11 @@ def features(text: bytes | None, width: int = WIDTH, buckets: int = BUCKETS) ->
 def bucket_counts(texts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> np.ndarray:
     """Features of all rows of ``texts`` (one column) per bucket; tasks send one
     row per bucket, ``buckets`` rows come to the driver."""
-    def run(batches):
+    def run(parts):
         import pyarrow as pa
 
         held = np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in parts:
             for text in b.column(0).to_pylist():
                 held += np.bincount(features(text, width, buckets)[1], minlength=buckets)
         at = np.flatnonzero(held)
@@ -76,8 +78,9 @@ def bucket_counts(texts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS)
 
     held = texts.select(F.col(texts.columns[0]).cast("binary")).mapInArrow(run, "bucket int, n long")
     out = np.zeros(buckets, np.int64)
-    for r in held.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
+    with batches(texts.sparkSession, BATCH_ROWS):
+        for r in held.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            out[r["bucket"]] = r["n"]
     return out
 
 
@@ -108,7 +111,7 @@ def scored(docs: DataFrame, gain: np.ndarray, width: int = WIDTH, seed: int = SE
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)],
                                              names=["doc_id", "text_md5", "n_words", "n_features", "weight", "score"])
 
-    return stored(rows.mapInArrow(run, "doc_id long, text_md5 string, n_words long, n_features long, weight long, score long"), "resample-scored")
+    return stored(rows.mapInArrow(run, "doc_id long, text_md5 string, n_words long, n_features long, weight long, score long"), "resample-scored", BATCH_ROWS)
 
 
 def bracket(scores: DataFrame, k: int, n: int, accuracy: int = ACCURACY) -> tuple[int, int, int]:

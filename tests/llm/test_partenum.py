@@ -33,7 +33,7 @@ def similar(a, b, num=90, den=100):
 
 @pytest.mark.parametrize("num,parts,errors", [(90, 2, 1), (90, 3, 1), (80, 4, 2), (95, 2, 1)])
 def test_similar_sets_share_a_signature(num, parts, errors):
-    rng, bands = np.random.default_rng(num + parts), P.Bands(num, 100)
+    rng, bands = np.random.default_rng(num + parts), P.Bands(num, 100, parts, errors)
     met = 0
     for _ in range(1500):
         n = int(rng.integers(1, 400))
@@ -42,10 +42,23 @@ def test_similar_sets_share_a_signature(num, parts, errors):
         b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
         if similar(a, b, num) and len(np.setxor1d(a, b)):
             met += 1
-            assert set(P.signatures(a, bands, parts, errors).tolist()) & set(P.signatures(b, bands, parts, errors).tolist())
+            common = Counter(x % 256 for x in set(P.signatures(a, bands).tolist()) & set(P.signatures(b, bands).tolist()))
+            assert any(n >= bands.agree(band) for band, n in common.items())
     assert met > 100
 
 
+@pytest.mark.parametrize("parts,errors", [(2, 1), (3, 1), (3, 2), (4, 2)])
+def test_least_number_of_shared_signatures(parts, errors):
+    """Against every way of spreading the differences over three groups."""
+    from itertools import combinations_with_replacement
+    from math import comb
+
+    for k in range(3 * parts + 1):
+        worst = min(sum(comb(parts - d, parts - errors) if d <= errors else 0 for d in spread)
+                    for spread in combinations_with_replacement(range(parts + 1), 3) if sum(spread) <= k)
+        assert P.agreeing(3, k, parts, errors) == worst
+
+
 def test_bands_cover_every_size():
     bands = P.Bands()
     for n in range(1, 3000):
