@@ -172,6 +172,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Archive bytes of a reading task, once there are more than the tasks that can run at once.
+READ_BYTES = 128 << 20
+
+
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """One row per record of the manifest's archives, with the payload (binary,
     null for revisits) if ``payloads``."""
@@ -193,7 +197,10 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
                             rows, held = [], 0
                 yield _frame(pd, rows, columns)
 
-    files = manifest.select("path").repartition("path")
+    count, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # a number of its own, which isn't coalesced: a path is a small row, what it names isn't
+    parallel = manifest.sparkSession.sparkContext.defaultParallelism
+    files = manifest.select("path").repartition(max(1, min(count, max(parallel, -(-size // READ_BYTES)))))
     return files.mapInPandas(read, _READ + ", payload binary" * payloads)
 
 
