@@ -10,32 +10,31 @@ shingle sequences (longest common subsequence, bit-parallel, within the band
 outside which the threshold can't be met): matched / (all - matched) must be
 ``SIMILARITY`` or more. Links join documents into classes.
 
-Equal word sequences are one node. Within a bucket no pairs are enumerated: the
-member with the most candidates is tried as leader against the members that are
-not yet in its class (``ROUNDS`` leaders; further ones by hash). What
-is left in several classes is pruned exactly: a shingle that no other such
-member has can't be matched, and a member with too many of them for the
-shortest member of its bucket can't have a link there. Only members that
-survive in different classes are then paired with each other, so every two
-members of a bucket end in one class, have been compared or can't be similar.
+Equal word sequences are one node. Sketches are buckets for ``linking.classes``:
+leaders first, then an exact prefix filter over labelled shingles, never all pairs
+of a bucket. Words are stored for the nodes that share a bucket only.
 
 Edge cases: null texts and texts without a word are classes of their own
 (repeated doc_ids of such rows share it); fewer than five words are one
 shingle; rows that repeat a doc_id or a text are one node per distinct word
-sequence; class_id is the smallest doc_id of the class; empty tables give empty
-results; extra columns are ignored.
+sequence; class_id is the smallest doc_id of the class, rows with a null doc_id
+take part and get it too (null if all are null); of each class one row is kept, the first
+by doc_id (null last) and text digest; empty tables give empty results; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, stored
+from .common import read_table, stored
+from .linking import BROADCAST_ROWS, Method, classes, components  # noqa: F401
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,10 +42,6 @@ SKETCHES = 24
 KEPT = 5
 #: Below SHORT shingles sketches keep SHORT_KEPT k-mers; from BOTH to SHORT a document has sketches of either kind.
 SHORT, BOTH, SHORT_KEPT = 32, 25, 2
-ROUNDS = 1
-#: Passes of the exact pruning; each counts shingles among the members that the last one left.
-PRUNINGS = 2
-BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64)
 _CELLS = 1 << 21
@@ -62,11 +57,6 @@ class _Crc(dict):
         return out
 
 
-def word_codes(text, crc: _Crc) -> np.ndarray:
-    words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(crc.__getitem__, words), np.uint32, len(words))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -160,204 +150,43 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return len(b) - row.bit_count() >= need
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_md5, same (digest of the word sequence, null without words),
-    n (shingles), words (packed CRC-32 codes), keys (sketches) of every row; stored."""
-    import hashlib
+def method(least: float = SIMILARITY) -> Method:
+    crc = _Crc()
 
-    small_batches(docs.sparkSession, 500)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")
-    schema = "doc_id long, text_md5 string, same binary, n int, words binary, keys array<long>"
+    def encode(text):
+        words = _WORD.findall(text.decode("utf-8", "replace").lower()) if text else []
+        codes = np.fromiter(map(crc.__getitem__, words), np.uint32, len(words))
+        # the digest is of the words themselves, not of their codes
+        mark = hashlib.md5(" ".join(words).encode("utf-8", "replace")).digest() if words else None
+        return mark, max(0, len(codes) - SHINGLE + 1) or int(len(codes) > 0), codes.tobytes()
 
-    def run(batches):
-        import pyarrow as pa
+    read = lambda form: shingles(np.frombuffer(form, np.uint32))
+    # matched / (all - matched) of an alignment is at most the Jaccard similarity of the labelled shingles
+    return Method(encode, lambda form: sketches(read(form)), lambda a, b: similar(read(a), read(b), least), lambda form: labelled(read(form)), least)
 
-        crc = _Crc()
-        for b in batches:
-            same, n, words, keys = [], [], [], []
-            for text in b.column("text").to_pylist():
-                codes = word_codes(text, crc)
-                s = shingles(codes)
-                packed = codes.tobytes()
-                # the digest is of the words themselves, not of their codes
-                same.append(hashlib.md5(" ".join(_WORD.findall(text.lower())).encode("utf-8", "replace")).digest() if len(codes) else None)
-                n.append(len(s))
-                words.append(packed)
-                keys.append(sketches(s))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_md5"), pa.array(same, pa.binary()), pa.array(n, pa.int32()),
-                 pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_md5", "same", "n", "words", "keys"])
 
-    return stored(rows.mapInArrow(run, schema), "omh-signatures")
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class, the first by doc_id (null last) and text
+    digest. Texts aren't shuffled as long as the dropped ids can be broadcast."""
+    found = stored(classes(docs, method()).select("doc_id", "text_md5", "kept"), "omh-kept")
+    key = [F.col("doc_id").alias("__omh_id"), F.col("text_md5").alias("__omh_md5")]
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__omh_id")) & F.md5(docs["text"].cast("binary")).eqNullSafe(F.col("__omh_md5"))
+    out = docs.join(_checked(found.where(~F.col("kept")).select(*key).distinct()), same, "left_anti")
+    # rows of one doc_id and text that stay: one of them
+    twice = found.where("kept").groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    if not twice.limit(1).count():
+        return out
+    twice = _checked(stored(twice, "omh-twice"))
+    once = out.join(twice, same, "left_semi").withColumn("__omh_md5", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__omh_md5"]).drop("__omh_md5")
+    return out.join(twice, same, "left_anti").unionByName(once)
 
 
 def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sequences align; stored."""
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "omh-asked")
-    texts = stored(nodes.select("node", "words").join(_checked(asked), "node", "left_semi"), "omh-texts")
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("words").alias(f"w{x}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    small_batches(pairs.sparkSession, 500)
-
-    def run(batches):
-        import pyarrow as pa
-
-        read = lambda x: shingles(np.frombuffer(x, np.uint32))
-        last = left = None
-        for t in batches:
-            a, b, ok = t.column("a"), t.column("b"), []
-            for x, wa, wb in zip(a.to_pylist(), t.column("wa").to_pylist(), t.column("wb").to_pylist()):
-                if x != last:
-                    last, left = x, read(wa)
-                ok.append(similar(left, read(wb)))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
-
-    return stored(both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long"), "omh-links")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes in ``links`` (a, b): every node moves to its least
-    neighbour (pointers are doubled once), edges are contracted, until none is left."""
-    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    moves = []
-    while edges.limit(1).count():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "moves")
-        ahead = step.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        step = stored(step.join(ahead, "to", "left").select("node", F.coalesce("then", "to").alias("to")), "moves")
-        moves.append(step)
-        left, right = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = stored(moved.where("a <> b").distinct(), "edges")
-    if not moves:
-        return links.sparkSession.createDataFrame([], "node long, comp long")
-    out = moves[0].select("node", F.col("to").alias("comp"))
-    for step in moves[1:]:
-        out = out.join(step.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return stored(out, "components")
-
-
-def _needed(a: str, b: str) -> Column:
-    """Matches that two members with so many shingles need (with room for rounding)."""
-    return SIMILARITY / (1 + SIMILARITY) * (F.col(a) + F.col(b)) - 1e-6
-
-
-def _near_in_length(a: str, b: str) -> Column:
-    return F.least(a, b) >= _needed(a, b)
-
-
-def free_shingles(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, free): shingles of a node that another of the ``members`` has too."""
-    asked = stored(members.select("node").distinct(), "omh-asked")
-    texts = nodes.select("node", "words").join(_checked(asked), "node", "left_semi")
-    small_batches(members.sparkSession, 500)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for node, words in zip(b.column("node").to_pylist(), b.column("words").to_pylist()):
-                s, c = np.unique(shingles(np.frombuffer(words, np.uint32)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(s.view(np.int64)), pa.array(c.astype(np.int64))],
-                                                 names=["node", "s", "c"])
-
-    held = texts.mapInArrow(run, "node long, s long, c long")
-    alone = (held.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("node").alias("node"), F.max("c").alias("c")).where("m = 1")
-             .groupBy("node").agg(F.sum("c").alias("alone")))
-    return asked.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
-
-
-def _survivors(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of mixed buckets that may still have a link there; stored."""
-    out = own.select("key", "node", "n", "comp")
-    for _ in range(PRUNINGS):
-        out = out.select("key", "node", "n", "comp").join(free_shingles(out, nodes), "node").withColumn("free", F.col("n") - F.col("alone")).drop("alone")
-        least = out.groupBy("key").agg(F.min("n").alias("least"))
-        out = stored(out.join(least, "key").where(F.col("free") >= _needed("n", "least")).drop("least"), "omh-survivors")
-        keys = out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        out = stored(out.join(keys, "key", "left_semi"), "omh-mixed")
-    return out
-
-
-def link_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes (node, n, words, keys) that have a link."""
-    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(rows.join(sizes, "key"), "omh-shared")
-    # the member with the most candidates is the likeliest to be what the others are copies of
-    degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
-    members = stored(shared.drop("m").join(degree, "node"), "omh-buckets")
-    links, comp = None, None
-
-    def with_comp():
-        if comp is None:
-            return members.withColumn("comp", F.col("node"))
-        return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    def mixed():
-        """Members of the buckets that still hold several classes."""
-        own = stored(with_comp(), "omh-classed")
-        keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return stored(own.join(keys, "key", "left_semi"), "omh-mixed")
-
-    tested = None
-    for turn in range(ROUNDS + 1):
-        own = mixed()
-        if not own.limit(1).count():
-            break
-        if turn < ROUNDS:
-            first = -F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            lead = own.groupBy("key").agg(F.min(F.struct(first.alias("h"), "node", "n", "comp")).alias("lead")).select(
-                "key", F.col("lead.node").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.comp").alias("cx"))
-            met = own.join(lead, "key").where(F.col("comp") != F.col("cx"))
-        else:
-            left = _survivors(own, nodes)
-            other = left.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("free").alias("fx"))
-            met = left.join(other, "key").where((F.col("comp") < F.col("cx")) & (F.least("free", "fx") >= _needed("n", "nx")))
-        pairs = met.where(_near_in_length("n", "nx")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "omh-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified(pairs, nodes)
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-    return comp if comp is not None else nodes.sparkSession.createDataFrame([], "node long, comp long")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id (smallest doc_id of its class)."""
-    rows = signatures(docs)
-    first = F.min(F.struct("doc_id", "n", "words", "keys")).alias("f")
-    # equal word sequences have equal n, words and keys, so the least struct is that of the least doc_id
-    found = rows.where(F.col("same").isNotNull()).groupBy("same").agg(first).select("same", "f.*")
-    nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "omh-nodes")
-    comp = link_nodes(nodes.select("node", "n", "words", "keys"))
-    named = nodes.select("same", "node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    by_same = stored(named.join(least, "comp").select("same", "class_id"), "omh-classes")
-    out = rows.select("doc_id", "text_md5", "same").join(by_same, "same", "left")
-    return out.select("doc_id", "text_md5", F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, that of its smallest doc_id."""
-    kept = (classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("__omh_id"), F.col("text_md5").alias("__omh_md5")).distinct())
-    md5 = F.md5(docs["text"].cast("binary"))
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__omh_id")) & md5.eqNullSafe(F.col("__omh_md5")), "left_semi")
-    return out.withColumn("__omh_md5", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__omh_md5"]).drop("__omh_md5")
-
-
 def op7_omh_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classes(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes(read_table(spark, sf_dir, "documents"), method()).select("doc_id", "class_id", "kept")
 
 
 QUERIES = {"op7_omh_dedup": op7_omh_dedup}

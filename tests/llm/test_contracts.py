@@ -188,6 +188,23 @@ def test_near_duplicate_classes(spark, edge_dir, tables):
     assert Counter((r["doc_id"], r["class_id"]) for r in rows_of(spark, edge_dir, "op7_omh_dedup")) == want
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    from staylens.llm import omh_dedup as O
+
+    rng = __import__("random").Random(1)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(None, " ".join(base)), (5, " ".join(base)), (9, near), (9, " ".join(base).upper()), (5, near), (None, "alone in the world and without any name"),
+            (None, "alone in the world and without any name"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = O.classes(docs, O.method()).collect()
+    assert {r["class_id"] for r in got if r["doc_id"] in (5, 9)} == {5}
+    assert Counter(r["class_id"] for r in got) == Counter({5: 5, None: 2, 3: 2, 4: 1})
+    left = [tuple(r) for r in O.drop_near_duplicates(docs).collect()]
+    assert Counter(r[0] for r in left) == Counter({5: 1, None: 1, 3: 1, 4: 1})
+    assert len([r for r in left if r[1] and r[1].startswith("alone")]) == 1
+
+
 def test_licence_of_wrapped_text(spark, edge_dir):
     rows = {r["doc_id"]: r["licenses"] for r in rows_of(spark, edge_dir, "op8_licenses")}
     assert rows[186] == "MIT" and rows[187] == "BSD-2-Clause" and rows[160] == rows[0] == ""
