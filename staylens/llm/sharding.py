@@ -9,8 +9,9 @@ Only the slot aggregate (at most ``SLOTS`` rows, whatever the input) reaches
 the driver; the rows keep to DataFrame expressions.
 
 Edge cases: a null text has no bytes (size 1), a null doc_id hashes like an
-empty one, repeated rows share a slot, an empty table gives an empty result
-and a map without bytes. Extra columns of the input are ignored.
+empty one, repeated rows are hashed with their number (so they spread over the
+slots too), an empty table gives an empty result and a map without bytes. Extra
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +23,26 @@ from .common import read_table, scratch
 
 SLOTS = 8192
 SHARDS = 8
+#: Repeated rows that one task writes out at a time.
+RUN = 65_536
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32 and virtual slot of every row.
 
     The slot hashes doc_id and text together, so a doc_id that holds a large
-    share of the rows is still spread over the slots."""
+    share of the rows is still spread over the slots. Equal rows are counted
+    (map-side first) and written out again in runs of ``RUN`` that are dealt to
+    tasks on their own; all but the first are hashed with their number."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     out = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))
-    return out.withColumn("virtual_slot", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % slots)
+    same = ["doc_id", "size", "text_crc32"]
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))
+    runs = out.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).withColumn("run", first).repartition(*same, "run")
+    out = runs.withColumn("copy", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("copies")) - 1)))
+    number = F.when(F.col("copy") > 0, F.col("copy").cast("string"))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), number)
+    return out.select(*same, (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % slots).alias("virtual_slot"))
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
@@ -112,8 +122,11 @@ texts AS MATERIALIZED (
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
         lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, crc_table),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM texts),
 slotted AS MATERIALIZED (
-  SELECT *, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text_crc32::VARCHAR)), 1, 8))::BIGINT % {SLOTS} AS virtual_slot FROM texts),
+  SELECT doc_id, size, text_crc32,
+    ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text_crc32::VARCHAR, CASE WHEN copy > 0 THEN copy::VARCHAR END)), 1, 8))::BIGINT % {SLOTS} AS virtual_slot
+  FROM numbered),
 totals AS MATERIALIZED (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n FROM slotted GROUP BY 1),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS k, (SELECT sum(size) FROM slotted) AS total FROM totals),
 fold AS (
