@@ -57,10 +57,12 @@ TEXT_COLLISION = 0.067
 #: Runs of words and numbers change between letters and digits at one of ten places at
 #: most; a mixed run must be this many times likelier as random draws than as such a run.
 TEXT_CHANGES, MIX_ODDS = 0.1, 3.0
-SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,kind:string,s:string>>"
 _BINS, _PER_BIN = 160, 4
-#: Texts with spans up to which these are broadcast, checked by a count; beyond it both sides are shuffled.
-BROADCAST_ROWS = 100_000
+#: Texts and spans together (some 100 bytes each) up to which they are broadcast, checked by a sum; beyond it both sides are shuffled.
+BROADCAST_SPANS = 300_000
+#: Code points of a text that are cut out at once when spans are replaced.
+CHUNK = 4096
 
 
 def least_length(size: int) -> int:
@@ -80,39 +82,58 @@ def digit_share(alphabet: str) -> float:
     return digits / len(alphabet) if digits and len(alphabet) > 16 and one_case and alphabet.isalnum() else 0.0
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as spans, without those whose
-    group is shorter than ``least``. Each match is taken with the text before it,
-    from the end of the last one on, so lengths add up to positions."""
+    group is shorter than ``least``; candidates (kind ``random``) carry their text.
+    Each match is taken with the text before it, from the end of the last one on,
+    so lengths add up to positions. They are added up in blocks of the square root
+    of their number: an array that grows match by match is copied at every step."""
     whole = rf"\G([\s\S]*?)({pattern})"
     take = lambda i: F.regexp_extract_all(text, F.lit(whole), F.lit(i))
     size = lambda c: F.length(c).cast("long")
-    pre, hit, part = take(1), take(2), take(2 + group)
-    zipped = F.arrays_zip(pre.alias("pre"), hit.alias("hit"), part.alias("part"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,ok:boolean>>")
+    zipped = F.arrays_zip(take(1).alias("pre"), take(2).alias("hit"), take(2 + group).alias("part"))
+    s = (lambda x: x["hit"]) if kind == "random" else (lambda x: F.lit(None).cast("string"))
+    sized = F.transform(zipped, lambda x: F.struct(size(x["pre"]).alias("pre"), size(x["hit"]).alias("hit"), (size(x["part"]) >= least).alias("ok"), s(x).alias("s")))
+    found = "array<struct<start:bigint,end:bigint,kind:string,s:string,ok:boolean>>"
 
     def add(a: Column, x: Column) -> Column:
-        start = a["at"] + size(x["pre"])
-        end = start + size(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), (size(x["part"]) >= least).alias("ok"))
+        start = a["at"] + x["pre"]
+        end = start + x["hit"]
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["ok"].alias("ok"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda a: a["out"])
-    kept = F.filter(spans, lambda s: s["ok"])
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    def in_blocks(z: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(z))).cast("int"), F.lit(1))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(found).alias("out"))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(z), F.lit(1)), step), lambda i: F.aggregate(F.slice(z, i, step), zero, add))
+        return let(blocks, shifted)
+
+    def shifted(blocks: Column) -> Column:
+        # every block counts from its own start; the starts are the sums of the blocks before
+        ends = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        move = lambda at, x: F.struct((at + x["start"]).alias("start"), (at + x["end"]).alias("end"), x["kind"].alias("kind"), x["s"].alias("s"), x["ok"].alias("ok"))
+        return F.flatten(F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), lambda b, at: F.transform(b["out"], lambda x: move(at, x))))
+
+    kept = F.filter(let(sized, in_blocks), lambda x: x["ok"])
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["s"].alias("s")))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """(text_md5, kind, start, end, s) of all pattern spans and candidates (kind
-    ``random``) of ``docs``, copies included; one pass over the texts. Stored."""
+    ``random``, with their text s) of ``docs``, copies included; one pass over the
+    texts, which aren't repeated for their spans. Stored."""
     text = F.col("text")
     held = docs.select(text).where(text.rlike("|".join([*GUARD, CANDIDATE_GUARD])))
     none = F.array().cast(SPAN)
     kinds = [(k, g, PATTERNS[k]) for k, g in zip(PATTERNS, GUARD, strict=True)] + [("random", CANDIDATE_GUARD, (CANDIDATE, 0, 0))]
     spans = [F.when(text.rlike(g), matches(text, *p, k)).otherwise(none) for k, g, p in kinds]
-    one = held.select("text", F.explode(F.concat(*spans)).alias("span"))
-    cut = F.call_function("substring", text, (F.col("span.start") + 1).cast("int"), (F.col("span.end") - F.col("span.start")).cast("int"))
-    return stored(one.select(F.md5(text.cast("binary")).alias("text_md5"), "span.kind", "span.start", "span.end", cut.alias("s")), "secret-spans")
+    one = held.select(F.md5(text.cast("binary")).alias("text_md5"), F.concat(*spans).alias("spans")).select("text_md5", F.explode("spans").alias("span"))
+    return stored(one.select("text_md5", "span.kind", "span.start", "span.end", "span.s"), "secret-spans")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -208,8 +229,8 @@ def rejections(tests: DataFrame, rate: float = FDR) -> DataFrame:
 
 def text_spans(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """(text_md5, spans) of every distinct text that has a span: an array of
-    (start, rank of the kind, end, kind), sorted. Kinds may overlap, but a random
-    span never lies within a span of another kind. Stored."""
+    (start, rank of the kind, end, kind, done: where the spans before it end), sorted.
+    Kinds may overlap, but a random span never lies within a span of another kind. Stored."""
     found = found_spans(docs)
     place = ["text_md5", "kind", "start", "end"]
     base = found.where(F.col("kind") != "random").select(*place).distinct()
@@ -222,12 +243,15 @@ def text_spans(docs: DataFrame, rate: float = FDR) -> DataFrame:
     both = both.withColumn("covered", F.max(F.when(is_base, F.col("end"))).over(before))
     both = both.where(is_base | F.col("covered").isNull() | (F.col("covered") < F.col("end")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    one = F.struct("start", rank.alias("rank"), "end", "kind")
+    earlier = Window.partitionBy("text_md5").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("rank", rank).withColumn("done", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long")))
+    one = F.struct("start", "rank", "end", "kind", "done")
     return stored(both.groupBy("text_md5").agg(F.sort_array(F.collect_list(one)).alias("spans")), "secrets")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _checked(df: DataFrame, spans: str = "spans") -> DataFrame:
+    total = df.agg(F.sum(F.size(spans).cast("long") + 1)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_SPANS else df
 
 
 def joined(spans: Column) -> Column:
@@ -244,18 +268,23 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = FDR) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; all rows stay."""
-    found = _checked(text_spans(docs, rate).select(F.col("text_md5").alias("__secret_md5"), F.col("spans").alias("__secret_spans")))
+    found = _checked(text_spans(docs, rate).select(F.col("text_md5").alias("__secret_md5"), F.col("spans").alias("__secret_spans")), "__secret_spans")
     out = docs.join(found, F.md5(docs["text"].cast("binary")) == F.col("__secret_md5"), "left")
     text, spans = docs["text"], F.col("__secret_spans")
-    piece = lambda a, b: F.call_function("substring", text, (a + 1).cast("int"), (b - a).cast("int"))
 
-    def step(a: Column, s: Column) -> Column:
-        # a.at: end of what is done; a span that begins inside the last one only extends it
-        new = F.concat(a["out"], piece(a["at"], s["start"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(new).alias("out"))
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        # only the chunks that a piece lies in are read, never the text from its start
+        at = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, at + 1, F.floor(b / CHUNK).cast("int") - at + 1), "")
+        return F.call_function("substring", held, (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(chunks: Column) -> Column:
+        # a span that begins inside an earlier one only extends it
+        opening = F.filter(spans, lambda s: s["start"] >= s["done"])
+        before = F.transform(opening, lambda s: F.concat(piece(chunks, s["done"], s["start"]), F.lit(mark)))
+        return F.concat(F.array_join(before, ""), piece(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text).cast("long")))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
-                       lambda a: F.concat(a["out"], piece(a["at"], F.length(text).cast("long"))))
+    done = let(F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{CHUNK}}}"), F.lit(0)), cut)
     clean = F.when(spans.isNull(), text).otherwise(done)
     return out.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
