@@ -13,7 +13,7 @@ from staylens.session import ensure_checkpoint_dir, read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["UPPER", "ascii_lower", "read_table", "batches", "scratch", "stored", "filesystem", "small_batches"]
+__all__ = ["UPPER", "ascii_lower", "read_table", "batches", "scratch", "setting", "stored", "filesystem", "small_batches"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -29,19 +29,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def batches(spark: SparkSession, rows: int | None):
-    """While jobs run inside, Arrow batches hold at most ``rows`` rows (and Spark's
-    limit in bytes); the session's own setting comes back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str | None):
+    """While jobs run inside, ``key`` has this value (None: its own); the session's own comes back afterwards."""
     before = spark.conf.get(key)
-    if rows:
-        spark.conf.set(key, str(rows))
+    if value is not None:
+        spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batches(spark: SparkSession, rows: int | None):
+    """While jobs run inside, Arrow batches hold at most ``rows`` rows (and Spark's limit in bytes)."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows) if rows else None)
+
+
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and scan it again: cuts the lineage,
     survives lost executors, and is computed once for all its readers. ``batch_rows``
