@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table, scratch, setting, stored
+from .common import ascii_lower, read_table, scratch, stored
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -49,8 +49,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term_id, key, pos) of ``terms`` in all rows of ``docs``, positions
     from 1. Every row has one marker posting too (term_id ``MARKER``) that carries
     doc_id, the number of words and the MD5 of the text (``row``, null in all others).
-    Each task sorts its postings by term; without radix sort, whose second array of
-    pointers would be the largest part of the task's memory."""
+    Each task sorts its postings by term."""
     rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", words(F.col("text")).alias("words"))
     marker = F.col("pos") == 0
     # a word is never empty, so the empty term can stand for the marker
@@ -60,8 +59,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     known = terms.select("term", "term_id").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(MARKER).cast("long").alias("term_id")))
     known = F.broadcast(known) if terms.count() < BROADCAST_ROWS else known
     index = found.join(known, "term").select("term_id", "key", "pos", F.when(marker, F.struct("doc_id", "n", "text_md5")).alias("row"))
-    with setting(spark, "spark.sql.sort.enableRadixSort", "false"):
-        return stored(index.sortWithinPartitions("term_id"), "postings")
+    return stored(index.sortWithinPartitions("term_id"), "postings")
 
 
 def postings(index: DataFrame) -> DataFrame:
