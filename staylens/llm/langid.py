@@ -8,10 +8,12 @@ kernel ridge regression. Scoring: a batch's presence matrix times one
 (WIDTH x languages) matrix, in which landmarks, whitening and ridge weights
 are folded together (the products are associative).
 
-The fit uses a bounded sample: at most ``PER_LANGUAGE`` labelled rows per
-language and ``SAMPLE`` in all, those with the smallest hash of doc_id; the
-driver gets their presence bits (``WIDTH`` / 8 bytes each), not their texts.
-Scoring reads whole texts, in pieces of ``PIECE`` characters.
+The ridge regression and the limits learn from every labelled row: tasks add up the
+moments of their rows' kernel values (a matrix of landmarks x landmarks), the driver
+solves the summed system. The landmarks, the method's basis, are the first
+``LANDMARKS`` texts of each language in hash order of doc_id, at most ``BASIS`` in
+all, as presence bits (``WIDTH`` / 8 bytes each). Scoring reads whole texts, in
+pieces of ``PIECE`` characters.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything if no labelled row exists; rows that repeat a doc_id are scored
@@ -20,10 +22,11 @@ for the split; extra columns are ignored.
 
 ``drop_unidentified`` also asks how well the winner fits. Held-out labelled rows
 and the same rows with their characters shuffled are scored, by classes of the
-number of distinct n-grams (powers of two). Where all rows named rightly lie
-above all shuffled ones, texts of the class that fit no better than the best
-shuffled one go: the whole gap is left to unusual clean texts. A class with
-fewer than ``LEAST_CLASS`` clean rows is compared with those of the next smaller
+number of distinct n-grams (powers of two). Where the rows named rightly lie
+above the shuffled ones, texts of the class that fit no better than the best
+shuffled one go: the whole gap is left to unusual clean texts. On either side the
+one in ``TAIL`` rows nearest the other side is passed over (fewer rows: none), else
+one odd row among millions would lift a class's limit. A class with fewer than ``LEAST_CLASS`` clean rows is compared with those of the next smaller
 class (values grow with size); one that has fewer shuffled rows, or overlaps,
 takes the next smaller class's limit. Below the smallest limit a text is too
 short to be told from noise and stays.
@@ -38,17 +41,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import read_table, small_batches
+from ..operators.selection import exact_quantiles
+from .common import read_table, small_batches, stored
 
 ORDERS = 4
 WIDTH = 1 << 15
 PIECE = 1 << 20
-PER_LANGUAGE = 400
-SAMPLE = 4000
-LANDMARKS = 100
+LANDMARKS, BASIS = 100, 4000
 BLOCK = 128
-#: Held-out rows behind the limits: per language, in all, and least in a class.
-CHECKED, CHECKED_TOTAL, LEAST_CLASS = 1000, 4000, 20
+#: Least held-out rows in a class; one row in so many may lie beyond its limit.
+LEAST_CLASS, TAIL = 20, 1000
+#: Repeated keys up to which they are broadcast, checked by a count.
+BROADCAST_ROWS = 1_000_000
 RIDGE = 0.01
 UND = "und"
 _GAPS = re.compile(r"[\W\d_]+")
@@ -111,70 +115,148 @@ class Model:
         return names, scores
 
 
-def _unit(packed: np.ndarray) -> np.ndarray:
-    """Presence vectors of length one from packed bits."""
-    x = np.unpackbits(packed, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-    return x
+def _bits(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).view(bool)
+
+
+class Basis:
+    """Landmarks (packed presence bits) of the Nystroem features."""
+
+    def __init__(self, languages: list[str], marks: np.ndarray):
+        self.languages, self.marks = languages, marks
+        self.norm = np.sqrt(np.maximum(np.bitwise_count(marks).sum(1, dtype=np.float64), 1))
+
+    def kernel(self, batch: np.ndarray) -> np.ndarray:
+        """Kernel values of a (texts x WIDTH) presence matrix and the landmarks, which are unpacked a few columns at a time."""
+        both = np.zeros((len(batch), len(self.marks)), np.float32)           # n-grams in common: whole numbers
+        for a in range(0, WIDTH, 4096):
+            both += batch[:, a: a + 4096].astype(np.float32) @ _bits(self.marks[:, a // 8: (a + 4096) // 8]).astype(np.float32).T
+        return both / (np.sqrt(np.maximum(batch.sum(1, dtype=np.float64), 1))[:, None] * self.norm)
+
+    def moments(self, batch: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """(languages + landmarks) x landmarks: weighted sums of the rows' kernel values by
+        language, and of the products of their kernel values. ``weight`` is by language."""
+        k = self.kernel(batch)
+        return np.concatenate([y[:, None] == np.arange(len(self.languages)), k], axis=1).T @ (k * weight[y][:, None])
+
+    def solve(self, sums: np.ndarray, rows: int, ridge: float = RIDGE) -> Model:
+        """The ridge regression of +1 (own language) and -1 on the Nystroem features of
+        ``rows`` rows with these moments."""
+        n = len(self.languages)
+        values, vectors = np.linalg.eigh(self.kernel(_bits(self.marks)))
+        keep = values > 1e-6 * values.max()
+        white = vectors[:, keep] / np.sqrt(values[keep])                # K_mm^(-1/2)
+        own, total = sums[:n], sums[:n].sum(0)
+        centre, middle = total @ white / rows, np.full(n, 2 / n - 1)    # languages count alike
+        gram = white.T @ sums[n:] @ white - rows * np.outer(centre, centre)
+        beta = np.linalg.solve(gram + ridge * rows * np.eye(len(gram)), white.T @ (2 * own - total).T - rows * np.outer(centre, middle))
+        fold = white @ beta / self.norm[:, None]
+        weights = np.concatenate([_bits(self.marks[:, a // 8: (a + 4096) // 8]).T.astype(np.float64) @ fold for a in range(0, WIDTH, 4096)])
+        return Model(self.languages, weights.astype(np.float32), (middle - centre @ beta).astype(np.float32))
+
+
+def balance(sizes: np.ndarray) -> np.ndarray:
+    """Weight of a row by language: languages count alike, weights add up to the rows."""
+    return sizes.sum() / (len(sizes) * sizes)
 
 
 def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on packed presence bits (rows x WIDTH / 8); landmarks are the first rows of
-    each language. Rows are unpacked a few at a time: the driver holds the
-    landmarks and one block, not the whole matrix."""
+    """Fit on packed presence bits (rows x WIDTH / 8) held here; landmarks are the first
+    rows of each language."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in labels])
-    z = _unit(packed[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])])
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    white = vectors[:, keep] / np.sqrt(values[keep])                # K_mm^(-1/2)
-    phi = np.concatenate([(_unit(packed[a: a + BLOCK]) @ z.T).astype(np.float64) for a in range(0, len(y), BLOCK)]) @ white
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    weight = 1.0 / np.bincount(y, minlength=len(languages))[y]      # languages count alike
-    weight *= len(y) / weight.sum()
-    centre, middle = np.average(phi, 0, weight), np.average(target, 0, weight)
-    p, t = phi - centre, target - middle
-    beta = np.linalg.solve(p.T @ (p * weight[:, None]) + ridge * len(y) * np.eye(p.shape[1]), p.T @ (t * weight[:, None]))
-    fold = white @ beta
-    weights = np.concatenate([z[:, a: a + 4096].T.astype(np.float64) @ fold for a in range(0, WIDTH, 4096)])
-    return Model(languages, weights.astype(np.float32), (middle - centre @ beta).astype(np.float32))
-
-
-def labelled(docs: DataFrame, learn: Column, per_language: int, total: int) -> DataFrame:
-    """(rank, lang, doc_id, text) of a bounded sample of labelled rows, the first of each language in hash order."""
-    keys = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-    n_languages = keys.select("lang").distinct().count()
-    each = max(1, min(per_language, total // max(1, n_languages)))
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = (keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
-              .where(F.col("rank") <= each).limit(total).select("doc_id", "lang", "rank"))      # at most `total` rows
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
-    return rows.select("rank", "lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
-
-
-def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
-    """Packed presence bits and labels of the bounded fitting sample, in hash order."""
-    def bits(batches):
-        import pandas as pd
+    basis, weight = Basis(languages, packed[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])]), balance(np.bincount(y))
+    return basis.solve(sum(basis.moments(_bits(packed[a: a + BLOCK]), y[a: a + BLOCK], weight) for a in range(0, len(y), BLOCK)), len(y), ridge)
+
+
+def labelled(docs: DataFrame, pick: Column) -> DataFrame:
+    """doc_id, lang and text of the rows with a label, a doc_id and a letter."""
+    return (docs.where(pick & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+            .select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text"))
+
+
+def landmarks(rows: DataFrame, n_languages: int) -> tuple[np.ndarray, list[str]]:
+    """Packed presence bits and labels of the first texts of each language in hash order."""
+    each = max(1, min(LANDMARKS, BASIS // n_languages))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = (rows.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(first))
+              .where(F.col("rank") <= each).limit(BASIS))                # at most BASIS rows
+    found = (presences(rows.join(F.broadcast(picked), ["doc_id", "lang"])).groupBy("lang", "doc_id").agg(F.min("bits").alias("bits"))
+             .join(F.broadcast(picked), ["doc_id", "lang"]).orderBy("lang", "rank").collect())
+    return np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), WIDTH // 8), [r["lang"] for r in found]
+
+
+def presences(rows: DataFrame) -> DataFrame:
+    """lang, doc_id and packed presence bits of ``labelled`` rows."""
+    def run(batches):
+        import pyarrow as pa
 
         for b in batches:
-            ok = b["text"].map(has_letter).to_numpy(dtype=bool)
-            b = b[ok]
-            yield pd.DataFrame({"rank": b["rank"], "lang": b["lang"], "doc_id": b["doc_id"],
-                                "bits": [np.packbits(presence(t)).tobytes() for t in b["text"]]})
+            bits = [np.packbits(presence(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("doc_id"), pa.array(bits, pa.binary())], names=["lang", "doc_id", "bits"])
+
+    return rows.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id string, bits binary")
+
+
+def summed(rows: DataFrame, basis: Basis, weight: np.ndarray) -> np.ndarray:
+    """``Basis.moments`` of all ``rows`` (lang, and text or bits), added up by landmark."""
+    shared = rows.sparkSession.sparkContext.broadcast((basis.languages, basis.marks, weight))
+    schema = "part int, sums binary"
+
+    def run(batches):
+        import pyarrow as pa
 
-    found = (labelled(docs, learn, per_language, total)
-             .mapInPandas(bits, "rank int, lang string, doc_id string, bits binary")
-             .groupBy("lang", "rank").agg(F.min("bits").alias("bits")).orderBy("lang", "rank").collect())
-    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), WIDTH // 8)
-    return packed, [r["lang"] for r in found]
+        languages, marks, weight = shared.value
+        own, total = Basis(languages, marks), 0
+        place = {name: i for i, name in enumerate(languages)}
+        for b in batches:
+            texts = "text" in b.schema.names
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                got = part.column("text" if texts else "bits").to_pylist()
+                batch = np.stack([presence(t) for t in got]) if texts else _bits(np.stack([np.frombuffer(x, np.uint8) for x in got]))
+                total = total + own.moments(batch, np.array([place[x] for x in part.column("lang").to_pylist()]), weight)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["part", "sums"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        total = {}
+        for b in batches:
+            for k, x in zip(b.column("part").to_pylist(), b.column("sums")):
+                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+
+    out = np.zeros((len(basis.languages) + len(basis.marks), len(basis.marks)))
+    for r in rows.mapInArrow(run, schema).repartition(8, "part").mapInArrow(add, schema).collect():      # one row per landmark
+        out[r["part"]] += np.frombuffer(r["sums"])
+    return out
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:
+    """Fit on all labelled rows of ``learn``; rows that share doc_id and label count once, by their least bits."""
     small_batches(docs.sparkSession)
-    return train(*sample(docs, learn))
+    rows = labelled(docs, learn)
+    keys = rows.groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["lang"]: r for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > 1).alias("again")).collect()}
+    if not found:
+        return train(np.zeros((0, WIDTH // 8), np.uint8), [])
+    marks, names = landmarks(rows, len(found))
+    languages = sorted(set(names))
+    sizes, again = np.array([found[x]["n"] for x in languages]), sum(r["again"] for r in found.values())
+    basis, weight = Basis(languages, marks), balance(sizes)
+    if len(languages) < len(found):                                      # more languages than BASIS
+        rows = rows.where(F.col("lang").isin(languages))
+    if not again:
+        return basis.solve(summed(rows.select("lang", "text"), basis, weight), int(sizes.sum()))
+    repeated = stored(keys.where(F.col("n") > 1).select("doc_id", "lang"), "repeated-keys")
+    repeated = F.broadcast(repeated) if again <= BROADCAST_ROWS else repeated
+    alone = rows.join(repeated, ["doc_id", "lang"], "left_anti").select("lang", "text")
+    merged = presences(rows.join(repeated, ["doc_id", "lang"], "left_semi")).groupBy("lang", "doc_id").agg(F.min("bits").alias("bits")).select("lang", "bits")
+    return basis.solve(summed(alone, basis, weight) + summed(merged, basis, weight), int(sizes.sum()))
 
 
 def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
@@ -204,7 +286,7 @@ def shuffled(text: str) -> str:
 
 def class_limits(clean: dict[int, tuple[int, float]], noise: dict[int, tuple[int, float]]) -> list[float]:
     """Regression value of each size class that a text must exceed; given are the
-    number and least value of clean texts, and the number and largest value of noise."""
+    number of clean texts and the least value that counts, and the same of noise with the largest."""
     out, last, least = [], -np.inf, -np.inf
     for k in range(WIDTH.bit_length()):
         n, low = clean.get(k, (0, np.inf))
@@ -217,7 +299,7 @@ def class_limits(clean: dict[int, tuple[int, float]], noise: dict[int, tuple[int
 
 
 def limits(docs: DataFrame, model: Model, held: Column) -> list[float]:
-    """``class_limits`` measured on a bounded sample of the labelled rows of ``held``."""
+    """``class_limits`` measured on all labelled rows of ``held``."""
     if not model.languages:
         return class_limits({}, {})
     small_batches(docs.sparkSession)
@@ -228,14 +310,24 @@ def limits(docs: DataFrame, model: Model, held: Column) -> list[float]:
 
         own = Model(*shared.value)
         for b in batches:
-            b = b[b["text"].map(has_letter).to_numpy(dtype=bool)]
             rows = [(False, k, v) for lang, (name, k, v) in zip(b["lang"], own.fits(list(b["text"]))) if name == lang]
             rows += [(True, k, v) for _, k, v in own.fits(list(map(shuffled, b["text"])))]
             yield pd.DataFrame(rows, columns=["noise", "size", "value"])
 
-    rows = labelled(docs, held, CHECKED, CHECKED_TOTAL).mapInPandas(values, "noise boolean, size int, value double")
+    rows = stored(labelled(docs, held).mapInPandas(values, "noise boolean, size int, value double"), "fits")
     found = rows.groupBy("noise", "size").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    return class_limits({r["size"]: (r["n"], r["low"]) for r in found if not r["noise"]}, {r["size"]: (r["n"], r["high"]) for r in found if r["noise"]})
+    ends = {(r["noise"], r["size"]): (r["n"], r["high"] if r["noise"] else r["low"]) for r in found}
+    large = [key for key, (n, _) in ends.items() if n >= TAIL]
+    wanted = [(F.when((F.col("noise") == noise) & (F.col("size") == size), F.col("value")), [_tail(ends[noise, size][0], noise)]) for noise, size in large]
+    for key, (value,) in zip(large, exact_quantiles(rows, wanted) if large else []):
+        ends[key] = (ends[key][0], value)
+    return class_limits(*({k: end for (own, k), end in ends.items() if own == noise} for noise in (False, True)))
+
+
+def _tail(n: int, noise: bool) -> float:
+    """The probability whose quantile passes over one in ``TAIL`` of ``n`` rows, from above for noise."""
+    share = (n // TAIL) / (n - 1)
+    return 1 - share if noise else share
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
