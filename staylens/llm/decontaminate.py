@@ -18,6 +18,8 @@ listed; empty tables give no hits. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ WINDOW = 10
 #: Rows up to which a side is broadcast, checked by a count; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 MARKER = -1
+#: Tasks that share a split's rows when postings are made: bounds what one of them sorts.
+SLICES = 4
 
 
 def words(text: Column) -> Column:
@@ -49,13 +53,17 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term_id, key, pos) of ``terms`` in all rows of ``docs``, positions
     from 1. Every row has one marker posting too (term_id ``MARKER``) that carries
     doc_id, the number of words and the MD5 of the text (``row``, null in all others).
-    Each task sorts its postings by term."""
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", words(F.col("text")).alias("words"))
+    Each task sorts its postings by term; it takes one in ``SLICES`` rows of its split, all
+    tasks together every row."""
+    spark = docs.sparkSession
+    # slices by content, so that a row is in one of them even where the order of rows isn't fixed
+    slices = [docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select(
+        (F.monotonically_increasing_id() * SLICES + k).alias("key"), "doc_id", "text", words(F.col("text")).alias("words")) for k in range(SLICES)]
     marker = F.col("pos") == 0
     # a word is never empty, so the empty term can stand for the marker
-    found = rows.select("key", "doc_id", F.size("words").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
-                        F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "term"))
-    spark = docs.sparkSession
+    found = reduce(DataFrame.unionAll, [r.select(
+        "key", "doc_id", F.size("words").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "term")) for r in slices])
     known = terms.select("term", "term_id").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(MARKER).cast("long").alias("term_id")))
     known = F.broadcast(known) if terms.count() < BROADCAST_ROWS else known
     index = found.join(known, "term").select("term_id", "key", "pos", F.when(marker, F.struct("doc_id", "n", "text_md5")).alias("row"))
