@@ -100,3 +100,24 @@ def test_codes_of_levels(spark):
     new = spark.createDataFrame([("b", 1), ("z", 2), (None, 3), ("B", 4)], "v string, level int")
     got = L.ordinal_code(new, "v", levels, "c").collect()
     assert sorted((r["level"], r["c"]) for r in got) == [(1, 2), (2, -1), (3, -1), (4, 0)]
+
+
+def test_few_partitions_are_summed_without_a_shuffle_and_give_the_same_trees(spark, monkeypatch):
+    a, b, c, y, w = data(900, 6)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y, w)], "a double, b double, c double, y double, w double").repartition(3)
+    blocks, s = B.blocks(df, ["a", "b", "c"], [[0.0], [5.0], [0.5]], "y", "w", F.lit(False), B.BLOCK_ROWS * 3, 0.0), B.Settings()
+    sc = spark.sparkContext
+    found = {}
+    for few in (B.FEW_PARTS, 0):
+        monkeypatch.setattr(B, "FEW_PARTS", few)
+        sc.setJobGroup(f"splits-{few}", "")
+        found[few] = B.splits(blocks, B.Tree(), [0], s, 2)
+        (job,) = sc.statusTracker().getJobIdsForGroup(f"splits-{few}")
+        found[few, "stages"] = len(sc.statusTracker().getJobInfo(job).stageIds)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0, "stages"] - found[16, "stages"] == 1
+    few, many = found[16], found[0]
+    assert few.keys() == many.keys() == {0, 1, 2, "loss"} and np.allclose(few["loss"], many["loss"])
+    for f in range(3):
+        (one,), (two,) = few[f], many[f]
+        assert one[1] == two[1] and np.allclose([one[0], *one[2], *one[3]], [two[0], *two[2], *two[3]])
