@@ -56,17 +56,23 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     Each task sorts its postings by term; it takes one in ``SLICES`` rows of its split, all
     tasks together every row."""
     spark = docs.sparkSession
-    # slices by content, so that a row is in one of them even where the order of rows isn't fixed
-    slices = [docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select(
-        (F.monotonically_increasing_id() * SLICES + k).alias("key"), "doc_id", "text", words(F.col("text")).alias("words")) for k in range(SLICES)]
-    marker = F.col("pos") == 0
-    # a word is never empty, so the empty term can stand for the marker
-    found = reduce(DataFrame.unionAll, [r.select(
-        "key", "doc_id", F.size("words").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
-        F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "term")) for r in slices])
     known = terms.select("term", "term_id").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(MARKER).cast("long").alias("term_id")))
     known = F.broadcast(known) if terms.count() < BROADCAST_ROWS else known
-    index = found.join(known, "term").select("term_id", "key", "pos", F.when(marker, F.struct("doc_id", "n", "text_md5")).alias("row"))
+
+    def part(k: int) -> DataFrame:
+        # slices by content, so that a row is in one of them even where the order of rows isn't fixed
+        rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select(
+            (F.monotonically_increasing_id() * SLICES + k).alias("key"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+            words(F.col("text")).alias("words"))
+        # what a row has once is made before its words are rows: after that it would be made again for every word
+        rows = rows.select("key", "doc_id", F.size("words").cast("long").alias("n"), "text_md5", "words")
+        # a word is never empty, so the empty term can stand for the marker
+        found = rows.select("key", "doc_id", "n", "text_md5", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "term"))
+        found = found.select("key", "pos", "term", F.when(F.col("pos") == 0, F.struct("doc_id", "n", "text_md5")).alias("row"))
+        return found.join(known, "term").select("term_id", "key", "pos", "row")
+
+    # the slices meet only after the join, so that words outside the vocabulary are never copied
+    index = reduce(DataFrame.unionAll, [part(k) for k in range(SLICES)])
     return stored(index.sortWithinPartitions("term_id"), "postings")
 
 

@@ -1,5 +1,7 @@
 """The postings are made by many small sorts and hold every row once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from staylens.llm import decontaminate as D
@@ -19,3 +21,13 @@ def test_postings_of_every_row_once_in_small_sorts(spark):
     files = index.where(F.col("term_id") >= 0).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("term_id").alias("t")).collect()
     assert len(files) >= D.SLICES and max(r["n"] for r in files) < 2 * len(want) / D.SLICES
     assert all(r["t"] == sorted(r["t"]) for r in files)
+
+
+def test_the_digest_of_a_text_is_made_once_a_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "to be or not to be")], "doc_id long, text string")
+    terms = spark.createDataFrame([("to", 0), ("be", 1)], "term string, term_id long")
+    plans = []
+    monkeypatch.setattr(D, "stored", lambda df, name, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    D.build_index(docs, terms)
+    steps = re.findall(r"\bGenerate\b|\bmd5\(", plans[-1])       # from the last step to the first
+    assert steps == ["Generate", "md5("] * D.SLICES
