@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +42,8 @@ HIDDEN = 16
 STEPS, STREAMS = 32, 256
 ROUNDS = 3
 RATE = 0.1
-#: Words that a task holds before it works on them, and distinct words before it hands on their counts.
-BUFFER, COUNTED = 1_000_000, 300_000
+#: Words that a task holds before it learns from them and before it hands on their counts, and bytes of text before it scores them.
+BUFFER, COUNTED, SCORED = 1_000_000, 4_000_000, 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b""
 _END, _OTHER = WORDS, WORDS + 1                 # symbols beside 0..WORDS-1
@@ -52,10 +51,32 @@ _SYMBOLS = WORDS + 2
 
 
 def words(text) -> list[bytes]:
-    """The words of a text; ``bytes.split`` splits at 0x20 and 0x09-0x0D."""
+    """The words of a text; ``bytes.split`` splits at 0x20 and 0x09-0x0D. ``split`` is its form for batches."""
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
+def split(texts) -> tuple:
+    """``words`` of a batch's texts (an Arrow array of strings): all of them as one binary
+    array, and how many each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(flat), 0)               # white space at an end leaves an empty piece
+    below = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    last = np.cumsum(n)
+    return flat.filter(real), below[last] - below[last - n]
+
+
+def ranks(flat, head) -> np.ndarray:
+    """Places of words in ``head``, -1 beyond it (both Arrow arrays)."""
+    import pyarrow.compute as pc
+
+    return pc.index_in(flat, value_set=head).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
@@ -67,19 +88,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            made = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            return pa.RecordBatch.from_arrays([made.field("values"), made.field("counts")], names=["word", "c"])
 
-        seen = Counter()
+        held, size, ends = [], 0, 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                seen.update(words(text))
-                seen[END] += 1
-            if len(seen) >= COUNTED:
+            held.append(split(b.column("text"))[0])
+            size, ends = size + len(held[-1]), ends + b.num_rows
+            if size >= COUNTED:
                 yield out()
-                seen = Counter()
+                held, size = [], 0
         yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     return stored(texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
@@ -119,8 +143,13 @@ def _sigmoid(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    if len(x) and (x.max() > 60 or x.min() < -60):       # else neither the powers nor their sums leave float32
+def _small(matrix: np.ndarray, bias: np.ndarray) -> bool:
+    """No state (all within -1 and 1) has an output beyond 60 with these weights."""
+    return float((np.abs(matrix).sum(-2) + np.abs(bias)).max()) < 59
+
+
+def _softmax(x: np.ndarray, small: bool = False) -> np.ndarray:
+    if not small and len(x) and (x.max() > 60 or x.min() < -60):       # else neither the powers nor their sums leave float32
         x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
@@ -217,7 +246,7 @@ def _outputs(w: Weights, h: np.ndarray, target: np.ndarray, grad: Weights | None
     """Natural log-probabilities of the targets; with ``grad`` also adds the output
     layer's gradients (of the summed loss) and returns that of the states."""
     cls = np.where(target < WORDS, target // PER_CLASS, target - WORDS + CLASSES)
-    p = _softmax(h @ w.wc + w.bc)
+    p = _softmax(h @ w.wc + w.bc, _small(w.wc, w.bc))
     every = np.arange(len(h))
     logp = np.log(p[every, cls])
     dh = None
@@ -232,11 +261,12 @@ def _outputs(w: Weights, h: np.ndarray, target: np.ndarray, grad: Weights | None
     hs, word = h[inside], target[inside] % PER_CLASS
     own = np.empty(len(inside), np.float32)
     ds = np.empty_like(hs)
+    small = _small(w.ww, w.bw)
     for c in range(CLASSES):
         lo, hi = bounds[c], bounds[c + 1]
         if lo < hi:
             hc = hs[lo:hi]
-            q = _softmax(hc @ w.ww[c] + w.bw[c])
+            q = _softmax(hc @ w.ww[c] + w.bw[c], small)
             one = np.arange(hi - lo)
             own[lo:hi] = q[one, word[lo:hi]]
             if grad is not None:
@@ -302,10 +332,6 @@ def score_buffer(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _ranks(head: list[bytes]) -> dict[bytes, int]:
-    return {word: i for i, word in enumerate(head)}
-
-
 def symbols(rank: np.ndarray) -> np.ndarray:
     """Network symbols of word ranks (-1: beyond the head), with the end."""
     out = np.where((rank < 0) | (rank >= WORDS), _OTHER, rank)
@@ -323,22 +349,25 @@ class Model:
         self.other = math.log10(tokens - ends - int(counts[:inside].sum()) + (types - (ends > 0) - inside) + 1)
 
 
-def _buffers(batches, ranks, keep):
-    """Texts as symbol arrays, about ``BUFFER`` words at a time; ``keep(words, ranks)`` per text."""
-    texts, kept, size = [], [], 0
+def _texts(batch, head) -> list[np.ndarray]:
+    """Symbol arrays of a batch's texts."""
+    flat, n = split(batch.column("text"))
+    rank, last = ranks(flat, head), np.cumsum(n)
+    return [symbols(rank[a:b]) for a, b in zip(last - n, last)]
+
+
+def _buffers(batches, head):
+    """Texts as symbol arrays, about ``BUFFER`` words at a time."""
+    texts, size = [], 0
     for b in batches:
-        columns = b.to_pydict()
-        for i, text in enumerate(columns["text"]):
-            found = words(text)
-            rank = np.fromiter(map(ranks.get, found, repeat(-1)), np.int64, len(found))
-            texts.append(symbols(rank))
-            kept.append(keep(columns, i, found, rank))
-            size += len(found) + 1
+        for text in _texts(b, head):
+            texts.append(text)
+            size += len(text)
             if size >= BUFFER:
-                yield texts, kept
-                texts, kept, size = [], [], 0
+                yield texts
+                texts, size = [], 0
     if texts:
-        yield texts, kept
+        yield texts
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
@@ -359,7 +388,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             import pyarrow as pa
 
             w, seen, n = Weights(shared.value.copy()), np.full(Weights.SIZE, 1e-2, np.float32), 0
-            for texts, _ in _buffers(batches, _ranks(known.value), lambda *x: None):
+            for texts in _buffers(batches, pa.array(known.value, pa.binary())):
                 train_buffer(w, seen, texts)
                 n += sum(map(len, texts))
             if n:
@@ -394,24 +423,37 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         head, held, flat, ends, other = m.value
-        w, ranks, logs = Weights(flat), _ranks(head), np.append(np.log10(held + 1.0), 0.0)
-
-        def keep(columns, i, found, rank):
-            outside = (rank < 0) | (rank >= WORDS)
-            far = np.flatnonzero(rank < 0)
-            return (columns["doc_id"][i], len(found) + 1, int((rank >= 0).sum()) + (ends > 0), float(logs[rank].sum()) + math.log10(ends + 1),
-                    int(outside.sum()), float(logs[rank[outside]].sum()), [found[j] for j in far])
-
-        for texts, kept in _buffers(batches, ranks, keep):
-            total = score_buffer(w, texts) / math.log(10)
-            ids, n, known, base, others, other_logs, rest = map(list, zip(*kept))
-            for at in range(0, len(ids), 2000):
-                cut = slice(at, at + 2000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[cut], pa.int64()), pa.array(n[cut], pa.int64()), pa.array(known[cut], pa.int64()), pa.array(base[cut], pa.float64()),
-                     pa.array(total[cut], pa.float64()), pa.array(others[cut], pa.int64()), pa.array(other_logs[cut], pa.float64()),
-                     pa.array(rest[cut], pa.list_(pa.binary()))],
-                    names=["doc_id", "n_tokens", "known", "logs", "model", "others", "other_logs", "rest"])
+        w, logs, known = Weights(flat), np.append(np.log10(held + 1.0), 0.0), pa.array(head, pa.binary())
+
+        def scored(parts):
+            b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            found, n = split(b.column("text"))
+            rank, last = ranks(found, known), np.cumsum(n)
+            far, outside, log = rank < 0, (rank < 0) | (rank >= WORDS), logs[rank]
+            texts, rows = [], []
+            for a, z in zip(last - n, last):
+                away = outside[a:z]
+                texts.append(symbols(rank[a:z]))
+                rows.append((float(log[a:z].sum()) + math.log10(ends + 1), int(away.sum()), float(log[a:z][away].sum())))
+            base, others, other_logs = zip(*rows)
+            beyond = np.concatenate([[0], np.cumsum(far)])[np.concatenate([[0], last])]
+            rest = pa.ListArray.from_arrays(pa.array(beyond, pa.int32()), found.filter(pa.array(far)))
+            made = pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n + 1), pa.array(n - np.diff(beyond) + (ends > 0)), pa.array(base, pa.float64()),
+                 pa.array(score_buffer(w, texts) / math.log(10)), pa.array(others, pa.int64()), pa.array(other_logs, pa.float64()), rest],
+                names=["doc_id", "n_tokens", "known", "logs", "model", "others", "other_logs", "rest"])
+            for at in range(0, made.num_rows, 2000):
+                yield made.slice(at, 2000)
+
+        parts, size = [], 0
+        for b in batches:
+            parts += [b] if b.num_rows else []
+            size += b.column("text").nbytes
+            if size >= SCORED:
+                yield from scored(parts)
+                parts, size = [], 0
+        if parts:
+            yield from scored(parts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     rows = stored(rows.withColumn("key", F.monotonically_increasing_id()), "lm-scored")

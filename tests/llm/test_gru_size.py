@@ -29,3 +29,41 @@ def test_gradient_of_the_inputs_and_of_the_state():
 
     slope = (loss(0.01) - loss(-0.01)) / 0.02
     assert abs(slope / np.linalg.norm(grad.flat) - 1) < 0.01
+
+
+ODD = [None, "", " \t ", " a  B\tc\x0b\x0cd ", "\x1c\x85 É x y z", "Ab\nAB  ", "\x00 KK", "one"]
+
+
+def test_words_of_a_batch_are_those_of_its_texts():
+    import pyarrow as pa
+
+    whole = pa.array(ODD)
+    for batch in (whole, whole.slice(3, 3), whole.slice(0, 0), whole.slice(0, 1)):
+        flat, n = G.split(batch)
+        want = [G.words(x) for x in batch.to_pylist()]
+        assert n.tolist() == [len(x) for x in want] and flat.to_pylist() == [y for x in want for y in x]
+        head = pa.array([b"ab", b"x"], pa.binary())
+        assert G.ranks(flat, head).tolist() == [{b"ab": 0, b"x": 1}.get(y, -1) for x in want for y in x]
+
+
+def test_a_task_scores_its_texts_in_few_large_steps(spark, monkeypatch):
+    """Side by side in one buffer: a buffer's longest text alone decides how many steps it takes."""
+    assert G.SCORED >= 1 << 24
+    rows = [(i, x) for i, x in enumerate(ODD * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = G.word_counts(docs)
+    want = {}
+    for _, x in rows:
+        for y in G.words(x) + [G.END]:
+            want[y] = want.get(y, 0) + 1
+    assert {bytes(r["word"]): r["c"] for r in counts.collect()} == want
+    model = G.fit(docs, counts)
+    one = {r["doc_id"]: r for r in G.score(docs, model, counts).collect()}
+    monkeypatch.setattr(G, "SCORED", 100)
+    many = {r["doc_id"]: r for r in G.score(docs, model, counts).collect()}
+    assert len(one) == len(many) == len(rows)
+    total, size = sum(want.values()), len(want)
+    for i, x in rows:
+        tokens = G.words(x) + [G.END]
+        assert abs(one[i]["score"] - many[i]["score"]) < 1e-3 and one[i]["n_tokens"] == one[i]["n_known"] == len(tokens)
+        assert abs(one[i]["base_score"] - sum(np.log10((want[y] + 1) / (total + size + 1)) for y in tokens)) < 1e-9
