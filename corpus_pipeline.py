@@ -41,9 +41,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit
-    integers) and text, decoded from the ids."""
+    integers) and text, decoded from the ids. The ids are a table of their own: in one
+    stage encoder and decoder would take two Python workers a core, which stay for the next stages."""
     ranks, pattern = bpe.default_tokenizer()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, pattern).drop("text"), ranks)
+    coded = stored(bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, pattern).drop("text"), "pipeline-ids")
+    out = bpe.decode(coded, ranks)
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                       F.decode("decoded", "UTF-8").alias("text"))
 

@@ -49,6 +49,8 @@ WIDTH = 1 << 15
 PIECE = 1 << 20
 LANDMARKS, BASIS = 100, 4000
 BLOCK = 128
+#: Texts scored together: a worker holds TEXTS x WIDTH x 6 bytes for them.
+TEXTS = 64
 #: Least held-out rows in a class; one row in so many may lie beyond its limit.
 LEAST_CLASS, TAIL = 20, 1000
 #: Repeated keys up to which they are broadcast, checked by a count.
@@ -96,8 +98,8 @@ class Model:
     def fits(self, texts) -> list[tuple[str, int, float]]:
         """(language, class of its distinct n-grams, the winner's regression value) of texts with a letter."""
         out = []
-        for a in range(0, len(texts), 256):
-            batch = np.stack([presence(t) for t in texts[a: a + 256]])
+        for a in range(0, len(texts), TEXTS):
+            batch = np.stack([presence(t) for t in texts[a: a + TEXTS]])
             size = np.log2(np.maximum(batch.sum(1), 1)).astype(int)
             out += [(self.languages[int(row.argmax())], int(k), float(row.max())) for row, k in zip(self.decide(batch), size)]
         return out
@@ -106,8 +108,8 @@ class Model:
         """Language and score (the winner's regression value from -1..1 moved to 0..1)."""
         names, scores = [UND] * len(texts), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
-        for a in range(0, len(known), 256):
-            part = known[a: a + 256]
+        for a in range(0, len(known), TEXTS):
+            part = known[a: a + TEXTS]
             f = self.decide(np.stack([presence(texts[i]) for i in part]))
             for i, row in zip(part, f):
                 names[i] = self.languages[int(row.argmax())]
@@ -306,15 +308,18 @@ def limits(docs: DataFrame, model: Model, held: Column) -> list[float]:
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.intercept))
 
     def values(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         own = Model(*shared.value)
+        schema = pa.schema([("noise", pa.bool_()), ("size", pa.int32()), ("value", pa.float64())])
         for b in batches:
-            rows = [(False, k, v) for lang, (name, k, v) in zip(b["lang"], own.fits(list(b["text"]))) if name == lang]
-            rows += [(True, k, v) for _, k, v in own.fits(list(map(shuffled, b["text"])))]
-            yield pd.DataFrame(rows, columns=["noise", "size", "value"])
+            for a in range(0, b.num_rows, TEXTS):
+                langs, texts = (b.column(c).slice(a, TEXTS).to_pylist() for c in ("lang", "text"))
+                rows = [(False, k, v) for lang, (name, k, v) in zip(langs, own.fits(texts)) if name == lang]
+                rows += [(True, k, v) for _, k, v in own.fits(list(map(shuffled, texts)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    rows = stored(labelled(docs, held).mapInPandas(values, "noise boolean, size int, value double"), "fits")
+    rows = stored(labelled(docs, held).mapInArrow(values, "noise boolean, size int, value double"), "fits")
     found = rows.groupBy("noise", "size").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
     ends = {(r["noise"], r["size"]): (r["n"], r["high"] if r["noise"] else r["low"]) for r in found}
     large = [key for key, (n, _) in ends.items() if n >= TAIL]
