@@ -1,16 +1,16 @@
 """Histogram gradient boosting (M10): binary log loss, best-first trees.
 
 Features are binned once to a byte (exact quantiles as cut points, or every value of
-a column with few). Rows live in blocks of numpy arrays, cached on the executors; a
-block carries its margins. A tree grows best-first: the leaf with the largest gain
-is split next, up to ``leaves`` leaves, whatever the depth. To know the gains, one job
-sums gradients, hessians and counts over (feature, node, bin) for the children of all
-leaves that may still be split; tasks send one array per feature, and the best split of
-each node is found where a feature's arrays meet, so the driver gets one split per
-(feature, node). Up to ``FEW_PARTS`` partitions are summed by the driver instead: a fit
-is some hundreds of such jobs, and one without a shuffle takes half the time. The next tree's
-first job also moves the margins on and sums the loss of the held-out rows, on which fitting
-stops early.
+a column with few). Rows live in blocks of numpy arrays, cached on the executors, about one
+for each core; a block carries its margins. A tree grows best-first: the leaf with the largest
+gain is split next, up to ``leaves`` leaves, whatever the depth. To know the gains, one job
+sums gradients, hessians and counts over (feature, node, bin) for the smaller child of every
+leaf that may still be split; the other child's sums are what its parent's leave. Tasks read
+only the rows of the nodes asked for and send one array per feature, as wide as the feature has
+bins. Arrays meet per feature and the driver gets their sum; up to ``FEW_PARTS`` partitions are
+summed by the driver instead: a fit is about a thousand such jobs, and one without a shuffle
+takes half the time. The next tree's first job also moves the margins on and sums the loss of
+the held-out rows, on which fitting stops early.
 
 A lost executor's blocks are computed again from the last checkpoint
 (``CHECKPOINT_EVERY`` trees, in the cluster's shared folder).
@@ -37,7 +37,9 @@ from .selection import exact_quantiles
 BINS = 255
 BLOCK_ROWS = 32_768
 CHECKPOINT_EVERY = 20
-#: Partitions up to which the driver adds up the histograms (about 6 kB a feature and node from each).
+#: Rows that a task holds at most.
+PART_ROWS = 786_432
+#: Partitions up to which the driver adds up the histograms (at most 6 kB a feature and node from each).
 FEW_PARTS = 16
 
 
@@ -63,11 +65,13 @@ def cut_points(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list
 
     A column of at most ``bins`` values is cut between all of them, others at the
     ``bins`` - 1 inner quantiles."""
-    few = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    about = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
     cuts: dict[str, list[float]] = {}
-    for f in features:
-        if few[f] <= bins * 1.1:
-            values = sorted(r[0] for r in df.select(F.col(f).cast("double").alias(f)).where(F.col(f).isNotNull()).distinct().limit(bins + 1).collect())
+    few = [f for f in features if about[f] <= bins * 1.1]
+    if few:
+        # about 1.1 x ``bins`` values a feature, found in the same job
+        for f, found in zip(few, df.agg(*[F.collect_set(F.col(f).cast("double")) for f in few]).first()):
+            values = sorted(found)
             if len(values) <= bins:
                 cuts[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]
     rest = [f for f in features if f not in cuts]
@@ -118,6 +122,26 @@ class Tree:
         return at
 
 
+def rows_of(tree: Tree, x: np.ndarray, rows: np.ndarray, nodes: Sequence[int]) -> list[np.ndarray]:
+    """The rows (of ``rows``) in each of ``nodes``, none of which is below another; only paths to them are followed."""
+    need, found = set(nodes), {}
+    for k in reversed(range(len(tree.feature))):                    # children come after their parent
+        if tree.feature[k] >= 0 and k not in need and {tree.left[k], tree.left[k] + 1} & need:
+            need.add(k)
+    wanted, open_ = set(nodes), [(0, rows)]
+    while open_:
+        node, own = open_.pop()
+        if node in wanted:
+            found[node] = own
+            continue
+        right, left = x[tree.feature[node]][own] > tree.bin[node], tree.left[node]
+        if left in need:
+            open_.append((left, own[~right]))
+        if left + 1 in need:
+            open_.append((left + 1, own[right]))
+    return [found[n] for n in nodes]
+
+
 def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p = 1 / (1 + np.exp(-margin))
     return w * (p - y), w * p * (1 - p)
@@ -127,20 +151,26 @@ def log_loss(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> float:
     return float((w * np.logaddexp(0, np.where(y > 0, -margin, margin))).sum())
 
 
-def histograms(x: np.ndarray, place: np.ndarray, g: np.ndarray, h: np.ndarray, n_places: int) -> np.ndarray:
-    """(features, places, 3, 256): sums of gradient, hessian and rows; rows at place -1 don't count."""
-    own = np.flatnonzero(place >= 0)
-    place, g, h = place[own] * 256, g[own], h[own]
-    out = np.empty((len(x), n_places, 3, 256))
-    for f, bins in enumerate(x):
-        key = place + bins[own]
-        for k, weights in enumerate((g, h, None)):
-            out[f, :, k] = np.bincount(key, weights, n_places * 256).reshape(n_places, 256)
+def histograms(x: np.ndarray, rows: Sequence[np.ndarray], g: Sequence[np.ndarray], h: Sequence[np.ndarray], bins: Sequence[int]) -> list[np.ndarray]:
+    """Per feature (places, 3, bins): sums of gradient, hessian and rows; ``rows``, ``g`` and ``h`` are given by place."""
+    out = [np.empty((len(rows), 3, n)) for n in bins]
+    for place, own in enumerate(rows):
+        for of, hist, n in zip(x, out, bins):
+            key = of[own].astype(np.intp)
+            for k, weights in enumerate((g[place], h[place], None)):
+                hist[place, k] = np.bincount(key, weights, n)
+    return out
+
+
+def rest(whole: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """(3, bins) of the rows of ``whole`` that aren't in ``part``; bins without rows hold exact zeros."""
+    out = whole - part
+    out[:, out[2] == 0] = 0.0
     return out
 
 
 def best_splits(hist: np.ndarray, s: Settings) -> list[tuple]:
-    """Best (gain, bin, left sums) of every place of one feature's (places, 3, 256) array; gain 0 if none is allowed."""
+    """Best (gain, bin, left sums) of every place of one feature's (places, 3, bins) array; gain 0 if none is allowed."""
     left = np.cumsum(hist, axis=2)
     total = left[:, :, -1:]
     right = total - left
@@ -159,6 +189,16 @@ class Growth:
     def __init__(self, s: Settings):
         self.s, self.tree, self.known = s, Tree(), {}
 
+    def smaller(self, nodes: Sequence[int]) -> dict[int, tuple[int, int]]:
+        """The child with fewer rows of each pair in ``nodes`` -> (its sibling, their parent)."""
+        parents = {self.tree.left[n]: n for n in self.known if self.tree.feature[n] >= 0}
+        out = {}
+        for left in nodes[::2]:
+            _, _, _, of_left, of_both = self.known[parents[left]]
+            node, other = (left, left + 1) if 2 * of_left[2] <= of_both[2] else (left + 1, left)
+            out[node] = (other, parents[left])
+        return out
+
     def learn(self, nodes: Sequence[int], found: dict[int, list[tuple]]) -> None:
         """``found``: feature -> best split of each of ``nodes``; equal gains go to the smaller feature."""
         for k, node in enumerate(nodes):
@@ -175,7 +215,9 @@ class Growth:
             node = max(leaves, key=lambda n: (self.known[n][0], -n))
             if self.known[node][0] <= 0:
                 break
-            if self.tree.feature[node] < 0 or self.tree.left[node] not in self.known:
+            if len(leaves) + 1 == self.s.leaves and self.tree.feature[node] < 0:
+                self.tree.split(node, *self.known[node][1:3])       # the last split: what its children could gain doesn't matter
+            elif self.tree.feature[node] < 0 or self.tree.left[node] not in self.known:
                 # its children may be better than the leaves after it: look at all that may still be split, at once
                 room = self.s.leaves - len(leaves)
                 able = sorted((n for n in leaves if self.known[n][0] > 0), key=lambda n: -self.known[n][0])[:room]
@@ -198,8 +240,13 @@ class Growth:
         for node in chosen:
             left = out.split(at[node], self.tree.feature[node], self.tree.bin[node])
             at[self.tree.left[node]], at[self.tree.left[node] + 1] = left, left + 1
+        totals = {node: of[4] for node, of in self.known.items()}
+        for node in chosen[-1:]:
+            _, _, _, of_left, of_both = self.known[node]
+            totals.setdefault(self.tree.left[node], of_left)
+            totals.setdefault(self.tree.left[node] + 1, tuple(a - b for a, b in zip(of_both, of_left)))
         for node in leaves:
-            g, h, _ = self.known[node][4]
+            g, h, _ = totals[node]
             out.value[at[node]] = -self.s.learning_rate * g / (h + self.s.l2) if h + self.s.l2 > 0 else 0.0
         self.tree = out
 
@@ -215,19 +262,23 @@ class Block:
     w: np.ndarray
     held: np.ndarray
     margin: np.ndarray
+    #: Bins of each feature.
+    bins: list[int]
 
     def moved(self, tree: Tree) -> "Block":
-        return Block(self.x, self.y, self.w, self.held, self.margin + np.asarray(tree.value)[tree.nodes(self.x)])
+        leaves = [n for n, f in enumerate(tree.feature) if f < 0]
+        margin = self.margin.copy()
+        for n, rows in zip(leaves, rows_of(tree, self.x, np.arange(len(margin)), leaves)):
+            margin[rows] += tree.value[n]
+        return Block(self.x, self.y, self.w, self.held, margin, self.bins)
 
-    def summed(self, tree: Tree, nodes: Sequence[int]):
-        """(feature, histograms of ``nodes``) and ("loss", ...) of the block."""
-        g, h = gradients(self.y, self.w, self.margin)
-        place = np.full(len(tree.feature), -1)
-        place[list(nodes)] = np.arange(len(nodes))
-        at = np.where(self.held, -1, place[tree.nodes(self.x)])
-        for f, hist in enumerate(histograms(self.x, at, g, h, len(nodes))):
-            yield f, hist
-        yield "loss", np.array([log_loss(self.y[m], self.w[m], self.margin[m]) for m in (self.held, ~self.held)])
+    def summed(self, tree: Tree, nodes: Sequence[int], loss: bool):
+        """(feature, histograms of ``nodes``) and, if asked for, ("loss", ...) of the block."""
+        rows = rows_of(tree, self.x, np.flatnonzero(~self.held), nodes)
+        g, h = zip(*(gradients(self.y[r], self.w[r], self.margin[r]) for r in rows))
+        yield from enumerate(histograms(self.x, rows, g, h, self.bins))
+        if loss:
+            yield "loss", np.array([log_loss(self.y[m], self.w[m], self.margin[m]) for m in (self.held, ~self.held)])
 
 
 @dataclass
@@ -264,42 +315,61 @@ class Boosted:
         return cls(**{**plain, "trees": [Tree(**t) for t in plain["trees"]]})
 
 
+def parts(rows: int, cores: int) -> int:
+    """Partitions for ``rows``: one for each core, or as many for each as ``PART_ROWS`` asks for; fewer for few rows."""
+    return max(1, min(math.ceil(rows / BLOCK_ROWS), cores * math.ceil(rows / (cores * PART_ROWS))))
+
+
 def blocks(df: DataFrame, features: Sequence[str], cuts, label: str, weight: str, held: Column, rows: int, base: float):
     """Cached blocks of ``df`` in evenly filled partitions."""
-    n = max(1, math.ceil(rows / BLOCK_ROWS))
+    n, bins = parts(rows, df.sparkSession.sparkContext.defaultParallelism), [len(c) + 1 for c in cuts]
     plain = df.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double"), F.col(weight).cast("double"), held).repartition(n)
 
     def run(batches):
         import pyarrow as pa
 
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        for k in range(0, len(got), 8):
-            *x, y, w, out = (np.concatenate(c) for c in zip(*got[k:k + 8]))
-            block = Block(np.stack([binned(v.astype(float), c) for v, c in zip(x, cuts)]), y, w, out.astype(bool), np.full(len(y), base))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+        def block(got):
+            x, y, w, out = (np.concatenate(c, axis=-1) for c in zip(*got))
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Block(x, y, w, out, np.full(len(y), base), bins))], pa.binary())], names=["block"])
+
+        got, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                *x, y, w, out = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                got.append((np.stack([binned(v.astype(float), c) for v, c in zip(x, cuts)]), y, w, out.astype(bool)))
+                size += b.num_rows
+            if size >= PART_ROWS:
+                yield block(got)
+                got, size = [], 0
+        if got:
+            yield block(got)
 
     return plain.mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _added(blocks, tree: Tree, nodes: Sequence[int]):
+def _added(blocks, tree: Tree, nodes: Sequence[int], loss: bool):
     """``Block.summed`` of all blocks of a partition together."""
     out = {}
     for b in blocks:
-        for k, v in b.summed(tree, nodes):
+        for k, v in b.summed(tree, nodes, loss):
             out[k] = out[k] + v if k in out else v
     return out.items()
 
 
-def splits(held_rows, tree: Tree, nodes: Sequence[int], s: Settings, n_out: int) -> dict:
-    """feature -> best split of each of ``nodes``, and "loss", over all blocks."""
-    best = lambda k, v: v if k == "loss" else best_splits(v, s)
-    sums = held_rows.mapPartitions(lambda blocks: _added(blocks, tree, nodes))
+def sums(held_rows, tree: Tree, nodes: Sequence[int], n_out: int, loss: bool = True) -> dict:
+    """feature -> histograms of ``nodes``, and "loss" if asked for, over all blocks."""
+    found = held_rows.mapPartitions(lambda blocks: _added(blocks, tree, nodes, loss))
     if held_rows.getNumPartitions() > FEW_PARTS:
-        return dict(sums.reduceByKey(np.add, n_out).map(lambda kv: (kv[0], best(*kv))).collect())
+        return dict(found.reduceByKey(np.add, n_out).collect())
     total = {}
-    for k, v in sums.collect():
+    for k, v in found.collect():
         total[k] = total[k] + v if k in total else v
-    return {k: best(k, v) for k, v in total.items()}
+    return total
+
+
+def splits(held_rows, tree: Tree, nodes: Sequence[int], s: Settings, n_out: int) -> dict:
+    """feature -> best split of each of ``nodes``, and "loss", over all blocks."""
+    return {k: v if k == "loss" else best_splits(v, s) for k, v in sums(held_rows, tree, nodes, n_out).items()}
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, weight: str, settings: Settings | None = None, id_col: str | None = None) -> Boosted:
@@ -316,28 +386,31 @@ def fit(df: DataFrame, features: Sequence[str], label: str, weight: str, setting
     held = (F.pmod(F.xxhash64(*by), F.lit(1000)) < int(1000 * s.held_out)) if early else F.lit(False)
     model = Boosted(list(features), cuts, math.log(share / (1 - share)), [])
     held_rows = blocks(df, features, cuts, label, weight, held, rows, model.base)
+    held_rows.checkpoint()                                          # else every job goes through the stages of the input's plan
     n_out, best, since, before = min(len(features) + 1, held_rows.getNumPartitions() * 2), math.inf, 0, None
     try:
         for turn in range(s.rounds + 1):
-            growth, loss = Growth(s), None
-            while nodes := growth.ask():
-                tree = growth.tree
-                found = splits(held_rows, tree, nodes, s, n_out)
-                if loss is None:
-                    if before is not None:                          # the moved blocks are held now
-                        before.unpersist()
-                    loss = float(found["loss"][0 if early else 1])
-                growth.learn(nodes, {k: v for k, v in found.items() if k != "loss"})
-                if turn == s.rounds:
-                    break
+            growth = Growth(s)
+            found = sums(held_rows, growth.tree, growth.ask(), n_out)
+            if before is not None:                                  # the moved blocks are held now
+                before.unpersist()
+            loss = float(found.pop("loss")[0 if early else 1])
+            growth.learn([0], {f: best_splits(of, s) for f, of in found.items()})
+            known = {0: {f: of[0] for f, of in found.items()}}      # node -> feature -> histogram
+            while turn < s.rounds and (nodes := growth.ask()):
+                few = growth.smaller(nodes)
+                for f, of in sums(held_rows, growth.tree, list(few), n_out, False).items():
+                    for (node, (other, parent)), hist in zip(few.items(), of):
+                        known.setdefault(node, {})[f], known.setdefault(other, {})[f] = hist, rest(known[parent][f], hist)
+                growth.learn(nodes, {f: best_splits(np.stack([known[n][f] for n in nodes]), s) for f in found})
             model.losses.append(loss)
             since = 0 if loss < best - s.tolerance * abs(best if best < math.inf else 0) else since + 1
             best = min(best, loss)
             if turn == s.rounds or early and since >= s.patience or len(growth.tree.feature) == 1:
                 break
             model.trees.append(growth.tree)
-            before, grown = held_rows, growth.tree
-            held_rows = before.map(lambda b: b.moved(grown)).persist(StorageLevel.MEMORY_AND_DISK)
+            before, last = held_rows, growth.tree
+            held_rows = before.map(lambda b, last=last: b.moved(last)).persist(StorageLevel.MEMORY_AND_DISK)
             if len(model.trees) % CHECKPOINT_EVERY == 0:
                 held_rows.checkpoint()
         return model

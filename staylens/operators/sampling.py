@@ -33,9 +33,9 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
 
 
 def split_sample(df: DataFrame, id_col: str, share: float = CAL_SHARE, cap: int = CAL_MAX,
-                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """T5 as used for calibration: (sample, rest)."""
+                 seed: int = 42, hold=lambda sample: sample) -> tuple[DataFrame, DataFrame]:
+    """T5 as used for calibration: (sample, rest). ``hold`` gets the sample, which each use of the rest reads too."""
     n = sample_size(df.count(), share, cap)
-    sample = hash_sample(df, id_col, n, seed)
+    sample = hold(hash_sample(df, id_col, n, seed))
     rest = df.join(sample.select(id_col), id_col, "left_anti")
     return sample, rest

@@ -108,10 +108,12 @@ def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
         id_col: str = "episodio"):
     """Fit the linear model (L2 of strength one, unscaled) or the boosted
     one (up to ``rounds`` trees) with sample weights. Returns (preparation, model)."""
-    prep = Preparation.learn(train, kind, num, cat)
-    # Iterative fits read their input many times: materialise it once.
-    prepared = prep.apply(train).persist(StorageLevel.MEMORY_AND_DISK)
+    # The preparation and the iterative fits read their input many times: materialise it once.
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = None
     try:
+        prep = Preparation.learn(train, kind, num, cat)
+        prepared = prep.apply(train).persist(StorageLevel.MEMORY_AND_DISK)
         if kind != "logistic":
             return prep, B.fit(prepared, prep.inputs(), "excede_norma", weight_col, B.Settings(rounds=rounds),
                                id_col if id_col in train.columns else None)
@@ -120,7 +122,9 @@ def fit(train: DataFrame, kind: str = "gbt", weight_col: str = "w",
                                  regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False)
         return prep, Pipeline(stages=_linear_stages(num, cat) + [clf]).fit(prepared)
     finally:
-        prepared.unpersist()
+        for held in (prepared, train):
+            if held is not None:
+                held.unpersist()
 
 
 def margin(fitted, df: DataFrame) -> DataFrame:
@@ -199,10 +203,12 @@ def train_and_score(dataset: DataFrame, id_col: str = "episodio", with_baseline:
     data = dataset.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = FE.time_split(data, "fecha")
     test = test.withColumn("w", F.col("peso"))
-    cal, core = SA.split_sample(train, id_col)
+    cal, core = SA.split_sample(train, id_col, hold=lambda sample: sample.persist(StorageLevel.MEMORY_AND_DISK))
+    core = core.persist(StorageLevel.MEMORY_AND_DISK)      # counted by class, then weighted
     # each model is balanced on the rows it is fitted on
     balanced = lambda df: FE.class_weights(df, "excede_norma", "peso", "w")
     boosted = fit(balanced(core), "gbt", rounds=rounds)
+    core.unpersist()
     # The calibration slice holds at most CAL_MAX rows (T5), so one partition
     # is enough and saves per-iteration task overhead in the L-BFGS loop.
     cal_scored = margin(boosted, cal.withColumn("w", F.col("peso"))).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)

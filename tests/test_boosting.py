@@ -121,3 +121,43 @@ def test_few_partitions_are_summed_without_a_shuffle_and_give_the_same_trees(spa
     for f in range(3):
         (one,), (two,) = few[f], many[f]
         assert one[1] == two[1] and np.allclose([one[0], *one[2], *one[3]], [two[0], *two[2], *two[3]])
+
+
+def test_a_tree_reads_the_rows_of_one_child_of_a_split_and_no_more_than_it_needs(spark, monkeypatch):
+    a, b, c, y, w = data(1200, 9)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y, w)], "a double, b double, c double, y double, w double").repartition(2)
+    asked, sums = [], B.sums
+
+    def spy(rows, tree, nodes, *rest):
+        asked.append((tree.left[:], list(nodes)))
+        found = sums(rows, tree, nodes, *rest)
+        assert [found[f].shape for f in range(3)] == [(len(nodes), 3, n) for n in (255, 12, 255)]    # as wide as the bins
+        return found
+
+    monkeypatch.setattr(B, "sums", spy)
+    model = B.fit(df, ["a", "b", "c"], "y", "w", B.Settings(rounds=2, leaves=8, held_out=0))
+    assert len(model.trees) == 2 and all(t.feature.count(-1) == 8 for t in model.trees)
+    for left, nodes in asked:
+        assert nodes == [0] or all(n in left or n - 1 in left for n in nodes)
+        assert not any(n + 1 in nodes and n in left for n in nodes)                                 # never both children
+    asked.clear()
+    stumps = B.fit(df, ["a", "b", "c"], "y", "w", B.Settings(rounds=3, leaves=2, held_out=0))
+    assert [nodes for _, nodes in asked] == [[0]] * 4                                               # the last split's children aren't summed
+    x = np.stack([B.binned(v, cut) for v, cut in zip((a, b, c), stumps.cuts)])
+    g, h = B.gradients(y, w, np.full(len(y), stumps.base))
+    at = stumps.trees[0].nodes(x)
+    assert np.allclose(stumps.trees[0].value[1:], [-0.1 * g[at == k].sum() / h[at == k].sum() for k in (1, 2)])
+
+
+def test_the_other_child_holds_what_its_parent_leaves(spark):
+    rng = np.random.default_rng(4)
+    x, g, h = rng.integers(0, 40, (1, 500)).astype(np.uint8), rng.standard_normal(500), rng.random(500)
+    rows = np.arange(500)
+    (both,), (left,), (right,) = (B.histograms(x, [own], [g[own]], [h[own]], [64]) for own in (rows, rows[x[0] <= 17], rows[x[0] > 17]))
+    got = B.rest(both[0], left[0])
+    assert np.allclose(got, right[0]) and np.array_equal(got[2], right[0, 2]) and not got[:, :18].any()
+
+
+def test_partitions_follow_the_cores():
+    assert [B.parts(n, 6) for n in (0, 1500, 40_000, 720_000, 7_200_000)] == [1, 1, 2, 6, 12]
+    assert B.parts(720_000, 6) <= B.FEW_PARTS and B.parts(10**9, 6) * B.PART_ROWS >= 10**9

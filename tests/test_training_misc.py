@@ -45,6 +45,19 @@ def test_training_run_with_baseline(spark):
     assert res["test_scores"].count() == res["baseline_scores"].count() > 0
 
 
+def test_a_fit_reads_its_input_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = generated_dataset(spark, 300).withColumn("w", F.col("peso")).localCheckpoint()
+    TR.fit(rows.mapInArrow(read, rows.schema), rounds=2)
+    assert reads.value == 300
+
+
 def test_saved_model_scores_as_before(spark, scratch):
     ds = generated_dataset(spark).withColumn("w", F.col("peso"))
     many = ds.withColumn("servicio_ingreso", F.concat(F.lit("S"), (F.abs(F.xxhash64("episodio")) % 300).cast("string")))
