@@ -10,7 +10,9 @@ only the rows of the nodes asked for and send one array per feature, as wide as
 bins. Arrays meet per feature and the driver gets their sum; up to ``FEW_PARTS`` partitions are
 summed by the driver instead: a fit is about a thousand such jobs, and one without a shuffle
 takes half the time. The next tree's first job also moves the margins on and sums the loss of
-the held-out rows, on which fitting stops early.
+the held-out rows, on which fitting stops early. Leaves of few rows (``NEAR_ROWS`` a tree,
+smallest first) send the rows themselves, once: what is below them is summed by the driver, with
+no more jobs.
 
 A lost executor's blocks are computed again from the last checkpoint
 (``CHECKPOINT_EVERY`` trees, in the cluster's shared folder).
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import pickle
 from dataclasses import asdict, dataclass, field
 from typing import Sequence
@@ -41,6 +44,8 @@ CHECKPOINT_EVERY = 20
 PART_ROWS = 786_432
 #: Partitions up to which the driver adds up the histograms (at most 6 kB a feature and node from each).
 FEW_PARTS = 16
+#: Rows (a byte for each feature, and two numbers) that a tree's small leaves may send to the driver.
+NEAR_ROWS = 131_072
 
 
 @dataclass
@@ -272,11 +277,15 @@ class Block:
             margin[rows] += tree.value[n]
         return Block(self.x, self.y, self.w, self.held, margin, self.bins)
 
-    def summed(self, tree: Tree, nodes: Sequence[int], loss: bool):
-        """(feature, histograms of ``nodes``) and, if asked for, ("loss", ...) of the block."""
-        rows = rows_of(tree, self.x, np.flatnonzero(~self.held), nodes)
-        g, h = zip(*(gradients(self.y[r], self.w[r], self.margin[r]) for r in rows))
-        yield from enumerate(histograms(self.x, rows, g, h, self.bins))
+    def summed(self, tree: Tree, nodes: Sequence[int], loss: bool, whole: Sequence[int] = ()):
+        """(feature, histograms of ``nodes``), (("rows", node), [bins, gradients, hessians]) of the nodes in ``whole``
+        and, if asked for, ("loss", ...) of the block."""
+        rows = rows_of(tree, self.x, np.flatnonzero(~self.held), [*nodes, *whole])
+        slopes = [gradients(self.y[r], self.w[r], self.margin[r]) for r in rows]
+        if n := len(nodes):
+            yield from enumerate(histograms(self.x, rows[:n], *zip(*slopes[:n]), self.bins))
+        for node, r, (g, h) in zip(whole, rows[n:], slopes[n:]):
+            yield ("rows", node), [(self.x[:, r], g, h)]
         if loss:
             yield "loss", np.array([log_loss(self.y[m], self.w[m], self.margin[m]) for m in (self.held, ~self.held)])
 
@@ -347,20 +356,20 @@ def blocks(df: DataFrame, features: Sequence[str], cuts, label: str, weight: str
     return plain.mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _added(blocks, tree: Tree, nodes: Sequence[int], loss: bool):
+def _added(blocks, *asked):
     """``Block.summed`` of all blocks of a partition together."""
     out = {}
     for b in blocks:
-        for k, v in b.summed(tree, nodes, loss):
+        for k, v in b.summed(*asked):
             out[k] = out[k] + v if k in out else v
     return out.items()
 
 
-def sums(held_rows, tree: Tree, nodes: Sequence[int], n_out: int, loss: bool = True) -> dict:
-    """feature -> histograms of ``nodes``, and "loss" if asked for, over all blocks."""
-    found = held_rows.mapPartitions(lambda blocks: _added(blocks, tree, nodes, loss))
+def sums(held_rows, tree: Tree, nodes: Sequence[int], n_out: int, loss: bool = True, whole: Sequence[int] = ()) -> dict:
+    """feature -> histograms of ``nodes``, ("rows", node) -> rows of those in ``whole``, and "loss" if asked for, over all blocks."""
+    found = held_rows.mapPartitions(lambda blocks: _added(blocks, tree, nodes, loss, whole))
     if held_rows.getNumPartitions() > FEW_PARTS:
-        return dict(found.reduceByKey(np.add, n_out).collect())
+        return dict(found.reduceByKey(operator.add, n_out).collect())
     total = {}
     for k, v in found.collect():
         total[k] = total[k] + v if k in total else v
@@ -372,6 +381,43 @@ def splits(held_rows, tree: Tree, nodes: Sequence[int], s: Settings, n_out: int)
     return {k: v if k == "loss" else best_splits(v, s) for k, v in sums(held_rows, tree, nodes, n_out).items()}
 
 
+class Sums:
+    """Histograms of a tree's nodes, by feature, and the rows of its small nodes."""
+
+    def __init__(self, growth: Growth, root: list[np.ndarray]):
+        self.growth, self.known, self.bins = growth, {0: root}, [h.shape[1] for h in root]
+        self.near, self.room = {}, NEAR_ROWS
+
+    def wanted(self, nodes: Sequence[int]) -> tuple[dict, list[int], list[int]]:
+        """(``Growth.smaller`` of ``nodes``, those to sum on the executors, the parents whose rows are to be sent)."""
+        few, whole = self.growth.smaller(nodes), []
+        size = lambda parent: self.growth.known[parent][4][2]
+        for parent in sorted((p for _, p in few.values() if p not in self.near), key=lambda p: (size(p), p)):
+            if size(parent) > self.room:
+                break
+            self.room -= size(parent)
+            whole.append(parent)
+        return few, [n for n, (_, parent) in few.items() if parent not in self.near and parent not in whole], whole
+
+    def add(self, few: dict, summed: list[int], found: dict) -> None:
+        """Learns the nodes of ``few`` from what ``sums`` found for ``wanted``."""
+        for k, got in found.items():
+            if isinstance(k, tuple):
+                self.near[k[1]] = tuple(np.concatenate(of, axis=-1) for of in zip(*got))
+        tree = self.growth.tree
+        for node, (other, parent) in few.items():
+            if parent in self.near:
+                x, g, h = self.near[parent]
+                right = x[tree.feature[parent]] > tree.bin[parent]
+                for child, own in ((tree.left[parent], ~right), (tree.left[parent] + 1, right)):
+                    self.near[child] = x[:, own], g[own], h[own]
+                x, g, h = self.near[node]
+                hist = [of[0] for of in histograms(x, [slice(None)], [g], [h], self.bins)]
+            else:
+                hist = [found[f][summed.index(node)] for f in range(len(self.bins))]
+            self.known[node], self.known[other] = hist, [rest(a, b) for a, b in zip(self.known[parent], hist)]
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, weight: str, settings: Settings | None = None, id_col: str | None = None) -> Boosted:
     """Fit on ``df``. Rows are held out by a hash of ``id_col`` (of all features without one)."""
     s = settings or Settings()
@@ -396,13 +442,11 @@ def fit(df: DataFrame, features: Sequence[str], label: str, weight: str, setting
                 before.unpersist()
             loss = float(found.pop("loss")[0 if early else 1])
             growth.learn([0], {f: best_splits(of, s) for f, of in found.items()})
-            known = {0: {f: of[0] for f, of in found.items()}}      # node -> feature -> histogram
+            below = Sums(growth, [found[f][0] for f in sorted(found)])
             while turn < s.rounds and (nodes := growth.ask()):
-                few = growth.smaller(nodes)
-                for f, of in sums(held_rows, growth.tree, list(few), n_out, False).items():
-                    for (node, (other, parent)), hist in zip(few.items(), of):
-                        known.setdefault(node, {})[f], known.setdefault(other, {})[f] = hist, rest(known[parent][f], hist)
-                growth.learn(nodes, {f: best_splits(np.stack([known[n][f] for n in nodes]), s) for f in found})
+                few, summed, whole = below.wanted(nodes)
+                below.add(few, summed, sums(held_rows, growth.tree, summed, n_out, False, whole) if summed or whole else {})
+                growth.learn(nodes, {f: best_splits(np.stack([below.known[n][f] for n in nodes]), s) for f in found})
             model.losses.append(loss)
             since = 0 if loss < best - s.tolerance * abs(best if best < math.inf else 0) else since + 1
             best = min(best, loss)

@@ -131,15 +131,25 @@ def test_a_tree_reads_the_rows_of_one_child_of_a_split_and_no_more_than_it_needs
     def spy(rows, tree, nodes, *rest):
         asked.append((tree.left[:], list(nodes)))
         found = sums(rows, tree, nodes, *rest)
-        assert [found[f].shape for f in range(3)] == [(len(nodes), 3, n) for n in (255, 12, 255)]    # as wide as the bins
+        assert not nodes or [found[f].shape for f in range(3)] == [(len(nodes), 3, n) for n in (255, 12, 255)]    # as wide as the bins
         return found
 
     monkeypatch.setattr(B, "sums", spy)
+    monkeypatch.setattr(B, "NEAR_ROWS", 0)
     model = B.fit(df, ["a", "b", "c"], "y", "w", B.Settings(rounds=2, leaves=8, held_out=0))
     assert len(model.trees) == 2 and all(t.feature.count(-1) == 8 for t in model.trees)
     for left, nodes in asked:
         assert nodes == [0] or all(n in left or n - 1 in left for n in nodes)
         assert not any(n + 1 in nodes and n in left for n in nodes)                                 # never both children
+    jobs = len(asked)
+    asked.clear()
+    monkeypatch.setattr(B, "NEAR_ROWS", 200)                                                        # some leaves send their rows
+    monkeypatch.setattr(B, "FEW_PARTS", 0)
+    again = B.fit(df, ["a", "b", "c"], "y", "w", B.Settings(rounds=2, leaves=8, held_out=0))
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "sums", spy)
+    assert [(t.feature, t.bin, t.left) for t in again.trees] == [(t.feature, t.bin, t.left) for t in model.trees] and len(asked) <= jobs
+    assert all(np.allclose(t.value, u.value) for t, u in zip(again.trees, model.trees))
     asked.clear()
     stumps = B.fit(df, ["a", "b", "c"], "y", "w", B.Settings(rounds=3, leaves=2, held_out=0))
     assert [nodes for _, nodes in asked] == [[0]] * 4                                               # the last split's children aren't summed
